@@ -289,3 +289,102 @@ FROM ground_truth g LEFT JOIN p USING (swc_id)""")
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+# ---------------------------------------------------------------------------
+# Rewards family
+# ---------------------------------------------------------------------------
+
+PRED_LINES = "Lines?[:\\s]*(\\d+)(?:\\s*-\\s*(\\d+))?"
+
+REWARD_CTES = f"""
+gt AS (SELECT contract_id, list(replace(coalesce(swc_id, ''), 'SWC-', '')) AS gt_num, list(coalesce(swc_id, '')) AS gt_swc
+       FROM vulns GROUP BY contract_id),
+rw0 AS (
+  SELECT c.contract_id, c.k, c.text, coalesce(g.gt_num, []::VARCHAR[]) AS gt_num, coalesce(g.gt_swc, []::VARCHAR[]) AS gt_swc,
+    list_transform(regexp_extract_all(c.text, '(?i)SWC[:\\s]*(\\d+|SWC-\\d+)', 1), lambda x: replace(replace(x, 'SWC-', ''), 'swc-', '')) AS model,
+    len(regexp_extract_all(c.text, '{PRED_LINES}', 1)) AS n_line_matches
+  FROM completions c LEFT JOIN gt g USING (contract_id)
+),
+pm AS (SELECT contract_id, k, unnest(regexp_extract_all(text, '{PRED_LINES}', 1)) AS a,
+              unnest(regexp_extract_all(text, '{PRED_LINES}', 2)) AS b FROM completions),
+pl AS (SELECT DISTINCT contract_id, k, unnest(generate_series(CAST(a AS BIGINT), CAST(CASE WHEN b IS NULL OR b = '' THEN a ELSE b END AS BIGINT))) AS line FROM pm),
+tr AS (SELECT contract_id, coalesce(lines, line_range, '') AS lr FROM vulns),
+tb AS (SELECT contract_id,
+    CASE WHEN contains(lr, '-') THEN (CASE WHEN len(string_split(lr, '-')) = 2 THEN TRY_CAST(trim(string_split(lr, '-')[1]) AS BIGINT) END)
+         ELSE TRY_CAST(trim(lr) AS BIGINT) END AS s,
+    CASE WHEN contains(lr, '-') THEN (CASE WHEN len(string_split(lr, '-')) = 2 THEN TRY_CAST(trim(string_split(lr, '-')[2]) AS BIGINT) END)
+         ELSE TRY_CAST(trim(lr) AS BIGINT) END AS e
+  FROM tr),
+tl AS (SELECT DISTINCT contract_id, unnest(generate_series(s, e)) AS line FROM tb WHERE s IS NOT NULL AND e IS NOT NULL),
+lc AS (
+  SELECT c.contract_id, c.k,
+    (SELECT count(*) FROM pl WHERE pl.contract_id = c.contract_id AND pl.k = c.k) AS n_pred_lines,
+    (SELECT count(*) FROM tl WHERE tl.contract_id = c.contract_id) AS n_truth_lines,
+    (SELECT count(*) FROM pl JOIN tl ON pl.contract_id = tl.contract_id AND pl.line = tl.line
+      WHERE pl.contract_id = c.contract_id AND pl.k = c.k) AS n_inter
+  FROM completions c
+),
+rw AS (
+  SELECT r.contract_id, r.k, r.text, r.gt_swc,
+    CASE WHEN len(r.gt_num) = 0 THEN (CASE WHEN len(r.model) = 0 OR contains(lower(r.text), 'none') THEN 1.0 ELSE -1.0 END)
+         WHEN len(r.model) = 0 THEN -1.0
+         WHEN len(list_filter(r.model, lambda x: list_contains(r.gt_num, x))) > 0
+           THEN len(list_filter(r.model, lambda x: list_contains(r.gt_num, x))) / greatest(len(r.gt_num), len(r.model))
+         ELSE -0.5 END AS class_reward,
+    CASE WHEN len(r.gt_num) = 0 OR r.n_line_matches = 0 THEN 0.0
+         WHEN lc.n_pred_lines = 0 OR lc.n_truth_lines = 0 THEN 0.0
+         ELSE lc.n_inter / (lc.n_pred_lines + lc.n_truth_lines - lc.n_inter) END AS line_reward,
+    (CAST(regexp_matches(r.text, '(?i)Vulnerability[:\\s]') AS INTEGER) + CAST(regexp_matches(r.text, '(?i)SWC[:\\s]') AS INTEGER)
+     + CAST(regexp_matches(r.text, '(?i)Lines?[:\\s]') AS INTEGER) + CAST(regexp_matches(r.text, '(?i)Severity[:\\s]') AS INTEGER)
+     + CAST(regexp_matches(r.text, '(?i)Explanation[:\\s]') AS INTEGER)) / 5.0 AS format_reward,
+    lc.n_pred_lines, lc.n_truth_lines
+  FROM rw0 r JOIN lc USING (contract_id, k)
+),
+rwt AS (SELECT *, 0.5 * class_reward + 0.3 * line_reward + 0.2 * format_reward AS reward FROM rw),
+adv AS (SELECT *, reward - avg(reward) OVER (PARTITION BY contract_id) AS advantage,
+          max(reward) OVER (PARTITION BY contract_id) AS max_r, min(reward) OVER (PARTITION BY contract_id) AS min_r FROM rwt),
+ver AS (
+  SELECT *, CASE WHEN got IS NULL THEN 0.0 WHEN list_contains(gt_swc, got) THEN 1.0
+     WHEN len(gt_swc) = 0 AND (got = 'None' OR contains(lower(text), 'no vulnerability')) THEN 1.0 ELSE 0.0 END AS verified
+  FROM (SELECT *, CASE WHEN regexp_extract(text, '(?i)SWC[:\\s]*([0-9]{{3}})', 1) = '' THEN NULL
+                       ELSE 'SWC-' || regexp_extract(text, '(?i)SWC[:\\s]*([0-9]{{3}})', 1) END AS got FROM rwt)
+),
+pr AS (
+  SELECT contract_id, avg(verified) AS pass_rate, avg(CASE WHEN reward > 0 THEN 1.0 ELSE 0.0 END) AS positive_share,
+    count(*) AS n_completions, CAST(sum(verified) AS BIGINT) AS n_correct
+  FROM ver WHERE text <> '' GROUP BY contract_id
+)"""
+
+
+def register_rw(name: str, body: str) -> None:
+    register(name, "WITH " + REWARD_CTES.strip() + "\n" + body.strip())
+
+
+register_rw("reward_components", """SELECT contract_id, k, round(class_reward, 9) AS class_reward,
+  round(line_reward, 9) AS line_reward, round(format_reward, 9) AS format_reward FROM rw""")
+register_rw("reward_total", "SELECT contract_id, k, round(reward, 9) AS reward FROM rwt")
+register_rw("line_iou", """SELECT contract_id, k, n_pred_lines, n_truth_lines, round(line_reward, 9) AS iou FROM rw""")
+register_rw("rollout_scores", "SELECT contract_id, k, round(reward, 9) AS reward, round(advantage, 9) AS advantage FROM adv")
+register_rw("advantages", "SELECT contract_id, k, round(advantage, 9) AS advantage FROM adv")
+register_rw("zero_gradient", "SELECT contract_id, k, round(advantage, 9) AS advantage FROM adv WHERE max_r <> min_r")
+register_rw("group_mean", "SELECT contract_id, round(avg(reward), 9) AS mean_reward, count(*) AS n FROM rwt GROUP BY contract_id")
+register_rw("joined_truth", """SELECT c.contract_id, c.k, CAST(count(v.contract_id) AS BIGINT) AS n_truth,
+  coalesce(string_agg(v.swc_id, ',' ORDER BY v.vidx), '') AS truth_classes
+  FROM completions c LEFT JOIN vulns v USING (contract_id) GROUP BY c.contract_id, c.k""")
+register_rw("filter_verifier", "SELECT contract_id, k, verified FROM ver")
+register_rw("pass_rate", """SELECT contract_id, round(pass_rate, 9) AS pass_rate, round(positive_share, 9) AS positive_share,
+  n_completions FROM pr""")
+register_rw("difficulty_filter", "SELECT contract_id, round(pass_rate, 9) AS pass_rate FROM pr WHERE pass_rate <= 0.625")
+register_rw("hard_only", "SELECT contract_id, round(pass_rate, 9) AS pass_rate FROM pr WHERE pass_rate = 0")
+register_rw("pass_at_k", """SELECT contract_id, n_completions AS n, n_correct AS c,
+  round(1 - (CASE WHEN n_completions - n_correct < 1 THEN 0.0 ELSE list_aggregate(list_transform(range(1), lambda i: (n_completions - n_correct - i) / (n_completions - i)), 'product') END), 9) AS pass_at_1,
+  CASE WHEN n_completions < 8 THEN NULL ELSE round(1 - (CASE WHEN n_completions - n_correct < 8 THEN 0.0 ELSE list_aggregate(list_transform(range(8), lambda i: (n_completions - n_correct - i) / (n_completions - i)), 'product') END), 9) END AS pass_at_8,
+  CAST(NULL AS DOUBLE) AS pass_at_32
+  FROM pr""")
+register("self_consistency", """
+SELECT contract_id, round(max(cnt) / sum(cnt), 9) AS consistency, count(*) AS n_answers FROM (
+  SELECT contract_id, answer, count(*) AS cnt FROM (
+    SELECT contract_id, CASE WHEN regexp_extract(text, '(?i)SWC[:\\s]*([0-9]{3})', 1) = '' THEN 'NONE'
+           ELSE 'SWC-' || regexp_extract(text, '(?i)SWC[:\\s]*([0-9]{3})', 1) END AS answer
+    FROM completions WHERE text <> '') GROUP BY ALL) GROUP BY contract_id""")

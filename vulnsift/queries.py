@@ -139,3 +139,129 @@ def class_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth rows with primary-class attributes (left join)."""
     g = fx.ground_truth(spark, sf_dir).select("contract_id", "swc_id")
     return ev.with_class_attributes(g).select("contract_id", "swc_id", "class_name", "cwe", "target_f1")
+
+
+# ---------------------------------------------------------------------------
+# Rewards, rollouts and difficulty
+# ---------------------------------------------------------------------------
+
+from vulnsift.functions import rewards as rw  # noqa: E402
+from vulnsift.operators import scoring as sc  # noqa: E402
+
+
+def _scored(spark, sf_dir):
+    comp, con = _eval_inputs(spark, sf_dir)
+    return sc.score_rollouts(comp, con)
+
+
+@query
+def reward_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F07, F08, F09 per completion."""
+    s = _scored(spark, sf_dir)
+    return rounded(s.select("contract_id", "k", "class_reward", "line_reward", "format_reward"))
+
+
+@query
+def reward_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """weighted total reward per completion."""
+    return rounded(_scored(spark, sf_dir).select("contract_id", "k", "reward"))
+
+
+@query
+def line_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted vs true line sets (sizes and IoU) by interval arithmetic."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    j = sc.with_truth(comp, con)
+    pred = rw.predicted_intervals("text")
+    tru = rw.truth_intervals("vulnerabilities")
+    return rounded(j.select(
+        "contract_id", "k",
+        rw.union_size(pred).alias("n_pred_lines"),
+        rw.union_size(tru).alias("n_truth_lines"),
+        rw.line_reward("text", "vulnerabilities").alias("iou"),
+    ))
+
+
+@query
+def rollout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total reward and group-relative advantage per completion."""
+    a = sc.advantages(_scored(spark, sf_dir))
+    return rounded(a.select("contract_id", "k", "reward", "advantage"))
+
+
+@query
+def advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """advantage = reward - mean reward of the prompt."""
+    a = sc.advantages(_scored(spark, sf_dir))
+    return rounded(a.select("contract_id", "k", "advantage"))
+
+
+@query
+def zero_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions of prompts whose rewards are not all equal."""
+    a = sc.drop_zero_gradient(sc.advantages(_scored(spark, sf_dir)))
+    return rounded(a.select("contract_id", "k", "advantage"))
+
+
+@query
+def group_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean reward per prompt group."""
+    g = sc.group_stats(_scored(spark, sf_dir), "contract_id", "reward")
+    return rounded(g.select("contract_id", "mean_reward", "n"))
+
+
+@query
+def joined_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions left-joined to their ground truth."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    j = sc.with_truth(comp, con)
+    return j.select("contract_id", "k", F.size("vulnerabilities").cast("long").alias("n_truth"),
+                    F.array_join(ev.truth_classes(), ",").alias("truth_classes"))
+
+
+@query
+def filter_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0/1 difficulty-filter verifier per completion."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    j = sc.with_truth(comp, con)
+    return j.select("contract_id", "k",
+                    rw.filter_verifier("text", ev.truth_classes("vulnerabilities", default="")).alias("verified"))
+
+
+@query
+def pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A05 + A06: pass rate over non-empty completions and share of positive rewards."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    return rounded(sc.pass_rates(comp, con).select("contract_id", "pass_rate", "positive_share", "n_completions"))
+
+
+@query
+def difficulty_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with pass rate <= 0.625."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    return rounded(sc.difficulty_filter(sc.pass_rates(comp, con)).select("contract_id", "pass_rate"))
+
+
+@query
+def hard_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P20: prompts never solved."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    return rounded(sc.hard_only(sc.pass_rates(comp, con)).select("contract_id", "pass_rate"))
+
+
+@query
+def pass_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unbiased pass@1, pass@8, pass@32 per prompt (null when n < k)."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    r = sc.pass_rates(comp, con)
+    n, c = F.col("n_completions"), F.col("n_correct")
+    return rounded(r.select("contract_id", n.alias("n"), c.alias("c"),
+                            sc.pass_at_k(n, c, 1).alias("pass_at_1"),
+                            sc.pass_at_k(n, c, 8).alias("pass_at_8"),
+                            sc.pass_at_k(n, c, 32).alias("pass_at_32")))
+
+
+@query
+def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the modal answer per prompt."""
+    return rounded(sc.self_consistency(fx.completions(spark, sf_dir)))
