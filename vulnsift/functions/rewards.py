@@ -17,12 +17,19 @@ _PRED_LINES = r"Lines?[:\s]*(\d+)(?:\s*-\s*(\d+))?"  # case-sensitive, as in the
 
 # --- F07: class reward --------------------------------------------------------------
 
-def class_reward(text, truth_swcs) -> Column:
+def truth_numbers(truth_swcs) -> Column:
+    return F.transform(tx.col_(truth_swcs), lambda s: F.replace(F.coalesce(s, F.lit("")), F.lit("SWC-"), F.lit("")))
+
+
+def class_reward(text, truth_swcs, model: Column | None = None, gt: Column | None = None) -> Column:
     """+1/-1 on a clean contract; on a vulnerable one m/max(n_truth, n_pred) with duplicates
-    counted, -0.5 on a wrong class, -1 when no class is given."""
+    counted, -0.5 on a wrong class, -1 when no class is given.
+
+    ``model`` / ``gt`` may be passed as already-computed columns (reward dialect classes and
+    truth class numbers) so a plan evaluates each regex once."""
     t = F.coalesce(tx.col_(text), F.lit(""))
-    model = tx.classes_reward_dialect(t)
-    gt = F.transform(tx.col_(truth_swcs), lambda s: F.replace(F.coalesce(s, F.lit("")), F.lit("SWC-"), F.lit("")))
+    model = tx.classes_reward_dialect(t) if model is None else model
+    gt = truth_numbers(truth_swcs) if gt is None else gt
     m = F.size(F.filter(model, lambda x: F.array_contains(gt, x)))
     return (
         F.when(F.size(gt) == 0,
@@ -103,11 +110,14 @@ def interval_iou(a: Column, b: Column) -> Column:
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise((na + nb - nu) / nu)
 
 
-def line_reward(text, vulns) -> Column:
-    """IoU of predicted and true line sets; 0.0 without truth or without any match."""
-    pred = predicted_intervals(text)
+def line_reward(text, vulns, pred: Column | None = None, truth: Column | None = None) -> Column:
+    """IoU of predicted and true line sets; 0.0 without truth or without any match.
+
+    ``pred`` / ``truth`` may be passed as already-computed interval-list columns."""
+    pred = predicted_intervals(text) if pred is None else pred
+    truth = truth_intervals(vulns) if truth is None else truth
     has_truth = F.size(tx.col_(vulns)) > 0
-    return F.when(~has_truth | (F.size(pred) == 0), F.lit(0.0)).otherwise(interval_iou(pred, truth_intervals(vulns)))
+    return F.when(~has_truth | (F.size(pred) == 0), F.lit(0.0)).otherwise(interval_iou(pred, truth))
 
 
 # --- F09 / F10 -----------------------------------------------------------------------

@@ -26,12 +26,18 @@ def with_truth(completions: DataFrame, contracts: DataFrame, key: str = "contrac
 
 def score_rollouts(completions: DataFrame, contracts: DataFrame, tool_col: str | None = None) -> DataFrame:
     """Class, line, format and total reward per completion."""
-    j = with_truth(completions, contracts)
-    swcs = truth_classes("vulnerabilities", default="")
-    cls = rw.class_reward("text", swcs)
-    line = rw.line_reward("text", "vulnerabilities")
+    j = with_truth(completions, contracts).select(
+        "*",
+        tx.classes_reward_dialect("text").alias("_model"),
+        rw.truth_numbers(truth_classes("vulnerabilities", default="")).alias("_gt"),
+        rw.predicted_intervals("text").alias("_pred_iv"),
+        rw.truth_intervals("vulnerabilities").alias("_truth_iv"),
+    )
+    cls = rw.class_reward("text", None, F.col("_model"), F.col("_gt"))
+    line = rw.line_reward("text", "vulnerabilities", F.col("_pred_iv"), F.col("_truth_iv"))
     fmt = rw.format_reward("text")
-    out = j.withColumn("class_reward", cls).withColumn("line_reward", line).withColumn("format_reward", fmt)
+    out = j.select(*completions.columns, "vulnerabilities", cls.alias("class_reward"), line.alias("line_reward"),
+                   fmt.alias("format_reward"))
     tool = F.col(tool_col) if tool_col else None
     return out.withColumn("reward", rw.total_reward(F.col("class_reward"), F.col("line_reward"),
                                                      F.col("format_reward"), tool))
@@ -63,9 +69,13 @@ def pass_rates(completions: DataFrame, contracts: DataFrame, key: str = "contrac
     none are dropped), and the share of completions whose combined reward is > 0."""
     j = with_truth(completions.where(F.coalesce(F.col("text"), F.lit("")) != ""), contracts, key)
     swcs = truth_classes("vulnerabilities", default="")
-    j = j.withColumn("verified", rw.filter_verifier("text", swcs))
+    j = j.select("*", rw.filter_verifier("text", swcs).alias("verified"),
+                 tx.classes_reward_dialect("text").alias("_model"), rw.truth_numbers(swcs).alias("_gt"),
+                 rw.predicted_intervals("text").alias("_pred_iv"), rw.truth_intervals("vulnerabilities").alias("_truth_iv"))
     j = j.withColumn("reward", rw.total_reward(
-        rw.class_reward("text", swcs), rw.line_reward("text", "vulnerabilities"), rw.format_reward("text")))
+        rw.class_reward("text", None, F.col("_model"), F.col("_gt")),
+        rw.line_reward("text", "vulnerabilities", F.col("_pred_iv"), F.col("_truth_iv")),
+        rw.format_reward("text")))
     return j.groupBy(key).agg(
         F.avg("verified").alias("pass_rate"),
         F.avg((F.col("reward") > 0).cast("double")).alias("positive_share"),

@@ -119,17 +119,25 @@ def _block(typ: Column, cls: Column, s: Column, e: Column) -> Column:
     )
 
 
-def completion_text(doc: Column, k: Column) -> Column:
-    """Twelve answer shapes chosen by (31*doc_id + 17*k) mod 12."""
-    t = (doc * 31 + k * 17) % 12
+def _answer_parts(doc: Column, k: Column) -> list[Column]:
+    """Per-answer template number and the pieces the templates are made of."""
     cat = _cat(doc)
-    cls = F.substring(swc_from_type_exact(cat), 5, 3)
-    alt = F.when(cls == "107", F.lit("104")).otherwise(F.lit("107"))
-    typ = F.replace(cat, F.lit("_"), F.lit(" "))
-    s = doc % 40 + 1
+    return [
+        ((doc * 31 + k * 17) % 12).alias("_t"),
+        F.substring(swc_from_type_exact(cat), 5, 3).alias("_cls"),
+        F.replace(cat, F.lit("_"), F.lit(" ")).alias("_typ"),
+        (doc % 40 + 1).alias("_s"),
+    ]
+
+
+def completion_text() -> Column:
+    """Twelve answer shapes chosen by (31*doc_id + 17*k) mod 12 (over the _answer_parts columns)."""
+    t, cls, typ, s = F.col("_t"), F.col("_cls"), F.col("_typ"), F.col("_s")
     e = s + 3
+    alt = F.when(cls == "107", F.lit("104")).otherwise(F.lit("107"))
+    blk = _block(typ, cls, s, e)
     return (
-        F.when(t == 0, _block(typ, cls, s, e))
+        F.when(t == 0, blk)
         .when(t == 1, F.concat(F.lit("Vulnerability: "), typ, F.lit("\nSWC: "), cls, F.lit("\nLines: "), _s(s),
                                F.lit("\nSeverity: Medium\nExplanation: Bare class number.")))
         .when(t == 2, F.concat(F.lit("Possible issue SWC-"), cls, F.lit(" around line "), _s(s), F.lit(".")))
@@ -137,14 +145,14 @@ def completion_text(doc: Column, k: Column) -> Column:
                                F.lit("-"), _s(e), F.lit("\nseverity: low\nexplanation: lower case answer.")))
         .when(t == 4, F.concat(F.lit("Vulnerability: "), typ,
                                F.lit("\nSeverity: Medium\nExplanation: Type only, no class given.")))
-        .when(t == 5, F.concat(_block(typ, cls, s, e), F.lit("\n\n"), _block(typ, alt, s + 10, e + 10)))
-        .when(t == 6, F.concat(_block(typ, cls, s, e), F.lit("\n\n"), _block(typ, cls, s + 20, e + 20)))
+        .when(t == 5, F.concat(blk, F.lit("\n\n"), _block(typ, alt, s + 10, e + 10)))
+        .when(t == 6, F.concat(blk, F.lit("\n\n"), _block(typ, cls, s + 20, e + 20)))
         .when(t == 7, F.lit("Vulnerability: None\nExplanation: No vulnerabilities detected in this contract."))
-        .when(t == 8, F.concat(_block(typ, cls, s, e), F.lit("\n\nThere are no vulnerabilities elsewhere in the code.")))
+        .when(t == 8, F.concat(blk, F.lit("\n\nThere are no vulnerabilities elsewhere in the code.")))
         .when(t == 9, F.concat(F.lit("Vulnerability: "), typ, F.lit("\nSWC: SWC-"), cls, F.lit("\nLines: "), _s(e),
                                F.lit("-"), _s(s), F.lit("\nSeverity: High\nExplanation: Reversed range.")))
         .when(t == 10, F.concat(F.lit("<think>\nThe withdraw function sends value before it updates the balance.\n"
-                                      "</think>\n"), _block(typ, cls, s, e)))
+                                      "</think>\n"), blk))
         .otherwise(F.lit(""))
     )
 
@@ -153,14 +161,13 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight sampled answers per curated or clean contract (k = 0 strong, k = 1 weak)."""
     c = contracts(spark, sf_dir).where(F.col("source").isin("curated", "clean")).select("contract_id")
     k = F.col("k")
-    return (
-        c.select("contract_id", F.explode(F.sequence(F.lit(0), F.lit(N_SAMPLES - 1))).alias("k"))
-        .select(
-            "contract_id",
-            k,
-            F.when(k == 0, F.lit("strong")).when(k == 1, F.lit("weak")).otherwise(F.lit("policy")).alias("model"),
-            completion_text(F.col("contract_id"), k).alias("text"),
-        )
+    base = c.select("contract_id", F.explode(F.sequence(F.lit(0), F.lit(N_SAMPLES - 1))).alias("k"))
+    parts = base.select("contract_id", "k", *_answer_parts(F.col("contract_id"), k))
+    return parts.select(
+        "contract_id",
+        k,
+        F.when(k == 0, F.lit("strong")).when(k == 1, F.lit("weak")).otherwise(F.lit("policy")).alias("model"),
+        completion_text().alias("text"),
     )
 
 
