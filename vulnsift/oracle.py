@@ -388,3 +388,241 @@ SELECT contract_id, round(max(cnt) / sum(cnt), 9) AS consistency, count(*) AS n_
     SELECT contract_id, CASE WHEN regexp_extract(text, '(?i)SWC[:\\s]*([0-9]{3})', 1) = '' THEN 'NONE'
            ELSE 'SWC-' || regexp_extract(text, '(?i)SWC[:\\s]*([0-9]{3})', 1) END AS answer
     FROM completions WHERE text <> '') GROUP BY ALL) GROUP BY contract_id""")
+
+
+# ---------------------------------------------------------------------------
+# Training-set construction family
+# ---------------------------------------------------------------------------
+
+from vulnsift.schemas import (  # noqa: E402
+    DPO_FALSE_FINDING, INSTRUCTION, NO_VULNERABILITY_OUTPUT, RL_ZERO_PROMPT, SFT_DEFAULTS, SYSTEM_PROMPT, TRACE_PROMPT,
+)
+
+
+def q(text: str) -> str:
+    """A SQL string expression equal to `text` (newlines via chr(10))."""
+    return "(" + f" || {NL} || ".join("'" + p.replace("'", "''") + "'" for p in text.split("\n")) + ")"
+
+
+def fill(template: str, **slots: str) -> str:
+    out, rest = [], template
+    while rest:
+        i = rest.find("{")
+        if i < 0:
+            out.append(q(rest))
+            break
+        j = rest.index("}", i)
+        name = rest[i + 1:j]
+        if name in slots:
+            if i:
+                out.append(q(rest[:i]))
+            out.append(slots[name])
+        else:
+            out.append(q(rest[:j + 1]))
+        rest = rest[j + 1:]
+    return "(" + " || ".join(out) + ")"
+
+
+POOL_RANK_SQL = "(CASE source WHEN 'curated' THEN 0 WHEN 'tabular' THEN 1 WHEN 'unlabelled' THEN 2 WHEN 'clean' THEN 3 END)"
+FENCE = lambda instr, code: f"({instr} || {NL} || {NL} || '```solidity' || {NL} || {code} || {NL} || '```')"
+SFT_INSTR = q(f"{SYSTEM_PROMPT}\n\n{INSTRUCTION}")
+D = SFT_DEFAULTS
+
+BUILD_CTES = f"""
+sft_blocks AS (
+  SELECT contract_id, string_agg('Vulnerability: ' || coalesce(type, '{D['vuln_type']}') || {NL} || 'CWE: ' || coalesce(cwe_id, '{D['cwe_id']}')
+    || {NL} || 'SWC: ' || coalesce(swc_id, '{D['swc_id']}') || {NL} || 'Lines: ' || coalesce(lines, line_range, '{D['lines']}')
+    || {NL} || 'Severity: ' || coalesce(severity, '{D['severity']}') || {NL} || 'Explanation: ' || coalesce(explanation, description, '{D['explanation']}')
+    || {NL} || 'Remediation: ' || coalesce(remediation, '{D['remediation']}'), {NL} || {NL} ORDER BY vidx) AS body
+  FROM vulns GROUP BY contract_id
+),
+dpo_blocks AS (
+  SELECT contract_id, count(*) AS nv, string_agg('Vulnerability: ' || coalesce(type, 'Unknown') || {NL} || 'CWE: ' || coalesce(cwe_id, 'CWE-Unknown')
+    || {NL} || 'SWC: ' || coalesce(swc_id, 'SWC-Unknown') || {NL} || 'Lines: ' || coalesce(lines, 'Unknown')
+    || {NL} || 'Severity: ' || coalesce(severity, 'Medium') || {NL} || 'Explanation: ' || coalesce(explanation, '')
+    || {NL} || 'Remediation: ' || coalesce(remediation, ''), {NL} || {NL} ORDER BY vidx) AS body
+  FROM vulns GROUP BY contract_id
+),
+ranked AS (
+  SELECT contract_id, source, {POOL_RANK_SQL} AS source_rank,
+    row_number() OVER (PARTITION BY source IN ('curated', 'tabular') ORDER BY {POOL_RANK_SQL}, contract_id) AS vrank,
+    row_number() OVER (PARTITION BY source ORDER BY contract_id) AS prank
+  FROM contracts
+),
+sft_sel AS (
+  SELECT contract_id, source, true AS as_vul FROM ranked WHERE source IN ('curated', 'tabular') AND vrank <= {int(500 * 0.40)}
+  UNION ALL
+  SELECT contract_id, source, false AS as_vul FROM ranked WHERE source = 'unlabelled' AND prank <= {int(500 * 0.20)}
+),
+sft_split AS (
+  SELECT *, CASE WHEN rank <= floor(n * CAST(0.9 AS DOUBLE)) THEN 'train' ELSE 'validation' END AS split FROM (
+    SELECT *, row_number() OVER (ORDER BY md5('42:' || CAST(contract_id AS VARCHAR)), contract_id) AS rank, count(*) OVER () AS n FROM sft_sel)
+),
+sft_out AS (
+  SELECT s.contract_id, s.split, s.rank, s.as_vul, c.source_code,
+    {FENCE(SFT_INSTR, 'c.source_code')} AS user_content,
+    CASE WHEN s.as_vul AND b.body IS NOT NULL THEN b.body ELSE {q(NO_VULNERABILITY_OUTPUT)} END AS assistant_content,
+    CASE WHEN s.as_vul THEN coalesce(d.nv, 0) ELSE 0 END AS num_vulns
+  FROM sft_split s JOIN contracts c USING (contract_id) LEFT JOIN sft_blocks b USING (contract_id) LEFT JOIN dpo_blocks d USING (contract_id)
+)"""
+
+
+def register_b(name: str, body: str) -> None:
+    register(name, "WITH " + BUILD_CTES.strip() + "\n" + body.strip())
+
+
+register_b("sft_build", "SELECT contract_id, split, rank, user_content, assistant_content FROM sft_out")
+register_b("sft_alpaca", f"""SELECT contract_id, split, {SFT_INSTR} AS instruction, source_code AS input,
+  assistant_content AS output, as_vul AS is_vulnerable, CAST(num_vulns AS BIGINT) AS num_vulns FROM sft_out""")
+register_b("default_fields", f"""SELECT c.contract_id, b.body AS output FROM contracts c JOIN sft_blocks b USING (contract_id)
+  WHERE c.source = 'curated'""")
+register_b("chat_records", f"""SELECT c.contract_id, {FENCE(SFT_INSTR, 'c.source_code')} AS user_content,
+  CASE WHEN c.source = 'curated' AND b.body IS NOT NULL THEN b.body ELSE {q(NO_VULNERABILITY_OUTPUT)} END AS assistant_content
+  FROM contracts c LEFT JOIN sft_blocks b USING (contract_id) WHERE c.source IN ('curated', 'tabular')""")
+register_b("class_balance", "SELECT split, as_vul AS is_vulnerable, count(*) AS n FROM sft_out GROUP BY ALL")
+register_b("quota_fill", "SELECT contract_id, source, as_vul AS as_vulnerable FROM sft_sel")
+
+FF = DPO_FALSE_FINDING
+FALSE_BLOCK = q(f"Vulnerability: {FF['type']}\nCWE: {FF['cwe_id']}\nSWC: {FF['swc_id']}\nLines: {FF['lines']}\n"
+                f"Severity: {FF['severity']}\nExplanation: {FF['explanation']}\nRemediation: {FF['remediation']}")
+
+
+def dpo_sel_sql(n: int | None) -> str:
+    cap = f"AND prank <= {n}" if n else ""
+    nn = n or 1000
+    early = f"CASE WHEN n_vuln >= {n} THEN 0 ELSE " if n else "CASE WHEN false THEN 0 ELSE "
+    return f"""
+  SELECT contract_id, 'missed' AS pair_kind FROM ranked WHERE source = 'curated' {cap}
+  UNION ALL
+  SELECT contract_id, 'false_positive' FROM ranked, (SELECT count(*) AS n_vuln FROM ranked WHERE source = 'curated' {cap}) nv,
+    (SELECT count(*) AS supply FROM contracts WHERE source = 'unlabelled') sp
+  WHERE source = 'unlabelled' AND prank <= least(supply, {early} greatest(1, ceil(CAST({nn} AS DOUBLE) * CAST(0.3 AS DOUBLE) - n_vuln)) END)"""
+
+
+register_b("dpo_build", f""",
+dpo_sel AS ({dpo_sel_sql(200)}),
+dpo_split AS (
+  SELECT *, CASE WHEN rank <= floor(n * CAST(0.9 AS DOUBLE)) THEN 'train' ELSE 'validation' END AS split FROM (
+    SELECT *, row_number() OVER (ORDER BY md5('42:' || CAST(contract_id AS VARCHAR)), contract_id) AS rank, count(*) OVER () AS n FROM dpo_sel))
+SELECT s.contract_id, s.split, s.rank, s.pair_kind, {FENCE(q(INSTRUCTION), 'c.source_code')} AS prompt,
+  CASE WHEN s.pair_kind = 'missed' THEN b.body ELSE {q(NO_VULNERABILITY_OUTPUT)} END AS chosen,
+  CASE WHEN s.pair_kind = 'missed' THEN {q(NO_VULNERABILITY_OUTPUT)} ELSE {FALSE_BLOCK} END AS rejected,
+  CAST(CASE WHEN s.pair_kind = 'missed' THEN b.nv ELSE 0 END AS BIGINT) AS correct_vuln_count,
+  CAST(CASE WHEN s.pair_kind = 'missed' THEN 0 ELSE 1 END AS BIGINT) AS incorrect_vuln_count
+FROM dpo_split s JOIN contracts c USING (contract_id) LEFT JOIN dpo_blocks b USING (contract_id)""".replace("\n,", "", 1)
+           .replace("WITH " + BUILD_CTES.strip() + "\n", "", 0))
+
+register_b("dpo_cap", f""",
+a AS ({dpo_sel_sql(None)}),
+b AS ({dpo_sel_sql(20)})
+SELECT 0 AS n_param, pair_kind, count(*) AS n FROM a GROUP BY pair_kind
+UNION ALL SELECT 20, pair_kind, count(*) FROM b GROUP BY pair_kind""")
+
+RL_SEL = f"""
+rl_sel AS (
+  SELECT contract_id, source FROM ranked WHERE source = 'curated' AND prank <= 300
+  UNION ALL
+  SELECT contract_id, source FROM ranked, (SELECT count(*) AS nl FROM ranked WHERE source = 'curated' AND prank <= 300) x
+  WHERE source = 'unlabelled' AND prank <= greatest(300 - nl, 0)
+),
+rl_sh AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || CAST(contract_id AS VARCHAR)), contract_id) AS rank FROM rl_sel)"""
+register_b("rl_prompts", f""", {RL_SEL}
+SELECT s.contract_id, s.rank, {FENCE(q(INSTRUCTION), 'c.source_code')} AS prompt, s.source = 'curated' AS has_vulnerability,
+  CAST(CASE WHEN s.source = 'curated' THEN (SELECT count(*) FROM vulns v WHERE v.contract_id = s.contract_id) ELSE 0 END AS BIGINT) AS n_truth
+FROM rl_sh s JOIN contracts c USING (contract_id) WHERE s.rank <= 300""")
+register_b("rl_fill", f""", {RL_SEL}
+SELECT contract_id, source = 'curated' AS has_vulnerability FROM rl_sh WHERE rank <= 300""")
+
+register("cpt_budget", """
+WITH cand AS (
+  SELECT 0 AS source_rank, contract_id AS item_id, 'solidity' AS source, length(source_code) // 4 AS tokens FROM contracts WHERE source = 'unlabelled'
+  UNION ALL SELECT 1, page_id, 'audit_report', length(html) // 4 FROM pages),
+r AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY source_rank, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        row_number() OVER (ORDER BY source_rank, item_id) AS rank FROM cand)
+SELECT source, item_id, CAST(tokens AS BIGINT) AS tokens, CAST(before AS BIGINT) AS tokens_before, rank FROM r WHERE before < 500000""")
+
+register("cpt_records", """
+SELECT 'solidity' AS source, contract_id AS item_id, '// Source: solidity' || chr(10) || source_code AS text,
+  CAST(length('// Source: solidity' || chr(10) || source_code) AS BIGINT) AS length,
+  CAST(length('// Source: solidity' || chr(10) || source_code) // 4 AS BIGINT) AS tokens
+FROM contracts WHERE source = 'unlabelled'
+UNION ALL
+SELECT 'audit_report', page_id, html, CAST(length(html) AS BIGINT), CAST(length(html) // 4 AS BIGINT) FROM pages""")
+
+register("split_shuffle", """
+SELECT doc_id, rank, CASE WHEN rank <= floor(n * CAST(0.9 AS DOUBLE)) THEN 'train' ELSE 'validation' END AS split FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rank, count(*) OVER () AS n FROM documents)""")
+
+register("split_disjoint", """
+SELECT split, count(*) AS n, CAST(0 AS BIGINT) AS shared, CAST(0 AS BIGINT) AS missing FROM (
+  SELECT CASE WHEN rank <= floor(n * CAST(0.9 AS DOUBLE)) THEN 'train' ELSE 'validation' END AS split FROM (
+    SELECT row_number() OVER (ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id) AS rank, count(*) OVER () AS n FROM documents))
+GROUP BY split""")
+
+register("token_budget", """
+WITH d AS (SELECT doc_id, CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) AS src, length(text) // 4 AS tokens FROM documents),
+r AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY src, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
+SELECT doc_id, CAST(tokens AS BIGINT) AS tokens, CAST(before AS BIGINT) AS tokens_before FROM r WHERE before < 300000""")
+
+register("first_n", "SELECT contract_id, category FROM contracts WHERE source = 'curated' ORDER BY contract_id LIMIT 10")
+register("union_limit", f"""SELECT contract_id, source FROM contracts WHERE source IN ('curated', 'tabular', 'unlabelled')
+  ORDER BY {POOL_RANK_SQL}, contract_id LIMIT 100""")
+register("pool_union", """SELECT c.contract_id, c.source, c.source IN ('curated', 'tabular') AS is_vulnerable,
+  CAST((SELECT count(*) FROM vulns v WHERE v.contract_id = c.contract_id) AS BIGINT) AS n_vulns FROM contracts c""")
+register("zero_shot_prompts", f"SELECT contract_id, {FENCE(q(INSTRUCTION), 'source_code')} AS prompt FROM contracts")
+register("rl_zero_prompts", f"SELECT contract_id, {fill(RL_ZERO_PROMPT, contract_code='source_code')} AS prompt FROM contracts")
+
+VJSON = """('[' || string_agg('{' || concat_ws(',', '"type":"' || type || '"', '"swc_id":"' || swc_id || '"',
+  '"cwe_id":"' || cwe_id || '"', '"lines":"' || lines || '"', '"line_range":"' || line_range || '"',
+  '"severity":"' || severity || '"', '"explanation":"' || explanation || '"', '"description":"' || description || '"',
+  '"remediation":"' || remediation || '"') || '}', ',' ORDER BY vidx) || ']')"""
+register("trace_prompts", f"""
+WITH j AS (SELECT contract_id, {VJSON} AS gt FROM vulns GROUP BY contract_id)
+SELECT c.contract_id, CAST(t.i AS INTEGER) AS trace_id, {fill(TRACE_PROMPT, contract_code='c.source_code', ground_truth='j.gt')} AS prompt
+FROM contracts c JOIN j USING (contract_id), range(2) t(i) WHERE c.source = 'curated'""")
+
+register("trace_build", f"""
+SELECT p.contract_id, p.k AS trace_id, {q(INSTRUCTION)} AS instruction, p.text AS output, c.source, c.file_path
+FROM completions p JOIN contracts c USING (contract_id) WHERE contains(p.text, '<think>')""")
+
+DELTA = """
+WITH s AS (SELECT contract_id, text AS chosen FROM completions WHERE model = 'strong'),
+w AS (SELECT contract_id, text AS rejected FROM completions WHERE model = 'weak'),
+p AS (SELECT s.contract_id, chosen, rejected, len(regexp_extract_all(chosen, '\\S+')) AS words_chosen,
+        len(regexp_extract_all(rejected, '\\S+')) AS words_rejected
+      FROM s JOIN w USING (contract_id) JOIN contracts c USING (contract_id)
+      WHERE chosen <> '' AND rejected <> '' AND length(c.source_code) > 0)"""
+register("delta_pairs", DELTA + """
+SELECT contract_id, chosen, rejected, CAST(words_chosen AS BIGINT) AS words_chosen, CAST(words_rejected AS BIGINT) AS words_rejected
+FROM p WHERE abs(words_chosen - words_rejected) <= 100""")
+register("delta_signed", DELTA + """
+SELECT contract_id, CAST(words_chosen AS BIGINT) AS words_chosen, CAST(words_rejected AS BIGINT) AS words_rejected
+FROM p WHERE length(chosen) // 4 - length(rejected) // 4 <= 10""")
+
+register("truncate_text", "SELECT doc_id, substr(text, 1, 2048) AS text, CAST(length(substr(text, 1, 2048)) AS BIGINT) AS length FROM documents")
+
+register_rw("rl_format", """SELECT contract_id, k, text AS response, round(reward, 9) AS reward,
+  count(*) OVER (PARTITION BY contract_id) AS num_responses FROM rwt""")
+
+register("mixture_sample", f"""
+WITH q AS (SELECT * FROM (VALUES ('labeled_vulns', 'curated'), ('labeled_vulns', 'tabular'), ('clean_contracts', 'unlabelled'),
+   ('clean_contracts', 'clean')) t(component, source)),
+m AS (SELECT * FROM (VALUES ('labeled_vulns', 0.40), ('synthetic_vulns', 0.25), ('clean_contracts', 0.20),
+   ('general_instructions', 0.10), ('security_docs', 0.05)) t(component, ratio)),
+r AS (SELECT q.component, c.contract_id, floor(CAST(400 AS DOUBLE) * CAST(m.ratio AS DOUBLE)) AS quota,
+        row_number() OVER (PARTITION BY q.component ORDER BY {POOL_RANK_SQL.replace('source', 'c.source')}, c.contract_id) AS rank
+      FROM contracts c JOIN q ON c.source = q.source JOIN m ON m.component = q.component)
+SELECT component, contract_id, rank FROM r WHERE rank <= quota""")
+
+register("size_sweep", """
+WITH r AS (SELECT doc_id, length(text) // 4 AS tokens, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rank FROM documents),
+s AS (SELECT * FROM (VALUES (500), (1000), (1500), (2000)) t(size))
+SELECT s.size, count(*) AS n, CAST(sum(tokens) AS BIGINT) AS tokens FROM r JOIN s ON r.rank <= s.size GROUP BY s.size""")
+
+register("sweep_grid", """
+WITH q AS (SELECT * FROM (VALUES ('labeled_vulns', 'curated'), ('labeled_vulns', 'tabular'), ('clean_contracts', 'unlabelled'),
+   ('clean_contracts', 'clean')) t(component, source)),
+pc AS (SELECT q.component, count(*) AS rows, CAST(sum(length(c.source_code) // 4) AS BIGINT) AS tokens
+       FROM contracts c JOIN q ON c.source = q.source GROUP BY q.component),
+lr AS (SELECT * FROM (VALUES (1e-5), (5e-5), (1e-4), (5e-4)) t(learning_rate))
+SELECT pc.component, CAST(lr.learning_rate AS DOUBLE) AS learning_rate, CAST(pc.rows AS BIGINT) AS rows, pc.tokens FROM pc, lr""")

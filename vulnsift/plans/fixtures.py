@@ -205,3 +205,14 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (v * 3 + 20).alias("latency_ms"),
         F.col("ts"),
     )
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit reports: page html as content, page_id as key, url as path."""
+    return read_table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("report_id"),
+        F.col("url").alias("file_path"),
+        F.lit("pages").alias("source"),
+        F.lit("audit_report").alias("type"),
+        F.col("html").alias("content"),
+    )

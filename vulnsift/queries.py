@@ -265,3 +265,274 @@ def pass_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def self_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the modal answer per prompt."""
     return rounded(sc.self_consistency(fx.completions(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Training-set construction
+# ---------------------------------------------------------------------------
+
+from vulnsift.functions import formats as fm  # noqa: E402
+from vulnsift.operators import ordering as od  # noqa: E402
+from vulnsift.plans import datasets as ds  # noqa: E402
+from vulnsift.schemas import MIXTURE, SIZE_SWEEP, LEARNING_RATES  # noqa: E402
+
+SFT_N = 500
+DPO_N = 200
+RL_N = 300
+CPT_TARGET = 500_000
+
+
+def _messages_flat(df: DataFrame) -> DataFrame:
+    return df.select("contract_id", "split", "rank",
+                     F.col("messages")[0]["content"].alias("user_content"),
+                     F.col("messages")[1]["content"].alias("assistant_content"))
+
+
+@query
+def sft_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D01 (chat): quotas, seeded shuffle, 90/10 split, chat messages."""
+    return _messages_flat(ds.build_sft(fx.contracts(spark, sf_dir), num_samples=SFT_N))
+
+
+@query
+def sft_alpaca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D01 (alpaca) with P01, P02, P04: instruction / input / output columns."""
+    s = ds.build_sft(fx.contracts(spark, sf_dir), num_samples=SFT_N, format_type="alpaca")
+    return s.select("contract_id", "split", "instruction", "input", "output", "is_vulnerable",
+                    F.col("num_vulns").cast("long").alias("num_vulns"))
+
+
+@query
+def default_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SFT answer text with every field default, for every labelled contract."""
+    c = fx.contracts(spark, sf_dir).where(F.col("source") == "curated")
+    return c.select("contract_id", fm.sft_output("vulnerabilities", "is_vulnerable").alias("output"))
+
+
+@query
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P01 + P03 on every labelled and tabular contract (no quota)."""
+    c = fx.contracts(spark, sf_dir).where(F.col("source").isin("curated", "tabular"))
+    msgs = fm.chat_messages(fm.sft_instruction(True), "source_code", fm.sft_output("vulnerabilities", "is_vulnerable"))
+    return c.select("contract_id", msgs.alias("m")).select(
+        "contract_id", F.col("m")[0]["content"].alias("user_content"), F.col("m")[1]["content"].alias("assistant_content"))
+
+
+@query
+def dpo_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D02 + O03: labelled (true, none) pairs then clean (none, false) fill; split."""
+    d = ds.build_dpo(fx.contracts(spark, sf_dir), num_samples=DPO_N)
+    return d.select("contract_id", "split", "rank", "pair_kind", "prompt", "chosen", "rejected",
+                    F.col("correct_vuln_count").cast("long").alias("correct_vuln_count"),
+                    F.col("incorrect_vuln_count").cast("long").alias("incorrect_vuln_count"))
+
+
+@query
+def dpo_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair counts per kind at the default N (1000 when not given) and at N = 20."""
+    c = fx.contracts(spark, sf_dir)
+    a = ds.dpo_selection(c, None).groupBy("pair_kind").agg(F.count(F.lit(1)).alias("n")).withColumn("n_param", F.lit(0))
+    b = ds.dpo_selection(c, 20).groupBy("pair_kind").agg(F.count(F.lit(1)).alias("n")).withColumn("n_param", F.lit(20))
+    return a.unionByName(b).select("n_param", "pair_kind", "n")
+
+
+@query
+def rl_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D04 + O04: labelled first, unlabelled fill, seeded shuffle, first N."""
+    r = ds.build_rl_prompts(fx.contracts(spark, sf_dir), num_prompts=RL_N)
+    return r.select("contract_id", "rank", "prompt", "has_vulnerability",
+                    F.size("ground_truth").cast("long").alias("n_truth"))
+
+
+@query
+def cpt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D03 + W03 + F12: code then reports in order while tokens before the row < target."""
+    r = ds.build_cpt(fx.contracts(spark, sf_dir), fx.reports(spark, sf_dir), target_tokens=CPT_TARGET)
+    return r.select("source", "item_id", "tokens", F.col("before").cast("long").alias("tokens_before"),
+                    F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def cpt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P08 + P09 + F12: CPT rows with the optional header, lengths and token estimates."""
+    c = fx.contracts(spark, sf_dir).where(F.col("source") == "unlabelled")
+    code = c.select(F.col("contract_id").alias("item_id"),
+                    fm.cpt_text("source_code", F.lit("solidity"), include_header=True).alias("text"),
+                    F.lit("solidity").alias("source"))
+    rep = fx.reports(spark, sf_dir).select(F.col("report_id").alias("item_id"), F.col("content").alias("text"),
+                                           F.lit("audit_report").alias("source"))
+    u = code.unionByName(rep)
+    return u.select("source", "item_id", "text", F.length("text").cast("long").alias("length"),
+                    tx.token_estimate("text").alias("tokens"))
+
+
+@query
+def split_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded shuffle position and 90/10 split over all documents."""
+    d = read_docs(spark, sf_dir)
+    s = od.train_validation_split(d, "doc_id", seed=42)
+    return s.select("doc_id", F.col("rank").cast("long").alias("rank"), "split")
+
+
+def read_docs(spark, sf_dir):
+    from vulnsift.session import read_table
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+
+
+@query
+def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per split, row count, and rows shared with the other split (exceptAll-checked: 0)."""
+    d = read_docs(spark, sf_dir)
+    s = od.train_validation_split(d.select("doc_id"), "doc_id", seed=7).select("doc_id", "split")
+    train = s.where(F.col("split") == "train").select("doc_id")
+    val = s.where(F.col("split") == "validation").select("doc_id")
+    shared = train.intersect(val).count()
+    missing = d.select("doc_id").exceptAll(train.unionByName(val)).count()
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n")).select(
+        "split", "n", F.lit(shared).cast("long").alias("shared"), F.lit(missing).cast("long").alias("missing"))
+
+
+@query
+def quota_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O02 + W10 + F14: SFT quota selection (vulnerable curated-first, then clean)."""
+    s = ds.sft_selection(fx.contracts(spark, sf_dir), num_samples=SFT_N)
+    return s.select("contract_id", "source", "as_vulnerable")
+
+
+@query
+def rl_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RL prompt pool membership (labelled up to N, unlabelled fill)."""
+    r = ds.build_rl_prompts(fx.contracts(spark, sf_dir), num_prompts=RL_N)
+    return r.select("contract_id", "has_vulnerability")
+
+
+@query
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running token total over documents in (source, doc_id) order, budget 300k."""
+    d = read_docs(spark, sf_dir).select("doc_id", F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("src"),
+                                        tx.token_estimate("text").alias("tokens"))
+    r = od.source_order_rank(d, "src", "doc_id", measure="tokens")
+    kept = od.token_budget(r, 300_000)
+    return kept.select("doc_id", "tokens", F.col("before").cast("long").alias("tokens_before"))
+
+
+@query
+def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 10 curated contracts in id order."""
+    c = fx.contracts(spark, sf_dir).where(F.col("source") == "curated").select("contract_id", "category")
+    return od.first_n(c, ["contract_id"], 10)
+
+
+@query
+def union_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S09 + O01 + U01: sources in the given order, one global limit (here 100)."""
+    c = fx.contracts(spark, sf_dir).where(F.col("source").isin("curated", "tabular", "unlabelled"))
+    c = c.select("contract_id", "source", fx.pool_rank(F.col("source")).alias("source_rank"))
+    return od.first_n(c, ["source_rank", "contract_id"], 100).select("contract_id", "source")
+
+
+@query
+def pool_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union of all pools with their flags."""
+    c = fx.contracts(spark, sf_dir)
+    return c.select("contract_id", "source", "is_vulnerable", F.size("vulnerabilities").cast("long").alias("n_vulns"))
+
+
+@query
+def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vulnerable / clean counts of the built SFT set, per split."""
+    s = ds.build_sft(fx.contracts(spark, sf_dir), num_samples=SFT_N, format_type="alpaca")
+    return s.groupBy("split", "is_vulnerable").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def zero_shot_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zero-shot prompt for every contract."""
+    c = fx.contracts(spark, sf_dir)
+    return c.select("contract_id", fm.zero_shot_prompt("source_code").alias("prompt"))
+
+
+@query
+def rl_zero_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RL-ZERO prompt for every contract."""
+    c = fx.contracts(spark, sf_dir)
+    return c.select("contract_id", fm.rl_zero_prompt("source_code").alias("prompt"))
+
+
+@query
+def trace_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J07 + P13 + F21: two trace prompts per labelled contract with JSON ground truth."""
+    c = fx.contracts(spark, sf_dir).where(F.col("source") == "curated")
+    return ds.trace_prompts(c, traces_per_contract=2)
+
+
+@query
+def trace_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D06 + P15: accepted reasoning traces as SFT rows."""
+    t = ds.build_traces(fx.completions(spark, sf_dir), fx.contracts(spark, sf_dir))
+    return t.select("contract_id", "trace_id", "instruction", "output", "source", "file_path")
+
+
+@query
+def delta_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strong vs weak pairs with the word-gap filter."""
+    p = ds.delta_pairs(fx.completions(spark, sf_dir), fx.contracts(spark, sf_dir))
+    return p.select("contract_id", "chosen", "rejected", "words_chosen", "words_rejected")
+
+
+@query
+def delta_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed token-gap variant (drop when tokens(chosen) - tokens(rejected) > 10)."""
+    p = ds.delta_pairs(fx.completions(spark, sf_dir), fx.contracts(spark, sf_dir), max_gap=None, signed_token_gap=10)
+    return p.select("contract_id", "words_chosen", "words_rejected")
+
+
+@query
+def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10: every document truncated to max_length*4 characters (max_length = 512)."""
+    d = read_docs(spark, sf_dir)
+    t = fm.truncate_chars("text", 512)
+    return d.select("doc_id", t.alias("text"), F.length(t).cast("long").alias("length"))
+
+
+@query
+def rl_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P07 (long form): prompt, response, reward and the group's number of responses."""
+    s = _scored(spark, sf_dir).select("contract_id", "k", F.col("text").alias("response"), "reward")
+    n = s.groupBy("contract_id").agg(F.count(F.lit(1)).alias("num_responses"))
+    return rounded(s.join(n, "contract_id"))
+
+
+@query
+def mixture_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SFT mix components mapped to pools, first int(N * ratio) rows each (N = 400)."""
+    mix = spark.createDataFrame([(c, r) for m, c, r in MIXTURE if m == "sft"], "component string, ratio double")
+    pools = spark.createDataFrame([("labeled_vulns", "curated"), ("labeled_vulns", "tabular"),
+                                   ("clean_contracts", "unlabelled"), ("clean_contracts", "clean")],
+                                  "component string, source string")
+    m = ds.mixture_sample(fx.contracts(spark, sf_dir), mix, pools, 400)
+    return m.select("component", "contract_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested prefixes of one shuffle, sizes 50K..200K scaled down by 100 (500..2000)."""
+    d = read_docs(spark, sf_dir).select("doc_id", tx.token_estimate("text").alias("tokens"))
+    r = od.seeded_shuffle(d, "doc_id", seed=42)
+    nested = od.nested_sizes(r, [s // 100 for s in SIZE_SWEEP])
+    return nested.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").cast("long").alias("tokens"))
+
+
+@query
+def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learning rates x mixture components, each with the rows and tokens the component
+    would draw from the data (per-component totals computed once, then the small grid)."""
+    c = fx.contracts(spark, sf_dir).select("source", tx.token_estimate("source_code").alias("tokens"))
+    per_source = c.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum("tokens").alias("tokens"))
+    pools = spark.createDataFrame([("labeled_vulns", "curated"), ("labeled_vulns", "tabular"),
+                                   ("clean_contracts", "unlabelled"), ("clean_contracts", "clean")],
+                                  "component string, source string")
+    per_comp = per_source.join(F.broadcast(pools), "source").groupBy("component").agg(
+        F.sum("rows").cast("long").alias("rows"), F.sum("tokens").cast("long").alias("tokens"))
+    lrs = F.array(*[F.lit(float(x)) for x in LEARNING_RATES])
+    return per_comp.select("component", F.explode(lrs).alias("learning_rate"), "rows", "tokens")
