@@ -22,6 +22,24 @@ POOL_RANK = {"curated": 0, "tabular": 1, "unlabelled": 2, "clean": 3}
 N_SAMPLES = 8
 EXPERIMENT_STAGES = ["sft", "dpo", "rlvr"]
 
+_PLANS: dict = {}
+
+
+def _memo(fn):
+    """Reuse the built (lazy) DataFrame per session and folder: plan construction of these
+    fixtures costs more than running them on small data. No data is cached."""
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (fn.__name__, id(spark), sf_dir)
+        hit = _PLANS.get(key)
+        if hit is not None and hit[0] is spark:
+            return hit[1]
+        df = fn(spark, sf_dir)
+        _PLANS[key] = (spark, df)
+        return df
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
 
 def _cat(expr: Column) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (expr % 8).cast("int") + 1)
@@ -60,6 +78,7 @@ def _vuln(doc: Column, i: int) -> Column:
     )
 
 
+@_memo
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four pools: curated (toxic), tabular (q0 t0), clean (q1 t0), unlabelled (no label)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -98,6 +117,7 @@ def pool_rank(source: Column) -> Column:
     return expr
 
 
+@_memo
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per labelled vulnerability of the curated pool."""
     c = contracts(spark, sf_dir).where(F.col("source") == "curated")
@@ -157,6 +177,7 @@ def completion_text() -> Column:
     )
 
 
+@_memo
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight sampled answers per curated or clean contract (k = 0 strong, k = 1 weak)."""
     c = contracts(spark, sf_dir).where(F.col("source").isin("curated", "clean")).select("contract_id")
@@ -171,11 +192,13 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def eval_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation set: curated (vulnerable) and clean labelled contracts."""
     return contracts(spark, sf_dir).where(F.col("source").isin("curated", "clean"))
 
 
+@_memo
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return read_table(spark, sf_dir, "events").select(
@@ -189,6 +212,7 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training-run log rows: experiment by event type, step by day."""
     e = F.col("event_id")
@@ -207,6 +231,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit reports: page html as content, page_id as key, url as path."""
     return read_table(spark, sf_dir, "pages").select(
