@@ -143,12 +143,17 @@ def words(text) -> Column:
 
 
 def ngrams(text, n: int = 3) -> Column:
-    """Word n-grams of the whole text, each joined by one space."""
+    """Word n-grams of the whole text, each joined by one space.
+
+    Built from n shifted slices zipped together, so the word list is an argument of the
+    higher-order function (evaluated once per row), never re-evaluated per element:
+    linear in the text length.
+    """
     w = words(text)
-    return F.when(
-        F.size(w) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")),
-    ).otherwise(F.array().cast("array<string>"))
+    m = F.size(w) - (n - 1)
+    shifted = [F.slice(w, i + 1, F.greatest(m, F.lit(1))).alias(f"w{i}") for i in range(n)]
+    grams = F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(n)]))
+    return F.when(m >= 1, grams).otherwise(F.array().cast("array<string>"))
 
 
 def repeated_ngram_ratio(text, n: int = 3) -> Column:

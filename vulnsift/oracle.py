@@ -626,3 +626,79 @@ pc AS (SELECT q.component, count(*) AS rows, CAST(sum(length(c.source_code) // 4
        FROM contracts c JOIN q ON c.source = q.source GROUP BY q.component),
 lr AS (SELECT * FROM (VALUES (1e-5), (5e-5), (1e-4), (5e-4)) t(learning_rate))
 SELECT pc.component, CAST(lr.learning_rate AS DOUBLE) AS learning_rate, CAST(pc.rows AS BIGINT) AS rows, pc.tokens FROM pc, lr""")
+
+
+# ---------------------------------------------------------------------------
+# Filters, decontamination, conversations
+# ---------------------------------------------------------------------------
+
+NGRAM_RATIO = """(CASE WHEN len({w}) >= 3 THEN
+  1.0 - len(list_distinct(list_transform(range(1, len({w}) - 1), lambda i: array_to_string({w}[i:i + 2], ' '))))
+      / (len({w}) - 2) ELSE 0.0 END)"""
+COMPLETE = """(contains({t}, '<think>') AND contains({t}, '</think>') AND regexp_matches({t}, '(?i)SWC[:\\s-]*\\d{{3}}')
+  AND regexp_matches({t}, '(?i)Lines?[:\\s]*\\d+'))"""
+WORDS = "regexp_extract_all(text, '\\S+')"
+
+
+def ratio(w):
+    return NGRAM_RATIO.format(w=w)
+
+
+register("trace_accept", "SELECT contract_id, k FROM completions WHERE contains(text, '<think>')")
+register("trace_quality", f"""
+SELECT contract_id, k, {COMPLETE.format(t='text')} AS complete, round(r, 9) AS repeat_ratio,
+  CAST(length(text) // 4 AS BIGINT) AS tokens,
+  {COMPLETE.format(t='text')} AND r <= 0.30 AND length(text) // 4 BETWEEN 500 AND 32000 AS all_pass
+FROM (SELECT *, {ratio('w')} AS r FROM (SELECT *, {WORDS} AS w FROM completions))""")
+register("quality_steps", f"""
+SELECT doc_id, {COMPLETE.format(t='text')} AS complete, round(r, 9) AS repeat_ratio, CAST(length(text) // 4 AS BIGINT) AS tokens,
+  r <= 0.30 AS repetition_ok, length(text) // 4 BETWEEN 500 AND 32000 AS length_ok
+FROM (SELECT *, {ratio('w')} AS r FROM (SELECT *, {WORDS} AS w FROM documents))""")
+register("repetition", f"""
+SELECT doc_id, round(r, 9) AS repeat_ratio, r <= 0.30 AS kept FROM (
+  SELECT doc_id, {ratio('w')} AS r FROM (SELECT doc_id, {WORDS} AS w FROM documents))""")
+register("strip_think", """
+SELECT contract_id, k, regexp_replace(regexp_replace(text, '(?s)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS answer
+FROM completions WHERE contains(text, '<think>')""")
+register("concise_filter", "SELECT doc_id, CAST(length(text) // 4 AS BIGINT) AS tokens FROM documents WHERE length(text) // 4 <= 512")
+register("confidence_filter", "SELECT contract_id, k, block, swc_id, round(confidence, 9) AS confidence FROM findings WHERE confidence >= 0.5")
+
+DECON = """
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '\\S+') AS w FROM documents),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 12], ' ') AS g FROM (
+        SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM dw WHERE len(w) >= 13)),
+bw AS (SELECT regexp_extract_all(lower(text), '\\S+') AS w FROM benchmark),
+bg AS (SELECT DISTINCT array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT w, unnest(range(1, len(w) - 11)) AS i FROM bw WHERE len(w) >= 13)),
+norm_b AS (SELECT DISTINCT regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS nt FROM benchmark),
+hit AS (SELECT DISTINCT doc_id FROM dg JOIN bg USING (g)
+        UNION SELECT doc_id FROM documents WHERE regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') IN (SELECT nt FROM norm_b))"""
+register("decontaminate", DECON + "\nSELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM hit)")
+register("contaminated", DECON + "\nSELECT doc_id FROM hit")
+
+register("instruct_set", """
+SELECT contract_id, k, answer FROM (
+  SELECT contract_id, k, regexp_replace(regexp_replace(text, '(?s)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS answer
+  FROM completions WHERE contains(text, '<think>'))
+WHERE answer <> '' AND length(answer) // 4 <= 512""")
+
+TURN = f"""(CASE role WHEN 'system' THEN '<|system|>' || {NL} || text || {NL} WHEN 'user' THEN '<|user|>' || {NL} || text || {NL}
+  WHEN 'assistant' THEN '<|assistant|>' || {NL} || text || {NL} END)"""
+register("chat_render", f"""
+SELECT conv_id, string_agg({TURN}, '' ORDER BY turn) || '<|assistant|>' || {NL} AS rendered, count({TURN}) AS n_turns
+FROM conversations GROUP BY conv_id""")
+register("multi_turn_pref", f"""
+WITH a AS (SELECT * FROM conversations WHERE role = 'assistant'),
+l AS (SELECT conv_id, max(turn) AS last_turn FROM a GROUP BY conv_id),
+p AS (SELECT a.conv_id, arg_max(a.text, a.turn) AS rejected, max(a.turn) AS rejected_turn FROM a JOIN l USING (conv_id)
+      WHERE a.turn < l.last_turn GROUP BY a.conv_id),
+c AS (SELECT a.conv_id, a.text AS chosen, l.last_turn FROM a JOIN l USING (conv_id) WHERE a.turn = l.last_turn),
+x AS (SELECT t.conv_id, string_agg({TURN.replace('role', 't.role').replace('text', 't.text')}, '' ORDER BY t.turn) AS context
+      FROM conversations t JOIN l USING (conv_id) WHERE t.turn < l.last_turn GROUP BY t.conv_id)
+SELECT c.conv_id, c.last_turn, p.rejected_turn, x.context, c.chosen, p.rejected
+FROM c JOIN p USING (conv_id) LEFT JOIN x USING (conv_id)""")
+register_b("tool_call_record", f"""
+SELECT c.contract_id, {FENCE(q(INSTRUCTION), 'c.source_code')} AS turn0,
+  '<tool_call>{{"name": "static_analyzer", "arguments": {{"contract_id": ' || CAST(c.contract_id AS VARCHAR) || '}}}}</tool_call>' AS turn1,
+  'findings: ' || (SELECT string_agg(swc_id, ', ' ORDER BY vidx) FROM vulns v WHERE v.contract_id = c.contract_id) AS turn2,
+  b.body AS turn3
+FROM contracts c JOIN sft_blocks b USING (contract_id) WHERE c.source = 'curated'""")

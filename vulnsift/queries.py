@@ -536,3 +536,110 @@ def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("rows").cast("long").alias("rows"), F.sum("tokens").cast("long").alias("tokens"))
     lrs = F.array(*[F.lit(float(x)) for x in LEARNING_RATES])
     return per_comp.select("component", F.explode(lrs).alias("learning_rate"), "rows", "tokens")
+
+
+# ---------------------------------------------------------------------------
+# Quality filters, decontamination, conversations
+# ---------------------------------------------------------------------------
+
+from vulnsift.operators import chat as ch  # noqa: E402
+from vulnsift.operators import filters as fl  # noqa: E402
+from vulnsift.session import read_table  # noqa: E402
+
+
+@query
+def trace_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions that contain a think block."""
+    c = fx.completions(spark, sf_dir)
+    return c.where(fl.has_think("text")).select("contract_id", "k")
+
+
+@query
+def trace_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completeness, repetition and length flags of every completion."""
+    q = fl.quality_flags(fx.completions(spark, sf_dir))
+    return rounded(q.select("contract_id", "k", "complete", "repeat_ratio", "tokens", "all_pass"))
+
+
+@query
+def quality_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P22-P24 over whole documents: flags per document."""
+    q = fl.quality_flags(read_docs(spark, sf_dir))
+    return rounded(q.select("doc_id", "complete", "repeat_ratio", "tokens", "repetition_ok", "length_ok"))
+
+
+@query
+def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F18 + P23: repeated word 3-gram ratio of every whole document; kept when <= 0.30."""
+    d = read_docs(spark, sf_dir)
+    return rounded(d.select("doc_id", tx.repeated_ngram_ratio("text").alias("repeat_ratio"),
+                            fl.repetition_ok("text").alias("kept")))
+
+
+@query
+def strip_think(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P25: answers with the think block removed."""
+    c = fx.completions(spark, sf_dir)
+    return c.where(fl.has_think("text")).select("contract_id", "k", fm.strip_think("text").alias("answer"))
+
+
+@query
+def concise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of at most 512 estimated tokens."""
+    d = read_docs(spark, sf_dir)
+    return d.where(fl.concise("text")).select("doc_id", tx.token_estimate("text").alias("tokens"))
+
+
+@query
+def confidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed findings with confidence >= 0.5."""
+    f = ev.parse_findings(fx.completions(spark, sf_dir))
+    return rounded(fl.confident(f).select("contract_id", "k", "block", "swc_id", "confidence"))
+
+
+@query
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents left after removing those that share a word 13-gram with (or equal) a
+    benchmark item."""
+    d = read_docs(spark, sf_dir).select("doc_id", "text")
+    b = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return fl.decontaminate(d, b, "doc_id").select("doc_id")
+
+
+@query
+def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J06 (find side): the overlapping document ids."""
+    d = read_docs(spark, sf_dir).select("doc_id", "text")
+    b = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return fl.overlap_ids(d, b, "doc_id")
+
+
+@query
+def instruct_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """THINK answers stripped of reasoning and kept when concise."""
+    t = fl.instruct_rows(fx.completions(spark, sf_dir).where(fl.has_think("text")))
+    return t.select("contract_id", "k", "answer")
+
+
+@query
+def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation rendered with role markers and a generation prompt."""
+    return ch.render_chats(read_table(spark, sf_dir, "conversations"), add_generation_prompt=True).select(
+        "conv_id", "rendered", F.col("n_turns").cast("long").alias("n_turns"))
+
+
+@query
+def multi_turn_pref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last assistant turn chosen over the previous one, with rendered context."""
+    return ch.multi_turn_preferences(read_table(spark, sf_dir, "conversations"))
+
+
+@query
+def tool_call_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool-call conversation per labelled contract (analyzer call, result, answer)."""
+    c = fx.contracts(spark, sf_dir).where(F.col("source") == "curated")
+    args = F.concat(F.lit('{"contract_id": '), F.col("contract_id").cast("string"), F.lit("}"))
+    result = F.concat(F.lit("findings: "), F.array_join(ev.truth_classes(), ", "))
+    m = fm.tool_call_record("source_code", "static_analyzer", args, result, fm.sft_output("vulnerabilities", "is_vulnerable"))
+    return c.select("contract_id", m.alias("m")).select(
+        "contract_id", *[F.col("m")[i]["content"].alias(f"turn{i}") for i in range(4)])
