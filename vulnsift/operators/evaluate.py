@@ -86,7 +86,7 @@ def category(c: Column) -> Column:
 
 # --- J04 / U02 / U03: per-answer set matching -----------------------------------------
 
-def score_answers(completions: DataFrame, contracts: DataFrame, strict: bool = True) -> DataFrame:
+def score_answers(completions: DataFrame, contracts: DataFrame, strict: bool = True, keep=()) -> DataFrame:
     """Per answer (contract_id, k): tp, fp, fn over distinct classes, plus context.
 
     One equi-join on contract_id (AQE turns it into a broadcast when the contract side
@@ -108,7 +108,7 @@ def score_answers(completions: DataFrame, contracts: DataFrame, strict: bool = T
         F.size(F.array_except("truth", "pred")).alias("fn"),
         F.size("pred").alias("n_pred"),
         F.array_join(F.array_sort(F.array_intersect("pred", "truth")), ",").alias("matched"),
-        "pred", "truth",
+        "pred", "truth", *keep,
     )
 
 

@@ -702,3 +702,192 @@ SELECT c.contract_id, {FENCE(q(INSTRUCTION), 'c.source_code')} AS turn0,
   'findings: ' || (SELECT string_agg(swc_id, ', ' ORDER BY vidx) FROM vulns v WHERE v.contract_id = c.contract_id) AS turn2,
   b.body AS turn3
 FROM contracts c JOIN sft_blocks b USING (contract_id) WHERE c.source = 'curated'""")
+
+
+# ---------------------------------------------------------------------------
+# Runs, trajectories, comparisons, reports
+# ---------------------------------------------------------------------------
+
+RUN_CTES = f"""
+runs AS (
+  SELECT event_type AS experiment, list_extract({sql_list(EXPERIMENT_STAGES)}, CAST(event_id % 3 AS INTEGER) + 1) AS stage,
+    CAST(day(ts) AS INTEGER) AS step, event_id AS run_row, (value % 50) / 100 AS precision, (value % 70) / 100 AS recall,
+    (value % 60) / 100 AS f1, value * 10 AS mean_length, value * 3 + 20 AS latency_ms, ts
+  FROM events
+),
+log AS (
+  SELECT experiment, stage, step, avg(precision) AS precision, avg(recall) AS recall, avg(f1) AS f1,
+    avg(mean_length) AS mean_length, avg(latency_ms) AS latency_ms, count(*) AS n_rows
+  FROM runs GROUP BY experiment, stage, step
+),
+prio AS (SELECT *, CASE stage WHEN 'rlvr' THEN 0 WHEN 'dpo' THEN 1 WHEN 'sft' THEN 2 ELSE 3 END AS p FROM log),
+best AS (SELECT experiment, arg_min(stage, p) AS best_stage FROM prio GROUP BY experiment),
+fin AS (SELECT experiment, stage, max(step) AS final_step, arg_max(precision, step) AS precision, arg_max(recall, step) AS recall,
+          arg_max(f1, step) AS f1 FROM log GROUP BY experiment, stage),
+cmp AS (SELECT f.experiment, b.best_stage, f.f1, f.precision, f.recall FROM fin f JOIN best b ON f.experiment = b.experiment AND f.stage = b.best_stage),
+traj AS (
+  SELECT user_id AS prompt_id, event_id AS traj_id, event_id % 7 <> 0 AS compiled, event_id % 3 = 0 AS fixed,
+    CAST(event_id % 4 AS INTEGER) AS new_findings, CAST(CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS tool_errors,
+    CAST((event_id // 10) % 3 AS INTEGER) AS format_violations
+  FROM events
+),
+tscore AS (SELECT *, CAST(compiled AS DOUBLE) + CAST(fixed AS DOUBLE) - 0.5 * (new_findings + tool_errors + format_violations) AS score FROM traj),
+bw AS (SELECT prompt_id, arg_max(traj_id, (score, -traj_id)) AS best_id, max(score) AS best_score,
+         arg_min(traj_id, (score, traj_id)) AS worst_id, min(score) AS worst_score, count(*) AS n FROM tscore GROUP BY prompt_id)"""
+
+
+def register_r(name: str, body: str) -> None:
+    register(name, "WITH " + RUN_CTES.strip() + "\n" + body.strip())
+
+
+register_r("run_compare", "SELECT experiment, best_stage, round(f1, 9) AS f1, round(precision, 9) AS precision, round(recall, 9) AS recall FROM cmp")
+register_r("best_stage", "SELECT experiment, best_stage FROM best")
+register_r("variant_compare", """SELECT experiment, best_stage, round(f1, 9) AS f1, round(precision, 9) AS precision, round(recall, 9) AS recall,
+  round(f1 - (SELECT f1 FROM cmp WHERE experiment = 'view'), 9) AS delta_f1,
+  round(precision - (SELECT precision FROM cmp WHERE experiment = 'view'), 9) AS delta_precision,
+  round(recall - (SELECT recall FROM cmp WHERE experiment = 'view'), 9) AS delta_recall FROM cmp""")
+register_r("run_summary", """SELECT stage, count(*) AS total, count(*) FILTER (WHERE f1 >= 0.20) AS successful,
+  count(*) FILTER (WHERE f1 < 0.20) AS failed FROM log GROUP BY stage""")
+register_r("early_stop", """, x AS (
+  SELECT *, max(f1) OVER (PARTITION BY experiment, stage ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_max FROM log),
+y AS (SELECT *, prev_max IS NULL OR f1 > prev_max AS improved FROM x),
+z AS (SELECT *, max(CASE WHEN improved THEN step END) OVER (PARTITION BY experiment, stage ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS li FROM y),
+w AS (SELECT *, sum(CASE WHEN improved THEN 0 ELSE 1 END) OVER (PARTITION BY experiment, stage, li ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM z)
+SELECT experiment, stage, min(step) AS stop_step FROM w WHERE since >= 3 GROUP BY experiment, stage""")
+register_r("length_explosion", """, s AS (SELECT experiment, stage, arg_min(mean_length, step) AS start_length FROM log GROUP BY ALL)
+SELECT l.experiment, l.stage, l.step, round(l.mean_length, 9) AS mean_length, round(s.start_length, 9) AS start_length
+FROM log l JOIN s USING (experiment, stage) WHERE l.mean_length > 1.5 * s.start_length""")
+register_r("stage_gain", """, g AS (SELECT experiment, stage, f1, f1 - lag(f1) OVER (PARTITION BY experiment ORDER BY
+    -(CASE stage WHEN 'rlvr' THEN 0 WHEN 'dpo' THEN 1 WHEN 'sft' THEN 2 ELSE 3 END)) AS gain FROM fin)
+SELECT experiment, stage, round(f1, 9) AS f1, round(gain, 9) AS gain, gain > 0.02 AS meets_gain FROM g""")
+register_r("top_checkpoints", """SELECT experiment, stage, step, round(f1, 9) AS f1, pos FROM (
+  SELECT *, row_number() OVER (PARTITION BY experiment, stage ORDER BY f1 DESC, step ASC) AS pos FROM log) WHERE pos <= 3""")
+register_r("run_variance", """SELECT r.experiment, round(r.v, 9) AS var_rows, round(f.v, 9) AS var_final FROM
+  (SELECT experiment, var_samp(f1) AS v FROM runs GROUP BY experiment) r JOIN (SELECT experiment, var_samp(f1) AS v FROM fin GROUP BY experiment) f USING (experiment)""")
+register_r("steps_to_target", """, x AS (SELECT *, coalesce(sum(n_rows) OVER (PARTITION BY experiment, stage ORDER BY step
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rows_before FROM log)
+SELECT experiment, stage, min(step) AS first_step, CAST(arg_min(rows_before, step) AS BIGINT) AS examples_before FROM x WHERE f1 >= 0.30 GROUP BY ALL""")
+register_r("latency", """SELECT experiment, round(min(latency_ms), 9) AS min_ms, round(avg(latency_ms), 9) AS mean_ms, round(max(latency_ms), 9) AS max_ms,
+  round(quantile_disc(latency_ms, 0.5), 9) AS p50_ms, round(quantile_disc(latency_ms, 0.9), 9) AS p90_ms FROM runs GROUP BY experiment""")
+register_r("trajectory_pairs", "SELECT prompt_id, best_id, round(best_score, 9) AS best_score, worst_id, round(worst_score, 9) AS worst_score, n FROM bw")
+register_r("trajectory_set", """SELECT prompt_id, best_id AS chosen_id, worst_id AS rejected_id, round(best_score - worst_score, 9) AS margin
+  FROM bw WHERE best_score > worst_score""")
+register_r("outcome_pairs", """SELECT c.prompt_id, c.chosen_id, c.n_chosen, r.rejected_id, r.n_rejected FROM
+  (SELECT prompt_id, min(traj_id) AS chosen_id, count(*) AS n_chosen FROM traj WHERE compiled AND fixed AND new_findings = 0 GROUP BY ALL) c
+  JOIN (SELECT prompt_id, min(traj_id) AS rejected_id, count(*) AS n_rejected FROM traj WHERE NOT compiled OR new_findings > 0 GROUP BY ALL) r USING (prompt_id)""")
+register_r("test_reward", """SELECT traj_id, round(CASE WHEN NOT compiled THEN -1.0 WHEN 4 - new_findings = 4 THEN 1.0
+  ELSE (4 - new_findings) / 4.0 * 2 - 1 END, 9) AS reward FROM traj""")
+register("judge_scale", "SELECT event_id, round((floor(value) % 10) / 10 * 2 - 1, 9) AS scaled FROM events")
+register("judge_mean", "SELECT user_id, round(avg(floor(value) % 10), 9) AS mean_score FROM events GROUP BY user_id")
+register_r("tool_success", "SELECT prompt_id, round(avg(CASE WHEN tool_errors = 0 THEN 1.0 ELSE 0.0 END), 9) AS success_rate FROM traj GROUP BY prompt_id")
+
+register_r("sweep_best", f""", s AS (SELECT experiment, list_extract([1e-5, 5e-5, 1e-4, 5e-4], step % 4 + 1) AS learning_rate, avg(f1) AS f1 FROM runs GROUP BY ALL)
+SELECT experiment, CAST(arg_max(learning_rate, (f1, -learning_rate)) AS DOUBLE) AS best_learning_rate, round(max(f1), 9) AS best_f1 FROM s GROUP BY experiment""")
+
+register("holdout", """SELECT item_id, CASE WHEN rank <= floor(n * CAST(0.5 AS DOUBLE)) THEN 'dev' ELSE 'test' END AS split FROM (
+  SELECT item_id, row_number() OVER (ORDER BY md5('11:' || CAST(item_id AS VARCHAR)), item_id) AS rank, count(*) OVER () AS n FROM benchmark)""")
+register_rw("active_batch", """, a AS (SELECT DISTINCT contract_id FROM adv WHERE max_r <> min_r)
+SELECT contract_id, rank FROM (SELECT contract_id, row_number() OVER (ORDER BY md5('3:' || CAST(contract_id AS VARCHAR)), contract_id) AS rank FROM a)
+WHERE rank <= 64""")
+
+register("eval_report", f"""WITH {matched().strip()},{rates_sql('scored').strip()},
+g AS (SELECT * FROM (VALUES ('day_25', '360M', 0.20), ('day_40', '1.5B', 0.35), ('day_55', '3B', 0.45)) t(checkpoint, model, min_f1))
+SELECT k, round(f1, 9) AS f1, checkpoint, model, CAST(min_f1 AS DOUBLE) AS min_f1, f1 >= min_f1 AS passed FROM metrics, g""")
+register("report_lines", f"""WITH {matched().strip()},{rates_sql('scored').strip()},
+targets AS (SELECT * FROM (VALUES ('precision', 0.35, true, 'Precision:'), ('recall', 0.70, true, 'Recall:'),
+   ('f1', 0.45, true, 'F1 Score:'), ('false_positive_rate', 0.65, false, 'False Positive Rate:')) t(metric, target, higher_better, label)),
+long AS (SELECT k, 'precision' AS metric, precision AS value FROM metrics UNION ALL SELECT k, 'recall', recall FROM metrics
+  UNION ALL SELECT k, 'f1', f1 FROM metrics UNION ALL SELECT k, 'false_positive_rate', false_positive_rate FROM metrics)
+SELECT k, metric, printf('  %-20s %6.1f%% (target: %5.1f%%) [%s]', label, value * 100, CAST(target AS DOUBLE) * 100,
+  CASE WHEN (higher_better AND value >= target) OR (NOT higher_better AND value <= target) THEN 'PASS' ELSE 'FAIL' END) AS line
+FROM long JOIN targets USING (metric)""")
+register("class_hits", """
+SELECT u.contract_id, u.k, v.swc_id, EXISTS (SELECT 1 FROM findings f WHERE f.contract_id = u.contract_id AND f.k = u.k AND f.swc_id = v.swc_id) AS hit,
+  count(*) AS n
+FROM units u JOIN vulns v ON u.contract_id = v.contract_id GROUP BY ALL""")
+register("ordered_report", """
+SELECT swc_id, tp, fn, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 9) AS recall, row_number() OVER (ORDER BY swc_id) AS position FROM (
+  SELECT v.swc_id,
+    count(*) FILTER (WHERE EXISTS (SELECT 1 FROM findings f WHERE f.contract_id = u.contract_id AND f.k = u.k AND f.swc_id = v.swc_id)) AS tp,
+    count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.contract_id = u.contract_id AND f.k = u.k AND f.swc_id = v.swc_id)) AS fn
+  FROM units u JOIN vulns v ON u.contract_id = v.contract_id WHERE u.k = 0 GROUP BY v.swc_id)""")
+
+register_rw("spec_reward", f""", v0 AS (SELECT contract_id, swc_id AS t_swc, coalesce(lines, line_range) AS t_lines, severity AS t_sev FROM vulns WHERE vidx = 0),
+sp AS (SELECT c.contract_id, c.k, c.text, v0.t_swc, v0.t_lines, v0.t_sev,
+   CASE WHEN regexp_extract(c.text, 'SWC[:\\s]*([0-9]{{3}})', 1) <> '' THEN 'SWC-' || regexp_extract(c.text, 'SWC[:\\s]*([0-9]{{3}})', 1)
+        WHEN regexp_extract(c.text, 'SWC-([0-9]{{3}})', 1) <> '' THEN 'SWC-' || regexp_extract(c.text, 'SWC-([0-9]{{3}})', 1)
+        WHEN regexp_extract(c.text, 'swc[:\\s]*([0-9]{{3}})', 1) <> '' THEN 'SWC-' || regexp_extract(c.text, 'swc[:\\s]*([0-9]{{3}})', 1) END AS got,
+   nullif(regexp_extract(c.text, '(?i)Severity[:\\s]*(\\w+)', 1), '') AS sev_got
+  FROM completions c LEFT JOIN v0 USING (contract_id)),
+tb0 AS (SELECT contract_id,
+    CASE WHEN contains(t_lines, '-') THEN (CASE WHEN len(string_split(t_lines, '-')) = 2 THEN TRY_CAST(trim(string_split(t_lines, '-')[1]) AS BIGINT) END)
+         ELSE TRY_CAST(trim(t_lines) AS BIGINT) END AS s,
+    CASE WHEN contains(t_lines, '-') THEN (CASE WHEN len(string_split(t_lines, '-')) = 2 THEN TRY_CAST(trim(string_split(t_lines, '-')[2]) AS BIGINT) END)
+         ELSE TRY_CAST(trim(t_lines) AS BIGINT) END AS e
+  FROM (SELECT DISTINCT contract_id, t_lines FROM sp WHERE t_lines IS NOT NULL)),
+tl0 AS (SELECT DISTINCT contract_id, unnest(generate_series(s, e)) AS line FROM tb0 WHERE s IS NOT NULL AND e IS NOT NULL),
+li AS (SELECT c.contract_id, c.k,
+    (SELECT count(*) FROM pl WHERE pl.contract_id = c.contract_id AND pl.k = c.k) AS np,
+    (SELECT count(*) FROM tl0 WHERE tl0.contract_id = c.contract_id) AS nt,
+    (SELECT count(*) FROM pl JOIN tl0 ON pl.contract_id = tl0.contract_id AND pl.line = tl0.line WHERE pl.contract_id = c.contract_id AND pl.k = c.k) AS ni,
+    len(regexp_extract_all(c.text, '{PRED_LINES}', 1)) AS nm,
+    (SELECT count(*) FROM tb0 WHERE tb0.contract_id = c.contract_id AND s IS NOT NULL AND e IS NOT NULL) AS ntr
+  FROM completions c),
+parts AS (SELECT sp.contract_id, sp.k,
+    CASE WHEN got IS NOT DISTINCT FROM t_swc THEN 1.0 ELSE -1.0 END AS p_cls,
+    CASE WHEN li.nm > 0 AND li.ntr > 0 THEN (CASE WHEN li.np = 0 OR li.nt = 0 THEN 0.0 ELSE li.ni / (li.np + li.nt - li.ni) END) * 2 - 1 END AS p_line,
+    CASE WHEN sev_got IS NOT NULL AND sev_got = t_sev THEN 0.5 ELSE -0.25 END AS p_sev,
+    CASE WHEN t_swc IS NULL THEN (CASE WHEN got IS NULL OR got = 'None' THEN 0.5 ELSE -1.0 END) END AS p_clean
+  FROM sp JOIN li USING (contract_id, k))
+SELECT contract_id, k, round((p_cls + coalesce(p_line, 0) + p_sev + coalesce(p_clean, 0))
+   / (2 + CASE WHEN p_line IS NULL THEN 0 ELSE 1 END + CASE WHEN p_clean IS NULL THEN 0 ELSE 1 END), 9) AS reward FROM parts""")
+
+register_rw("tokens_per_hit", f""", {matched().strip()},
+tk AS (SELECT s.k, sum(length(c.text) // 4) AS tokens, sum(s.tp) AS tp FROM scored s JOIN completions c USING (contract_id, k) GROUP BY s.k)
+SELECT k, CAST(tokens AS BIGINT) AS tokens, CAST(tp AS BIGINT) AS tp, round(CASE WHEN tp > 0 THEN tokens / tp ELSE 0.0 END, 9) AS tokens_per_hit FROM tk""")
+register("trace_length", """SELECT model, round(avg(length(text) // 4), 9) AS mean_tokens, count(*) AS n FROM completions
+  WHERE contains(text, '<think>') GROUP BY model""")
+register("length_buckets", """SELECT contract_id, k, CAST(length(text) // 4 AS BIGINT) AS tokens,
+  CAST(ntile(3) OVER (ORDER BY length(text) // 4, contract_id * 8 + k) AS INTEGER) AS bucket FROM completions""")
+register("quality_gate", f"""
+SELECT model, round(avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END), 9) AS pass_share, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) > 0.90 AS gate_passed FROM (
+  SELECT model, {COMPLETE.format(t='text')} AND {ratio('w')} <= 0.30 AND length(text) // 4 BETWEEN 500 AND 32000 AS ok
+  FROM (SELECT *, {WORDS} AS w FROM completions)) GROUP BY model""")
+register_rw("concise_pairs", """, ok AS (SELECT contract_id, k, length(text) // 4 AS tokens FROM ver WHERE verified = 1.0)
+SELECT contract_id, arg_min(k, (tokens, k)) AS chosen_k, arg_max(k, (tokens, -k)) AS rejected_k, count(*) AS n_correct
+FROM ok GROUP BY contract_id HAVING count(*) >= 2""")
+register_rw("rl_zero_set", f"""SELECT c.contract_id, {fill(RL_ZERO_PROMPT, contract_code='c.source_code')} AS prompt
+FROM contracts c WHERE c.contract_id IN (SELECT contract_id FROM pr WHERE pass_rate = 0)""")
+register("data_ablation", """
+WITH sup AS (SELECT (SELECT count(*) FROM completions WHERE contains(text, '<think>')) AS n_synth,
+                    (SELECT count(*) FROM contracts WHERE source IN ('curated', 'tabular')) AS n_lab),
+sh AS (SELECT * FROM (VALUES (0.0), (0.25), (0.5), (0.75)) t(s))
+SELECT CAST(s AS DOUBLE) AS synthetic_share, CAST(least(floor(200.0 * s), n_synth) AS BIGINT) AS synthetic_rows,
+  CAST(least(200 - floor(200.0 * s), n_lab) AS BIGINT) AS labelled_rows FROM sup, sh""")
+
+register("instruct_dpo", f"""WITH {REWARD_CTES.strip()},
+{RUN_CTES.strip()},
+think AS (SELECT s.contract_id FROM completions s JOIN completions w ON s.contract_id = w.contract_id JOIN contracts c ON c.contract_id = s.contract_id
+  WHERE s.model = 'strong' AND w.model = 'weak' AND s.text <> '' AND w.text <> '' AND length(c.source_code) > 0
+    AND length(s.text) // 4 - length(w.text) // 4 <= 100),
+tool AS (SELECT c.prompt_id FROM (SELECT prompt_id FROM traj WHERE compiled AND fixed AND new_findings = 0 GROUP BY ALL) c
+  JOIN (SELECT prompt_id FROM traj WHERE NOT compiled OR new_findings > 0 GROUP BY ALL) r USING (prompt_id)),
+conc AS (SELECT contract_id FROM ver WHERE verified = 1.0 GROUP BY contract_id HAVING count(*) >= 2)
+SELECT * FROM (SELECT 'think' AS kind, count(*) AS n FROM think UNION ALL SELECT 'tool_use', count(*) FROM tool
+UNION ALL SELECT 'concise', count(*) FROM conc) WHERE n > 0""")
+
+register_b("variant_sets", f""",
+dpo_sel AS ({dpo_sel_sql(200)}),
+dpo_n AS (SELECT count(*) AS n FROM dpo_sel),
+rl_sel AS (
+  SELECT contract_id FROM ranked WHERE source = 'curated' AND prank <= 300
+  UNION ALL
+  SELECT contract_id FROM ranked, (SELECT count(*) AS nl FROM ranked WHERE source = 'curated' AND prank <= 300) x
+  WHERE source = 'unlabelled' AND prank <= greatest(300 - nl, 0)),
+sets AS (
+  SELECT 'sft' AS kind, split, count(*) AS n FROM sft_out GROUP BY split
+  UNION ALL SELECT 'dpo', 'train', CAST(floor(n * CAST(0.9 AS DOUBLE)) AS BIGINT) FROM dpo_n
+  UNION ALL SELECT 'dpo', 'validation', n - CAST(floor(n * CAST(0.9 AS DOUBLE)) AS BIGINT) FROM dpo_n
+  UNION ALL SELECT 'rl', 'all', least(count(*), 300) FROM rl_sel),
+v AS (SELECT * FROM (VALUES ('THINK'), ('INSTRUCT'), ('RL-ZERO')) t(variant))
+SELECT variant, kind, split, n FROM v, sets WHERE n > 0 AND NOT (variant = 'RL-ZERO' AND kind = 'sft')""")

@@ -643,3 +643,304 @@ def tool_call_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fm.tool_call_record("source_code", "static_analyzer", args, result, fm.sft_output("vulnerabilities", "is_vulnerable"))
     return c.select("contract_id", m.alias("m")).select(
         "contract_id", *[F.col("m")[i]["content"].alias(f"turn{i}") for i in range(4)])
+
+
+# ---------------------------------------------------------------------------
+# Runs, trajectories, comparisons and reports (A10-A24, W04-W11, O06, O07, D05, D12, D13, D16-D19,
+# F15-F17, F19, F23, F24, J05, P29)
+# ---------------------------------------------------------------------------
+
+from pyspark.sql import Window  # noqa: E402
+
+from vulnsift.operators import runs as rn  # noqa: E402
+
+
+def _log(spark, sf_dir):
+    return rn.step_log(fx.runs(spark, sf_dir))
+
+
+@query
+def run_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per experiment, f1 / precision / recall of its best stage's final step."""
+    return rounded(rn.run_compare(_log(spark, sf_dir)))
+
+
+@query
+def best_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best available stage per experiment."""
+    return rn.best_stage(_log(spark, sf_dir))
+
+
+@query
+def variant_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparison with deltas against the 'view' experiment."""
+    return rounded(rn.variant_compare(_log(spark, sf_dir), "view"))
+
+
+@query
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: evaluations per stage, successful (f1 >= 0.20) and failed."""
+    return rn.run_summary(_log(spark, sf_dir))
+
+
+@query
+def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First step with three evaluations in a row without a new best F1."""
+    return rn.early_stop(_log(spark, sf_dir))
+
+
+@query
+def length_explosion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps whose mean length is above 1.5x the run's first step."""
+    return rounded(rn.length_explosion(_log(spark, sf_dir), factor=1.5))
+
+
+@query
+def stage_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final-F1 gain of each stage over the previous one, > 2 points flagged."""
+    return rounded(rn.stage_gain(_log(spark, sf_dir)))
+
+
+@query
+def top_checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-3 steps per run by F1."""
+    return rounded(rn.top_checkpoints(_log(spark, sf_dir)))
+
+
+@query
+def run_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample variance of F1 per experiment, over raw rows and over final stage values."""
+    raw = fx.runs(spark, sf_dir).groupBy("experiment").agg(F.var_samp("f1").alias("var_rows"))
+    fin = rn.final_metrics(_log(spark, sf_dir)).groupBy("experiment").agg(F.var_samp("f1").alias("var_final"))
+    return rounded(raw.join(fin, "experiment"))
+
+
+@query
+def steps_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First step with F1 >= 0.30 and the logged rows before it."""
+    return rn.steps_to_target(_log(spark, sf_dir), 0.30)
+
+
+@query
+def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latency distribution per experiment (min, mean, max; bounded-memory percentiles)."""
+    r = fx.runs(spark, sf_dir)
+    return rounded(r.groupBy("experiment").agg(
+        F.min("latency_ms").alias("min_ms"), F.avg("latency_ms").alias("mean_ms"), F.max("latency_ms").alias("max_ms"),
+        F.percentile_approx("latency_ms", 0.5, 1_000_000).alias("p50_ms"),
+        F.percentile_approx("latency_ms", 0.9, 1_000_000).alias("p90_ms")))
+
+
+@query
+def trajectory_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F19 + A11: best and worst trajectory per prompt (ties to the smaller id)."""
+    return rounded(rn.best_worst(fx.trajectories(spark, sf_dir)))
+
+
+@query
+def trajectory_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs best vs worst where the scores differ."""
+    return rounded(rn.trajectory_pairs(fx.trajectories(spark, sf_dir)).select(
+        "prompt_id", F.col("best_id").alias("chosen_id"), F.col("worst_id").alias("rejected_id"),
+        (F.col("best_score") - F.col("worst_score")).alias("margin")))
+
+
+@query
+def outcome_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome-labelled chosen / rejected trajectories paired per prompt."""
+    return rn.outcome_pairs(fx.trajectories(spark, sf_dir))
+
+
+@query
+def test_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F16: test-result reward per trajectory (passed = 4 - new findings of 4 tests)."""
+    t = fx.trajectories(spark, sf_dir)
+    return rounded(t.select("traj_id", rw.test_reward(F.col("compiled"), 4 - F.col("new_findings"), F.lit(4)).alias("reward")))
+
+
+@query
+def judge_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge score (value mod 10) scaled to [-1, 1], per event."""
+    e = read_table(spark, sf_dir, "events")
+    return rounded(e.select("event_id", rw.judge_scale(F.floor(F.col("value")) % 10).alias("scaled")))
+
+
+@query
+def judge_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean judge score per user."""
+    e = read_table(spark, sf_dir, "events")
+    return rounded(e.groupBy("user_id").agg(F.avg(F.floor(F.col("value")) % 10).alias("mean_score")))
+
+
+@query
+def tool_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of trajectories without tool errors, per prompt."""
+    t = fx.trajectories(spark, sf_dir)
+    return rounded(t.groupBy("prompt_id").agg(F.avg((F.col("tool_errors") == 0).cast("double")).alias("success_rate")))
+
+
+@query
+def spec_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """specification detection reward per completion against the first truth row."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    j = sc.with_truth(comp, con)
+    v = F.get(F.col("vulnerabilities"), 0)
+    r = rw.spec_detection_reward("text", v["swc_id"], F.coalesce(v["lines"], v["line_range"]), v["severity"])
+    return rounded(j.select("contract_id", "k", r.alias("reward")))
+
+
+@query
+def tokens_per_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completion tokens per true positive, per run (0 when no hit)."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    s = ev.score_answers(comp.withColumn("tokens", tx.token_estimate("text")), con, keep=("tokens",))
+    agg = s.groupBy("k").agg(F.sum("tokens").alias("tokens"), F.sum("tp").alias("tp"))
+    return rounded(agg.select("k", F.col("tokens").cast("long").alias("tokens"), F.col("tp").cast("long").alias("tp"),
+                              ev.safe_div(F.col("tokens"), F.col("tp")).alias("tokens_per_hit")))
+
+
+@query
+def trace_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean estimated tokens of reasoning traces, per model."""
+    c = fx.completions(spark, sf_dir).where(fl.has_think("text"))
+    return rounded(c.groupBy("model").agg(F.avg(tx.token_estimate("text")).alias("mean_tokens"),
+                                          F.count(F.lit(1)).alias("n")))
+
+
+@query
+def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tercile of every completion by estimated tokens (ties by id)."""
+    c = fx.completions(spark, sf_dir).select("contract_id", "k", tx.token_estimate("text").alias("tokens"))
+    t = rn.tercile(c, "tokens", F.col("contract_id") * 8 + F.col("k"))
+    return t.select("contract_id", "k", "tokens", "bucket")
+
+
+@query
+def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of completions passing every quality filter, per model, gate > 0.90."""
+    q = fl.quality_flags(fx.completions(spark, sf_dir))
+    g = q.groupBy("model").agg(F.avg(F.col("all_pass").cast("double")).alias("pass_share"))
+    return rounded(g.withColumn("gate_passed", F.col("pass_share") > 0.90))
+
+
+@query
+def concise_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Among verified answers of a prompt, shortest chosen and longest rejected (>= 2)."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    j = sc.with_truth(comp, con)
+    ok = j.where(rw.filter_verifier("text", ev.truth_classes("vulnerabilities", default="")) == 1.0) \
+        .withColumn("tokens", tx.token_estimate("text"))
+    g = ok.groupBy("contract_id").agg(
+        F.min_by("k", F.struct("tokens", "k")).alias("chosen_k"),
+        F.max_by("k", F.struct(F.col("tokens"), -F.col("k"))).alias("rejected_k"),
+        F.count(F.lit(1)).alias("n_correct"))
+    return g.where(F.col("n_correct") >= 2)
+
+
+@query
+def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best learning rate per experiment by mean F1 (rate by step mod 4; ties to the smaller rate)."""
+    r = fx.runs(spark, sf_dir)
+    lrs = F.array(*[F.lit(float(x)) for x in LEARNING_RATES])
+    s = r.withColumn("learning_rate", F.element_at(lrs, (F.col("step") % 4) + 1)) \
+        .groupBy("experiment", "learning_rate").agg(F.avg("f1").alias("f1"))
+    return rounded(s.groupBy("experiment").agg(
+        F.max_by("learning_rate", F.struct(F.col("f1"), -F.col("learning_rate"))).alias("best_learning_rate"),
+        F.max("f1").alias("best_f1")))
+
+
+@query
+def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items split into development and test halves by seeded hash order."""
+    b = read_table(spark, sf_dir, "benchmark").select("item_id")
+    s = od.train_validation_split(b, "item_id", seed=11, train_split=0.5)
+    return s.select("item_id", F.when(F.col("split") == "train", "dev").otherwise("test").alias("split"))
+
+
+@query
+def active_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After the zero-gradient filter, a full batch of 64 prompts in seeded order."""
+    a = sc.drop_zero_gradient(sc.advantages(_scored(spark, sf_dir))).select("contract_id").distinct()
+    r = od.seeded_shuffle(a, "contract_id", seed=3)
+    return r.where(F.col("rank") <= 64).select("contract_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def eval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Milestone gates on each run's F1."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    return rounded(rn.milestone_gates(ev.evaluate(comp, con)))
+
+
+@query
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """formatted report lines (percent, target, PASS/FAIL)."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    return ev.target_report(ev.evaluate(comp, con)).select("k", "metric", "line")
+
+
+@query
+def class_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every truth row of every answer with its hit flag."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    c = con.select("contract_id", ev.truth_classes().alias("truth_rows"))
+    j = comp.join(c, "contract_id").withColumn("pred", ev.predicted_classes("text"))
+    return ev.class_hits(j).groupBy("contract_id", "k", "swc_id", "hit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def ordered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-class recall report of run 0 with its position in class order."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    r = ev.per_class_recall(comp, con).where(F.col("k") == 0)
+    return rounded(r.select("swc_id", "tp", "fn", "recall",
+                            F.row_number().over(Window.orderBy("swc_id")).cast("long").alias("position")))
+
+
+@query
+def instruct_dpo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """INSTRUCT preference set = length-filtered THINK pairs + outcome pairs + concise pairs."""
+    think = ds.delta_pairs(fx.completions(spark, sf_dir), fx.contracts(spark, sf_dir), max_gap=None,
+                           signed_token_gap=100).select(F.col("contract_id").alias("prompt_id")).withColumn("kind", F.lit("think"))
+    tool = rn.outcome_pairs(fx.trajectories(spark, sf_dir)).select("prompt_id").withColumn("kind", F.lit("tool_use"))
+    conc = concise_pairs(spark, sf_dir).select(F.col("contract_id").alias("prompt_id")).withColumn("kind", F.lit("concise"))
+    return think.unionByName(tool).unionByName(conc).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def data_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Synthetic share 0/25/50/75% of a 200-row SFT budget (traces vs labelled rows),
+    bounded by the supply of each pool (one aggregate over both pools, then the share list)."""
+    synth = fx.completions(spark, sf_dir).where(fl.has_think("text")).select(F.lit("synthetic").alias("pool"))
+    lab = fx.contracts(spark, sf_dir).where(F.col("source").isin("curated", "tabular")).select(F.lit("labelled").alias("pool"))
+    sup = synth.unionByName(lab).agg(F.count_if(F.col("pool") == "synthetic").alias("n_synth"),
+                                     F.count_if(F.col("pool") == "labelled").alias("n_lab"))
+    shares = F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75)])
+    x = sup.select("*", F.explode(shares).alias("synthetic_share"))
+    want = F.floor(F.lit(200.0) * F.col("synthetic_share")).cast("long")
+    return x.select("synthetic_share", F.least(want, F.col("n_synth")).alias("synthetic_rows"),
+                    F.least(F.lit(200) - want, F.col("n_lab")).cast("long").alias("labelled_rows"))
+
+
+@query
+def rl_zero_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RL-ZERO prompts of the hard-only prompts (pass rate 0)."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    hard = sc.hard_only(sc.pass_rates(comp, con)).select("contract_id")
+    c = fx.contracts(spark, sf_dir).join(hard, "contract_id", "left_semi")
+    return c.select("contract_id", fm.rl_zero_prompt("source_code").alias("prompt"))
+
+
+@query
+def variant_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the SFT, DPO and RL sets per variant (RL-ZERO builds no SFT set)."""
+    c = fx.contracts(spark, sf_dir)
+    out = None
+    for variant in ("THINK", "INSTRUCT", "RL-ZERO"):
+        sft = ds.build_sft(c, variant=variant, num_samples=SFT_N, format_type="alpaca").select("split").withColumn("kind", F.lit("sft"))
+        dpo = ds.build_dpo(c, num_samples=DPO_N).select("split").withColumn("kind", F.lit("dpo"))
+        rl = ds.build_rl_prompts(c, num_prompts=RL_N).select(F.lit("all").alias("split")).withColumn("kind", F.lit("rl"))
+        u = sft.unionByName(dpo).unionByName(rl).groupBy("kind", "split").agg(F.count(F.lit(1)).alias("n")) \
+            .withColumn("variant", F.lit(variant))
+        out = u if out is None else out.unionByName(u)
+    return out.select("variant", "kind", "split", "n")
