@@ -891,3 +891,22 @@ sets AS (
   UNION ALL SELECT 'rl', 'all', least(count(*), 300) FROM rl_sel),
 v AS (SELECT * FROM (VALUES ('THINK'), ('INSTRUCT'), ('RL-ZERO')) t(variant))
 SELECT variant, kind, split, n FROM v, sets WHERE n > 0 AND NOT (variant = 'RL-ZERO' AND kind = 'sft')""")
+
+
+# ---------------------------------------------------------------------------
+# Sources, sinks, catalogue
+# ---------------------------------------------------------------------------
+
+register("source_counts", """
+WITH names AS (SELECT * FROM (VALUES ('curated'), ('tabular'), ('unlabelled'), ('clean'), ('exploits'), ('reports')) t(source))
+SELECT n.source, coalesce(c.n_rows, 0) AS n_rows FROM names n LEFT JOIN (SELECT source, count(*) AS n_rows FROM contracts GROUP BY source) c USING (source)""")
+register("side_file_join", """
+SELECT CAST(doc_id AS VARCHAR) AS address,
+  CASE WHEN doc_id % 3 <> 0 THEN '// file' || chr(10) || text ELSE coalesce(text, '') END AS source_code,
+  'side/' || CAST(doc_id AS VARCHAR) || '.sol' AS file_path FROM documents""")
+register("path_parts", """
+SELECT doc_id, path, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(2018 + doc_id % 6 AS VARCHAR) END AS year,
+  'case_' || CAST(doc_id AS VARCHAR) || '.t' AS stem FROM (
+  SELECT doc_id, 'exploits/src/test/' || CASE WHEN doc_id % 4 = 0 THEN 'misc' ELSE CAST(2018 + doc_id % 6 AS VARCHAR) END
+    || '/' || lang || '/case_' || CAST(doc_id AS VARCHAR) || '.t.sol' AS path FROM documents)""")
+register_b("dataset_roundtrip", "SELECT contract_id, assistant_content AS output, as_vul AS is_vulnerable FROM sft_out WHERE split = 'train'")

@@ -944,3 +944,60 @@ def variant_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("variant", F.lit(variant))
         out = u if out is None else out.unionByName(u)
     return out.select("variant", "kind", "split", "n")
+
+
+# ---------------------------------------------------------------------------
+# Sources, sinks, catalogue
+# ---------------------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from vulnsift.session import checkpoint_dir  # noqa: E402
+from vulnsift.sources import catalog as cat  # noqa: E402
+from vulnsift.sources import files as sf  # noqa: E402
+from vulnsift.sources import sinks as sk  # noqa: E402
+
+
+@query
+def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per source over the contract pools, 0 for catalogued sources without rows."""
+    names = spark.createDataFrame([(s,) for s in ("curated", "tabular", "unlabelled", "clean", "exploits", "reports")],
+                                  "source string")
+    return cat.source_counts(fx.contracts(spark, sf_dir), names)
+
+
+@query
+def side_file_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV rows (address = doc id, 'Source Code' = text) left-joined to side files (stem =
+    doc id, present for doc_id mod 3 <> 0, content with a '// file' first line); code is file-first."""
+    d = read_docs(spark, sf_dir)
+    csv = d.select(F.col("doc_id").cast("string").alias("Contract Address"), F.col("text").alias("Source Code"))
+    side = d.where(F.col("doc_id") % 3 != 0).select(
+        F.concat(F.lit("side/"), F.col("doc_id").cast("string"), F.lit(".sol")).alias("path"), F.concat(F.lit("// file\n"), F.col("text")).alias("text"))
+    j = sf.side_file_join(csv, side, "Contract Address", "Source Code", "side")
+    return j.select(F.col("Contract Address").alias("address"), F.col("_code").alias("source_code"),
+                    F.col("_path").alias("file_path"))
+
+
+@query
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """year (first 4-digit part) and stem of exploit-style paths derived from documents."""
+    d = read_docs(spark, sf_dir)
+    year = F.when(F.col("doc_id") % 4 == 0, F.lit("misc")).otherwise((2018 + F.col("doc_id") % 6).cast("string"))
+    p = F.concat(F.lit("exploits/src/test/"), year, F.lit("/"), F.col("lang"), F.lit("/case_"),
+                 F.col("doc_id").cast("string"), F.lit(".t.sol"))
+    return d.select("doc_id", p.alias("path")).select("doc_id", "path", tx.first_year_part("path").alias("year"),
+                                                      tx.file_stem("path").alias("stem"))
+
+
+@query
+def dataset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S12 + S13 + S11: the alpaca SFT set written partitioned by split (and as JSON lines) into
+    the shared checkpoint folder, then its train split read back with partition pruning."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
+    s = ds.build_sft(fx.contracts(spark, sf_dir), num_samples=SFT_N, format_type="alpaca")
+    s = s.select("contract_id", "split", "instruction", "input", "output", "is_vulnerable")
+    sk.write_split_dataset(s, f"{base}/parquet")
+    sk.write_jsonl(s, f"{base}/jsonl")
+    back = sk.read_train_split(spark, f"{base}/parquet")
+    return back.select("contract_id", "output", "is_vulnerable")
