@@ -910,3 +910,15 @@ SELECT doc_id, path, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(2018 + doc_id
   SELECT doc_id, 'exploits/src/test/' || CASE WHEN doc_id % 4 = 0 THEN 'misc' ELSE CAST(2018 + doc_id % 6 AS VARCHAR) END
     || '/' || lang || '/case_' || CAST(doc_id AS VARCHAR) || '.t.sol' AS path FROM documents)""")
 register_b("dataset_roundtrip", "SELECT contract_id, assistant_content AS output, as_vul AS is_vulnerable FROM sft_out WHERE split = 'train'")
+
+
+# ---------------------------------------------------------------------------
+# Streaming (batch equivalents)
+# ---------------------------------------------------------------------------
+
+register("stream_append", "SELECT DISTINCT contract_id, k FROM completions WHERE contains(text, '<think>')")
+register("stream_monitor", """
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, round(avg(value), 9) AS mean_value, count(*) AS n FROM (
+  SELECT time_bucket(INTERVAL 1 DAY, ts) AS ws, event_type, value FROM events)
+WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY
+GROUP BY ALL""")

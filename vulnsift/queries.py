@@ -1001,3 +1001,36 @@ def dataset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     sk.write_jsonl(s, f"{base}/jsonl")
     back = sk.read_train_split(spark, f"{base}/parquet")
     return back.select("contract_id", "output", "is_vulnerable")
+
+
+# ---------------------------------------------------------------------------
+# Streaming (X01, X02): staged files -> availableNow stream -> parquet sink -> batch read-back
+# ---------------------------------------------------------------------------
+
+from vulnsift.streaming import append as st  # noqa: E402
+
+
+@query
+def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions (with retried duplicates of the weak answers) streamed through the
+    watermark dedup and trace acceptance into a parquet sink."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-append-{uuid.uuid4().hex}"
+    c = fx.completions(spark, sf_dir)
+    ev_rows = c.select((F.col("contract_id") * 8 + F.col("k")).alias("completion_id"), "contract_id", "k", "model", "text",
+                       F.timestamp_seconds(F.lit(1_704_067_200) + F.col("contract_id") * 8 + F.col("k")).alias("arrived_at"))
+    retries = ev_rows.where(F.col("model") == "weak")
+    ev_rows.unionByName(retries).write.json(f"{base}/in")
+    st.run_append(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    return spark.read.schema(st.COMPLETION_EVENTS).parquet(f"{base}/out").select("contract_id", "k")
+
+
+@query
+def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily mean value per event type; windows closed by the watermark are emitted."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-monitor-{uuid.uuid4().hex}"
+    e = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value")
+    e.write.parquet(f"{base}/in")
+    st.run_monitor(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    out = spark.read.parquet(f"{base}/out")
+    return rounded(out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                              "event_type", "mean_value", "n"))
