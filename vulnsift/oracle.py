@@ -922,3 +922,14 @@ SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, round(avg(
   SELECT time_bucket(INTERVAL 1 DAY, ts) AS ws, event_type, value FROM events)
 WHERE ws + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY
 GROUP BY ALL""")
+
+register("user_hooks", """
+WITH g AS (SELECT contract_id, 'Vulnerability: demo' || chr(10) || 'SWC: ' || CAST(100 + contract_id % 30 AS VARCHAR) || chr(10)
+             || 'Lines: ' || CAST(contract_id % 40 + 1 AS VARCHAR) || chr(10) || chr(10) || 'SWC: ' || CAST(100 + contract_id % 7 AS VARCHAR) AS text
+           FROM contracts WHERE source = 'curated'),
+gt AS (SELECT contract_id, list(replace(swc_id, 'SWC-', '')) AS gt FROM vulns GROUP BY contract_id),
+r AS (SELECT g.contract_id, g.text, ['' || (100 + g.contract_id % 30), '' || (100 + g.contract_id % 7)] AS model, gt.gt FROM g JOIN gt USING (contract_id)),
+cr AS (SELECT contract_id, text, CASE WHEN len(list_filter(model, lambda x: list_contains(gt, x))) > 0
+          THEN len(list_filter(model, lambda x: list_contains(gt, x))) / greatest(len(gt), len(model)) ELSE -0.5 END AS base FROM r)
+SELECT contract_id, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS n_tokens,
+  round(0.5 * base + 0.5 * (CASE WHEN base > 0 THEN 1.0 ELSE 0.0 END), 9) AS reward, CAST(2 AS BIGINT) AS n_findings FROM cr""")

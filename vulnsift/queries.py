@@ -1034,3 +1034,105 @@ def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.read.parquet(f"{base}/out")
     return rounded(out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                               "event_type", "mean_value", "n"))
+
+
+# ---------------------------------------------------------------------------
+# User hooks (E01-E04) and file sources
+# ---------------------------------------------------------------------------
+
+from vulnsift.operators import hooks as hk  # noqa: E402
+
+
+def _demo_generator(batch):
+    """A deterministic user 'model': names class 100 + id mod 30 and line id mod 40 + 1."""
+    import pandas as pd
+    ids = batch["contract_id"]
+    text = ("Vulnerability: demo\nSWC: " + (100 + ids % 30).astype(str) + "\nLines: " + (ids % 40 + 1).astype(str)
+            + "\n\nSWC: " + (100 + ids % 7).astype(str))
+    return pd.DataFrame({"contract_id": ids, "text": text})
+
+
+def _whitespace_tokens(s):
+    return s.str.split().str.len().fillna(0).astype("int64")
+
+
+@query
+def user_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user generator over the prompts (mapInPandas), a user tokenizer (pandas UDF),
+    a user reward blended into the class reward, and the native one-to-many findings parse."""
+    c = fx.contracts(spark, sf_dir).where(F.col("source") == "curated")
+    prompts = c.select("contract_id", fm.zero_shot_prompt("source_code").alias("prompt"))
+    gen = hk.generate(prompts.select("contract_id"), _demo_generator, "contract_id long, text string")
+    j = gen.join(c.select("contract_id", "vulnerabilities"), "contract_id")
+    base = rw.class_reward("text", ev.truth_classes())
+    reward = hk.custom_reward(base, lambda r: F.when(r > 0, F.lit(1.0)).otherwise(F.lit(0.0)), 0.5)
+    n_find = F.size(ev.findings_array("text"))
+    return rounded(j.select("contract_id", hk.token_count("text", _whitespace_tokens).alias("n_tokens"),
+                            reward.alias("reward"), n_find.cast("long").alias("n_findings")))
+
+
+def _stage_files(df: DataFrame, root: str) -> None:
+    """Write each (relpath, text) row to its own file under `root` (test-input staging; the
+    file system comes from the URI, so shared storage works as well as a local folder)."""
+    def write(batches):
+        import pandas as pd
+        import pyarrow.fs as pafs
+        fs, base = pafs.FileSystem.from_uri(root)
+        for b in batches:
+            for rel, text in zip(b["relpath"], b["text"]):
+                path = f"{base}/{rel}"
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(path) as out:
+                    out.write((text or "").encode("utf-8"))
+            yield pd.DataFrame({"n": [len(b)]})
+    df.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+
+
+@query
+def file_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S01-S08 + S09: files staged from the tables (curated pool as dataset/<category>/<id>.sol
+    with CRLF line ends, tabular pool as two CSV layouts plus side files, unlabelled pool as
+    parquet, exploit-style paths, pages as Markdown and JSON reports), then every scan."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    if "://" not in base and not base.startswith("file:"):
+        base = "file://" + base
+    c = fx.contracts(spark, sf_dir)
+    cur = c.where(F.col("source") == "curated")
+    tab = c.where(F.col("source") == "tabular")
+    pages = fx.reports(spark, sf_dir)
+    staged = (
+        cur.select(F.concat(F.lit("curated/dataset/"), "category", F.lit("/"), F.col("contract_id").cast("string"),
+                            F.lit(".sol")).alias("relpath"), F.replace("source_code", F.lit("\n"), F.lit("\r\n")).alias("text"))
+        .unionByName(tab.where(F.col("contract_id") % 3 != 0).select(
+            F.concat(F.lit("bccc/Vulnerable_SourceCodes/"), F.col("contract_id").cast("string"), F.lit(".sol")).alias("relpath"),
+            F.col("source_code").alias("text")))
+        .unionByName(cur.select(F.concat(F.lit("exploits/src/test/"), (2019 + F.col("contract_id") % 5).cast("string"),
+                                         F.lit("/x"), F.col("contract_id").cast("string"), F.lit(".sol")).alias("relpath"),
+                                F.col("source_code").alias("text")))
+        .unionByName(pages.select(F.concat(F.lit("audits/firm"), (F.col("report_id") % 3).cast("string"), F.lit("/"),
+                                           F.col("report_id").cast("string"),
+                                           F.when(F.col("report_id") % 2 == 0, F.lit(".md")).otherwise(F.lit(".json"))).alias("relpath"),
+                                  F.when(F.col("report_id") % 2 == 0, F.col("content"))
+                                  .otherwise(F.to_json(F.struct("report_id", "file_path"))).alias("text")))
+    )
+    _stage_files(staged, base)
+    tab.select(F.col("contract_id").alias("id"), F.col("source_code").alias("code")).write.csv(
+        f"{base}/tdm", header=True, escape='"')
+    tab.select(F.col("contract_id").cast("string").alias("Contract Address"), F.lit("csv code").alias("Source Code")) \
+        .write.csv(f"{base}/bccc/csv", header=True, escape='"')
+    c.where(F.col("source") == "unlabelled").select(F.col("source_code").alias("content"), "file_path") \
+        .write.parquet(f"{base}/zellic")
+    parts = [
+        sf.load_curated(spark, f"{base}/curated").select("source", "file_path", "source_code"),
+        sf.load_labelled_csv(spark, f"{base}/tdm").select("source", "file_path", "source_code"),
+        sf.load_address_csv(spark, f"{base}/bccc/csv", f"{base}/bccc/Vulnerable_SourceCodes")
+        .select("source", "file_path", "source_code"),
+        sf.load_unlabelled(spark, f"{base}/zellic").select("source", "file_path", "source_code"),
+    ]
+    contracts = cat.union_sources(parts)
+    exploits = sf.load_exploits(spark, f"{base}/exploits").select(
+        "source", "file_path", F.col("source_code"), F.col("year"))
+    reports = sf.load_reports(spark, f"{base}/audits").select(
+        "source", "file_path", F.col("content").alias("source_code"))
+    return contracts.unionByName(exploits, allowMissingColumns=True).unionByName(reports, allowMissingColumns=True) \
+        .select("source", F.length("source_code").cast("long").alias("length"), "year")

@@ -7,6 +7,8 @@ normalised to '\\n' as Python's text mode does.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -150,7 +152,8 @@ def load_reports(spark: SparkSession, root: str) -> DataFrame:
         except AnalysisException:
             continue
         p = _local(F.col("path"))
-        src = F.regexp_extract(p, "^" + root.replace(".", r"\.") + r"/([^/]+)/", 1)
+        local_root = re.sub(r"^file:(//)?", "", root)
+        src = F.regexp_extract(p, "^" + re.escape(local_root) + r"/([^/]+)/", 1)
         part = f.select(F.col("text").alias("content"), p.alias("file_path"), src.alias("source"),
                         F.lit("audit_report").alias("type"), F.lit(glob[2:]).alias("format")).where(F.col("source") != "")
         out = part if out is None else out.unionByName(part)
