@@ -31,11 +31,6 @@ def is_complete(text) -> Column:
             & t.rlike(r"(?i)Lines?[:\s]*\d+"))
 
 
-def repetition_ok(text, max_ratio: float = 0.30, n: int = 3) -> Column:
-    """Repeated word n-gram ratio (F18) at most max_ratio."""
-    return tx.repeated_ngram_ratio(text, n) <= F.lit(max_ratio)
-
-
 def length_ok(text, lo: int = 500, hi: int = 32_000) -> Column:
     """Lo <= estimated tokens <= hi."""
     tok = tx.token_estimate(text)
@@ -48,15 +43,26 @@ def concise(text, max_tokens: int = 512) -> Column:
 
 
 def quality_flags(df: DataFrame, text: str = "text") -> DataFrame:
-    """D10 steps as flags: completeness, repetition, length; all_pass = all three."""
-    return df.select(
-        "*",
+    """D10 steps as flags: completeness, repetition (word 3-grams), length; all_pass = all three."""
+    cols = df.columns
+    h = tx.with_word_hashes(df, text, "_wh")
+    out = h.select(
+        *cols,
         is_complete(text).alias("complete"),
-        tx.repeated_ngram_ratio(text).alias("repeat_ratio"),
+        tx.repeated_ratio_from_hashes("_wh", 3).alias("repeat_ratio"),
         tx.token_estimate(text).alias("tokens"),
-    ).withColumn("repetition_ok", F.col("repeat_ratio") <= 0.30) \
-     .withColumn("length_ok", (F.col("tokens") >= 500) & (F.col("tokens") <= 32_000)) \
-     .withColumn("all_pass", F.col("complete") & F.col("repetition_ok") & F.col("length_ok"))
+    )
+    return out.withColumn("repetition_ok", F.col("repeat_ratio") <= 0.30) \
+        .withColumn("length_ok", (F.col("tokens") >= 500) & (F.col("tokens") <= 32_000)) \
+        .withColumn("all_pass", F.col("complete") & F.col("repetition_ok") & F.col("length_ok"))
+
+
+def repetition(df: DataFrame, text: str = "text", n: int = 3, max_ratio: float = 0.30) -> DataFrame:
+    """F18 + P23 over whole texts: repeat ratio and the keep flag."""
+    cols = df.columns
+    h = tx.with_word_hashes(df, text, "_wh")
+    r = h.select(*cols, tx.repeated_ratio_from_hashes("_wh", n).alias("repeat_ratio"))
+    return r.withColumn("kept", F.col("repeat_ratio") <= F.lit(max_ratio))
 
 
 def instruct_rows(traces: DataFrame, text: str = "text", max_tokens: int = 512) -> DataFrame:
@@ -77,22 +83,23 @@ def normalized(text) -> Column:
     return tx.strip(F.regexp_replace(F.lower(F.coalesce(tx.col_(text), F.lit(""))), r"(?U)\s+", " "))
 
 
-def ngram_keys(text, n: int = 13) -> Column:
-    """Hashes of every word n-gram of the whole (lower-cased) text, as (h1, h2) pairs."""
-    g = tx.ngrams(F.lower(F.coalesce(tx.col_(text), F.lit(""))), n)
-    return F.transform(g, lambda s: F.struct(F.xxhash64(s).alias("h1"), F.hash(s).alias("h2")))
+def _gram_keys(df: DataFrame, text: str, n: int, keep: list[str]) -> DataFrame:
+    """(keep..., k1, k2) for every word n-gram of the lower-cased whole text."""
+    h = tx.with_word_hashes(df, text, "_wh", lower=True)
+    return h.select(*keep, F.explode(tx.ngram_keys_from_hashes("_wh", n)).alias("g")).select(*keep, "g.k1", "g.k2")
 
 
 def overlap_ids(train: DataFrame, evalset: DataFrame, key: str, text: str = "text",
                 eval_text: str = "text", n: int = 13, broadcast_max: int = BROADCAST_MAX_HASHES) -> DataFrame:
     """Ids of training rows that equal an evaluation item after normalisation, or share a
-    word n-gram with one. Evaluation hashes are deduplicated first; their count decides
-    between a broadcast and a shuffled semi join."""
-    ev = evalset.select(F.explode(ngram_keys(eval_text, n)).alias("g")).select("g.h1", "g.h2").distinct()
+    word n-gram with one. Evaluation n-gram keys are deduplicated first; their count decides
+    between a broadcast and a shuffled semi join. The training side's n-gram keys are
+    streamed through the join and never shuffled when the evaluation side is broadcast."""
+    ev = _gram_keys(evalset, eval_text, n, []).distinct()
     n_keys = ev.count()
     ev_side = F.broadcast(ev) if n_keys <= broadcast_max else ev
-    grams = train.select(key, F.explode(ngram_keys(text, n)).alias("g")).select(key, "g.h1", "g.h2")
-    by_gram = grams.join(ev_side, ["h1", "h2"], "left_semi").select(key)
+    grams = _gram_keys(train, text, n, [key])
+    by_gram = grams.join(ev_side, ["k1", "k2"], "left_semi").select(key)
     exact_ev = evalset.select(F.md5(normalized(eval_text)).alias("norm_md5")).distinct()
     exact = train.select(key, F.md5(normalized(text)).alias("norm_md5")).join(exact_ev, "norm_md5", "left_semi").select(key)
     return by_gram.unionByName(exact).distinct()

@@ -571,9 +571,8 @@ def quality_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F18 + P23: repeated word 3-gram ratio of every whole document; kept when <= 0.30."""
-    d = read_docs(spark, sf_dir)
-    return rounded(d.select("doc_id", tx.repeated_ngram_ratio("text").alias("repeat_ratio"),
-                            fl.repetition_ok("text").alias("kept")))
+    d = read_docs(spark, sf_dir).select("doc_id", "text")
+    return rounded(fl.repetition(d).select("doc_id", "repeat_ratio", "kept"))
 
 
 @query
