@@ -933,3 +933,19 @@ cr AS (SELECT contract_id, text, CASE WHEN len(list_filter(model, lambda x: list
           THEN len(list_filter(model, lambda x: list_contains(gt, x))) / greatest(len(gt), len(model)) ELSE -0.5 END AS base FROM r)
 SELECT contract_id, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS n_tokens,
   round(0.5 * base + 0.5 * (CASE WHEN base > 0 THEN 1.0 ELSE 0.0 END), 9) AS reward, CAST(2 AS BIGINT) AS n_findings FROM cr""")
+
+register_rw("rl_filter_set", f"""SELECT p.contract_id, {FENCE(q(INSTRUCTION), 'c.source_code')} AS prompt, round(p.pass_rate, 9) AS pass_rate,
+  CAST((SELECT count(*) FROM vulns v WHERE v.contract_id = p.contract_id) AS BIGINT) AS n_truth
+FROM pr p JOIN contracts c USING (contract_id) WHERE p.pass_rate <= 0.625""")
+register("severity_match", """
+WITH f0 AS (SELECT contract_id, k, arg_min(severity, block) AS predicted FROM findings GROUP BY contract_id, k),
+t0 AS (SELECT contract_id, severity AS truth FROM vulns WHERE vidx = 0)
+SELECT f0.contract_id, f0.k, f0.predicted, t0.truth, f0.predicted = t0.truth AS match FROM f0 LEFT JOIN t0 USING (contract_id)""")
+register("source_catalogue", """
+SELECT * FROM (VALUES ('documents', (SELECT count(*) FROM documents), true), ('labels', (SELECT count(*) FROM labels), true),
+  ('benchmark', (SELECT count(*) FROM benchmark), true), ('pages', (SELECT count(*) FROM pages), true),
+  ('conversations', (SELECT count(*) FROM conversations), true), ('events', (SELECT count(*) FROM events), true),
+  ('missing_table', CAST(0 AS BIGINT), false)) t(source, n_rows, present)""")
+register("eval_sink_roundtrip", f"""WITH {matched().strip()},{rates_sql('scored').strip()}
+SELECT k, tp, fp, fn, tn, round(f1, 9) AS f1, (SELECT count(*) FROM scored) AS n_results,
+  (SELECT count(*) FROM completions) AS n_records, CAST(6 AS BIGINT) AS n_summary_rows FROM metrics""")

@@ -1135,3 +1135,66 @@ def file_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source", "file_path", F.col("content").alias("source_code"))
     return contracts.unionByName(exploits, allowMissingColumns=True).unionByName(reports, allowMissingColumns=True) \
         .select("source", F.length("source_code").cast("long").alias("length"), "year")
+
+
+# ---------------------------------------------------------------------------
+# Remaining inventory items: D08, F22, S10, S14-S16
+# ---------------------------------------------------------------------------
+
+@query
+def rl_filter_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts whose completions pass the verifier at most 62.5% of the time, with the
+    zero-shot prompt and the ground truth."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    kept = sc.difficulty_filter(sc.pass_rates(comp, con))
+    j = kept.join(con.select("contract_id", "source_code", "vulnerabilities"), "contract_id")
+    return rounded(j.select("contract_id", fm.zero_shot_prompt("source_code").alias("prompt"), "pass_rate",
+                            F.size("vulnerabilities").cast("long").alias("n_truth")))
+
+
+@query
+def severity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """severity of each answer's first finding against the first truth row's severity."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    j = sc.with_truth(comp, con)
+    first = F.get(ev.findings_array("text"), 0)
+    truth = F.get(F.col("vulnerabilities"), 0)["severity"]
+    return j.select("contract_id", "k", first["severity"].alias("predicted"), truth.alias("truth"),
+                    (first["severity"] == truth).alias("match")).where(F.col("predicted").isNotNull())
+
+
+@query
+def source_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10 + A01: the provided tables as a catalogue (present or not) with their row counts."""
+    names = ["documents", "labels", "benchmark", "pages", "conversations", "events", "missing_table"]
+    catalogue = cat.source_catalogue(spark, sf_dir, [(n, f"{n}.parquet") for n in names])
+    present = [n for n in names if n != "missing_table"]
+    rows = None
+    for n in present:
+        part = read_table(spark, sf_dir, n).select(F.lit(n).alias("source"))
+        rows = part if rows is None else rows.unionByName(part)
+    counts = cat.source_counts(rows, catalogue)
+    return counts.join(catalogue.select("source", "present"), "source")
+
+
+@query
+def eval_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S15 + S14 + S16: evaluation metrics and per-answer results written as two tables,
+    answers appended as JSON records, a run summary appended twice; metrics read back."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/evalsink-{uuid.uuid4().hex}"
+    comp, con = _eval_inputs(spark, sf_dir)
+    scored = ev.score_answers(comp, con).select("contract_id", "k", "tp", "fp", "fn", "n_pred")
+    metrics = ev.evaluate(comp, con)
+    sk.write_evaluation(metrics, scored, base)
+    sk.append_records(comp.select("contract_id", "k", "text"), f"{base}/records")
+    summ = rn.run_summary(_log(spark, sf_dir))
+    sk.append_run_summary(summ, f"{base}/runs")
+    sk.append_run_summary(summ, f"{base}/runs")
+    back = spark.read.parquet(f"{base}/metrics")
+    n_results = spark.read.parquet(f"{base}/results").count()
+    n_records = spark.read.json(f"{base}/records").count()
+    n_runs = spark.read.parquet(f"{base}/runs").count()
+    return rounded(back.select("k", "tp", "fp", "fn", "tn", "f1",
+                               F.lit(n_results).cast("long").alias("n_results"),
+                               F.lit(n_records).cast("long").alias("n_records"),
+                               F.lit(n_runs).cast("long").alias("n_summary_rows")))

@@ -16,10 +16,11 @@ SOURCE_PATHS = [
 ]
 
 
-def source_catalogue(spark: SparkSession, data_dir: str) -> DataFrame:
-    """One row per known source with its path and whether it is present."""
+def source_catalogue(spark: SparkSession, data_dir: str, paths=None) -> DataFrame:
+    """One row per known source with its path and whether it is present (the checks are
+    file listings, one per source; the catalogue itself is a handful of rows)."""
     rows = [(name, f"{data_dir.rstrip('/')}/{rel}", exists(spark, f"{data_dir.rstrip('/')}/{rel}"))
-            for name, rel in SOURCE_PATHS]
+            for name, rel in (paths or SOURCE_PATHS)]
     return spark.createDataFrame(rows, "source string, path string, present boolean")
 
 
