@@ -49,7 +49,7 @@ def quality_flags(df: DataFrame, text: str = "text") -> DataFrame:
     out = h.select(
         *cols,
         is_complete(text).alias("complete"),
-        tx.repeated_ratio_from_hashes("_wh", 3).alias("repeat_ratio"),
+        tx.repeated_ratio_vectorized("_wh", 3).alias("repeat_ratio"),
         tx.token_estimate(text).alias("tokens"),
     )
     return out.withColumn("repetition_ok", F.col("repeat_ratio") <= 0.30) \
@@ -61,7 +61,7 @@ def repetition(df: DataFrame, text: str = "text", n: int = 3, max_ratio: float =
     """F18 + P23 over whole texts: repeat ratio and the keep flag."""
     cols = df.columns
     h = tx.with_word_hashes(df, text, "_wh")
-    r = h.select(*cols, tx.repeated_ratio_from_hashes("_wh", n).alias("repeat_ratio"))
+    r = h.select(*cols, tx.repeated_ratio_vectorized("_wh", n).alias("repeat_ratio"))
     return r.withColumn("kept", F.col("repeat_ratio") <= F.lit(max_ratio))
 
 
@@ -86,7 +86,7 @@ def normalized(text) -> Column:
 def _gram_keys(df: DataFrame, text: str, n: int, keep: list[str]) -> DataFrame:
     """(keep..., k1, k2) for every word n-gram of the lower-cased whole text."""
     h = tx.with_word_hashes(df, text, "_wh", lower=True)
-    return h.select(*keep, F.explode(tx.ngram_keys_from_hashes("_wh", n)).alias("g")).select(*keep, "g.k1", "g.k2")
+    return h.select(*keep, F.explode(tx.ngram_keys_vectorized("_wh", n)).alias("g")).select(*keep, "g.k1", "g.k2")
 
 
 def overlap_ids(train: DataFrame, evalset: DataFrame, key: str, text: str = "text",
