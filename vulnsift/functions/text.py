@@ -1,6 +1,7 @@
 """Column -> Column text helpers.
 
-All are built-in Spark expressions, so they stay inside whole-stage codegen.
+Built-in Spark expressions, except the two n-gram key helpers at the end, which are
+Arrow-batched numpy UDFs over already-hashed word arrays.
 """
 
 from __future__ import annotations
@@ -20,10 +21,6 @@ from vulnsift.schemas import (
     UNKNOWN_SWC,
 )
 
-# Python-style whitespace trim (str.strip); Spark's trim only removes spaces.
-_STRIP = r"^(?U)\s+|(?U)\s+$"
-
-
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 

@@ -7,7 +7,8 @@ shuffles, an id range for source order). Then:
 
 1. ``groupBy(group, bucket)`` counts (and sums) — pre-aggregated map-side, tiny output;
 2. a window over that tiny table gives each bucket its offset (rows / measure before it);
-3. the offsets are broadcast — their size is bounded by (#groups × #buckets), a parameter;
+3. the offsets are broadcast — their size is bounded by #groups × buckets per group (4096 hash
+   buckets, or at most MAX_BUCKETS id buckets: the width comes from the key range);
 4. ``row_number`` / running sums run *within* each bucket, so the largest task holds one
    bucket (at most ``id_width`` rows for id buckets; about n / 16^hex_digits for hash
    buckets), never a whole group.
@@ -25,7 +26,19 @@ from pyspark.sql import functions as F
 from vulnsift.schemas import TRAIN_SPLIT
 
 DEFAULT_HEX_DIGITS = 3  # 4096 hash buckets
-DEFAULT_ID_WIDTH = 1 << 16  # ids per source-order bucket
+DEFAULT_ID_WIDTH = 1 << 16  # ids per source-order bucket when no width is derived
+MAX_BUCKETS = 1 << 16  # cap on id buckets per leading key (bounds the broadcast offsets)
+
+
+def id_width(df: DataFrame, key: str, max_buckets: int = MAX_BUCKETS, per_value: int = 1) -> int:
+    """Bucket width over a unique integer key such that the id range splits into at most
+    `max_buckets / per_value` buckets (one scalar aggregate). Buckets then hold at most
+    `width` rows each, and the offsets table stays bounded by `max_buckets` (+ per_value)."""
+    lo, hi = df.agg(F.min(key), F.max(key)).first()
+    if lo is None:
+        return 1
+    span = int(hi) - int(lo) + 1
+    return max(1, -(-span * max(1, per_value) // max_buckets))
 
 
 def shuffle_key(seed: int, key: Column) -> Column:
@@ -92,8 +105,11 @@ def train_validation_split(df: DataFrame, key: str, seed: int = 42, train_split:
 
 
 def source_order_rank(df: DataFrame, source_rank: str, key: str, group: Sequence[str] = (),
-                      measure: str | None = None, width: int = DEFAULT_ID_WIDTH) -> DataFrame:
-    """Rank in (source_rank, key) order — the engine's stand-in for file order."""
+                      measure: str | None = None, width: int | None = None) -> DataFrame:
+    """Rank in (source_rank, key) order — the engine's stand-in for file order. The id bucket
+    width is derived from the key range unless given."""
+    if width is None:
+        width = id_width(df, key)
     return exact_rank(df, id_bucket(F.col(source_rank), F.col(key), width), [F.col(source_rank), F.col(key)],
                       group, measure)
 

@@ -160,7 +160,9 @@ def tercile(df: DataFrame, value: str, key_id: Column, name: str = "bucket") ->
     """ntile(3) over (value, id) without a one-task window: exact rank by (value, id)
     buckets, then the ntile formula (the first n % 3 tiles hold one extra row)."""
     d = df.withColumn("_id", key_id)
-    r = od.exact_rank(d, od.id_bucket(F.col(value), F.col("_id")), [F.col(value), F.col("_id")])
+    n_values = d.agg(F.count_distinct(value)).first()[0]
+    width = od.id_width(d, "_id", per_value=n_values or 1)
+    r = od.exact_rank(d, od.id_bucket(F.col(value), F.col("_id"), width), [F.col(value), F.col("_id")])
     n, k = F.col("group_size"), F.col("rank")
     q, rem = F.floor(n / 3), n % 3
     big = rem * (q + 1)

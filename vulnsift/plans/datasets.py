@@ -220,6 +220,6 @@ def mixture_sample(contracts: DataFrame, mix: DataFrame, component_pools: DataFr
     q = mix.select("component", F.floor(F.lit(float(num_samples)) * F.col("ratio")).cast("long").alias("quota"))
     pools = F.broadcast(component_pools.join(q, "component"))
     c = contracts.select("contract_id", "source", pool_rank(F.col("source")).alias("source_rank")).join(pools, "source")
-    r = od.exact_rank(c, od.id_bucket(F.col("source_rank"), F.col("contract_id")),
+    r = od.exact_rank(c, od.id_bucket(F.col("source_rank"), F.col("contract_id"), od.id_width(c, "contract_id")),
                       [F.col("source_rank"), F.col("contract_id")], group=["component"])
     return r.where(F.col("rank") <= F.col("quota")).select("component", "contract_id", "source", "rank", "quota")
