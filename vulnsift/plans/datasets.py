@@ -31,11 +31,28 @@ from vulnsift.schemas import (
 VULN_TYPE = ("array<struct<" + ",".join(f"{f}:string" for f in VULN_FIELDS) + ">>")
 
 
-def _ranked_pool(contracts: DataFrame, sources: Sequence[str], limit: int | None) -> DataFrame:
+def pool_stats(contracts: DataFrame) -> dict:
+    """Rows and id range per source in one aggregate (a handful of rows on the driver)."""
+    rows = contracts.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("contract_id").alias("lo"),
+                                           F.max("contract_id").alias("hi")).collect()
+    return {r["source"]: (r["n"], r["lo"], r["hi"]) for r in rows}
+
+
+def _width(stats: dict | None, sources: Sequence[str]) -> int | None:
+    if stats is None:
+        return None
+    present = [stats[s] for s in sources if s in stats]
+    if not present:
+        return 1
+    span = max(h for _, _, h in present) - min(lo for _, lo, _ in present) + 1
+    return max(1, -(-span // od.MAX_BUCKETS))
+
+
+def _ranked_pool(contracts: DataFrame, sources: Sequence[str], limit: int | None, stats: dict | None = None) -> DataFrame:
     """Ids of a pool in (source rank, contract id) order, first `limit` rows (all if None)."""
     p = contracts.where(F.col("source").isin(*sources)).select(
         "contract_id", "source", pool_rank(F.col("source")).alias("source_rank"))
-    r = od.source_order_rank(p, "source_rank", "contract_id")
+    r = od.source_order_rank(p, "source_rank", "contract_id", width=_width(stats, sources))
     return r if limit is None else r.where(F.col("rank") <= F.lit(int(limit)))
 
 
@@ -49,8 +66,9 @@ def sft_selection(contracts: DataFrame, num_samples: int | None = None,
                   vuln_ratio: float = SFT_VULN_RATIO, clean_ratio: float = SFT_CLEAN_RATIO) -> DataFrame:
     """O02 + W10: vulnerable int(N*0.4) curated first then tabular; clean int(N*0.2) unlabelled."""
     n = num_samples or 10000
-    vul = _ranked_pool(contracts, ["curated", "tabular"], od.quota(n, vuln_ratio)).withColumn("as_vulnerable", F.lit(True))
-    cln = _ranked_pool(contracts, ["unlabelled"], od.quota(n, clean_ratio)).withColumn("as_vulnerable", F.lit(False))
+    st = pool_stats(contracts)
+    vul = _ranked_pool(contracts, ["curated", "tabular"], od.quota(n, vuln_ratio), st).withColumn("as_vulnerable", F.lit(True))
+    cln = _ranked_pool(contracts, ["unlabelled"], od.quota(n, clean_ratio), st).withColumn("as_vulnerable", F.lit(False))
     return vul.unionByName(cln).select("contract_id", "source", "as_vulnerable")
 
 
@@ -98,12 +116,16 @@ def dpo_clean_count(n_vuln: int, num_samples: int | None, supply: int, share: fl
 
 def dpo_selection(contracts: DataFrame, num_samples: int | None = None) -> DataFrame:
     """P21 + O03: labelled contracts with a non-empty list (up to N), then clean fill."""
-    lab = contracts.where((F.col("source") == "curated") & (F.size("vulnerabilities") > 0))
-    lab_r = _ranked_pool(lab, ["curated"], num_samples)
-    n_vuln = lab_r.count()
-    supply = contracts.where(F.col("source") == "unlabelled").count()
+    tagged = contracts.withColumn(
+        "source", F.when((F.col("source") == "curated") & (F.size("vulnerabilities") > 0), F.lit("curated"))
+        .when(F.col("source") == "curated", F.lit("curated_unlabelled")).otherwise(F.col("source")))
+    st = pool_stats(tagged)
+    n_lab = st.get("curated", (0, 0, 0))[0]
+    n_vuln = min(n_lab, num_samples) if num_samples else n_lab
+    supply = st.get("unlabelled", (0, 0, 0))[0]
     n_clean = dpo_clean_count(n_vuln, num_samples, supply)
-    cln_r = _ranked_pool(contracts, ["unlabelled"], n_clean)
+    lab_r = _ranked_pool(tagged, ["curated"], num_samples, st)
+    cln_r = _ranked_pool(tagged, ["unlabelled"], n_clean, st)
     return (lab_r.withColumn("pair_kind", F.lit("missed"))
             .unionByName(cln_r.withColumn("pair_kind", F.lit("false_positive")))
             .select("contract_id", "source", "pair_kind"))
@@ -156,9 +178,10 @@ def build_cpt(contracts: DataFrame, reports: DataFrame, target_tokens: float = 2
 
 def build_rl_prompts(contracts: DataFrame, num_prompts: int = 1000, seed: int = 42) -> DataFrame:
     """Labelled up to N, unlabelled fills the rest, seeded shuffle, first N."""
-    lab = _ranked_pool(contracts, ["curated"], num_prompts)
-    n_lab = lab.count()
-    fill = _ranked_pool(contracts, ["unlabelled"], max(num_prompts - n_lab, 0))
+    st = pool_stats(contracts)
+    lab = _ranked_pool(contracts, ["curated"], num_prompts, st)
+    n_lab = min(st.get("curated", (0, 0, 0))[0], num_prompts)
+    fill = _ranked_pool(contracts, ["unlabelled"], max(num_prompts - n_lab, 0), st)
     sel = lab.unionByName(fill).select("contract_id", "source")
     shuffled = od.seeded_shuffle(sel, "contract_id", seed).where(F.col("rank") <= num_prompts)
     full = _with_code(shuffled, contracts, ("source_code", "vulnerabilities"))
