@@ -7,8 +7,8 @@ shuffles, an id range for source order). Then:
 
 1. ``groupBy(group, bucket)`` counts (and sums) — pre-aggregated map-side, tiny output;
 2. a window over that tiny table gives each bucket its offset (rows / measure before it);
-3. the offsets are broadcast — their size is bounded by #groups × buckets per group (4096 hash
-   buckets, or at most MAX_BUCKETS id buckets: the width comes from the key range);
+3. the offsets are broadcast — their size is bounded by #groups × buckets per group (65,536 hash
+   buckets at 4 hex digits, or at most MAX_BUCKETS id buckets: the width comes from the key range);
 4. ``row_number`` / running sums run *within* each bucket, so the largest task holds one
    bucket (at most ``id_width`` rows for id buckets; about n / 16^hex_digits for hash
    buckets), never a whole group.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vulnsift.schemas import TRAIN_SPLIT
 
-DEFAULT_HEX_DIGITS = 3  # 4096 hash buckets
+DEFAULT_HEX_DIGITS = 4  # 65,536 hash buckets: ~1.5e7 rows per window task at 1e12 rows
 DEFAULT_ID_WIDTH = 1 << 16  # ids per source-order bucket when no width is derived
 MAX_BUCKETS = 1 << 16  # cap on id buckets per leading key (bounds the broadcast offsets)
 
