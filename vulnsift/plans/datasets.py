@@ -56,7 +56,15 @@ def _ranked_pool(contracts: DataFrame, sources: Sequence[str], limit: int | None
     return r if limit is None else r.where(F.col("rank") <= F.lit(int(limit)))
 
 
-def _with_code(ids: DataFrame, contracts: DataFrame, cols=("source_code",)) -> DataFrame:
+BROADCAST_MAX_IDS = 2_000_000  # chosen ids (a few columns each) broadcast below this bound
+
+
+def _with_code(ids: DataFrame, contracts: DataFrame, cols=("source_code",), max_rows: int | None = None) -> DataFrame:
+    """Join the (small, quota-bounded) selection back to the text. When the selection's row
+    bound `max_rows` is within BROADCAST_MAX_IDS the ids are broadcast, so the large text side
+    streams through the join unshuffled; otherwise a shuffle join."""
+    if max_rows is not None and max_rows <= BROADCAST_MAX_IDS:
+        ids = F.broadcast(ids)
     return ids.join(contracts.select("contract_id", *cols), "contract_id")
 
 
@@ -81,7 +89,9 @@ def build_sft(contracts: DataFrame, variant: str = "THINK", num_samples: int | N
     """
     sel = sft_selection(contracts, num_samples)
     split = od.train_validation_split(sel, "contract_id", seed, train_split)
-    full = _with_code(split, contracts, ("source_code", "vulnerabilities"))
+    n = num_samples or 10000
+    full = _with_code(split, contracts, ("source_code", "vulnerabilities"),
+                      od.quota(n, SFT_VULN_RATIO) + od.quota(n, SFT_CLEAN_RATIO))
     vulns = F.when(F.col("as_vulnerable"), F.col("vulnerabilities")).otherwise(F.array().cast(VULN_TYPE))
     instruction = fm.sft_instruction(include_system_prompt)
     output = fm.sft_output(vulns, F.col("as_vulnerable"))
@@ -141,7 +151,7 @@ def build_dpo(contracts: DataFrame, num_samples: int | None = None, seed: int =
     """(true finding, none) for labelled; (none, fixed false finding) for clean; P05/P06."""
     sel = dpo_selection(contracts, num_samples)
     split = od.train_validation_split(sel, "contract_id", seed, train_split)
-    full = _with_code(split, contracts, ("source_code", "vulnerabilities"))
+    full = _with_code(split, contracts, ("source_code", "vulnerabilities"), num_samples)
     missed = F.col("pair_kind") == "missed"
     chosen = F.when(missed, fm.analysis_text("vulnerabilities")).otherwise(F.lit(NO_VULNERABILITY_OUTPUT))
     rejected = F.when(missed, F.lit(NO_VULNERABILITY_OUTPUT)).otherwise(fm.analysis_text(false_finding()))
@@ -184,7 +194,7 @@ def build_rl_prompts(contracts: DataFrame, num_prompts: int = 1000, seed: int =
     fill = _ranked_pool(contracts, ["unlabelled"], max(num_prompts - n_lab, 0), st)
     sel = lab.unionByName(fill).select("contract_id", "source")
     shuffled = od.seeded_shuffle(sel, "contract_id", seed).where(F.col("rank") <= num_prompts)
-    full = _with_code(shuffled, contracts, ("source_code", "vulnerabilities"))
+    full = _with_code(shuffled, contracts, ("source_code", "vulnerabilities"), num_prompts)
     has = F.col("source") == "curated"
     return full.select(
         "contract_id", "rank",

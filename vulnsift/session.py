@@ -13,10 +13,14 @@ TABLES = (
 )
 
 
-def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "vulnsift") -> SparkSession:
+def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "vulnsift",
+                conf: dict | None = None) -> SparkSession:
     """Session for tests and local runs. On a cluster the caller's session is used as is."""
+    builder = SparkSession.builder
+    for k, v in (conf or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
