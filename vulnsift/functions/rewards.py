@@ -21,19 +21,23 @@ def truth_numbers(truth_swcs) -> Column:
     return F.transform(tx.col_(truth_swcs), lambda s: F.replace(F.coalesce(s, F.lit("")), F.lit("SWC-"), F.lit("")))
 
 
-def class_reward(text, truth_swcs, model: Column | None = None, gt: Column | None = None) -> Column:
+def class_reward(text, truth_swcs, model: Column | None = None, gt: Column | None = None,
+                 has_none: Column | None = None) -> Column:
     """+1/-1 on a clean contract; on a vulnerable one m/max(n_truth, n_pred) with duplicates
     counted, -0.5 on a wrong class, -1 when no class is given.
 
-    ``model`` / ``gt`` may be passed as already-computed columns (reward dialect classes and
-    truth class numbers) so a plan evaluates each regex once."""
-    t = F.coalesce(tx.col_(text), F.lit(""))
-    model = tx.classes_reward_dialect(t) if model is None else model
+    ``model`` / ``gt`` / ``has_none`` may be passed as already-computed columns (reward dialect
+    classes, truth class numbers, 'none' in the lower-cased text) so a plan evaluates each regex
+    once and can compute the text features before a join."""
+    if model is None or has_none is None:
+        t = F.coalesce(tx.col_(text), F.lit(""))
+        model = tx.classes_reward_dialect(t) if model is None else model
+        has_none = F.lower(t).contains("none") if has_none is None else has_none
     gt = truth_numbers(truth_swcs) if gt is None else gt
     m = F.size(F.filter(model, lambda x: F.array_contains(gt, x)))
     return (
         F.when(F.size(gt) == 0,
-               F.when((F.size(model) == 0) | F.lower(t).contains("none"), F.lit(1.0)).otherwise(F.lit(-1.0)))
+               F.when((F.size(model) == 0) | has_none, F.lit(1.0)).otherwise(F.lit(-1.0)))
         .when(F.size(model) == 0, F.lit(-1.0))
         .when(m > 0, m / F.greatest(F.size(gt), F.size(model)))
         .otherwise(F.lit(-0.5))
@@ -140,19 +144,37 @@ def total_reward(cls: Column, line: Column, fmt: Column, tool: Column | None = N
 
 # --- F11: filter verifier ----------------------------------------------------------
 
-def filter_verifier(text, truth_swcs) -> Column:
-    """0/1 reward of the difficulty filter (filter dialect of the class)."""
-    t = F.coalesce(tx.col_(text), F.lit(""))
-    got = tx.class_filter_dialect(t)
+def filter_verifier(text, truth_swcs, got: Column | None = None, no_vuln: Column | None = None) -> Column:
+    """0/1 reward of the difficulty filter (filter dialect of the class). `got` / `no_vuln`
+    may be passed as precomputed text features."""
+    if got is None or no_vuln is None:
+        t = F.coalesce(tx.col_(text), F.lit(""))
+        got = tx.class_filter_dialect(t) if got is None else got
+        no_vuln = F.lower(t).contains("no vulnerability") if no_vuln is None else no_vuln
     gt = tx.col_(truth_swcs)
     return (
         F.when(got.isNull(), F.lit(0.0))
         .when(F.array_contains(gt, got), F.lit(1.0))
-        .when((F.size(gt) == 0) & ((got == "None") | F.lower(t).contains("no vulnerability")), F.lit(1.0))
+        .when((F.size(gt) == 0) & ((got == "None") | no_vuln), F.lit(1.0))
         .otherwise(F.lit(0.0))
     )
 
 
+def text_features(text) -> list[Column]:
+    """Everything the rewards need from an answer's text, computed before any join so that
+    shuffles carry these small values instead of the text."""
+    t = F.coalesce(tx.col_(text), F.lit(""))
+    low = F.lower(t)
+    return [
+        tx.classes_reward_dialect(t).alias("_model"),
+        low.contains("none").alias("_has_none"),
+        predicted_intervals(t).alias("_pred_iv"),
+        format_reward(t).alias("format_reward"),
+        tx.class_filter_dialect(t).alias("_got"),
+        low.contains("no vulnerability").alias("_no_vuln"),
+    ]
+
+
 # --- F15 / F16 / F17 / F19 (specification rewards) ---------------------------------
 
 def spec_detection_reward(text, truth_swc: Column, truth_lines: Column, truth_severity: Column,

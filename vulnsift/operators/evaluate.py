@@ -94,13 +94,14 @@ def score_answers(completions: DataFrame, contracts: DataFrame, strict: bool = T
     per-row array algebra.
     """
     c = contracts.select("contract_id", "is_vulnerable", "vulnerabilities")
-    j = completions.join(c, "contract_id")
     pred = predicted_classes("text")
     truth = truth_classes()
     if not strict:
         pred = F.transform(pred, category)
         truth = F.transform(truth, category)
-    j = j.withColumn("pred", F.array_distinct(pred)).withColumn("truth", F.array_distinct(truth))
+    # predicted classes are computed before the join: the shuffle carries them, not the text
+    p = completions.select("contract_id", "k", *keep, F.array_distinct(pred).alias("pred"))
+    j = p.join(c, "contract_id").withColumn("truth", F.array_distinct(truth))
     return j.select(
         "contract_id", "k", "is_vulnerable",
         F.size(F.array_intersect("pred", "truth")).alias("tp"),
@@ -161,7 +162,8 @@ def class_hits(scored: DataFrame) -> DataFrame:
 def per_class_recall(completions: DataFrame, contracts: DataFrame, by=("k",)) -> DataFrame:
     """Tp / fn per true class, per truth row (not distinct); recall = tp/(tp+fn)."""
     c = contracts.select("contract_id", truth_classes().alias("truth_rows"))
-    j = completions.join(c, "contract_id").withColumn("pred", predicted_classes("text"))
+    p = completions.select("contract_id", "k", predicted_classes("text").alias("pred"))
+    j = p.join(c, "contract_id")
     hits = class_hits(j)
     agg = hits.groupBy(*by, "swc_id").agg(
         F.count_if("hit").alias("tp"),

@@ -24,20 +24,22 @@ def with_truth(completions: DataFrame, contracts: DataFrame, key: str = "contrac
     return completions.join(c, key, "left").withColumn("vulnerabilities", F.coalesce("vulnerabilities", empty))
 
 
-def score_rollouts(completions: DataFrame, contracts: DataFrame, tool_col: str | None = None) -> DataFrame:
-    """Class, line, format and total reward per completion."""
-    j = with_truth(completions, contracts).select(
+def score_rollouts(completions: DataFrame, contracts: DataFrame, tool_col: str | None = None,
+                   keep_text: bool = False) -> DataFrame:
+    """Class, line, format and total reward per completion.
+
+    Text features are computed on the completion side before the truth join; the text itself
+    is dropped there, so the join shuffles small arrays, not answers."""
+    keep = [c for c in completions.columns if c != "text" or keep_text]
+    feats = completions.select(*keep, *rw.text_features("text"))
+    j = with_truth(feats, contracts).select(
         "*",
-        tx.classes_reward_dialect("text").alias("_model"),
         rw.truth_numbers(truth_classes("vulnerabilities", default="")).alias("_gt"),
-        rw.predicted_intervals("text").alias("_pred_iv"),
         rw.truth_intervals("vulnerabilities").alias("_truth_iv"),
     )
-    cls = rw.class_reward("text", None, F.col("_model"), F.col("_gt"))
-    line = rw.line_reward("text", "vulnerabilities", F.col("_pred_iv"), F.col("_truth_iv"))
-    fmt = rw.format_reward("text")
-    out = j.select(*completions.columns, "vulnerabilities", cls.alias("class_reward"), line.alias("line_reward"),
-                   fmt.alias("format_reward"))
+    cls = rw.class_reward(None, None, F.col("_model"), F.col("_gt"), F.col("_has_none"))
+    line = rw.line_reward(None, "vulnerabilities", F.col("_pred_iv"), F.col("_truth_iv"))
+    out = j.select(*keep, "vulnerabilities", cls.alias("class_reward"), line.alias("line_reward"), "format_reward")
     tool = F.col(tool_col) if tool_col else None
     return out.withColumn("reward", rw.total_reward(F.col("class_reward"), F.col("line_reward"),
                                                      F.col("format_reward"), tool))
@@ -66,16 +68,18 @@ def drop_zero_gradient(with_adv: DataFrame) -> DataFrame:
 
 def pass_rates(completions: DataFrame, contracts: DataFrame, key: str = "contract_id") -> DataFrame:
     """A05 + A06: mean 0/1 verifier reward over non-empty completions per prompt (prompts with
-    none are dropped), and the share of completions whose combined reward is > 0."""
-    j = with_truth(completions.where(F.coalesce(F.col("text"), F.lit("")) != ""), contracts, key)
+    none are dropped), and the share of completions whose combined reward is > 0. Text
+    features are computed before the truth join."""
+    nonempty = completions.where(F.coalesce(F.col("text"), F.lit("")) != "")
+    feats = nonempty.select(key, *rw.text_features("text"))
+    j = with_truth(feats, contracts, key)
     swcs = truth_classes("vulnerabilities", default="")
-    j = j.select("*", rw.filter_verifier("text", swcs).alias("verified"),
-                 tx.classes_reward_dialect("text").alias("_model"), rw.truth_numbers(swcs).alias("_gt"),
-                 rw.predicted_intervals("text").alias("_pred_iv"), rw.truth_intervals("vulnerabilities").alias("_truth_iv"))
+    j = j.select("*", rw.filter_verifier(None, swcs, F.col("_got"), F.col("_no_vuln")).alias("verified"),
+                 rw.truth_numbers(swcs).alias("_gt"), rw.truth_intervals("vulnerabilities").alias("_truth_iv"))
     j = j.withColumn("reward", rw.total_reward(
-        rw.class_reward("text", None, F.col("_model"), F.col("_gt")),
-        rw.line_reward("text", "vulnerabilities", F.col("_pred_iv"), F.col("_truth_iv")),
-        rw.format_reward("text")))
+        rw.class_reward(None, None, F.col("_model"), F.col("_gt"), F.col("_has_none")),
+        rw.line_reward(None, "vulnerabilities", F.col("_pred_iv"), F.col("_truth_iv")),
+        F.col("format_reward")))
     return j.groupBy(key).agg(
         F.avg("verified").alias("pass_rate"),
         F.avg((F.col("reward") > 0).cast("double")).alias("positive_share"),

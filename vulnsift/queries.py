@@ -498,7 +498,8 @@ def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def rl_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P07 (long form): prompt, response, reward and the group's number of responses."""
-    s = _scored(spark, sf_dir).select("contract_id", "k", F.col("text").alias("response"), "reward")
+    comp, con = _eval_inputs(spark, sf_dir)
+    s = sc.score_rollouts(comp, con, keep_text=True).select("contract_id", "k", F.col("text").alias("response"), "reward")
     n = s.groupBy("contract_id").agg(F.count(F.lit(1)).alias("num_responses"))
     return rounded(s.join(n, "contract_id"))
 
