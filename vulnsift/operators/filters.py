@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vulnsift.functions import formats as fm
 from vulnsift.functions import text as tx
+from vulnsift.session import spread
 
 BROADCAST_MAX_HASHES = 20_000_000  # ~ 320 MB of (long, int) keys
 
@@ -57,10 +58,11 @@ def quality_flags(df: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("all_pass", F.col("complete") & F.col("repetition_ok") & F.col("length_ok"))
 
 
-def repetition(df: DataFrame, text: str = "text", n: int = 3, max_ratio: float = 0.30) -> DataFrame:
+def repetition(df: DataFrame, text: str = "text", n: int = 3, max_ratio: float = 0.30,
+               key: str | None = None) -> DataFrame:
     """F18 + P23 over whole texts: repeat ratio and the keep flag."""
     cols = df.columns
-    h = tx.with_word_hashes(df, text, "_wh")
+    h = tx.with_word_hashes(spread(df, key) if key else df, text, "_wh")
     r = h.select(*cols, tx.repeated_ratio_vectorized("_wh", n).alias("repeat_ratio"))
     return r.withColumn("kept", F.col("repeat_ratio") <= F.lit(max_ratio))
 
@@ -98,7 +100,7 @@ def overlap_ids(train: DataFrame, evalset: DataFrame, key: str, text: str = "tex
     ev = _gram_keys(evalset, eval_text, n, []).distinct()
     n_keys = ev.count()
     ev_side = F.broadcast(ev) if n_keys <= broadcast_max else ev
-    grams = _gram_keys(train, text, n, [key])
+    grams = _gram_keys(spread(train.select(key, text), key), text, n, [key])
     by_gram = grams.join(ev_side, ["k1", "k2"], "left_semi").select(key)
     exact_ev = evalset.select(F.md5(normalized(eval_text)).alias("norm_md5")).distinct()
     exact = train.select(key, F.md5(normalized(text)).alias("norm_md5")).join(exact_ev, "norm_md5", "left_semi").select(key)

@@ -573,7 +573,7 @@ def quality_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F18 + P23: repeated word 3-gram ratio of every whole document; kept when <= 0.30."""
     d = read_docs(spark, sf_dir).select("doc_id", "text")
-    return rounded(fl.repetition(d).select("doc_id", "repeat_ratio", "kept"))
+    return rounded(fl.repetition(d, key="doc_id").select("doc_id", "repeat_ratio", "kept"))
 
 
 @query

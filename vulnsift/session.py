@@ -60,3 +60,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never a local checkpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Before heavy per-row work: if the input has fewer partitions than the cluster's default
+    parallelism (e.g. one large row group), hash-partition it by `key` so every core works.
+    Inputs that already arrive in many splits (the normal case at scale) are left alone, so
+    no shuffle is added there."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
