@@ -48,15 +48,25 @@ def _width(stats: dict | None, sources: Sequence[str]) -> int | None:
     return max(1, -(-span // od.MAX_BUCKETS))
 
 
-def _ranked_pool(contracts: DataFrame, sources: Sequence[str], limit: int | None, stats: dict | None = None) -> DataFrame:
-    """Ids of a pool in (source rank, contract id) order, first `limit` rows (all if None)."""
-    p = contracts.where(F.col("source").isin(*sources)).select(
-        "contract_id", "source", pool_rank(F.col("source")).alias("source_rank"))
-    r = od.source_order_rank(p, "source_rank", "contract_id", width=_width(stats, sources))
-    return r if limit is None else r.where(F.col("rank") <= F.lit(int(limit)))
-
-
-BROADCAST_MAX_IDS = 2_000_000  # chosen ids (a few columns each) broadcast below this bound
+def _ranked_pools(contracts: DataFrame, pools: dict, stats: dict) -> DataFrame:
+    """Several pools ranked in one pass: `pools` maps a pool name to (sources, limit); each
+    contract belongs to the first pool listing its source. One exact rank grouped by pool
+    (a handful of groups) instead of one rank per pool."""
+    kind = None
+    for name, (sources, _) in pools.items():
+        cond = F.col("source").isin(*sources)
+        kind = F.when(cond, F.lit(name)) if kind is None else kind.when(cond, F.lit(name))
+    p = contracts.select("contract_id", "source", pool_rank(F.col("source")).alias("source_rank"),
+                         kind.alias("pool")).where(F.col("pool").isNotNull())
+    all_sources = [src for sources, _ in pools.values() for src in sources]
+    width = _width(stats, all_sources)
+    r = od.exact_rank(p, od.id_bucket(F.col("source_rank"), F.col("contract_id"), width),
+                      [F.col("source_rank"), F.col("contract_id")], group=["pool"])
+    limit = None
+    for name, (_, lim) in pools.items():
+        val = F.lit(int(lim) if lim is not None else (1 << 62))
+        limit = F.when(F.col("pool") == name, val) if limit is None else limit.when(F.col("pool") == name, val)
+    return r.where(F.col("rank") <= limit)
 
 
 def _with_code(ids: DataFrame, contracts: DataFrame, cols=("source_code",), max_rows: int | None = None) -> DataFrame:
@@ -75,9 +85,9 @@ def sft_selection(contracts: DataFrame, num_samples: int | None = None,
     """O02 + W10: vulnerable int(N*0.4) curated first then tabular; clean int(N*0.2) unlabelled."""
     n = num_samples or 10000
     st = pool_stats(contracts)
-    vul = _ranked_pool(contracts, ["curated", "tabular"], od.quota(n, vuln_ratio), st).withColumn("as_vulnerable", F.lit(True))
-    cln = _ranked_pool(contracts, ["unlabelled"], od.quota(n, clean_ratio), st).withColumn("as_vulnerable", F.lit(False))
-    return vul.unionByName(cln).select("contract_id", "source", "as_vulnerable")
+    r = _ranked_pools(contracts, {"vulnerable": (["curated", "tabular"], od.quota(n, vuln_ratio)),
+                                  "clean": (["unlabelled"], od.quota(n, clean_ratio))}, st)
+    return r.select("contract_id", "source", (F.col("pool") == "vulnerable").alias("as_vulnerable"))
 
 
 def build_sft(contracts: DataFrame, variant: str = "THINK", num_samples: int | None = None,
@@ -134,11 +144,9 @@ def dpo_selection(contracts: DataFrame, num_samples: int | None = None) -> DataF
     n_vuln = min(n_lab, num_samples) if num_samples else n_lab
     supply = st.get("unlabelled", (0, 0, 0))[0]
     n_clean = dpo_clean_count(n_vuln, num_samples, supply)
-    lab_r = _ranked_pool(tagged, ["curated"], num_samples, st)
-    cln_r = _ranked_pool(tagged, ["unlabelled"], n_clean, st)
-    return (lab_r.withColumn("pair_kind", F.lit("missed"))
-            .unionByName(cln_r.withColumn("pair_kind", F.lit("false_positive")))
-            .select("contract_id", "source", "pair_kind"))
+    r = _ranked_pools(tagged, {"missed": (["curated"], num_samples),
+                               "false_positive": (["unlabelled"], n_clean)}, st)
+    return r.select("contract_id", "source", F.col("pool").alias("pair_kind"))
 
 
 def false_finding() -> F.Column:
@@ -189,10 +197,9 @@ def build_cpt(contracts: DataFrame, reports: DataFrame, target_tokens: float = 2
 def build_rl_prompts(contracts: DataFrame, num_prompts: int = 1000, seed: int = 42) -> DataFrame:
     """Labelled up to N, unlabelled fills the rest, seeded shuffle, first N."""
     st = pool_stats(contracts)
-    lab = _ranked_pool(contracts, ["curated"], num_prompts, st)
     n_lab = min(st.get("curated", (0, 0, 0))[0], num_prompts)
-    fill = _ranked_pool(contracts, ["unlabelled"], max(num_prompts - n_lab, 0), st)
-    sel = lab.unionByName(fill).select("contract_id", "source")
+    sel = _ranked_pools(contracts, {"labelled": (["curated"], num_prompts),
+                                    "fill": (["unlabelled"], max(num_prompts - n_lab, 0))}, st).select("contract_id", "source")
     shuffled = od.seeded_shuffle(sel, "contract_id", seed).where(F.col("rank") <= num_prompts)
     full = _with_code(shuffled, contracts, ("source_code", "vulnerabilities"), num_prompts)
     has = F.col("source") == "curated"
