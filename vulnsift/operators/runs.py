@@ -102,7 +102,7 @@ def stage_gain(log: DataFrame, min_gain: float = 0.02) -> DataFrame:
 def top_checkpoints(log: DataFrame, k: int = 3) -> DataFrame:
     """The k best steps per run by F1 (ties: earlier step first)."""
     w = Window.partitionBy(*RUN).orderBy(F.desc("f1"), F.asc("step"))
-    return log.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k).select(*RUN, "step", "f1", "pos")
+    return log.withColumn("pos", F.row_number().over(w).cast("long")).where(F.col("pos") <= k).select(*RUN, "step", "f1", "pos")
 
 
 def steps_to_target(log: DataFrame, target: float) -> DataFrame:

@@ -130,7 +130,7 @@ block_fields AS (
 findings AS (
   SELECT contract_id, k, block,
     CASE WHEN swc = '' THEN {f02('vuln_type')} ELSE swc END AS swc_id,
-    cwe_id, vuln_type, severity, lines, explanation, 1.0 AS confidence
+    cwe_id, vuln_type, severity, lines, explanation, CAST(1.0 AS DOUBLE) AS confidence
   FROM (
     SELECT *,
       CASE WHEN swc_raw = '' THEN '' WHEN starts_with(swc_raw, 'SWC') THEN upper(swc_raw) ELSE upper('SWC-' || swc_raw) END AS swc,
@@ -345,8 +345,8 @@ rwt AS (SELECT *, 0.5 * class_reward + 0.3 * line_reward + 0.2 * format_reward A
 adv AS (SELECT *, reward - avg(reward) OVER (PARTITION BY contract_id) AS advantage,
           max(reward) OVER (PARTITION BY contract_id) AS max_r, min(reward) OVER (PARTITION BY contract_id) AS min_r FROM rwt),
 ver AS (
-  SELECT *, CASE WHEN got IS NULL THEN 0.0 WHEN list_contains(gt_swc, got) THEN 1.0
-     WHEN len(gt_swc) = 0 AND (got = 'None' OR contains(lower(text), 'no vulnerability')) THEN 1.0 ELSE 0.0 END AS verified
+  SELECT *, CAST(CASE WHEN got IS NULL THEN 0.0 WHEN list_contains(gt_swc, got) THEN 1.0
+     WHEN len(gt_swc) = 0 AND (got = 'None' OR contains(lower(text), 'no vulnerability')) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS verified
   FROM (SELECT *, CASE WHEN regexp_extract(text, '(?i)SWC[:\\s]*([0-9]{{3}})', 1) = '' THEN NULL
                        ELSE 'SWC-' || regexp_extract(text, '(?i)SWC[:\\s]*([0-9]{{3}})', 1) END AS got FROM rwt)
 ),
