@@ -53,3 +53,9 @@ def text_slices(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[tuple
 def code_points(text: str) -> np.ndarray:
     """Code points of a text as uint32 (lone surrogates kept as they are)."""
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    out = np.sort(values)
+    return out[np.r_[True, out[1:] != out[:-1]]] if len(out) else out

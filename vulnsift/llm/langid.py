@@ -103,13 +103,16 @@ class Model:
 
 def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """At most `per_language` labelled rows of each language outside the held-out fold, those whose id hashes
-    lowest. Ranks are taken over ids alone (the group limit is applied before the shuffle); texts of the
-    chosen ids, which the two parameters bound, are read in a second pass."""
+    lowest. Ranks are taken over ids alone; texts of the chosen ids, which the parameter bounds, are read in a
+    second pass."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language) \
-        .select("doc_id").distinct()
+    # a hash threshold by language first leaves about twice as many rows as are wanted, so no language gathers in a task
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    few = rows.select("lang", "doc_id").join(counts, "lang").where(
+        F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) * F.col("n") < F.lit(2.0 * per_language * (1 << 40)))
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
+    ids = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id").distinct()
     chosen = [r[0] for r in ids.collect()]
     return rows.where(F.col("doc_id").isin(chosen)) if chosen else rows.limit(0)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnsift.llm import langid, packing, quality, secrets
+from vulnsift.llm import decontaminate, fingerprints, langid, licenses, ngram_join, packing, quality, secrets, warc
 from vulnsift.llm.common import read_table, ship_package
 
 
@@ -15,6 +15,23 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of shingle Jaccard similarity 0.8 and more."""
+    ship_package(spark)
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content-defined fingerprint of every document and of its edited text, and their likeness."""
+    ship_package(spark)
+    return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents tokenised and packed into windows of 1024 ids. The rank file holds the same vocabulary
     and ids as byte_bpe_50k.json (tests/llm compares the two)."""
@@ -29,13 +46,27 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found, with edits, in the documents: one row per document, item and place."""
+    ship_package(spark)
+    return decontaminate.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from text and lang outside the held-out fold."""
     ship_package(spark)
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_quality, op6_packing, op7_secrets, op9_language)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back by the salvage reader."""
+    ship_package(spark)
+    return warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages")), with_payload=False) \
+        .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {q.__name__: q for q in (op2_quality, op3_ngram_join, op4_fingerprints, op5_licenses, op6_packing, op7_secrets,
+                                     op8_decontaminate, op9_language, op10_warc)}
 
 #: DuckDB SQL of the queries that SQL can state on whole tables.
 ORACLE_SQL: dict[str, str] = {}
