@@ -53,39 +53,47 @@ def template_words(text: str) -> list[str]:
 
 
 def _keys(docs: DataFrame, id_col: str, text_col: str, stride: int) -> DataFrame:
-    """Rows (id, n, kind, pos, key): kind 0 is a shingle, kind k the min-hash of band k of a window.
-
-    Arrays that lambda functions index are columns used more than once, so that they are computed once per row.
-    """
-    words = docs.select(docs[id_col].alias("id"), F.regexp_extract_all(F.lower(docs[text_col]), F.lit(r"[\p{L}\p{N}]+"), 0).alias("words"))
-    words = words.where(F.size("words") >= SHINGLE)
-    count = F.size("words") - (SHINGLE - 1)
-    arrays = words.select("id", count.alias("n"), F.transform(F.sequence(F.lit(1), count),
-                                                              lambda i: F.xxhash64(F.slice("words", i, SHINGLE))).alias("sh"))
-    # window starts: every `stride`-th shingle, and the last whole window; one short window if there is no whole one
-    n = F.col("n")
+    """Rows (id, n, at, key): all shingle hashes of a text, then the min-hashes of its windows, band by band; `_place`
+    tells which is which. Each array is a column that the next step uses more than once, so that it is computed once
+    per row, and no array is carried through the explode."""
+    words = F.regexp_extract_all(F.lower(docs[text_col]), F.lit(r"[\p{L}\p{N}]+"), 0)
+    n, h = F.col("n"), F.xxhash64
+    rows = docs.select(docs[id_col].alias("id"), F.transform(words, lambda w: h(w)).alias("w"))
+    rows = rows.select("id", "w", F.greatest(F.coalesce(F.size("w"), F.lit(0)) - (SHINGLE - 1), F.lit(0)).alias("n"))
+    # hashes of 2, 4 and 5 words
+    rows = rows.select("id", "w", "n", F.zip_with(F.slice("w", 1, n + 3), F.slice("w", 2, n + 3), lambda x, y: h(x, y)).alias("h2"))
+    rows = rows.select("id", "w", "n", F.zip_with(F.slice("h2", 1, n + 1), F.slice("h2", 3, n + 1), lambda x, y: h(x, y)).alias("h4"))
+    rows = rows.select("id", "n", F.zip_with(F.slice("h4", 1, n), F.slice("w", SHINGLE, n), lambda x, y: h(x, y)).alias("sh"))
     last = F.greatest(n - WINDOW, F.lit(0)) + 1
-    arrays = arrays.select("id", "n", "sh", F.array_union(F.sequence(F.lit(1), last, F.lit(stride)), F.array(last)).alias("st"))
+    # every `stride`-th window, and the last whole one; one short window if there is no whole one
+    rows = rows.select("id", "n", "sh", F.concat(F.sequence(F.lit(1), last, F.lit(stride)), F.array(last)).alias("st"))
 
     def sketch(mask: int) -> Column:
-        return F.transform("st", lambda i: F.array_min(F.transform(F.slice("sh", i, WINDOW), lambda x: x.bitwiseXOR(F.lit(mask).cast("long")))))
+        # element by element: slice() inside a lambda would copy the whole array for every window
+        return F.transform("st", lambda i: F.least(*(F.get("sh", i + (j - 1)).bitwiseXOR(F.lit(mask).cast("long")) for j in range(WINDOW))))
+
+    return rows.select("id", "n", F.posexplode(F.concat("sh", *map(sketch, MASKS))).alias("at", "key"))
+
 
-    flat = arrays.select("id", "n", F.size("st").alias("m"), F.posexplode(F.concat("sh", *(sketch(m) for m in MASKS))).alias("at", "key"))
-    after = F.col("at") - n
-    kind = F.when(after < 0, 0).otherwise(F.floor(after / F.col("m")) + 1).cast("int")
-    at = F.pmod(after, F.col("m"))
-    pos = F.when(after < 0, F.col("at")).otherwise(F.least(at * stride, F.greatest(n - WINDOW, F.lit(0)))).cast("int")
-    return flat.select("id", "n", kind.alias("kind"), pos.alias("pos"), "key")
+def _place(stride: int) -> tuple[Column, Column]:
+    """kind and pos of a key of `_keys`: kind 0 is a shingle and its place, kind k a window's min-hash in band k and the
+    window's first shingle."""
+    whole = F.greatest(F.col("n") - WINDOW, F.lit(0))
+    windows = F.floor(whole / stride).cast("int") + 2
+    after = F.col("at") - F.col("n")
+    return (F.when(after < 0, 0).otherwise(F.floor(after / windows).cast("int") + 1),
+            F.when(after < 0, F.col("at")).otherwise(F.least(F.pmod(after, windows) * stride, whole)).cast("int"))
 
 
 def template_keys(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, size (distinct shingles), kind, idx, key of the fixed templates; a shingle that comes twice counts once."""
-    table = spark.createDataFrame(sorted(templates.items()), "id string, text string")
-    keys = _keys(table, "id", "text", 1)
-    keys = keys.groupBy("id", "kind", "key").agg(F.min("pos").alias("idx"))
-    sizes = keys.where("kind = 0").groupBy("id").agg(F.count("*").alias("size"))
-    return keys.join(F.broadcast(sizes), "id").where((F.col("kind") == 0) | (F.col("size") >= WINDOW)) \
-        .select(F.col("id").alias("license"), "size", F.col("kind").alias("t_kind"), "idx", F.col("key").alias("t_key"))
+    """license, size (distinct shingles), t_kind, idx, t_key of the fixed templates; a shingle that comes twice counts once."""
+    rows = F.array(*(F.struct(F.lit(k).alias("id"), F.lit(v).alias("text")) for k, v in sorted(templates.items())))
+    table = spark.range(1).select(F.inline(rows))
+    kind, pos = _place(1)
+    keys = _keys(table, "id", "text", 1).withColumns({"t_kind": kind, "pos": pos}).groupBy("id", "t_kind", "key").agg(F.min("pos").alias("idx"))
+    sizes = keys.where("t_kind = 0").groupBy("id").agg(F.count("*").alias("size"))
+    return keys.join(F.broadcast(sizes), "id").where((F.col("t_kind") == 0) | (F.col("size") >= WINDOW)) \
+        .select(F.col("id").alias("license"), "size", "t_kind", "idx", F.col("key").alias("t_key"))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,8 +106,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col
     templates are the only broadcast side and a constant of the call.
     """
     keys = template_keys(docs.sparkSession, templates)
-    hits = _keys(docs, id_col, text_col, STRIDE) \
-        .join(F.broadcast(keys), (F.col("key") == F.col("t_key")) & (F.col("kind") == F.col("t_kind"))) \
+    kind, pos = _place(STRIDE)
+    hits = _keys(docs, id_col, text_col, STRIDE).join(F.broadcast(keys), F.col("key") == F.col("t_key")) \
+        .withColumns({"kind": kind, "pos": pos}).where("kind = t_kind") \
         .select(F.col("id").alias("doc_id"), "license", "size", "kind", "pos", "idx").distinct()
     group = Window.partitionBy("doc_id", "license")
     order = group.orderBy("pos", "idx")
