@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from vulnsift.llm.common import distinct, keep_table, rows_of
 
 #: Bytes of text in a block (a longer document is a block of its own).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Stands for a null id inside blocks.
 NO_ID = -(1 << 63)
 

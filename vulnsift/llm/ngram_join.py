@@ -127,11 +127,13 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     def digests(with_body: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                sets = shingle_sets(texts)
-                marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield rows_of(arrow, [batch.column(0), [len(s) for s in sets], marks,
-                                      [squeeze(t, 3) if with_body and len(s) else None for t, s in zip(texts, sets)]])
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    texts = part.column(1).to_pylist()
+                    sets = shingle_sets(texts)
+                    marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                    yield rows_of(arrow, [part.column(0), [len(s) for s in sets], marks,
+                                          [squeeze(t, 3) if with_body and len(s) else None for t, s in zip(texts, sets)]])
         return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, body binary")
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
