@@ -5,10 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnsift.llm import decontaminate, fingerprints, langid, licenses, ngram_join, packing, quality, secrets, warc
+from vulnsift.llm import decontaminate, fingerprints, langid, licenses, ngram_join, packing, quality, secrets, suffix_dedup, warc
 from vulnsift.llm.common import read_table, ship_package
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the 50-byte strings that a document with a smaller id holds too."""
+    ship_package(spark)
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from `labels.quality` outside the held-out fold."""
     ship_package(spark)
@@ -65,7 +71,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {q.__name__: q for q in (op2_quality, op3_ngram_join, op4_fingerprints, op5_licenses, op6_packing, op7_secrets,
+QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_quality, op3_ngram_join, op4_fingerprints, op5_licenses, op6_packing, op7_secrets,
                                      op8_decontaminate, op9_language, op10_warc)}
 
 #: DuckDB SQL of the queries that SQL can state on whole tables.
