@@ -244,3 +244,34 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     found = [search(b) for b in _blocks(benchmark, item_col, item_text_col)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
+
+
+KEPT = "doc_id long, text string, lang string, source string, n_chars long"
+_KEPT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
+
+
+def without_items(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang, source, n_chars) that hold no benchmark item, block of items by block of
+    items: what one block leaves, the next one searches. Null and empty texts stay; rows with equal or null ids are
+    judged one by one."""
+    cast = ("long", "string", "string", "string", "long")
+    rows = docs.select([docs[f.name].cast(t).alias(f.name) for f, t in zip(_KEPT, cast)])
+
+    def clean(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast(build(block))  # of bounded size: BLOCK_CHARS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep, at = np.ones(batch.num_rows, dtype=bool), 0
+                for ids, texts in text_slices(batch, PIECE):
+                    for k, *_ in matches(sent.value, texts):
+                        keep[at + k] = False
+                    at += len(ids)
+                mask = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns], schema=_KEPT)
+
+        return rows.mapInArrow(run, KEPT)
+
+    for block in _blocks(benchmark, item_col, item_text_col):
+        rows = clean(rows, block)
+    return rows

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,6 +138,13 @@ def fit(rows: list[tuple[str, str]], n_landmarks: int = 128, ridge: float = 1e-2
     return Model(languages, marks, (nystrom @ solved).astype(np.float32), sharpness)
 
 
+def _fitted(docs: DataFrame, per_language: int, n_landmarks: int, id_col: str, text_col: str, lang_col: str):
+    """Broadcast of the model fitted on the sample."""
+    taught = [(r["text"], r["lang"]) for r in sample(docs, per_language, id_col, text_col, lang_col)
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_language * 200).collect()]
+    return docs.sparkSession.sparkContext.broadcast(fit(taught, n_landmarks))
+
+
 def identify(docs: DataFrame, per_language: int = 500, n_landmarks: int = 128, id_col: str = "doc_id",
              text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Language of every document: doc_id, held_out, lang_pred, score (probability of lang_pred).
@@ -146,9 +154,7 @@ def identify(docs: DataFrame, per_language: int = 500, n_landmarks: int = 128, i
     broadcast with the tasks and has n_landmarks rows whatever the input's size. Repeated rows and null ids are
     scored like any row; an empty table gives no rows; other columns are not read.
     """
-    taught = [(r["text"], r["lang"]) for r in sample(docs, per_language, id_col, text_col, lang_col)
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_language * 200).collect()]
-    model = docs.sparkSession.sparkContext.broadcast(fit(taught, n_landmarks))
+    model = _fitted(docs, per_language, n_landmarks, id_col, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -160,3 +166,29 @@ def identify(docs: DataFrame, per_language: int = 500, n_landmarks: int = 128, i
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return rows.withColumn("held_out", held_out(F.col("doc_id"))).mapInArrow(run, SCHEMA)
+
+
+KEPT = "doc_id long, text string, lang string, source string, n_chars long"
+_KEPT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
+
+
+def keep_identified(docs: DataFrame, per_language: int = 500, n_landmarks: int = 128) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang, source, n_chars) whose language is known, with `lang` the predicted one.
+
+    `und` goes: a null text, a text without a letter, and every text if no row can teach. Learning and the model's size
+    are those of `identify`. Rows with equal or null ids are judged one by one.
+    """
+    model = _fitted(docs, per_language, n_landmarks, "doc_id", "text", "lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4 * ROWS):
+                part = batch.slice(a, 4 * ROWS)
+                pred = pa.array(m.predict(part.column(1).to_pylist())[0], pa.string())
+                columns = [part.column(0), part.column(1), pred, part.column(3), part.column(4)]
+                keep = pa.compute.not_equal(pred, "und")
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], schema=_KEPT)
+
+    cast = ("long", "string", "string", "string", "long")
+    return docs.select([docs[f.name].cast(t).alias(f.name) for f, t in zip(_KEPT, cast)]).mapInArrow(run, KEPT)
