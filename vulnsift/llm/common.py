@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,13 +19,33 @@ __all__ = ["keep_table", "read_table", "held_out", "rows_of", "text_slices", "sh
 
 def keep_table(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet under the shared checkpoint folder and read it back: cuts the lineage,
-    survives lost executors, and lets several later passes read the same rows."""
+    survives lost executors, and lets several later passes read the same rows. The shuffle files behind
+    it are freed once the table is written."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of each query run in here when that query ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a small intermediate result in the executors' memory and disks. What a lost executor held is
+    computed again from its lineage, which is that of deterministic operators on tables."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 1 modulo 3 (null ids: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

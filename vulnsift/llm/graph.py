@@ -5,18 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnsift.llm.common import keep_table
+from vulnsift.llm.common import keep_table, shuffles_freed
+
+#: Edges in one file of a step's table.
+FILE_EDGES = 500_000
+
+
+def files_for(rows: int) -> int:
+    """Files that so many edges fill."""
+    return max(1, rows // FILE_EDGES)
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    with shuffles_freed(edges.sparkSession):
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every end of the edges (a, b, longs): root is the smallest node reachable.
 
-    Each step keeps its edges as a table in the shared folder; a node with very many neighbours is met as one
-    pre-aggregated minimum, and its neighbours are split by the join. Nothing but two numbers reaches the driver.
+    Each step keeps its edges as a table in the shared folder, in as many files as they fill; a node with very many
+    neighbours is met as one pre-aggregated minimum, and its neighbours are split by the join. Nothing but two numbers of
+    each step reaches the driver.
     """
     now = keep_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
@@ -27,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b") \
             .unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        now = keep_table(small, "edges")
+        now = keep_table(small.coalesce(files_for(mark[0])), "edges")
         before, mark = mark, _mark(now)
         if mark == before:
             break

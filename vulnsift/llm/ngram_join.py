@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnsift.llm.blocks import (bucket_bits, class_of, document_classes, hash_keys, open_block, pack_blocks, squeeze, unsqueeze)
-from vulnsift.llm.common import distinct, keep_table, rows_of
-from vulnsift.llm.graph import components
+from vulnsift.llm.common import distinct, hold, keep_table, rows_of
+from vulnsift.llm.graph import components, files_for
 
 SHINGLE = 5
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
@@ -181,7 +181,7 @@ def near_sets(blocks: DataFrame) -> DataFrame:
                 if out:
                     yield rows_of(_NEAR, list(zip(*out)))
 
-    return keep_table(answered.select("ids", "sizes", "body", "classes").mapInArrow(run, NEAR), "near-sets")
+    return hold(answered.select("ids", "sizes", "body", "classes").mapInArrow(run, NEAR))
 
 
 class Forest:
@@ -298,10 +298,11 @@ def linked(near: DataFrame) -> DataFrame:
     hubs = posts.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
     edges = posts.join(hubs, "token").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
     teams = components(edges).withColumnsRenamed({"node": "doc_id", "root": "team"})
-    state = keep_table(teams.select("doc_id", "team", F.col("doc_id").alias("comp")), "teams")
+    count = teams.count()
+    state = keep_table(teams.select("doc_id", "team", F.col("doc_id").alias("comp")).coalesce(files_for(count)), "teams")
 
     def renamed(found: DataFrame) -> DataFrame:
-        return keep_table(_renamed(state, components(keep_table(found, "links"))), "teams")
+        return keep_table(_renamed(state, components(found)).coalesce(files_for(count)), "teams")
 
     # one document of each component, in pieces, until that brings nothing more together
     apart = None
@@ -344,7 +345,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     without id takes no part in links and its component is null. An empty table gives no rows. Other columns are not read.
     """
     members, texts = classes(docs, id_col, text_col)
-    members = keep_table(members, "members")
+    members = hold(members)
     near = near_sets(pack_blocks(texts, "blocks"))
     comps = linked(near).withColumnsRenamed({"doc_id": "first", "comp": "root"})
     firsts = members.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
