@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vulnsift.functions import text as tx
 from vulnsift.schemas import FORMAT_FIELD_PATTERNS, REWARD_WEIGHTS, TOOL_WEIGHT
 
-_PRED_LINES = r"Lines?[:\s]*(\d+)(?:\s*-\s*(\d+))?"  # case-sensitive, as in the line reward
+_PRED_LINES = r"(?U)Lines?[:\s]*(\d+)(?:\s*-\s*(\d+))?"  # case-sensitive, as in the line reward
 
 
 # --- F07: class reward --------------------------------------------------------------
@@ -180,7 +180,7 @@ def text_features(text) -> list[Column]:
 def spec_detection_reward(text, truth_swc: Column, truth_lines: Column, truth_severity: Column,
                           related: Column | None = None) -> Column:
     """mean of class (1 / 0.5 related / -1), line 2*IoU-1 when both known, severity
-    (0.5 / -0.25), and on clean contracts (truth class null) 0.5 / -1."""
+    (0.5 when equal, two missing ones included, else -0.25), and on clean contracts (truth class null) 0.5 / -1."""
     t = F.coalesce(tx.col_(text), F.lit(""))
     got = tx.class_spec_dialect(t)
     rel = related if related is not None else F.array().cast("array<string>")
@@ -190,8 +190,8 @@ def spec_detection_reward(text, truth_swc: Column, truth_lines: Column, truth_se
     tru = F.filter(F.array(truth_interval(truth_lines)), lambda iv: iv["s"].isNotNull() & iv["e"].isNotNull())
     known = (F.size(pred) > 0) & (F.size(tru) > 0)
     line = F.when(known, interval_iou(pred, tru) * 2 - 1)
-    sev_got = tx.nullif_empty(F.regexp_extract(t, r"(?i)Severity[:\s]*(\w+)", 1))
-    sev = F.when(sev_got.isNotNull() & (sev_got == truth_severity), F.lit(0.5)).otherwise(F.lit(-0.25))
+    sev_got = tx.nullif_empty(F.regexp_extract(t, r"(?iU)Severity[:\s]*(\w+)", 1))
+    sev = F.when(sev_got.eqNullSafe(truth_severity), F.lit(0.5)).otherwise(F.lit(-0.25))
     clean = F.when(truth_swc.isNull(), F.when(got.isNull() | (got == "None"), F.lit(0.5)).otherwise(F.lit(-1.0)))
     parts = F.array(cls, line, sev, clean)
     present = F.filter(parts, lambda x: x.isNotNull())

@@ -53,15 +53,16 @@ def swc_from_type_substring(t) -> Column:
 
 
 # --- F03 field extractors (per block, case-insensitive, first match) -----------------
+# The extraction patterns; (?U) makes \\s, \\w and \\d Unicode classes, as in Python.
 
-SWC_PATTERN = r"(?i)SWC[:\s]*(SWC-?\d+|\d+)"
-CWE_PATTERN = r"(?i)CWE[:\s]*(CWE-?\d+|\d+)"
-TYPE_PATTERN = r"(?i)Vulnerability[:\s]*([^\n]+)"
-LINES_PATTERN = r"(?i)Lines?[:\s]*(\d+(?:\s*-\s*\d+)?)"
-SEVERITY_PATTERN = r"(?i)Severity[:\s]*(\w+)"
-EXPLANATION_PATTERN = r"(?i)Explanation[:\s]*([^\n]+)"
-NONE_PATTERN = r"vulnerability[:\s]*none|no vulnerabilit"
-BLOCK_SPLIT = r"\n\s*\n+"
+SWC_PATTERN = r"(?iU)SWC[:\s]*(SWC-?\d+|\d+)"
+CWE_PATTERN = r"(?iU)CWE[:\s]*(CWE-?\d+|\d+)"
+TYPE_PATTERN = r"(?iU)Vulnerability[:\s]*([^\n]+)"
+LINES_PATTERN = r"(?iU)Lines?[:\s]*(\d+(?:\s*-\s*\d+)?)"
+SEVERITY_PATTERN = r"(?iU)Severity[:\s]*(\w+)"
+EXPLANATION_PATTERN = r"(?iU)Explanation[:\s]*([^\n]+)"
+NONE_PATTERN = r"(?U)vulnerability[:\s]*none|no vulnerabilit"
+BLOCK_SPLIT = r"(?U)\n\s*\n+"
 
 
 def _prefixed_id(raw: Column, prefix: str) -> Column:
@@ -106,17 +107,17 @@ def says_none(text) -> Column:
 
 def classes_reward_dialect(text) -> Column:
     """every match of SWC[:\\s]*(\\d+|SWC-\\d+), case-insensitive, 'SWC-'/'swc-' removed."""
-    found = F.regexp_extract_all(col_(text), F.lit(r"(?i)SWC[:\s]*(\d+|SWC-\d+)"), 1)
+    found = F.regexp_extract_all(col_(text), F.lit(r"(?iU)SWC[:\s]*(\d+|SWC-\d+)"), 1)
     return F.transform(found, lambda s: F.replace(F.replace(s, F.lit("SWC-"), F.lit("")), F.lit("swc-"), F.lit("")))
 
 
 def class_filter_dialect(text) -> Column:
     """first SWC[:\\s]*([0-9]{3}), case-insensitive -> 'SWC-nnn' or null."""
-    d = F.regexp_extract(col_(text), r"(?i)SWC[:\s]*([0-9]{3})", 1)
+    d = F.regexp_extract(col_(text), r"(?iU)SWC[:\s]*([0-9]{3})", 1)
     return F.when(d == "", F.lit(None)).otherwise(F.concat(F.lit("SWC-"), d))
 
 
-SPEC_PATTERNS = [r"SWC[:\s]*([0-9]{3})", r"SWC-([0-9]{3})", r"swc[:\s]*([0-9]{3})"]
+SPEC_PATTERNS = [r"(?U)SWC[:\s]*([0-9]{3})", r"(?U)SWC-([0-9]{3})", r"(?U)swc[:\s]*([0-9]{3})"]
 
 
 def class_spec_dialect(text) -> Column:

@@ -22,15 +22,14 @@ def render_chats(turns: DataFrame, key: str = "conv_id", add_generation_prompt:
     return g.select(key, body.alias("rendered"), F.size("parts").alias("n_turns"))
 
 
-def multi_turn_preferences(turns: DataFrame, key: str = "conv_id") -> DataFrame:
-    """chosen = last assistant turn, rejected = the assistant turn before it, context =
-    the rendered turns before the chosen one. Two small aggregations, joined back by key."""
-    a = turns.where(F.col("role") == "assistant")
-    last = a.groupBy(key).agg(F.max("turn").alias("last_turn"))
-    prev = a.join(last, key).where(F.col("turn") < F.col("last_turn")).groupBy(key).agg(
-        F.max_by("text", "turn").alias("rejected"), F.max("turn").alias("rejected_turn"))
-    chosen = a.join(last, key).where(F.col("turn") == F.col("last_turn")).select(key, F.col("text").alias("chosen"), "last_turn")
-    ctx_rows = turns.join(last, key).where(F.col("turn") < F.col("last_turn"))
-    ctx = render_chats(ctx_rows.select(key, "turn", "role", "text"), key).select(key, F.col("rendered").alias("context"))
-    return chosen.join(prev, key).join(ctx, key, "left").select(key, "last_turn", "rejected_turn", "context",
-                                                                  "chosen", "rejected")
+def multi_turn_preferences(turns: DataFrame, answers: DataFrame, key: str = "conv_id") -> DataFrame:
+    """One context and two answers to its last user turn. `answers` (key, turn, answer_id, text, score) are
+    candidate assistant turns; chosen has the best score, rejected the worst (ties to the smaller answer_id), pairs with equal
+    scores are dropped. The context is every turn before `turn`, so it holds neither answer."""
+    best = F.max_by(F.struct("text", "score"), F.struct(F.col("score"), -F.col("answer_id")))
+    worst = F.min_by(F.struct("text", "score"), F.struct(F.col("score"), F.col("answer_id")))
+    pairs = answers.groupBy(key, "turn").agg(best.alias("best"), worst.alias("worst")).where("best.score > worst.score")
+    ctx = turns.join(pairs.select(key, F.col("turn").alias("answer_turn")), key).where("turn < answer_turn")
+    rendered = render_chats(ctx.select(key, "turn", "role", "text"), key).select(key, F.col("rendered").alias("context"))
+    return pairs.join(rendered, key).select(key, F.col("turn").alias("answer_turn"), "context", F.col("best.text").alias("chosen"),
+                                              F.col("worst.text").alias("rejected"))

@@ -113,6 +113,26 @@ def score_answers(completions: DataFrame, contracts: DataFrame, strict: bool = T
     )
 
 
+def with_unanswered(answered: DataFrame, contracts: DataFrame, pred: str = "pred") -> DataFrame:
+    """Every contract in every evaluation run: a contract without an answer has no predictions. `answered` holds
+    (contract_id, k, `pred`, ...); the run numbers, of which there are few, travel as one array."""
+    runs = answered.agg(F.collect_set("k").alias("_runs"))
+    grid = contracts.join(F.broadcast(runs)).withColumn("k", F.explode("_runs")).drop("_runs")
+    j = grid.join(answered, ["contract_id", "k"], "left")
+    return j.withColumn(pred, F.coalesce(pred, F.array().cast("array<string>")))
+
+
+def score_runs(completions: DataFrame, contracts: DataFrame, strict: bool = True) -> DataFrame:
+    """`score_answers` with a row for every contract of every run, answered or not."""
+    found = score_answers(completions, contracts, strict).select("contract_id", "k", "pred")
+    c = contracts.select("contract_id", "is_vulnerable", F.array_distinct(truth_classes() if strict
+                         else F.transform(truth_classes(), category)).alias("truth"))
+    return with_unanswered(found, c).select(
+        "contract_id", "k", "is_vulnerable", F.size(F.array_intersect("pred", "truth")).alias("tp"),
+        F.size(F.array_except("pred", "truth")).alias("fp"), F.size(F.array_except("truth", "pred")).alias("fn"),
+        F.size("pred").alias("n_pred"), "pred", "truth")
+
+
 # --- A02 / A03: confusion totals and rates ----------------------------------------------
 
 def safe_div(num: Column, den: Column) -> Column:
@@ -145,8 +165,9 @@ def confusion_totals(scored: DataFrame, by=("k",)) -> DataFrame:
 
 
 def evaluate(completions: DataFrame, contracts: DataFrame, by=("k",), strict: bool = True) -> DataFrame:
-    """Benchmark evaluation, one metrics row per evaluation run (default: per sample index k)."""
-    return confusion_totals(score_answers(completions, contracts, strict), by)
+    """Benchmark evaluation, one metrics row per evaluation run (default: per sample index k). Contracts without
+    an answer count: their true classes are missed."""
+    return confusion_totals(score_runs(completions, contracts, strict), by)
 
 
 # --- A04 / J05: per-class recall, counted per truth row ---------------------------------
@@ -163,8 +184,7 @@ def per_class_recall(completions: DataFrame, contracts: DataFrame, by=("k",)) ->
     """Tp / fn per true class, per truth row (not distinct); recall = tp/(tp+fn)."""
     c = contracts.select("contract_id", truth_classes().alias("truth_rows"))
     p = completions.select("contract_id", "k", predicted_classes("text").alias("pred"))
-    j = p.join(c, "contract_id")
-    hits = class_hits(j)
+    hits = class_hits(with_unanswered(p, c))
     agg = hits.groupBy(*by, "swc_id").agg(
         F.count_if("hit").alias("tp"),
         F.count_if(~F.col("hit")).alias("fn"),

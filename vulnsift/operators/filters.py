@@ -2,20 +2,18 @@
 
 Filters are row predicates built from native expressions. Decontamination explodes
 n-gram hashes of each training row and semi-joins them with the evaluation set's
-distinct hashes: the evaluation side is broadcast only after its distinct-hash count is
-checked against a bound; beyond it the join shuffles on the hash instead.
+distinct hashes, which are computed once and held: their size is then known to the planner,
+which broadcasts them below its own threshold and shuffles both sides beyond it.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnsift.functions import formats as fm
 from vulnsift.functions import text as tx
-from vulnsift.session import spread
-
-BROADCAST_MAX_HASHES = 20_000_000  # ~ 320 MB of (long, int) keys
 
 
 # --- P15 / P22-P26 ---------------------------------------------------------------------
@@ -28,8 +26,8 @@ def has_think(text) -> Column:
 def is_complete(text) -> Column:
     """Think tags, a class id and line numbers all present."""
     t = F.coalesce(tx.col_(text), F.lit(""))
-    return (t.contains("<think>") & t.contains("</think>") & t.rlike(r"(?i)SWC[:\s-]*\d{3}")
-            & t.rlike(r"(?i)Lines?[:\s]*\d+"))
+    return (t.contains("<think>") & t.contains("</think>") & t.rlike(r"(?iU)SWC[:\s-]*\d{3}")
+            & t.rlike(r"(?iU)Lines?[:\s]*\d+"))
 
 
 def length_ok(text, lo: int = 500, hi: int = 32_000) -> Column:
@@ -58,11 +56,10 @@ def quality_flags(df: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("all_pass", F.col("complete") & F.col("repetition_ok") & F.col("length_ok"))
 
 
-def repetition(df: DataFrame, text: str = "text", n: int = 3, max_ratio: float = 0.30,
-               key: str | None = None) -> DataFrame:
+def repetition(df: DataFrame, text: str = "text", n: int = 3, max_ratio: float = 0.30) -> DataFrame:
     """F18 + P23 over whole texts: repeat ratio and the keep flag."""
     cols = df.columns
-    h = tx.with_word_hashes(spread(df, key) if key else df, text, "_wh")
+    h = tx.with_word_hashes(df, text, "_wh")
     r = h.select(*cols, tx.repeated_ratio_vectorized("_wh", n).alias("repeat_ratio"))
     return r.withColumn("kept", F.col("repeat_ratio") <= F.lit(max_ratio))
 
@@ -92,16 +89,15 @@ def _gram_keys(df: DataFrame, text: str, n: int, keep: list[str]) -> DataFrame:
 
 
 def overlap_ids(train: DataFrame, evalset: DataFrame, key: str, text: str = "text",
-                eval_text: str = "text", n: int = 13, broadcast_max: int = BROADCAST_MAX_HASHES) -> DataFrame:
+                eval_text: str = "text", n: int = 13) -> DataFrame:
     """Ids of training rows that equal an evaluation item after normalisation, or share a
-    word n-gram with one. Evaluation n-gram keys are deduplicated first; their count decides
-    between a broadcast and a shuffled semi join. The training side's n-gram keys are
-    streamed through the join and never shuffled when the evaluation side is broadcast."""
-    ev = _gram_keys(evalset, eval_text, n, []).distinct()
-    n_keys = ev.count()
-    ev_side = F.broadcast(ev) if n_keys <= broadcast_max else ev
-    grams = _gram_keys(spread(train.select(key, text), key), text, n, [key])
-    by_gram = grams.join(ev_side, ["k1", "k2"], "left_semi").select(key)
+    word n-gram with one. Evaluation n-gram keys are deduplicated and held first, so that the
+    planner knows their size: below its broadcast threshold the training side's keys stream
+    through the join and are never shuffled."""
+    ev = _gram_keys(evalset, eval_text, n, []).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    ev.count()
+    grams = _gram_keys(train.select(key, text), text, n, [key])
+    by_gram = grams.join(ev, ["k1", "k2"], "left_semi").select(key)
     exact_ev = evalset.select(F.md5(normalized(eval_text)).alias("norm_md5")).distinct()
     exact = train.select(key, F.md5(normalized(text)).alias("norm_md5")).join(exact_ev, "norm_md5", "left_semi").select(key)
     return by_gram.unionByName(exact).distinct()

@@ -3,15 +3,14 @@
 
 A plain ``row_number() over (order by …)`` puts every row into a single task. Here rows
 are first given a *bucket* that is monotone in the order (a hash prefix for seeded
-shuffles, an id range for source order). Then:
+shuffles, sampled quantiles of the order key itself otherwise, so that buckets hold about
+as many rows each, whatever the type and the spread of the key). Then:
 
 1. ``groupBy(group, bucket)`` counts (and sums) — pre-aggregated map-side, tiny output;
 2. a window over that tiny table gives each bucket its offset (rows / measure before it);
-3. the offsets are broadcast — their size is bounded by #groups × buckets per group (65,536 hash
-   buckets at 4 hex digits, or at most MAX_BUCKETS id buckets: the width comes from the key range);
+3. the offsets are joined back on (group, bucket), the keys of the window that follows;
 4. ``row_number`` / running sums run *within* each bucket, so the largest task holds one
-   bucket (at most ``id_width`` rows for id buckets; about n / 16^hex_digits for hash
-   buckets), never a whole group.
+   bucket (about n / BUCKETS rows, or n / 16^hex_digits for hash buckets), never a whole group.
 
 The result equals the single-window answer exactly.
 """
@@ -26,19 +25,8 @@ from pyspark.sql import functions as F
 from vulnsift.schemas import TRAIN_SPLIT
 
 DEFAULT_HEX_DIGITS = 4  # 65,536 hash buckets: ~1.5e7 rows per window task at 1e12 rows
-DEFAULT_ID_WIDTH = 1 << 16  # ids per source-order bucket when no width is derived
-MAX_BUCKETS = 1 << 16  # cap on id buckets per leading key (bounds the broadcast offsets)
-
-
-def id_width(df: DataFrame, key: str, max_buckets: int = MAX_BUCKETS, per_value: int = 1) -> int:
-    """Bucket width over a unique integer key such that the id range splits into at most
-    `max_buckets / per_value` buckets (one scalar aggregate). Buckets then hold at most
-    `width` rows each, and the offsets table stays bounded by `max_buckets` (+ per_value)."""
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return 1
-    span = int(hi) - int(lo) + 1
-    return max(1, -(-span * max(1, per_value) // max_buckets))
+BUCKETS = 256  # order-key buckets
+SAMPLED = 64 * BUCKETS  # keys looked at to place their boundaries
 
 
 def shuffle_key(seed: int, key: Column) -> Column:
@@ -50,9 +38,27 @@ def hash_bucket(h: Column, hex_digits: int = DEFAULT_HEX_DIGITS) -> Column:
     return F.substring(h, 1, hex_digits)
 
 
-def id_bucket(rank: Column, key: Column, width: int = DEFAULT_ID_WIDTH) -> Column:
-    """Bucket for order (rank, key) over unique integer keys: at most `width` rows each."""
-    return F.struct(rank.alias("r"), F.floor(key / F.lit(width)).alias("b"))
+def order_bucket(df: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> Column:
+    """Bucket number (0..buckets-1) that never falls along the order `keys`, from quantiles of a bounded
+    sample of the keys (those that hash lowest, so the same on every run). Any orderable types; the sample only
+    places the boundaries, ranks stay exact. The number is found by binary search in nested CASEs."""
+    sample = df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(64 * buckets).orderBy(*keys).collect()
+    cuts = []
+    for i in range(1, buckets):
+        cut = sample[i * len(sample) // buckets] if sample else None
+        if cut is not None and (not cuts or cut != cuts[-1]):
+            cuts.append(cut)
+    types = [df.schema[k].dataType for k in keys]
+    here = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        cut = F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(cuts[mid], types))])
+        return F.when(here < cut, search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(cuts))
 
 
 def exact_rank(df: DataFrame, bucket: Column, order: Sequence[Column], group: Sequence[str] = (),
@@ -79,7 +85,7 @@ def exact_rank(df: DataFrame, bucket: Column, order: Sequence[Column], group: Se
         cols.append(F.coalesce(F.sum("_msum").over(prior), F.lit(0)).alias("_moff"))
     offsets = counts.select(*cols)
     within = Window.partitionBy(*g, "_bucket").orderBy(*order)
-    out = b.join(F.broadcast(offsets), [*g, "_bucket"]).withColumn(rank_col, F.col("_off") + F.row_number().over(within))
+    out = b.join(offsets, [*g, "_bucket"]).withColumn(rank_col, F.col("_off") + F.row_number().over(within))
     if measure:
         run = F.coalesce(F.sum(measure).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         out = out.withColumn(before_col, F.col("_moff") + run)
@@ -105,13 +111,9 @@ def train_validation_split(df: DataFrame, key: str, seed: int = 42, train_split:
 
 
 def source_order_rank(df: DataFrame, source_rank: str, key: str, group: Sequence[str] = (),
-                      measure: str | None = None, width: int | None = None) -> DataFrame:
-    """Rank in (source_rank, key) order — the engine's stand-in for file order. The id bucket
-    width is derived from the key range unless given."""
-    if width is None:
-        width = id_width(df, key)
-    return exact_rank(df, id_bucket(F.col(source_rank), F.col(key), width), [F.col(source_rank), F.col(key)],
-                      group, measure)
+                      measure: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Rank in (source_rank, key) order — the engine's stand-in for file order; the key may be of any type."""
+    return exact_rank(df, order_bucket(df, [source_rank, key], buckets), [F.col(source_rank), F.col(key)], group, measure)
 
 
 def quota(n: int, ratio: float) -> int:

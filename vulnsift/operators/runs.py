@@ -147,22 +147,33 @@ def trajectory_pairs(traj: DataFrame) -> DataFrame:
 
 
 def outcome_pairs(traj: DataFrame, key: str = "prompt_id", id_col: str = "traj_id") -> DataFrame:
-    """Chosen pool = compiled, fixed, no new findings; rejected pool = compile failure or
-    new findings; the first of each pool per prompt, paired on the prompt."""
-    good = traj.where(F.col("compiled") & F.col("fixed") & (F.col("new_findings") == 0))
-    bad = traj.where(~F.col("compiled") | (F.col("new_findings") > 0))
-    c = good.groupBy(key).agg(F.min(id_col).alias("chosen_id"), F.count(F.lit(1)).alias("n_chosen"))
-    r = bad.groupBy(key).agg(F.min(id_col).alias("rejected_id"), F.count(F.lit(1)).alias("n_rejected"))
-    return c.join(r, key)
+    """Chosen pool = compiled, fixed, no new findings; rejected pool = compile failure, new findings, or the wrong
+    vulnerability (nothing new, but the given one not fixed). The i-th trajectory of one pool meets the i-th of the other
+    (by id), so each takes part in one pair at most. Without new findings a trajectory that does not fix the finding is
+    taken to have named a wrong one."""
+    good = F.col("compiled") & F.col("fixed") & (F.col("new_findings") == 0)
+    pool = F.when(good, F.lit("chosen")).otherwise(F.lit("rejected"))
+    why = F.when(~F.col("compiled"), F.lit("compile_failure")).when(F.col("new_findings") > 0, F.lit("new_findings")) \
+        .otherwise(F.lit("wrong_vulnerability"))
+    w = Window.partitionBy(key, "pool").orderBy(id_col)
+    r = traj.select(key, id_col, pool.alias("pool"), why.alias("reason")).withColumn("i", F.row_number().over(w))
+    c = r.where("pool = 'chosen'").select(key, "i", F.col(id_col).alias("chosen_id"))
+    return c.join(r.where("pool = 'rejected'").select(key, "i", F.col(id_col).alias("rejected_id"), "reason"), [key, "i"])
+
+
+def exact_percentiles(df: DataFrame, group: str, value: str, key: str, shares: dict[str, float]) -> DataFrame:
+    """For each group and share the value at rank ceil(share * n) in (value, key) order; exact at any size, through the
+    bucketed ranks of `ordering`."""
+    r = od.exact_rank(df.select(group, value, key), od.order_bucket(df, [value, key]), [F.col(value), F.col(key)], [group])
+    at = {name: F.max(F.when(F.col("rank") == F.ceil(F.lit(share) * F.col("group_size")), F.col(value))) for name, share in shares.items()}
+    return r.groupBy(group).agg(*(c.alias(name) for name, c in at.items()))
 
 
 def tercile(df: DataFrame, value: str, key_id: Column, name: str = "bucket") -> DataFrame:
     """ntile(3) over (value, id) without a one-task window: exact rank by (value, id)
     buckets, then the ntile formula (the first n % 3 tiles hold one extra row)."""
     d = df.withColumn("_id", key_id)
-    n_values = d.agg(F.count_distinct(value)).first()[0]
-    width = od.id_width(d, "_id", per_value=n_values or 1)
-    r = od.exact_rank(d, od.id_bucket(F.col(value), F.col("_id"), width), [F.col(value), F.col("_id")])
+    r = od.exact_rank(d, od.order_bucket(d, [value, "_id"]), [F.col(value), F.col("_id")])
     n, k = F.col("group_size"), F.col("rank")
     q, rem = F.floor(n / 3), n % 3
     big = rem * (q + 1)

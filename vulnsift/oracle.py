@@ -535,11 +535,11 @@ SELECT contract_id, source = 'curated' AS has_vulnerability FROM rl_sh WHERE ran
 
 register("cpt_budget", """
 WITH cand AS (
-  SELECT 0 AS source_rank, contract_id AS item_id, 'solidity' AS source, length(source_code) // 4 AS tokens FROM contracts WHERE source = 'unlabelled'
-  UNION ALL SELECT 1, page_id, 'audit_report', length(html) // 4 FROM pages),
+  SELECT 0 AS source_rank, contract_id AS item_id, 'solidity' AS source, length(source_code) // 4 AS tokens, source_code AS text FROM contracts WHERE source = 'unlabelled'
+  UNION ALL SELECT 1, page_id, 'audit_report', length(html) // 4, html FROM pages),
 r AS (SELECT *, coalesce(sum(tokens) OVER (ORDER BY source_rank, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
         row_number() OVER (ORDER BY source_rank, item_id) AS rank FROM cand)
-SELECT source, item_id, CAST(tokens AS BIGINT) AS tokens, CAST(before AS BIGINT) AS tokens_before, rank FROM r WHERE before < 500000""")
+SELECT source, item_id, CAST(tokens AS BIGINT) AS tokens, CAST(before AS BIGINT) AS tokens_before, rank, text FROM r WHERE before < 500000""")
 
 register("cpt_records", """
 SELECT 'solidity' AS source, contract_id AS item_id, '// Source: solidity' || chr(10) || source_code AS text,
@@ -687,15 +687,11 @@ register("chat_render", f"""
 SELECT conv_id, string_agg({TURN}, '' ORDER BY turn) || '<|assistant|>' || {NL} AS rendered, count({TURN}) AS n_turns
 FROM conversations GROUP BY conv_id""")
 register("multi_turn_pref", f"""
-WITH a AS (SELECT * FROM conversations WHERE role = 'assistant'),
-l AS (SELECT conv_id, max(turn) AS last_turn FROM a GROUP BY conv_id),
-p AS (SELECT a.conv_id, arg_max(a.text, a.turn) AS rejected, max(a.turn) AS rejected_turn FROM a JOIN l USING (conv_id)
-      WHERE a.turn < l.last_turn GROUP BY a.conv_id),
-c AS (SELECT a.conv_id, a.text AS chosen, l.last_turn FROM a JOIN l USING (conv_id) WHERE a.turn = l.last_turn),
+WITH l AS (SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS chosen FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 x AS (SELECT t.conv_id, string_agg({TURN.replace('role', 't.role').replace('text', 't.text')}, '' ORDER BY t.turn) AS context
-      FROM conversations t JOIN l USING (conv_id) WHERE t.turn < l.last_turn GROUP BY t.conv_id)
-SELECT c.conv_id, c.last_turn, p.rejected_turn, x.context, c.chosen, p.rejected
-FROM c JOIN p USING (conv_id) LEFT JOIN x USING (conv_id)""")
+      FROM conversations t JOIN l USING (conv_id) WHERE t.turn < l.turn GROUP BY t.conv_id)
+SELECT l.conv_id, l.turn AS answer_turn, x.context, l.chosen, substr(l.chosen, 1, CAST(floor(length(l.chosen) / 3) AS INTEGER)) AS rejected
+FROM l JOIN x USING (conv_id)""")
 register_b("tool_call_record", f"""
 SELECT c.contract_id, {FENCE(q(INSTRUCTION), 'c.source_code')} AS turn0,
   '<tool_call>{{"name": "static_analyzer", "arguments": {{"contract_id": ' || CAST(c.contract_id AS VARCHAR) || '}}}}</tool_call>' AS turn1,
@@ -772,9 +768,13 @@ register_r("latency", """SELECT experiment, round(min(latency_ms), 9) AS min_ms,
 register_r("trajectory_pairs", "SELECT prompt_id, best_id, round(best_score, 9) AS best_score, worst_id, round(worst_score, 9) AS worst_score, n FROM bw")
 register_r("trajectory_set", """SELECT prompt_id, best_id AS chosen_id, worst_id AS rejected_id, round(best_score - worst_score, 9) AS margin
   FROM bw WHERE best_score > worst_score""")
-register_r("outcome_pairs", """SELECT c.prompt_id, c.chosen_id, c.n_chosen, r.rejected_id, r.n_rejected FROM
-  (SELECT prompt_id, min(traj_id) AS chosen_id, count(*) AS n_chosen FROM traj WHERE compiled AND fixed AND new_findings = 0 GROUP BY ALL) c
-  JOIN (SELECT prompt_id, min(traj_id) AS rejected_id, count(*) AS n_rejected FROM traj WHERE NOT compiled OR new_findings > 0 GROUP BY ALL) r USING (prompt_id)""")
+PAIRED = """pool AS (SELECT prompt_id, traj_id, compiled AND fixed AND new_findings = 0 AS good,
+    CASE WHEN NOT compiled THEN 'compile_failure' WHEN new_findings > 0 THEN 'new_findings' ELSE 'wrong_vulnerability' END AS reason FROM traj),
+nth AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, good ORDER BY traj_id) AS i FROM pool),
+paired AS (SELECT c.prompt_id, c.i, c.traj_id AS chosen_id, r.traj_id AS rejected_id, r.reason FROM nth c JOIN nth r
+  ON c.prompt_id = r.prompt_id AND c.i = r.i WHERE c.good AND NOT r.good)"""
+register_r("outcome_pairs", f""", {PAIRED}
+SELECT prompt_id, i, chosen_id, rejected_id, reason FROM paired""")
 register_r("test_reward", """SELECT traj_id, round(CASE WHEN NOT compiled THEN -1.0 WHEN 4 - new_findings = 4 THEN 1.0
   ELSE (4 - new_findings) / 4.0 * 2 - 1 END, 9) AS reward FROM traj""")
 register("judge_scale", "SELECT event_id, round((floor(value) % 10) / 10 * 2 - 1, 9) AS scaled FROM events")
@@ -836,7 +836,7 @@ li AS (SELECT c.contract_id, c.k,
 parts AS (SELECT sp.contract_id, sp.k,
     CASE WHEN got IS NOT DISTINCT FROM t_swc THEN 1.0 ELSE -1.0 END AS p_cls,
     CASE WHEN li.nm > 0 AND li.ntr > 0 THEN (CASE WHEN li.np = 0 OR li.nt = 0 THEN 0.0 ELSE li.ni / (li.np + li.nt - li.ni) END) * 2 - 1 END AS p_line,
-    CASE WHEN sev_got IS NOT NULL AND sev_got = t_sev THEN 0.5 ELSE -0.25 END AS p_sev,
+    CASE WHEN sev_got IS NOT DISTINCT FROM t_sev THEN 0.5 ELSE -0.25 END AS p_sev,
     CASE WHEN t_swc IS NULL THEN (CASE WHEN got IS NULL OR got = 'None' THEN 0.5 ELSE -1.0 END) END AS p_clean
   FROM sp JOIN li USING (contract_id, k))
 SELECT contract_id, k, round((p_cls + coalesce(p_line, 0) + p_sev + coalesce(p_clean, 0))
@@ -870,8 +870,8 @@ register("instruct_dpo", f"""WITH {REWARD_CTES.strip()},
 think AS (SELECT s.contract_id FROM completions s JOIN completions w ON s.contract_id = w.contract_id JOIN contracts c ON c.contract_id = s.contract_id
   WHERE s.model = 'strong' AND w.model = 'weak' AND s.text <> '' AND w.text <> '' AND length(c.source_code) > 0
     AND length(s.text) // 4 - length(w.text) // 4 <= 100),
-tool AS (SELECT c.prompt_id FROM (SELECT prompt_id FROM traj WHERE compiled AND fixed AND new_findings = 0 GROUP BY ALL) c
-  JOIN (SELECT prompt_id FROM traj WHERE NOT compiled OR new_findings > 0 GROUP BY ALL) r USING (prompt_id)),
+{PAIRED},
+tool AS (SELECT prompt_id FROM paired),
 conc AS (SELECT contract_id FROM ver WHERE verified = 1.0 GROUP BY contract_id HAVING count(*) >= 2)
 SELECT * FROM (SELECT 'think' AS kind, count(*) AS n FROM think UNION ALL SELECT 'tool_use', count(*) FROM tool
 UNION ALL SELECT 'concise', count(*) FROM conc) WHERE n > 0""")
@@ -938,9 +938,38 @@ register_rw("rl_filter_set", f"""SELECT p.contract_id, {FENCE(q(INSTRUCTION), 'c
   CAST((SELECT count(*) FROM vulns v WHERE v.contract_id = p.contract_id) AS BIGINT) AS n_truth
 FROM pr p JOIN contracts c USING (contract_id) WHERE p.pass_rate <= 0.625""")
 register("severity_match", """
-WITH f0 AS (SELECT contract_id, k, arg_min(severity, block) AS predicted FROM findings GROUP BY contract_id, k),
-t0 AS (SELECT contract_id, severity AS truth FROM vulns WHERE vidx = 0)
-SELECT f0.contract_id, f0.k, f0.predicted, t0.truth, f0.predicted = t0.truth AS match FROM f0 LEFT JOIN t0 USING (contract_id)""")
+SELECT f.contract_id, f.k, f.block, v.vidx AS truth_row, f.swc_id, f.severity AS predicted, v.severity AS truth, f.severity = v.severity AS match
+FROM findings f JOIN vulns v ON f.contract_id = v.contract_id AND f.swc_id = coalesce(v.swc_id, 'SWC-000')""")
+
+# Files staged from the tables: what each loader must give. Files without bytes are not listed by Spark.
+STAGED = """staged AS (
+  SELECT 'smartbugs' AS source, 0 AS source_rank, 'curated/' || file_path AS contract_id, source_code AS code, NULL AS year, 1 AS num_vulns
+  FROM contracts WHERE source = 'curated' AND length(source_code) > 0
+  UNION ALL SELECT 'kaggle_tdm', 1, 'tranduongminhdai/' || CAST(contract_id AS VARCHAR), source_code, NULL, 0 FROM contracts WHERE source = 'tabular'
+  UNION ALL SELECT 'kaggle_bccc_vuln', 2, 'bccc/Vulnerable_SourceCodes/' || CAST(contract_id AS VARCHAR) || '.sol',
+    CASE WHEN contract_id % 3 <> 0 AND length(source_code) > 0 THEN source_code ELSE 'csv code' END, NULL, 0 FROM contracts WHERE source = 'tabular'
+  UNION ALL SELECT 'zellic', 3, file_path, source_code, NULL, 0 FROM contracts WHERE source = 'unlabelled')"""
+register("file_sources", f"""WITH {STAGED}
+SELECT source, CAST(length(code) AS BIGINT) AS length, CAST(year AS VARCHAR) AS year FROM staged
+UNION ALL SELECT 'defihacklabs', CAST(length(source_code) AS BIGINT), CAST(2019 + contract_id % 5 AS VARCHAR) FROM contracts
+  WHERE source = 'curated' AND length(source_code) > 0
+UNION ALL SELECT 'firm' || CAST(page_id % 3 AS VARCHAR), CAST(CASE WHEN page_id % 2 = 0 THEN length(html)
+  ELSE length('{{"report_id":' || CAST(page_id AS VARCHAR) || ',"file_path":' || CAST(to_json(url) AS VARCHAR) || '}}') END AS BIGINT), NULL FROM pages
+  WHERE page_id % 2 = 1 OR length(html) > 0""")
+register("files_sft", f"""WITH {STAGED},
+vul AS (SELECT * FROM staged WHERE source <> 'zellic' ORDER BY source_rank, contract_id LIMIT {int(500 * 0.40)}),
+cln AS (SELECT * FROM staged WHERE source = 'zellic' ORDER BY contract_id LIMIT {int(500 * 0.20)}),
+sel AS (SELECT *, true AS is_vulnerable FROM vul UNION ALL SELECT *, false FROM cln),
+r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || contract_id), contract_id) AS rank, count(*) OVER () AS n FROM sel)
+SELECT contract_id, CASE WHEN rank <= floor(n * CAST(0.9 AS DOUBLE)) THEN 'train' ELSE 'validation' END AS split, rank,
+  is_vulnerable, CAST(num_vulns AS BIGINT) AS num_vulns, CAST(length(code) AS BIGINT) AS length FROM r""")
+register("files_dpo", f"""WITH {STAGED},
+lab AS (SELECT contract_id, code, 'missed' AS pair_kind FROM staged WHERE source = 'smartbugs' ORDER BY contract_id LIMIT 200),
+cln AS (SELECT contract_id, code, 'false_positive' AS pair_kind, row_number() OVER (ORDER BY contract_id) AS i FROM staged WHERE source = 'zellic'),
+sel AS (SELECT * FROM lab UNION ALL SELECT contract_id, code, pair_kind FROM cln, (SELECT count(*) AS nv FROM lab) x
+  WHERE i <= CASE WHEN nv >= 200 THEN 0 ELSE greatest(1, ceil(CAST(200 AS DOUBLE) * CAST(0.3 AS DOUBLE) - nv)) END),
+r AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || contract_id), contract_id) AS rank, count(*) OVER () AS n FROM sel)
+SELECT contract_id, CASE WHEN rank <= floor(n * CAST(0.9 AS DOUBLE)) THEN 'train' ELSE 'validation' END AS split, rank, pair_kind FROM r""")
 register("source_catalogue", """
 SELECT * FROM (VALUES ('documents', (SELECT count(*) FROM documents), true), ('labels', (SELECT count(*) FROM labels), true),
   ('benchmark', (SELECT count(*) FROM benchmark), true), ('pages', (SELECT count(*) FROM pages), true),

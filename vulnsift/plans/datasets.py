@@ -8,14 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnsift.functions import formats as fm
 from vulnsift.functions import text as tx
 from vulnsift.operators import ordering as od
-from vulnsift.plans.fixtures import pool_rank
 from vulnsift.schemas import (
     DPO_CLEAN_SHARE,
     DPO_FALSE_FINDING,
@@ -31,88 +31,73 @@ from vulnsift.schemas import (
 VULN_TYPE = ("array<struct<" + ",".join(f"{f}:string" for f in VULN_FIELDS) + ">>")
 
 
-def pool_stats(contracts: DataFrame) -> dict:
-    """Rows and id range per source in one aggregate (a handful of rows on the driver)."""
-    rows = contracts.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("contract_id").alias("lo"),
-                                           F.max("contract_id").alias("hi")).collect()
-    return {r["source"]: (r["n"], r["lo"], r["hi"]) for r in rows}
-
-
-def _width(stats: dict | None, sources: Sequence[str]) -> int | None:
-    if stats is None:
-        return None
-    present = [stats[s] for s in sources if s in stats]
-    if not present:
-        return 1
-    span = max(h for _, _, h in present) - min(lo for _, lo, _ in present) + 1
-    return max(1, -(-span // od.MAX_BUCKETS))
-
-
-BROADCAST_MAX_IDS = 2_000_000  # chosen ids (a few columns each) broadcast below this bound
-
-
-def _ranked_pools(contracts: DataFrame, pools: dict, stats: dict) -> DataFrame:
-    """Several pools ranked in one pass: `pools` maps a pool name to (sources, limit); each
-    contract belongs to the first pool listing its source. One exact rank grouped by pool
-    (a handful of groups) instead of one rank per pool."""
-    kind = None
-    for name, (sources, _) in pools.items():
-        cond = F.col("source").isin(*sources)
-        kind = F.when(cond, F.lit(name)) if kind is None else kind.when(cond, F.lit(name))
-    p = contracts.select("contract_id", "source", pool_rank(F.col("source")).alias("source_rank"),
-                         kind.alias("pool")).where(F.col("pool").isNotNull())
-    all_sources = [src for sources, _ in pools.values() for src in sources]
-    width = _width(stats, all_sources)
-    r = od.exact_rank(p, od.id_bucket(F.col("source_rank"), F.col("contract_id"), width),
-                      [F.col("source_rank"), F.col("contract_id")], group=["pool"])
-    limit = None
-    for name, (_, lim) in pools.items():
-        val = F.lit(int(lim) if lim is not None else (1 << 62))
-        limit = F.when(F.col("pool") == name, val) if limit is None else limit.when(F.col("pool") == name, val)
-    return r.where(F.col("rank") <= limit)
-
-
-def _with_code(ids: DataFrame, contracts: DataFrame, cols=("source_code",), max_rows: int | None = None) -> DataFrame:
-    """Join the (small, quota-bounded) selection back to the text. When the selection's row
-    bound `max_rows` is within BROADCAST_MAX_IDS the ids are broadcast, so the large text side
-    streams through the join unshuffled; otherwise a shuffle join."""
-    if max_rows is not None and max_rows <= BROADCAST_MAX_IDS:
-        ids = F.broadcast(ids)
-    return ids.join(contracts.select("contract_id", *cols), "contract_id")
+@dataclass(frozen=True)
+class Pools:
+    """Which sources make up each pool, in order."""
+
+    labelled: Sequence[str] = ("curated",)
+    tabular: Sequence[str] = ("tabular",)
+    unlabelled: Sequence[str] = ("unlabelled",)
+    clean: Sequence[str] = ("clean",)
+
+    def rank(self, source: str = "source") -> Column:
+        """Position of a row's source in the order of all pools."""
+        names = [*self.labelled, *self.tabular, *self.unlabelled, *self.clean]
+        return F.array_position(F.array(*map(F.lit, names)), F.col(source)) - 1
+
+
+#: Pools of rows with the source names of the tables, and of those the file loaders give.
+TABLE_POOLS = Pools()
+FILE_POOLS = Pools(("smartbugs",), ("kaggle_tdm", "kaggle_bccc_vuln"), ("zellic",), ())
+
+
+def pool_size(contracts: DataFrame, sources: Sequence[str]) -> int:
+    """Rows of the sources: one number on the driver."""
+    return contracts.where(F.col("source").isin(*sources)).count()
+
+
+def _first(contracts: DataFrame, pools: Pools, sources: Sequence[str], limit: int | None, name: str, key: str) -> DataFrame:
+    """The first `limit` rows (None: all) of the sources in (source rank, key) order: every task keeps its own first rows
+    and only these meet, so a pool is never ranked as a whole."""
+    p = contracts.where(F.col("source").isin(*sources)).select(key, "source", pools.rank().alias("source_rank"), F.lit(name).alias("pool"))
+    return p if limit is None else p.orderBy("source_rank", key).limit(int(limit))
+
+
+def _with_code(ids: DataFrame, contracts: DataFrame, cols=("source_code",), key: str = "contract_id") -> DataFrame:
+    """Join the (small, quota-bounded) selection back to the text; the planner broadcasts it by its size at run time."""
+    return ids.join(contracts.select(key, *cols), key)
 
 
 # --- D01: SFT set --------------------------------------------------------------------
 
 def sft_selection(contracts: DataFrame, num_samples: int | None = None,
-                  vuln_ratio: float = SFT_VULN_RATIO, clean_ratio: float = SFT_CLEAN_RATIO) -> DataFrame:
-    """O02 + W10: vulnerable int(N*0.4) curated first then tabular; clean int(N*0.2) unlabelled."""
+                  vuln_ratio: float = SFT_VULN_RATIO, clean_ratio: float = SFT_CLEAN_RATIO,
+                  pools: Pools = TABLE_POOLS, key: str = "contract_id") -> DataFrame:
+    """O02 + W10: vulnerable int(N*0.4) labelled first then tabular; clean int(N*0.2) unlabelled."""
     n = num_samples or 10000
-    st = pool_stats(contracts)
-    r = _ranked_pools(contracts, {"vulnerable": (["curated", "tabular"], od.quota(n, vuln_ratio)),
-                                  "clean": (["unlabelled"], od.quota(n, clean_ratio))}, st)
-    return r.select("contract_id", "source", (F.col("pool") == "vulnerable").alias("as_vulnerable"))
+    vulnerable = _first(contracts, pools, [*pools.labelled, *pools.tabular], od.quota(n, vuln_ratio), "vulnerable", key)
+    clean = _first(contracts, pools, pools.unlabelled, od.quota(n, clean_ratio), "clean", key)
+    return vulnerable.unionByName(clean).select(key, "source", (F.col("pool") == "vulnerable").alias("as_vulnerable"))
 
 
 def build_sft(contracts: DataFrame, variant: str = "THINK", num_samples: int | None = None,
               format_type: str = "chat", train_split: float = TRAIN_SPLIT, seed: int = 42,
-              include_system_prompt: bool = True) -> DataFrame:
+              include_system_prompt: bool = True, pools: Pools = TABLE_POOLS, key: str = "contract_id") -> DataFrame:
     """Selection -> shuffle/split -> formatting (chat messages or alpaca columns).
 
     RL-ZERO builds no SFT set (empty result, same schema).
     """
-    sel = sft_selection(contracts, num_samples)
-    split = od.train_validation_split(sel, "contract_id", seed, train_split)
-    n = num_samples or 10000
-    full = _with_code(split, contracts, ("source_code", "vulnerabilities"),
-                      od.quota(n, SFT_VULN_RATIO) + od.quota(n, SFT_CLEAN_RATIO))
+    sel = sft_selection(contracts, num_samples, pools=pools, key=key)
+    split = od.train_validation_split(sel, key, seed, train_split)
+    full = _with_code(split, contracts, ("source_code", "vulnerabilities"), key)
     vulns = F.when(F.col("as_vulnerable"), F.col("vulnerabilities")).otherwise(F.array().cast(VULN_TYPE))
     instruction = fm.sft_instruction(include_system_prompt)
     output = fm.sft_output(vulns, F.col("as_vulnerable"))
     if format_type == "chat":
-        out = full.select("contract_id", "split", "rank",
+        out = full.select(key, "split", "rank",
                           fm.chat_messages(instruction, "source_code", output).alias("messages"))
     else:
-        out = full.select("contract_id", "split", "rank", instruction.alias("instruction"),
+        out = full.select(key, "split", "rank", instruction.alias("instruction"),
                           F.col("source_code").alias("input"), output.alias("output"),
                           F.col("as_vulnerable").alias("is_vulnerable"),
                           F.size(vulns).alias("num_vulns"))
@@ -137,19 +122,16 @@ def dpo_clean_count(n_vuln: int, num_samples: int | None, supply: int, share: fl
     return min(need, supply)
 
 
-def dpo_selection(contracts: DataFrame, num_samples: int | None = None) -> DataFrame:
+def dpo_selection(contracts: DataFrame, num_samples: int | None = None, pools: Pools = TABLE_POOLS,
+                  key: str = "contract_id") -> DataFrame:
     """P21 + O03: labelled contracts with a non-empty list (up to N), then clean fill."""
-    tagged = contracts.withColumn(
-        "source", F.when((F.col("source") == "curated") & (F.size("vulnerabilities") > 0), F.lit("curated"))
-        .when(F.col("source") == "curated", F.lit("curated_unlabelled")).otherwise(F.col("source")))
-    st = pool_stats(tagged)
-    n_lab = st.get("curated", (0, 0, 0))[0]
+    found = contracts.where(~F.col("source").isin(*pools.labelled) | (F.size("vulnerabilities") > 0))
+    n_lab = pool_size(found, pools.labelled)
     n_vuln = min(n_lab, num_samples) if num_samples else n_lab
-    supply = st.get("unlabelled", (0, 0, 0))[0]
-    n_clean = dpo_clean_count(n_vuln, num_samples, supply)
-    r = _ranked_pools(tagged, {"missed": (["curated"], num_samples),
-                               "false_positive": (["unlabelled"], n_clean)}, st)
-    return r.select("contract_id", "source", F.col("pool").alias("pair_kind"))
+    n_clean = dpo_clean_count(n_vuln, num_samples, pool_size(found, pools.unlabelled))
+    missed = _first(found, pools, pools.labelled, num_samples, "missed", key)
+    clean = _first(found, pools, pools.unlabelled, n_clean, "false_positive", key)
+    return missed.unionByName(clean).select(key, "source", F.col("pool").alias("pair_kind"))
 
 
 def false_finding() -> F.Column:
@@ -158,16 +140,16 @@ def false_finding() -> F.Column:
 
 
 def build_dpo(contracts: DataFrame, num_samples: int | None = None, seed: int = 42,
-              train_split: float = TRAIN_SPLIT) -> DataFrame:
+              train_split: float = TRAIN_SPLIT, pools: Pools = TABLE_POOLS, key: str = "contract_id") -> DataFrame:
     """(true finding, none) for labelled; (none, fixed false finding) for clean; P05/P06."""
-    sel = dpo_selection(contracts, num_samples)
-    split = od.train_validation_split(sel, "contract_id", seed, train_split)
-    full = _with_code(split, contracts, ("source_code", "vulnerabilities"), num_samples)
+    sel = dpo_selection(contracts, num_samples, pools, key)
+    split = od.train_validation_split(sel, key, seed, train_split)
+    full = _with_code(split, contracts, ("source_code", "vulnerabilities"), key)
     missed = F.col("pair_kind") == "missed"
     chosen = F.when(missed, fm.analysis_text("vulnerabilities")).otherwise(F.lit(NO_VULNERABILITY_OUTPUT))
     rejected = F.when(missed, F.lit(NO_VULNERABILITY_OUTPUT)).otherwise(fm.analysis_text(false_finding()))
     return full.select(
-        "contract_id", "split", "rank", "pair_kind",
+        key, "split", "rank", "pair_kind",
         fm.zero_shot_prompt("source_code").alias("prompt"),
         chosen.alias("chosen"), rejected.alias("rejected"),
         F.when(missed, F.size("vulnerabilities")).otherwise(F.lit(0)).alias("correct_vuln_count"),
@@ -177,37 +159,39 @@ def build_dpo(contracts: DataFrame, num_samples: int | None = None, seed: int =
 
 # --- D03: CPT set under a token budget ------------------------------------------------------
 
-def cpt_candidates(contracts: DataFrame, reports: DataFrame) -> DataFrame:
+def cpt_candidates(contracts: DataFrame, reports: DataFrame, pools: Pools = TABLE_POOLS, key: str = "contract_id") -> DataFrame:
     """Unlabelled code (source 'solidity') then reports ('audit_report'), JSON content as text."""
-    code = contracts.where(F.col("source") == "unlabelled").select(
-        F.lit(0).alias("source_rank"), F.col("contract_id").alias("item_id"),
+    code = contracts.where(F.col("source").isin(*pools.unlabelled)).select(
+        F.lit(0).alias("source_rank"), F.col(key).alias("item_id"),
         F.col("source_code").alias("text"), F.lit("solidity").alias("source"))
     rep = reports.select(F.lit(1).alias("source_rank"), F.col("report_id").alias("item_id"),
                          F.col("content").alias("text"), F.lit("audit_report").alias("source"))
     return code.unionByName(rep).withColumn("tokens", tx.token_estimate("text"))
 
 
-def build_cpt(contracts: DataFrame, reports: DataFrame, target_tokens: float = 2e9) -> DataFrame:
-    """D03 + W03: in source order, emit while tokens before the row < target."""
-    c = cpt_candidates(contracts, reports).drop("text")
-    r = od.source_order_rank(c, "source_rank", "item_id", measure="tokens")
-    kept = od.token_budget(r, target_tokens)
-    return kept.select("source_rank", "item_id", "source", "tokens", "before", "rank")
+def build_cpt(contracts: DataFrame, reports: DataFrame, target_tokens: float = 2e9, pools: Pools = TABLE_POOLS,
+              key: str = "contract_id") -> DataFrame:
+    """D03 + W03: in source order, emit while tokens before the row < target. Ranks are taken over ids and token counts;
+    the texts of the kept rows are joined back."""
+    c = cpt_candidates(contracts, reports, pools, key)
+    r = od.source_order_rank(c.drop("text"), "source_rank", "item_id", measure="tokens")
+    kept = od.token_budget(r, target_tokens).select("source_rank", "item_id", "source", "tokens", "before", "rank")
+    return kept.join(c.select("source_rank", "item_id", "text"), ["source_rank", "item_id"])
 
 
 # --- D04: RL prompts --------------------------------------------------------------------
 
-def build_rl_prompts(contracts: DataFrame, num_prompts: int = 1000, seed: int = 42) -> DataFrame:
+def build_rl_prompts(contracts: DataFrame, num_prompts: int = 1000, seed: int = 42, pools: Pools = TABLE_POOLS,
+                     key: str = "contract_id") -> DataFrame:
     """Labelled up to N, unlabelled fills the rest, seeded shuffle, first N."""
-    st = pool_stats(contracts)
-    n_lab = min(st.get("curated", (0, 0, 0))[0], num_prompts)
-    sel = _ranked_pools(contracts, {"labelled": (["curated"], num_prompts),
-                                    "fill": (["unlabelled"], max(num_prompts - n_lab, 0))}, st).select("contract_id", "source")
-    shuffled = od.seeded_shuffle(sel, "contract_id", seed).where(F.col("rank") <= num_prompts)
-    full = _with_code(shuffled, contracts, ("source_code", "vulnerabilities"), num_prompts)
-    has = F.col("source") == "curated"
+    n_lab = min(pool_size(contracts, pools.labelled), num_prompts)
+    sel = _first(contracts, pools, pools.labelled, num_prompts, "labelled", key) \
+        .unionByName(_first(contracts, pools, pools.unlabelled, num_prompts - n_lab, "fill", key)).select(key, "source")
+    shuffled = od.seeded_shuffle(sel, key, seed).where(F.col("rank") <= num_prompts)
+    full = _with_code(shuffled, contracts, ("source_code", "vulnerabilities"), key)
+    has = F.col("source").isin(*pools.labelled)
     return full.select(
-        "contract_id", "rank",
+        key, "rank",
         fm.zero_shot_prompt("source_code").alias("prompt"),
         has.alias("has_vulnerability"),
         F.when(has, F.col("vulnerabilities")).otherwise(F.array().cast(VULN_TYPE)).alias("ground_truth"),
@@ -239,8 +223,11 @@ def delta_pairs(completions: DataFrame, contracts: DataFrame, strong: str = "str
                 max_gap: int | None = MAX_WORD_GAP, signed_token_gap: int | None = None) -> DataFrame:
     """J02 strong ⋈ weak on the prompt; P16 drop empty code and empty sides; P17 word gap
     |w(chosen) - w(rejected)| <= max_gap; P18 (optional) drop when tokens(chosen) - tokens(rejected) > gap."""
-    s = completions.where(F.col("model") == strong).select("contract_id", F.col("text").alias("chosen"))
-    w = completions.where(F.col("model") == weak).select("contract_id", F.col("text").alias("rejected"))
+    def answer(model: str, name: str) -> DataFrame:
+        """One answer of a model to each prompt, its first: a prompt makes one pair."""
+        return completions.where(F.col("model") == model).groupBy("contract_id").agg(F.min_by("text", "k").alias(name))
+
+    s, w = answer(strong, "chosen"), answer(weak, "rejected")
     code = contracts.where(F.coalesce(F.length("source_code"), F.lit(0)) > 0).select("contract_id", "source_code")
     pairs = s.join(w, "contract_id").where((F.col("chosen") != "") & (F.col("rejected") != ""))
     pairs = pairs.join(code, "contract_id")
@@ -262,7 +249,6 @@ def mixture_sample(contracts: DataFrame, mix: DataFrame, component_pools: DataFr
     tables (broadcast); quotas are computed per component in double arithmetic."""
     q = mix.select("component", F.floor(F.lit(float(num_samples)) * F.col("ratio")).cast("long").alias("quota"))
     pools = F.broadcast(component_pools.join(q, "component"))
-    c = contracts.select("contract_id", "source", pool_rank(F.col("source")).alias("source_rank")).join(pools, "source")
-    r = od.exact_rank(c, od.id_bucket(F.col("source_rank"), F.col("contract_id"), od.id_width(c, "contract_id")),
-                      [F.col("source_rank"), F.col("contract_id")], group=["component"])
+    c = contracts.select("contract_id", "source", TABLE_POOLS.rank().alias("source_rank")).join(pools, "source")
+    r = od.exact_rank(c, od.order_bucket(c, ["source_rank", "contract_id"]), [F.col("source_rank"), F.col("contract_id")], group=["component"])
     return r.where(F.col("rank") <= F.col("quota")).select("component", "contract_id", "source", "rank", "quota")

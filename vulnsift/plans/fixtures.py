@@ -18,29 +18,9 @@ CATEGORIES = [
     "reentrancy", "access_control", "arithmetic", "unchecked_low_level_calls",
     "denial_of_service", "bad_randomness", "front_running", "time_manipulation",
 ]
-POOL_RANK = {"curated": 0, "tabular": 1, "unlabelled": 2, "clean": 3}
 N_SAMPLES = 8
 EXPERIMENT_STAGES = ["sft", "dpo", "rlvr"]
 
-_PLANS: dict = {}
-
-
-def _memo(fn):
-    """Reuse the built (lazy) DataFrame per session and folder: plan construction of these
-    fixtures costs more than running them on small data. No data is cached."""
-    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (fn.__name__, id(spark), sf_dir)
-        hit = _PLANS.get(key)
-        if hit is not None and hit[0] is spark:
-            return hit[1]
-        df = fn(spark, sf_dir)
-        _PLANS[key] = (spark, df)
-        return df
-    wrapper.__name__ = fn.__name__
-    wrapper.__doc__ = fn.__doc__
-    return wrapper
-
-
 def _cat(expr: Column) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (expr % 8).cast("int") + 1)
 
@@ -78,7 +58,6 @@ def _vuln(doc: Column, i: int) -> Column:
     )
 
 
-@_memo
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four pools: curated (toxic), tabular (q0 t0), clean (q1 t0), unlabelled (no label)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -110,14 +89,6 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pool_rank(source: Column) -> Column:
-    expr = None
-    for name, r in POOL_RANK.items():
-        expr = F.when(source == name, F.lit(r)) if expr is None else expr.when(source == name, F.lit(r))
-    return expr
-
-
-@_memo
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per labelled vulnerability of the curated pool."""
     c = contracts(spark, sf_dir).where(F.col("source") == "curated")
@@ -177,7 +148,6 @@ def completion_text() -> Column:
     )
 
 
-@_memo
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight sampled answers per curated or clean contract (k = 0 strong, k = 1 weak)."""
     c = contracts(spark, sf_dir).where(F.col("source").isin("curated", "clean")).select("contract_id")
@@ -186,8 +156,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = base.select("contract_id", "k", *_answer_parts(F.col("contract_id"), k))
     # A completions table is stored bucketed by contract_id (every consumer joins or groups on
     # it); the stand-in is handed over hash-partitioned the same way.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts.repartition(n, "contract_id")
+    parts = parts.repartition("contract_id")
     return parts.select(
         "contract_id",
         k,
@@ -196,13 +165,11 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def eval_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation set: curated (vulnerable) and clean labelled contracts."""
     return contracts(spark, sf_dir).where(F.col("source").isin("curated", "clean"))
 
 
-@_memo
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return read_table(spark, sf_dir, "events").select(
@@ -216,7 +183,6 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training-run log rows: experiment by event type, step by day."""
     e = F.col("event_id")
@@ -235,7 +201,6 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_memo
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit reports: page html as content, page_id as key, url as path."""
     return read_table(spark, sf_dir, "pages").select(
@@ -245,3 +210,14 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("audit_report").alias("type"),
         F.col("html").alias("content"),
     )
+
+
+def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two answers to the last user turn of each conversation with their scores: its own last assistant turn, and the
+    first third of it."""
+    a = read_table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    last = a.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("text", "turn").alias("text"))
+    third = F.expr("substring(text, 1, cast(length(text) / 3 as int))")
+    both = F.array(F.struct(F.lit(0).alias("answer_id"), F.col("text").alias("text"), F.lit(1.0).alias("score")),
+                   F.struct(F.lit(1).alias("answer_id"), third.alias("text"), F.lit(0.25).alias("score")))
+    return last.select("conv_id", "turn", F.explode(both).alias("x")).select("conv_id", "turn", "x.*")

@@ -98,7 +98,7 @@ def per_class_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean per-class F1 per run."""
     comp, con = _eval_inputs(spark, sf_dir)
-    return rounded(ev.macro_f1(ev.score_answers(comp, con)).select("k", "macro_f1", "n_classes"))
+    return rounded(ev.macro_f1(ev.score_runs(comp, con)).select("k", "macro_f1", "n_classes"))
 
 
 @query
@@ -346,10 +346,10 @@ def rl_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cpt_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D03 + W03 + F12: code then reports in order while tokens before the row < target."""
+    """D03 + W03 + F12: code then reports in order while tokens before the row < target, with their text."""
     r = ds.build_cpt(fx.contracts(spark, sf_dir), fx.reports(spark, sf_dir), target_tokens=CPT_TARGET)
     return r.select("source", "item_id", "tokens", F.col("before").cast("long").alias("tokens_before"),
-                    F.col("rank").cast("long").alias("rank"))
+                    F.col("rank").cast("long").alias("rank"), "text")
 
 
 @query
@@ -386,10 +386,9 @@ def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = od.train_validation_split(d.select("doc_id"), "doc_id", seed=7).select("doc_id", "split")
     train = s.where(F.col("split") == "train").select("doc_id")
     val = s.where(F.col("split") == "validation").select("doc_id")
-    shared = train.intersect(val).count()
-    missing = d.select("doc_id").exceptAll(train.unionByName(val)).count()
-    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n")).select(
-        "split", "n", F.lit(shared).cast("long").alias("shared"), F.lit(missing).cast("long").alias("missing"))
+    shared = train.intersect(val).agg(F.count("*").alias("shared"))
+    missing = d.select("doc_id").exceptAll(train.unionByName(val)).agg(F.count("*").alias("missing"))
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n")).join(shared).join(missing)
 
 
 @query
@@ -427,7 +426,7 @@ def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 def union_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S09 + O01 + U01: sources in the given order, one global limit (here 100)."""
     c = fx.contracts(spark, sf_dir).where(F.col("source").isin("curated", "tabular", "unlabelled"))
-    c = c.select("contract_id", "source", fx.pool_rank(F.col("source")).alias("source_rank"))
+    c = c.select("contract_id", "source", ds.TABLE_POOLS.rank().alias("source_rank"))
     return od.first_n(c, ["source_rank", "contract_id"], 100).select("contract_id", "source")
 
 
@@ -573,7 +572,7 @@ def quality_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F18 + P23: repeated word 3-gram ratio of every whole document; kept when <= 0.30."""
     d = read_docs(spark, sf_dir).select("doc_id", "text")
-    return rounded(fl.repetition(d, key="doc_id").select("doc_id", "repeat_ratio", "kept"))
+    return rounded(fl.repetition(d).select("doc_id", "repeat_ratio", "kept"))
 
 
 @query
@@ -630,8 +629,8 @@ def chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def multi_turn_pref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last assistant turn chosen over the previous one, with rendered context."""
-    return ch.multi_turn_preferences(read_table(spark, sf_dir, "conversations"))
+    """The better of two answers to the last user turn over the worse one, with the context before them."""
+    return ch.multi_turn_preferences(read_table(spark, sf_dir, "conversations"), fx.chat_answers(spark, sf_dir))
 
 
 @query
@@ -723,12 +722,10 @@ def steps_to_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latency distribution per experiment (min, mean, max; bounded-memory percentiles)."""
+    """Latency distribution per experiment (min, mean, max; exact percentiles)."""
     r = fx.runs(spark, sf_dir)
-    return rounded(r.groupBy("experiment").agg(
-        F.min("latency_ms").alias("min_ms"), F.avg("latency_ms").alias("mean_ms"), F.max("latency_ms").alias("max_ms"),
-        F.percentile_approx("latency_ms", 0.5, 1_000_000).alias("p50_ms"),
-        F.percentile_approx("latency_ms", 0.9, 1_000_000).alias("p90_ms")))
+    moments = r.groupBy("experiment").agg(F.min("latency_ms").alias("min_ms"), F.avg("latency_ms").alias("mean_ms"), F.max("latency_ms").alias("max_ms"))
+    return rounded(moments.join(rn.exact_percentiles(r, "experiment", "latency_ms", "run_row", {"p50_ms": 0.5, "p90_ms": 0.9}), "experiment"))
 
 
 @query
@@ -748,7 +745,7 @@ def trajectory_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def outcome_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome-labelled chosen / rejected trajectories paired per prompt."""
-    return rn.outcome_pairs(fx.trajectories(spark, sf_dir))
+    return rn.outcome_pairs(fx.trajectories(spark, sf_dir)).select("prompt_id", F.col("i").cast("long").alias("i"), "chosen_id", "rejected_id", "reason")
 
 
 @query
@@ -884,8 +881,8 @@ def class_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every truth row of every answer with its hit flag."""
     comp, con = _eval_inputs(spark, sf_dir)
     c = con.select("contract_id", ev.truth_classes().alias("truth_rows"))
-    j = comp.join(c, "contract_id").withColumn("pred", ev.predicted_classes("text"))
-    return ev.class_hits(j).groupBy("contract_id", "k", "swc_id", "hit").agg(F.count(F.lit(1)).alias("n"))
+    pred = comp.select("contract_id", "k", ev.predicted_classes("text").alias("pred"))
+    return ev.class_hits(ev.with_unanswered(pred, c)).groupBy("contract_id", "k", "swc_id", "hit").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -1077,7 +1074,7 @@ def _stage_files(df: DataFrame, root: str) -> None:
     def write(batches):
         import pandas as pd
         import pyarrow.fs as pafs
-        fs, base = pafs.FileSystem.from_uri(root)
+        fs, base = pafs.FileSystem.from_uri(root)  # a path without a scheme is a local one, as in a test
         for b in batches:
             for rel, text in zip(b["relpath"], b["text"]):
                 path = f"{base}/{rel}"
@@ -1088,14 +1085,10 @@ def _stage_files(df: DataFrame, root: str) -> None:
     df.mapInPandas(write, "n long").agg(F.sum("n")).collect()
 
 
-@query
-def file_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S01-S08 + S09: files staged from the tables (curated pool as dataset/<category>/<id>.sol
-    with CRLF line ends, tabular pool as two CSV layouts plus side files, unlabelled pool as
-    parquet, exploit-style paths, pages as Markdown and JSON reports), then every scan."""
+def _staged(spark: SparkSession, sf_dir: str) -> str:
+    """Files staged from the tables: curated pool as dataset/<category>/<id>.sol with CRLF line ends, tabular pool as two
+    CSV layouts plus side files, unlabelled pool as parquet, exploit-style paths, pages as Markdown and JSON reports."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
     c = fx.contracts(spark, sf_dir)
     cur = c.where(F.col("source") == "curated")
     tab = c.where(F.col("source") == "tabular")
@@ -1117,19 +1110,27 @@ def file_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     _stage_files(staged, base)
     tab.select(F.col("contract_id").alias("id"), F.col("source_code").alias("code")).write.csv(
-        f"{base}/tdm", header=True, escape='"')
+        f"{base}/tdm", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     tab.select(F.col("contract_id").cast("string").alias("Contract Address"), F.lit("csv code").alias("Source Code")) \
         .write.csv(f"{base}/bccc/csv", header=True, escape='"')
     c.where(F.col("source") == "unlabelled").select(F.col("source_code").alias("content"), "file_path") \
         .write.parquet(f"{base}/zellic")
-    parts = [
-        sf.load_curated(spark, f"{base}/curated").select("source", "file_path", "source_code"),
-        sf.load_labelled_csv(spark, f"{base}/tdm").select("source", "file_path", "source_code"),
-        sf.load_address_csv(spark, f"{base}/bccc/csv", f"{base}/bccc/Vulnerable_SourceCodes")
-        .select("source", "file_path", "source_code"),
-        sf.load_unlabelled(spark, f"{base}/zellic").select("source", "file_path", "source_code"),
-    ]
-    contracts = cat.union_sources(parts)
+    return base
+
+
+def _loaded(spark: SparkSession, base: str) -> DataFrame:
+    """S01-S04 + S09: the contract sources in their order, keyed by their path below the data folder."""
+    return sf.with_key(cat.union_sources([
+        sf.load_curated(spark, f"{base}/curated"), sf.load_labelled_csv(spark, f"{base}/tdm"),
+        sf.load_address_csv(spark, f"{base}/bccc/csv", f"{base}/bccc/Vulnerable_SourceCodes"),
+        sf.load_unlabelled(spark, f"{base}/zellic")]), base)
+
+
+@query
+def file_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S01-S08 + S09: every scan over the staged files."""
+    base = _staged(spark, sf_dir)
+    contracts = _loaded(spark, base).select("source", "file_path", "source_code")
     exploits = sf.load_exploits(spark, f"{base}/exploits").select(
         "source", "file_path", F.col("source_code"), F.col("year"))
     reports = sf.load_reports(spark, f"{base}/audits").select(
@@ -1138,6 +1139,21 @@ def file_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("source", F.length("source_code").cast("long").alias("length"), "year")
 
 
+@query
+def files_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D01 straight from the file loaders' rows."""
+    s = ds.build_sft(_loaded(spark, _staged(spark, sf_dir)), num_samples=SFT_N, format_type="alpaca", pools=ds.FILE_POOLS)
+    return s.select("contract_id", "split", F.col("rank").cast("long").alias("rank"), "is_vulnerable",
+                    F.col("num_vulns").cast("long").alias("num_vulns"), F.length("input").cast("long").alias("length"))
+
+
+@query
+def files_dpo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D02 straight from the file loaders' rows."""
+    d = ds.build_dpo(_loaded(spark, _staged(spark, sf_dir)), num_samples=DPO_N, pools=ds.FILE_POOLS)
+    return d.select("contract_id", "split", F.col("rank").cast("long").alias("rank"), "pair_kind")
+
+
 # ---------------------------------------------------------------------------
 # Remaining inventory items: D08, F22, S10, S14-S16
 # ---------------------------------------------------------------------------
@@ -1155,13 +1171,14 @@ def rl_filter_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def severity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """severity of each answer's first finding against the first truth row's severity."""
+    """severity of every finding of every answer against every truth row of its class: predicted, truth, match."""
     comp, con = _eval_inputs(spark, sf_dir)
-    j = sc.with_truth(comp, con)
-    first = F.get(ev.findings_array("text"), 0)
-    truth = F.get(F.col("vulnerabilities"), 0)["severity"]
-    return j.select("contract_id", "k", first["severity"].alias("predicted"), truth.alias("truth"),
-                    (first["severity"] == truth).alias("match")).where(F.col("predicted").isNotNull())
+    found = comp.select("contract_id", "k", F.explode(ev.findings_array("text")).alias("f")).select(
+        "contract_id", "k", F.col("f.block").alias("block"), F.col("f.swc_id").alias("swc_id"), F.col("f.severity").alias("predicted"))
+    truth = con.select("contract_id", F.posexplode("vulnerabilities").alias("truth_row", "v")).select(
+        "contract_id", "truth_row", F.coalesce("v.swc_id", F.lit("SWC-000")).alias("swc_id"), F.col("v.severity").alias("truth"))
+    return found.join(truth, ["contract_id", "swc_id"]).select(
+        "contract_id", "k", "block", "truth_row", "swc_id", "predicted", "truth", (F.col("predicted") == F.col("truth")).alias("match"))
 
 
 @query

@@ -41,11 +41,14 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is only read here. Only when
-    it is unset (local tests) is a fresh scratch folder taken and set.
+    On a cluster this setting names shared storage and is only read here; without it the call fails. Only
+    on a local master (tests) is a fresh scratch folder taken and set.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="vulnsift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -57,23 +60,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Before heavy per-row work: if the input has fewer partitions than the cluster's default
-    parallelism (e.g. one large row group), hash-partition it by `key` so every core works.
-    Inputs that already arrive in many splits (the normal case at scale) are left alone, so
-    no shuffle is added there."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key)
-
-
 _SHIPPED: set = set()
 
 

@@ -27,7 +27,7 @@ def source_catalogue(spark: SparkSession, data_dir: str, paths=None) -> DataFram
 def source_counts(rows: DataFrame, catalogue: DataFrame, source_col: str = "source") -> DataFrame:
     """Rows per source, 0 for catalogued sources without rows (right join to the catalogue)."""
     counts = rows.groupBy(source_col).agg(F.count(F.lit(1)).alias("n_rows"))
-    return counts.join(F.broadcast(catalogue.select(source_col)), source_col, "right") \
+    return counts.join(catalogue.select(source_col), source_col, "right") \
         .select(source_col, F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 

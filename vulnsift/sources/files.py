@@ -28,9 +28,9 @@ def _vuln_struct(vtype: Column, swc: Column) -> Column:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """True when Spark can list `path` (any file system Spark is configured for)."""
+    """True when Spark can list `path` (any file system Spark is configured for); starts no job."""
     try:
-        spark.read.format("binaryFile").load(path).select("path").limit(1).count()
+        spark.read.format("binaryFile").load(path)
         return True
     except AnalysisException:
         return False
@@ -63,6 +63,12 @@ def contracts_frame(df: DataFrame, code: Column, path: Column, source: str, vuln
     )
 
 
+def with_key(contracts: DataFrame, root: str) -> DataFrame:
+    """`contract_id`: the path below the data folder, a stable string key for ranks, shuffles and joins."""
+    base = re.escape(re.sub(r"^file:(//)?", "", root).rstrip("/")) + "/"
+    return contracts.withColumn("contract_id", F.regexp_replace(_local(F.col("file_path")), "^" + base, ""))
+
+
 def load_curated(spark: SparkSession, root: str) -> DataFrame:
     """<root>/dataset/<type>/*.sol, one level; type from the directory; one vulnerability
     with the exact-key class (F01)."""
@@ -124,7 +130,9 @@ def load_unlabelled(spark: SparkSession, root: str) -> DataFrame:
         df = spark.read.option("pathGlobFilter", "*.parquet").parquet(root)
         path = F.coalesce(F.col("file_path"), F.lit("unknown")) if "file_path" in df.columns else F.lit("unknown")
         return contracts_frame(df, _pick(df, "source_code", "content"), path, "zellic", False)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+            raise
         f = whole_files(spark, f"{root}/contracts", recursive=True, glob="*.sol")
         return contracts_frame(f, F.col("text"), _local(F.col("path")), "zellic", False)
 
