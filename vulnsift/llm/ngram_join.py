@@ -181,7 +181,8 @@ def near_sets(blocks: DataFrame) -> DataFrame:
                 if out:
                     yield rows_of(_NEAR, list(zip(*out)))
 
-    return hold(answered.select("ids", "sizes", "body", "classes").mapInArrow(run, NEAR))
+    # dealt by document once: every later join with the sets finds them where they are
+    return hold(answered.select("ids", "sizes", "body", "classes").mapInArrow(run, NEAR).repartition("doc_id"))
 
 
 class Forest:
