@@ -223,9 +223,11 @@ def delta_pairs(completions: DataFrame, contracts: DataFrame, strong: str = "str
                 max_gap: int | None = MAX_WORD_GAP, signed_token_gap: int | None = None) -> DataFrame:
     """J02 strong ⋈ weak on the prompt; P16 drop empty code and empty sides; P17 word gap
     |w(chosen) - w(rejected)| <= max_gap; P18 (optional) drop when tokens(chosen) - tokens(rejected) > gap."""
+    first = "k" if "k" in completions.columns else "text"
+
     def answer(model: str, name: str) -> DataFrame:
         """One answer of a model to each prompt, its first: a prompt makes one pair."""
-        return completions.where(F.col("model") == model).groupBy("contract_id").agg(F.min_by("text", "k").alias(name))
+        return completions.where(F.col("model") == model).groupBy("contract_id").agg(F.min_by("text", first).alias(name))
 
     s, w = answer(strong, "chosen"), answer(weak, "rejected")
     code = contracts.where(F.coalesce(F.length("source_code"), F.lit(0)) > 0).select("contract_id", "source_code")
