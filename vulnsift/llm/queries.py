@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vulnsift.llm import decontaminate, fingerprints, langid, licenses, ngram_join, packing, quality, secrets, suffix_dedup, warc
 from vulnsift.llm.common import read_table, ship_package
+from vulnsift.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,3 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_quality, op3_ngram_join, op4_fingerprints, op5_licenses, op6_packing, op7_secrets,
                                      op8_decontaminate, op9_language, op10_warc)}
-
-#: DuckDB SQL of the queries that SQL can state on whole tables.
-ORACLE_SQL: dict[str, str] = {}
