@@ -129,7 +129,7 @@ def line_reward(text, vulns, pred: Column | None = None, truth: Column | None =
 def format_reward(text) -> Column:
     """share of the five field labels present (case-insensitive)."""
     t = F.coalesce(tx.col_(text), F.lit(""))
-    hits = [F.when(t.rlike("(?i)" + p), 1).otherwise(0) for p in FORMAT_FIELD_PATTERNS]
+    hits = [F.when(t.rlike("(?iU)" + p), 1).otherwise(0) for p in FORMAT_FIELD_PATTERNS]
     return sum(hits[1:], hits[0]) / F.lit(float(len(FORMAT_FIELD_PATTERNS)))
 
 

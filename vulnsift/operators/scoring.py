@@ -8,6 +8,7 @@ AQE's skew-join handling splits the large side of the join-back.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,9 @@ def group_stats(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def advantages(scored: DataFrame, key: str = "contract_id", value: str = "reward") -> DataFrame:
-    """R - mean(r) of the prompt's group (no division by the std)."""
+    """R - mean(r) of the prompt's group (no division by the std). The scored rows, a few numbers each, are held:
+    the group means and the join back read them instead of scoring twice."""
+    scored = scored.select(*[c for c in scored.columns if c != "vulnerabilities"]).persist(StorageLevel.MEMORY_AND_DISK)
     g = group_stats(scored, key, value)
     return scored.join(g, key).withColumn("advantage", F.col(value) - F.col("mean_reward"))
 

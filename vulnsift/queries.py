@@ -171,14 +171,13 @@ def reward_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted vs true line sets (sizes and IoU) by interval arithmetic."""
     comp, con = _eval_inputs(spark, sf_dir)
-    j = sc.with_truth(comp, con)
-    pred = rw.predicted_intervals("text")
+    j = sc.with_truth(comp.select("contract_id", "k", rw.predicted_intervals("text").alias("pred")), con)
     tru = rw.truth_intervals("vulnerabilities")
     return rounded(j.select(
         "contract_id", "k",
-        rw.union_size(pred).alias("n_pred_lines"),
+        rw.union_size(F.col("pred")).alias("n_pred_lines"),
         rw.union_size(tru).alias("n_truth_lines"),
-        rw.line_reward("text", "vulnerabilities").alias("iou"),
+        rw.line_reward(None, "vulnerabilities", F.col("pred"), tru).alias("iou"),
     ))
 
 
@@ -223,9 +222,9 @@ def joined_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_verifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0/1 difficulty-filter verifier per completion."""
     comp, con = _eval_inputs(spark, sf_dir)
-    j = sc.with_truth(comp, con)
-    return j.select("contract_id", "k",
-                    rw.filter_verifier("text", ev.truth_classes("vulnerabilities", default="")).alias("verified"))
+    j = sc.with_truth(comp.select("contract_id", "k", *rw.text_features("text")), con)
+    verified = rw.filter_verifier(None, ev.truth_classes("vulnerabilities", default=""), F.col("_got"), F.col("_no_vuln"))
+    return j.select("contract_id", "k", verified.alias("verified"))
 
 
 @query
