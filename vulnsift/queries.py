@@ -570,7 +570,8 @@ def quality_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F18 + P23: repeated word 3-gram ratio of every whole document; kept when <= 0.30."""
-    d = read_docs(spark, sf_dir).select("doc_id", "text")
+    # the table may be one row group, which one task reads: the heavy per-text work is dealt out by id
+    d = read_docs(spark, sf_dir).select("doc_id", "text").repartition("doc_id")
     return rounded(fl.repetition(d).select("doc_id", "repeat_ratio", "kept"))
 
 
@@ -599,7 +600,7 @@ def confidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents left after removing those that share a word 13-gram with (or equal) a
     benchmark item."""
-    d = read_docs(spark, sf_dir).select("doc_id", "text")
+    d = read_docs(spark, sf_dir).select("doc_id", "text").repartition("doc_id")
     b = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
     return fl.decontaminate(d, b, "doc_id").select("doc_id")
 
@@ -607,7 +608,7 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J06 (find side): the overlapping document ids."""
-    d = read_docs(spark, sf_dir).select("doc_id", "text")
+    d = read_docs(spark, sf_dir).select("doc_id", "text").repartition("doc_id")
     b = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
     return fl.overlap_ids(d, b, "doc_id")
 
