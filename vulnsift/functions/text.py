@@ -143,28 +143,6 @@ def words(text) -> Column:
     return F.regexp_extract_all(col_(text), F.lit(r"(?U)\S+"), 0)
 
 
-def ngrams(text, n: int = 3) -> Column:
-    """Word n-grams of the whole text, each joined by one space.
-
-    Built from n shifted slices zipped together, so the word list is an argument of the
-    higher-order function (evaluated once per row), never re-evaluated per element:
-    linear in the text length.
-    """
-    w = words(text)
-    m = F.size(w) - (n - 1)
-    shifted = [F.slice(w, i + 1, F.greatest(m, F.lit(1))).alias(f"w{i}") for i in range(n)]
-    grams = F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(n)]))
-    return F.when(m >= 1, grams).otherwise(F.array().cast("array<string>"))
-
-
-def repeated_ngram_ratio(text, n: int = 3) -> Column:
-    """1 - distinct/total over word n-grams; 0.0 when there are none (string n-grams;
-    the scale path is ``with_word_hashes`` + ``repeated_ratio_from_hashes``)."""
-    g = ngrams(text, n)
-    total = F.size(g)
-    return F.when(total > 0, F.lit(1.0) - F.size(F.array_distinct(g)) / total).otherwise(F.lit(0.0))
-
-
 # --- n-grams at scale: per-word hashes computed once, n-gram keys from hashes ----------
 
 def with_word_hashes(df, text, out: str = "_wh", lower: bool = False):
@@ -178,17 +156,6 @@ def with_word_hashes(df, text, out: str = "_wh", lower: bool = False):
     return df.withColumn(out, F.transform(words(F.coalesce(t, F.lit(""))), lambda w: F.xxhash64(w)))
 
 
-def ngram_keys_from_hashes(wh, n: int) -> Column:
-    """Key of every word n-gram: (xxhash64, murmur3) over the n word hashes (96 bits)."""
-    wh = col_(wh)
-    m = F.size(wh) - (n - 1)
-    shifted = [F.slice(wh, i + 1, F.greatest(m, F.lit(1))).alias(f"h{i}") for i in range(n)]
-    parts = lambda z: [z[f"h{i}"] for i in range(n)]
-    keys = F.transform(F.arrays_zip(*shifted),
-                       lambda z: F.struct(F.xxhash64(*parts(z)).alias("k1"), F.hash(*parts(z)).alias("k2")))
-    return F.when(m >= 1, keys).otherwise(F.array().cast("array<struct<k1:bigint,k2:int>>"))
-
-
 _MASK = (1 << 64) - 1
 _P1, _P2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # odd multipliers of the two polynomial keys
 
@@ -222,25 +189,6 @@ def ngram_keys_vectorized(wh, n: int) -> Column:
     return F.arrays_zip(k["k1"].alias("k1"), k["k2"].alias("k2"))
 
 
-def ngram_hash64_from_hashes(wh, n: int) -> Column:
-    """One 64-bit key per word n-gram (a primitive array, so array_distinct is a hash set)."""
-    wh = col_(wh)
-    m = F.size(wh) - (n - 1)
-    shifted = [F.slice(wh, i + 1, F.greatest(m, F.lit(1))).alias(f"h{i}") for i in range(n)]
-    keys = F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*[z[f"h{i}"] for i in range(n)]))
-    return F.when(m >= 1, keys).otherwise(F.array().cast("array<bigint>"))
-
-
-def repeated_ratio_from_hashes(wh, n: int = 3) -> Column:
-    """F18 from word hashes: 1 - distinct n-grams / n-grams; 0.0 when there are none.
-
-    Distinct n-grams are counted per row on 64-bit keys (array_distinct over a primitive
-    array is hash based; over structs Spark compares pairwise)."""
-    total = F.size(col_(wh)) - (n - 1)
-    distinct = F.size(F.array_distinct(ngram_hash64_from_hashes(wh, n)))
-    return F.when(total > 0, F.lit(1.0) - distinct / total).otherwise(F.lit(0.0))
-
-
 # --- F20: path parts ----------------------------------------------------------------
 
 def first_year_part(path) -> Column:
@@ -256,10 +204,6 @@ def file_stem(path) -> Column:
                   F.regexp_extract(name, r"^(.*)\.[^.]*$", 1)).otherwise(name)
 
 
-def all_true(*conds: Column) -> Column:
-    return reduce(lambda a, b: a & b, conds)
-
-
 def repeated_ratio_vectorized(wh, n: int = 3) -> Column:
     """F18 over word hashes with numpy: 1 - distinct n-gram keys / n-grams (0.0 when none).
     Distinct 64-bit polynomial keys are counted per text (a collision inside one text needs

@@ -14,47 +14,13 @@ VULN_FIELDS = (
 )
 VULNERABILITY = T.StructType([T.StructField(f, T.StringType(), True) for f in VULN_FIELDS])
 
-CONTRACTS = T.StructType([
-    T.StructField("contract_id", T.LongType(), False),
-    T.StructField("source_code", T.StringType(), True),
-    T.StructField("file_path", T.StringType(), True),
-    T.StructField("source", T.StringType(), True),
-    T.StructField("category", T.StringType(), True),
-    T.StructField("is_vulnerable", T.BooleanType(), True),
-    T.StructField("vulnerabilities", T.ArrayType(VULNERABILITY), True),
-])
-
-MESSAGE = T.StructType([
-    T.StructField("role", T.StringType(), True),
-    T.StructField("content", T.StringType(), True),
-])
-
-FINDINGS = T.StructType([
-    T.StructField("contract_id", T.LongType(), False),
-    T.StructField("k", T.IntegerType(), False),
-    T.StructField("block", T.IntegerType(), False),
-    T.StructField("swc_id", T.StringType(), True),
-    T.StructField("cwe_id", T.StringType(), True),
-    T.StructField("vuln_type", T.StringType(), True),
-    T.StructField("severity", T.StringType(), True),
-    T.StructField("lines", T.StringType(), True),
-    T.StructField("explanation", T.StringType(), True),
-    T.StructField("confidence", T.DoubleType(), True),
-])
+
+
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — these must equal the reference's for results to match.
 # ---------------------------------------------------------------------------
 
-VULNERABILITY_OUTPUT_TEMPLATE = (
-    "Vulnerability: {vuln_type}\n"
-    "CWE: {cwe_id}\n"
-    "SWC: {swc_id}\n"
-    "Lines: {line_range}\n"
-    "Severity: {severity}\n"
-    "Explanation: {explanation}\n"
-    "Remediation: {remediation}"
-)
 
 NO_VULNERABILITY_OUTPUT = (
     "Vulnerability: None\n"
@@ -223,9 +189,6 @@ MIXTURE = [
 
 # Sweep values.
 LEARNING_RATES = [1e-5, 5e-5, 1e-4, 5e-4]
-MODEL_SIZES = ["135M", "360M", "500M", "1.5B"]
-TOKEN_COUNTS = ["500M", "2B", "10B"]
-LORA_RANKS = [8, 16, 32, 64]
 SIZE_SWEEP = [50_000, 100_000, 150_000, 200_000]
 
 # Thresholds and defaults.
