@@ -31,6 +31,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Sets joined in one piece, sets in a leaf of a tree, children of a node, blocks for one bucket of shingles.
 PIECE, LEAF, FANOUT, BLOCKS_PER_BUCKET = 256, 8, 4, 4
+#: Words of the texts in one file of blocks (some 16 MB).
+FILE_SHINGLES = 2_500_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -339,6 +341,12 @@ def linked(near: DataFrame) -> DataFrame:
     return state.select("doc_id", "comp")
 
 
+def block_files(members: DataFrame) -> int:
+    """Tasks that write the blocks: as many as their texts fill, about FILE_SHINGLES words each, and enough for all cores."""
+    total = members.agg(F.sum("n_shingles")).first()[0] or 0
+    return max(2 * members.sparkSession.sparkContext.defaultParallelism, total // FILE_SHINGLES)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links, itself included.
 
@@ -347,7 +355,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     members, texts = classes(docs, id_col, text_col)
     members = hold(members)
-    near = near_sets(pack_blocks(texts, "blocks"))
+    near = near_sets(pack_blocks(texts.coalesce(block_files(members)), "blocks"))
     comps = linked(near).withColumnsRenamed({"doc_id": "first", "comp": "root"})
     firsts = members.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
     # classes are one row each, so the join splits where many documents have one
