@@ -74,6 +74,34 @@ def test_packing_odd_rows(odd, empty, tokenizer):
     assert pack(empty) == []
 
 
+@pytest.fixture(scope="module")
+def plain_tokenizer():
+    """The tokenizer file as it loads, with its added tokens."""
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+ADDED_TEXTS = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>\n\n y<|endoftext|><|endoftext|>", "<|endoftext| >", "<|<|endoftext|>|>",
+               "é<|ENDOFTEXT|>", "word <|endoftext|>  " * 700]
+
+
+def test_added_tokens_are_those_of_the_tokenizer_file(plain_tokenizer):
+    assert packing.ADDED == {t.content: i for i, t in plain_tokenizer.get_added_tokens_decoder().items()}
+
+
+def test_packing_of_added_tokens(spark, documents, plain_tokenizer):
+    texts = list(enumerate([*ADDED_TEXTS, *(t for _, t, _ in documents)]))
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"),
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert {r.doc_tokens for r in rows if r.doc_id == 0} == {5}
+    check_pieces(rows, texts, plain_tokenizer)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", " ", "\n", "a", "'s", "<|", "|>", "7", "é"]), max_size=30).map("".join))
+def test_ids_equal_around_added_tokens(plain_tokenizer, text):
+    assert ENCODER.encode_to_numpy(text, allowed_special="all").tolist() == plain_tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(1)
     for _ in range(50):

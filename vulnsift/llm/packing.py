@@ -81,6 +81,9 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return where, offset, n
 
 
+#: The added tokens of byte_bpe_50k.json, which the rank file leaves out. They are one id wherever a text holds them.
+ADDED = {"<|endoftext|>": 50256}
+
 _ENCODERS: dict = {}
 
 
@@ -91,7 +94,7 @@ def encoder(vocabulary: str, pattern: str):
     if vocabulary not in _ENCODERS:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[vocabulary] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        _ENCODERS[vocabulary] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
     return _ENCODERS[vocabulary]
 
 
@@ -99,7 +102,8 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, window: int = 1024, end
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of each document: where it starts in the document's ids, where it lies in which sequence.
 
-    A document's ids are its text's token ids and then `end_id`; a null or empty text is the end id alone.
+    A document's ids are its text's token ids and then `end_id`; a null or empty text is the end id alone. An added
+    token written out in a text is that token's id.
     Full windows are cut from the front; the remainder is packed by best-fit decreasing with those of the
     same input partition. Sequence ids are the partition number times 2^32 plus a running number, so a rerun
     task gives the same rows. Repeated rows and rows with a null id are packed like any other row (the id
@@ -121,7 +125,7 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, window: int = 1024, end
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(enc.encode_to_numpy(text or ""), np.uint32(end_id)).astype("<u4", copy=False)
+                ids = np.append(enc.encode_to_numpy(text or "", allowed_special="all"), np.uint32(end_id)).astype("<u4", copy=False)
                 total = len(ids)
                 for start in range(0, total, window):
                     part = ids[start:start + window]

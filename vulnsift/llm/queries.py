@@ -40,8 +40,8 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents tokenised and packed into windows of 1024 ids. The rank file holds the same vocabulary
-    and ids as byte_bpe_50k.json (tests/llm compares the two)."""
+    """All documents tokenised and packed into windows of 1024 ids. The rank file and `packing.ADDED` hold
+    the same vocabulary and ids as byte_bpe_50k.json (tests/llm compares the two)."""
     ship_package(spark)
     return packing.pack(read_table(spark, sf_dir, "documents"),
                         public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
