@@ -299,6 +299,12 @@ def test_language_held_out(spark):
     assert np.mean([r.lang_pred == r.lang for r in held]) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_sample_of_many_rows(spark):
+    """More than 2^23 labelled rows of one language outside the held-out fold."""
+    docs = spark.range(14_000_000).selectExpr("id as doc_id", "'text ' || id as text", "'en' as lang")
+    assert langid.sample(docs, 50, "doc_id", "text", "lang").count() == 50
+
+
 def test_language_odd_rows(spark, odd, empty):
     rows = langid.identify(odd).collect()
     assert len(rows) == odd.count()

@@ -111,7 +111,7 @@ def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_
     # a hash threshold by language first leaves about twice as many rows as are wanted, so no language gathers in a task
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     few = rows.select("lang", "doc_id").join(counts, "lang").where(
-        F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) * F.col("n") < F.lit(2.0 * per_language * (1 << 40)))
+        F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).cast("double") < F.lit(2.0 * per_language * (1 << 40)) / F.col("n"))
     order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
     ids = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id").distinct()
     chosen = [r[0] for r in ids.collect()]
