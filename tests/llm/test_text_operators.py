@@ -1,8 +1,10 @@
 """Quality, fingerprints, licenses, secrets, decontamination, language ID: brute force, held-out accuracy, odd rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import random
 import re
 import zlib
@@ -10,6 +12,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pytest
+import zstandard
 
 from vulnsift.llm import decontaminate, fingerprints, langid, licenses, quality, secrets
 from vulnsift.llm.queries import QUERIES
@@ -217,6 +220,48 @@ def test_cycles_and_large_layers_end():
     assert secrets.scan(bomb, most=1000)[3] == 1 and secrets.scan(bomb)[3] == 0
 
 
+def b64(data):
+    return base64.b64encode(data if isinstance(data, bytes) else data.encode()).decode()
+
+
+def wrapped(s, width, end="\n"):
+    return end.join(s[i:i + width] for i in range(0, len(s), width))
+
+
+NOISE = bytes(random.Random(2).choices(range(256), k=400))
+
+
+@pytest.mark.parametrize("text", [
+    *(before + b64(SECRET) + after for before in ("https://example.org/cfg/", "key-", "/", "x=", "a", "ab_", "abc/") for after in ("", "/tail", "-a")),
+    b64("?" + SECRET).rstrip("=") + "a",
+    wrapped(b64("some text " * 5 + SECRET), 76), wrapped(b64("some text " * 5 + SECRET), 20, "\r\n  "), wrapped(b64(SECRET), 10),
+    wrapped(b64(gzip.compress(NOISE + SECRET.encode())), 76), "word\n" + wrapped(b64(bz2.compress(SECRET.encode())), 64) + "\nword",
+    b64(b"\0" + SECRET.encode()), b64(SECRET.encode() + b"\xff"), b64(NOISE + SECRET.encode() + NOISE),
+    b64(gzip.compress(NOISE) + gzip.compress(SECRET.encode())), b64(gzip.compress(SECRET[:8].encode()) + gzip.compress(SECRET[8:].encode())),
+    b64(lzma.compress(NOISE) + lzma.compress(SECRET.encode())), b64(b"head \0" + zlib.compress(SECRET.encode()) + NOISE),
+    *(b64(zstandard.compress(NOISE) + zstandard.compress(SECRET.encode()) + end) for end in (b"", b"\0")),
+    "cfg/" + b64(gzip.compress(b64(gzip.compress(SECRET.encode())).encode())), b64(gzip.compress(SECRET.encode() + NOISE)[:-20]),
+])
+def test_base64_wherever_it_lies(text):
+    base, spans, _, _ = secrets.scan(f"start {text} end")
+    assert base == [] and any(k == 0 and 6 <= a < b <= 6 + len(text) for a, k, b in spans)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+def test_large_layers_are_scanned_in_pieces(pack, monkeypatch):
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    monkeypatch.setattr(secrets, "CHUNK", 64)
+    for at in range(900, 1100, 7):
+        _, spans, _, large = secrets.scan(b64(pack(b"." * at + SECRET.encode() + b"." * 3000)), most=1000)
+        assert spans and large == 1
+
+
+def test_redact_masks_decoded_secrets_in_runs(spark):
+    df = spark.createDataFrame([(1, f"see https://example.org/cfg/{b64(SECRET)} now", "en", "s", 5)],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    assert b64(SECRET)[8:] not in secrets.redact(df).first().text
+
+
 def test_secrets_odd_rows(odd, empty):
     rows = secrets.find_secrets(odd).collect()
     assert len(rows) == odd.count() and {r.spans for r in rows} == {""}

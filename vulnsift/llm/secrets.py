@@ -1,15 +1,15 @@
 """Secret scans: base patterns over the text and, through a decoding worklist, over every layer inside it.
 
 A layer is a text together with, for each of its characters, the span of the original text it came from.
-URL and Unicode escapes are decoded over the whole layer; base64 runs (and compressed data inside them)
-become layers of their own whose characters all map to the run. Every new layer is scanned and put back on
+URL and Unicode escapes are decoded over the whole layer; base64 runs are decoded at all four alignments, by line and
+over line ends, and the readable stretches of what they hold (also in compressed data) become layers of their own, whose
+characters all map to the stretch's place in the run. Every new layer is scanned and put back on
 the worklist until nothing decodes any further; a layer equal to one of its ancestors is not followed again
 (cycle). All work on one document happens where the row lies; no shuffle.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -17,6 +17,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,17 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 URL_ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
                             r"|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Fewer base64 characters hold fewer than the 12 bytes of the shortest secret.
+LEAST_RUN, LEAST_TEXT = 16, 12
+# a run of 16 and more, or runs that each end a line and go on at the start of the next
+BASE64_BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++"
+                          r"(?:(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++|(?<=[A-Za-z0-9+/_-]{16}))={0,2}")
+BASE64_LINE = re.compile(r"([A-Za-z0-9+/_-]+)={0,2}")
+URL_SAFE = {45: 43, 95: 47}
+PRINTABLE = re.compile(rb"[\t-\r\x20-\x7e]{%d,}" % LEAST_TEXT)
+PACKED = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+#: Bytes unpacked at a time, and bytes that the pieces of large unpacked data share.
+CHUNK, OVERLAP = 1 << 20, 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -123,31 +134,54 @@ def _unicode(layer: Layer) -> Layer | None:
     return _replaced(layer, out) if out else None
 
 
-def _unpacked(data: bytes, most: int) -> bytes | None:
-    """One compression layer off, or None. Output beyond `most` bytes raises OverflowError."""
-    try:
-        if data[:3] == b"\x1f\x8b\x08" or data[:1] == b"\x78":
-            d = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            parts, size = [], 0
-            for part in zstandard.ZstdDecompressor().read_to_iter(data):
-                size += len(part)
-                if size > most:
-                    raise OverflowError
-                parts.append(part)
-            return b"".join(parts)
-        else:
-            return None
-        out = d.decompress(data, most + 1)
-    except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError):
-        return None
-    if len(out) > most:
-        raise OverflowError
-    return out if d.eof else None
+def _unpacked(data: bytes, end: list[int]) -> Iterator[bytes]:
+    """What the compressed members that lie end to end from end[0] on hold, as one run of chunks; end[0] becomes the
+    position after the last whole member. Of a damaged or cut member what comes out before the damage is given."""
+    view = memoryview(data)
+    while m := PACKED.match(data, end[0]):
+        kind, d = m.group()[:1], None
+        try:
+            if kind == b"\x28":
+                d, at = zstandard.ZstdDecompressor().decompressobj(), end[0]
+                while not d.eof and at < len(data):  # few bytes at a time bound what comes out at once
+                    yield d.decompress(data[at:at + 256])
+                    at = min(len(data), at + 256)
+                left = len(data) - at + len(d.unused_data)
+            elif kind in b"\x1fx":
+                d = zlib.decompressobj(47)
+                out = d.decompress(view[end[0]:], CHUNK)
+                while out or d.unconsumed_tail and not d.eof:
+                    yield out
+                    out = d.decompress(d.unconsumed_tail, CHUNK) if not d.eof else b""
+                left = len(d.unused_data)
+            else:
+                d = bz2.BZ2Decompressor() if kind == b"B" else lzma.LZMADecompressor()
+                out = d.decompress(view[end[0]:], CHUNK)
+                while out or not d.eof and not d.needs_input:
+                    yield out
+                    out = d.decompress(b"", CHUNK) if not d.eof and not d.needs_input else b""
+                left = len(d.unused_data)
+        except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError):
+            return
+        if not d.eof:
+            return
+        end[0] = len(data) - left
+
+
+def _pieces(chunks: Iterator[bytes], most: int) -> Iterator[bytes]:
+    """The chunks put together: whole up to `most` bytes, beyond that in pieces of that size which overlap."""
+    held, size, fresh, lap = [], 0, False, min(OVERLAP, most // 2)
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        fresh = fresh or bool(chunk)
+        while size > most:
+            whole = b"".join(held)
+            yield whole[:most]
+            held = [whole[most - lap:]]
+            size = len(held[0])
+    if fresh:
+        yield b"".join(held)
 
 
 def _readable(data: bytes) -> str | None:
@@ -159,38 +193,86 @@ def _readable(data: bytes) -> str | None:
     return None if re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else text
 
 
-def _base64(layer: Layer, most: int) -> tuple[list[Layer], int]:
-    """A layer for each base64 run that holds text, or compressed data down to text; how many were too large."""
-    out, large = [], 0
-    for m in BASE64_RUN.finditer(layer.text):
-        run = m.group().rstrip("=")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(run.translate({45: 43, 95: 47}) + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        seen = set()
-        try:
-            while (digest := hashlib.sha256(data).digest()) not in seen and (inner := _unpacked(data, most)) is not None:
-                seen.add(digest)
-                data = inner
-        except OverflowError:
-            large += 1
+def _texts(data: bytes, most: int, large: list[int], seen: set | None = None) -> Iterator[tuple[int, int, str]]:
+    """(start, end, text) of what can be read in the bytes, also through compressed data in them, whose texts have its place.
+    All base patterns and all that decodes is ASCII, so the ASCII stretches of partly readable bytes hold all that counts.
+    large[0] counts compressed data of more than `most` bytes."""
+    text = _readable(data)
+    if text:
+        yield 0, len(data), text
+        return
+    for m in PRINTABLE.finditer(data):
+        yield m.start(), m.end(), m.group().decode("ascii")
+    at = 0
+    while m := PACKED.search(data, at):
+        end, n = [m.start()], 0
+        below = set() if seen is None else seen
+        for piece in _pieces(_unpacked(data, end), most):
+            n += 1
+            digest = hashlib.sha256(piece).digest()
+            if digest not in below:
+                below.add(digest)
+                stop = end[0] if end[0] > m.start() else len(data)
+                for _, _, text in _texts(piece, most, large, below):
+                    yield m.start(), stop, text
+        large[0] += n > 1
+        at = max(end[0], m.start() + 1)
+
+
+def _decoded(run: str, most: int, large: list[int]) -> Iterator[tuple[int, int, str]]:
+    """(first, last, text) of what the run's characters hold, at each of the four alignments base64 can have in it."""
+    for a in range(4):
+        n = len(run) - a
+        if n < LEAST_RUN:
+            break
+        n -= n % 4 == 1
+        data = binascii.a2b_base64(run[a:a + n] + "=" * (-n % 4))
+        for s, e, text in _texts(data, most, large):
+            yield a + s // 3 * 4, len(run) if e == len(data) else a - (-e // 3) * 4, text
+
+
+def _base64(layer: Layer, most: int, large: list[int]) -> Iterator[Layer]:
+    """Layers for the texts in each block of base64 characters: in each of its lines, and in its lines run together."""
+    for m in BASE64_BLOCK.finditer(layer.text):
+        if m.end() - m.start() < LEAST_RUN:
             continue
-        text = _readable(data)
-        if text:
-            out.append(Layer(text, fixed=layer.span(m.start(), m.end())))
-    return out, large
+        lines = [(r.start(), r.end(1), r.end()) for r in BASE64_LINE.finditer(layer.text, m.start(), m.end())]
+        done, by_line, whole = [], [0], [0]
+        for a, b, end in lines:
+            if b - a < LEAST_RUN:
+                continue
+            for first, last, text in _decoded(layer.text[a:b].translate(URL_SAFE), most, by_line):
+                done.append((a + first, end if last == b - a else a + last))
+                yield Layer(text, fixed=layer.span(*done[-1]))
+        run = "".join(layer.text[a:b] for a, b, _ in lines) if len(lines) > 1 else ""
+        at = None
+        for first, last, text in _decoded(run.translate(URL_SAFE), most, whole):
+            if at is None:
+                at = np.concatenate([np.arange(a, b) for a, b, _ in lines])
+            s, e = int(at[first]), m.end() if last == len(run) else int(at[last - 1]) + 1
+            if not any(a <= s and e <= b for a, b in done):
+                yield Layer(text, fixed=layer.span(s, e))
+        large[0] += max(by_line[0], whole[0])
+
+
+def _children(layer: Layer, path: tuple, most: int, large: list[int]) -> Iterator[Layer]:
+    for child in chain((_url(layer), _unicode(layer)), _base64(layer, most, large)):
+        if child is not None:
+            child.path = path
+            yield child
 
 
 def scan(text: str, most: int = 1 << 26) -> tuple[list, list, int, int]:
-    """Base spans, all spans (both as (start, kind, end), sorted), decoded layers, and how many compressed
-    runs unpack to more than `most` bytes and so were counted instead of scanned."""
+    """Base spans, all spans (both as (start, kind, end), sorted), decoded layers, and how many pieces of compressed
+    data unpack to more than `most` bytes and so were scanned in overlapping pieces."""
     base = base_spans(text)
-    spans, work, layers, large = set(base), [Layer(text)], 0, 0
+    spans, layers, large = set(base), 0, [0]
+    work = [iter([Layer(text)])]
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         here = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest()
         if here in layer.path:
             continue
@@ -199,13 +281,8 @@ def scan(text: str, most: int = 1 << 26) -> tuple[list, list, int, int]:
             for a, kind, b in base_spans(layer.text):
                 s, e = layer.span(a, b)
                 spans.add((s, kind, e))
-        new, n = _base64(layer, most)
-        large += n
-        for child in (_url(layer), _unicode(layer), *new):
-            if child is not None:
-                child.path = (*layer.path, here)
-                work.append(child)
-    return base, sorted(spans), layers, large
+        work.append(_children(layer, (*layer.path, here), most, large))
+    return base, sorted(spans), layers, large[0]
 
 
 def written(spans: list) -> str:
@@ -223,8 +300,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Spans are code points of the original text, end exclusive, as kind:start:end by start and then kind.
     A null or empty text has no spans. Repeated rows and null ids are scanned like any row; an empty table
-    gives no rows; other columns are not read. A compressed run that unpacks to more than 64 MB is counted in
-    n_oversize and not scanned (its base spans, if any, stay).
+    gives no rows; other columns are not read. Compressed data that unpacks to more than 64 MB is counted in
+    n_oversize and scanned in pieces that share 1 MB.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
