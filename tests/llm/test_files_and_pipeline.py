@@ -170,6 +170,46 @@ def test_salvage_of_junk():
     assert warc.salvage(b"").records == [] and warc.salvage(b"\0" * 100).gaps == [(0, 100, "no version line")]
 
 
+def page_ids(found):
+    return [warc.page_of(h["warc-record-id"]) for _, h, _ in found.records]
+
+
+def test_salvage_inside_a_member():
+    """One gzip member for a whole archive: bad records, a cut tail, damaged streams."""
+    data, at = archive(30, zipped=False)
+    spoiled = bytearray(data)
+    spoiled[at[5] + 400] ^= 1                                          # in record 5's payload
+    spoiled[at[9]:at[9] + 5] = b"\0" * 5                              # the start of record 9
+    spoiled[at[12]:at[13]] = spoiled[at[12]:at[13]].replace(b"Content-Length", b"Content-Lungth")
+    whole = warc.member(bytes(spoiled))
+    found = warc.salvage(whole)
+    assert page_ids(found) == [i for i in range(30) if i not in (5, 9, 12)]
+    assert [(a, b) for a, b, _ in found.gaps] == [(0, len(whole))] * 3
+    assert [f"unpacked bytes {at[i]} to {at[i + 1]}" in g[2] for i, g in zip((5, 9, 12), found.gaps)] == [True] * 3
+    found = warc.salvage(warc.member(bytes(spoiled[:at[28] + 50])) + warc.member(data[:at[2]]))
+    assert page_ids(found) == [i for i in range(28) if i not in (5, 9, 12)] + [0, 1]
+
+
+@pytest.mark.parametrize("level", [0, 1, 9])
+@pytest.mark.parametrize("n", [40, 400])
+def test_salvage_of_a_damaged_member(n, level):
+    rng = random.Random(4)
+    records = [warc.record(i, f"http://x/{i}", "".join(rng.choices("abcdefgh", k=rng.randrange(900))).encode(), None, False) for i in range(n)]
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+    packed, ends = b"", []                                             # bytes that hold records 0..i whole
+    for r in records:
+        packed += z.compress(r) + z.flush(zlib.Z_SYNC_FLUSH)
+        ends.append(len(packed))
+    packed += z.flush()
+    more = warc.member(records[0])
+    for at in (n // 2, n - 1):
+        cut = packed[:ends[at] - 20]
+        assert page_ids(warc.salvage(cut)) == list(range(at)) and [g[:2] for g in warc.salvage(cut).gaps] == [(0, len(cut))]
+        torn = packed[:ends[at]] + b"\xff" * 40 + more                 # no block type 3: an error right there
+        found = warc.salvage(torn)
+        assert page_ids(found) == [*range(at + 1), 0] and [g[:2] for g in found.gaps] == [(0, ends[at] + 40)]
+
+
 def test_quarantine_log(spark):
     data, at = archive(6)
     bad = data[:at[2] + 30] + b"????" + data[at[2] + 34:]

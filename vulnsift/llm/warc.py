@@ -4,7 +4,7 @@ An archive is a run of gzip members, one record each (plain records are read too
 binary rows of a Parquet table in the shared folder: every reader and every store that Spark reaches can
 open them, and Spark's commit leaves whole archives only. The salvage reader checks each member and record;
 after a failed check it looks for the next member or version line that checks out, goes on there, and logs
-the bytes in between as a quarantined gap.
+the bytes in between as a quarantined gap. Members of several records are searched in the same way, as far as they unpack.
 """
 
 from __future__ import annotations
@@ -101,54 +101,93 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int] | str:
     return headers, block, stop + 4
 
 
-def _unzipped(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """The gzip member that starts at `at` and the position after it; or what is wrong."""
-    z, out = zlib.decompressobj(31), []
+def _unzipped(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member that starts at `at` holds, the position after it, and what is wrong with it, if anything: then
+    the bytes are those unpacked up to there."""
+    z, out, pos = zlib.decompressobj(31), [], at
     try:
-        while not z.eof and at < len(data):
-            out.append(z.decompress(data[at:at + (1 << 15)]))
-            at = min(len(data), at + (1 << 15))
+        while not z.eof and pos < len(data):
+            out.append(z.decompress(data[pos:pos + (1 << 15)]))
+            pos = min(len(data), pos + (1 << 15))
     except zlib.error as e:
-        return f"gzip: {e}"
-    return (b"".join(out), at - len(z.unused_data)) if z.eof else "gzip member cut short"
+        # again up to the bad stretch, and on byte by byte: what that stretch gave before the error is not lost
+        z = zlib.decompressobj(31)
+        out = [z.decompress(data[at:pos])]
+        try:
+            while True:
+                out.append(z.decompress(data[pos:pos + 1]))
+                pos += 1
+        except zlib.error:
+            return b"".join(out), pos, f"gzip: {e}"
+    return b"".join(out), pos - len(z.unused_data), "" if z.eof else "gzip member cut short"
 
 
-def _one(data: bytes, at: int) -> tuple[list, int] | str:
-    """The records of the member or plain record at `at`, and the position after it."""
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+
+
+def _unpacked_records(data: bytes) -> tuple[list, list]:
+    """The records (headers, block) of a member's unpacked bytes that check out, and the gaps between them."""
+    records, gaps, at, lost, why = [], [], 0, None, ""
+    while at < len(data):
+        one = parse(data, at)
+        if isinstance(one, str):
+            if lost is None:
+                lost, why = at, one
+            following = _VERSION.search(data, at + 1)
+            at = following.start() if following else len(data)
+            continue
+        if lost is not None:
+            gaps.append((lost, at, why))
+            lost = None
+        records.append(one[:2])
+        at = one[2]
+    if lost is not None:
+        gaps.append((lost, len(data), why))
+    return records, gaps
+
+
+def _one(data: bytes, at: int) -> tuple[list, int, str, list]:
+    """The records of the member or plain record at `at`, the position after it, what is wrong if it has none or is damaged,
+    and the reasons of gaps inside it."""
     if data[at:at + 3] != b"\x1f\x8b\x08":
         found = parse(data, at)
-        return found if isinstance(found, str) else ([found[:2]], found[2])
-    got = _unzipped(data, at)
-    if isinstance(got, str):
-        return got
-    inner, after = got
-    found, pos = [], 0
-    while pos < len(inner):
-        one = parse(inner, pos)
-        if isinstance(one, str):
-            return one
-        found.append(one[:2])
-        pos = one[2]
-    return found, after
+        return ([], at, found, []) if isinstance(found, str) else ([found[:2]], found[2], "", [])
+    inner, after, why = _unzipped(data, at)
+    records, gaps = _unpacked_records(inner)
+    if gaps and not records or why and len(records) == 1 and not gaps:
+        return [], after, why or gaps[0][2], []  # a member of one record vouches for it as a whole
+    return records, after, why, [f"{reason} (unpacked bytes {a} to {b})" for a, b, reason in gaps]
 
 
 def salvage(data: bytes) -> Salvaged:
-    """All records of an archive that check out, and the byte gaps between them."""
+    """All records of an archive that check out, and the byte gaps between them. Records of one member share its offset; a gap
+    among them is logged with the member's place and the unpacked bytes it takes. A damaged member gives its records up to
+    the damage and is logged from its start on; one that shows a single record and nothing else is quarantined whole."""
     out, at, lost, why = Salvaged(), 0, None, ""
     starts = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+    seen, seen_to = [], 0  # records of a damaged member, which its stored bytes may show once more
     while at < len(data):
-        got = _one(data, at)
-        if isinstance(got, str):
+        records, after, wrong, inside = _one(data, at)
+        if at < seen_to and records and not wrong and all(r in seen for r in records):
+            at = after
+            continue
+        if wrong and not records:
             if lost is None:
-                lost, why = at, got
+                lost, why = at, wrong
+        else:
+            if lost is not None and lost < at:
+                out.gaps.append((lost, at, why))
+            lost = None
+            out.records += [(at, *r) for r in records]
+            if wrong:
+                lost, why, seen, seen_to = at, "; ".join([wrong, *inside]), records, after
+            else:
+                out.gaps += [(at, after, reason) for reason in inside]
+        if wrong:
             following = starts.search(data, at + 1)
             at = following.start() if following else len(data)
-            continue
-        if lost is not None:
-            out.gaps.append((lost, at, why))
-            lost = None
-        out.records += [(at, *r) for r in got[0]]
-        at = got[1]
+        else:
+            at = after
     if lost is not None:
         out.gaps.append((lost, len(data), why))
     return out
