@@ -177,3 +177,46 @@ def test_link_all_random_sets():
 def test_components_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7)], "a long, b long")
     assert {r.node: r.root for r in components(edges).collect()} == {**{i: 0 for i in range(201)}, 400: 400, 500: 400}
+
+
+def brute_links(rows):
+    sets = {}
+    for i, t in rows:
+        w = [x.lower() for x in re.findall(r"[^ \t-\r]+", t or "")]
+        if i is not None and w:
+            sets[i] = {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))}
+    ids = sorted(sets)
+    return {(a, b) for k, a in enumerate(ids) for b in ids[k + 1:] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}, sets
+
+
+@pytest.mark.parametrize("piece", [3, 256])
+def test_every_link_is_found(spark, monkeypatch, piece):
+    """All links of groups of near texts, also across pieces; copies count by their number."""
+    monkeypatch.setattr(ngram_join, "PIECE", piece)
+    rng = random.Random(8)
+    rows = [(None, "a b c d e f"), (-1, None), (-2, " ")]
+    for g in range(4):
+        words = [f"g{g}w{k}" for k in range(160)]
+        for _ in range(14):
+            t = list(words)
+            for _ in range(rng.randrange(3)):
+                t[rng.randrange(160)] = f"x{rng.randrange(9)}"
+            rows += [(len(rows) + k, " ".join(t)) for k in range(rng.choice([1, 1, 2]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want, sets = brute_links(rows)
+    first = {frozenset(s): i for i, s in sorted(sets.items(), reverse=True)}
+    pairs = [tuple(r) for r in ngram_join.jaccard_links(df).collect()]
+    assert sorted(pairs) == sorted((a, b) for a, b in want if sets[a] != sets[b] and {a, b} <= set(first.values())) and len(pairs) > 100
+    count = {i: 0 for i, _ in rows if i is not None} | {None: None}
+    for a, b in want:
+        count[a] += 1
+        count[b] += 1
+    assert {r.doc_id: r.n_links for r in ngram_join.jaccard_link_counts(df).collect()} == count
+
+
+def test_links_small_tables(spark, documents, empty):
+    rows = [(i, t) for i, t, _ in documents]
+    want, _ = brute_links(rows)
+    got = {r.doc_id: r.n_links for r in ngram_join.jaccard_link_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: sum(i in p for p in want) for i, _ in rows}
+    assert ngram_join.jaccard_link_counts(empty).count() == 0 and ngram_join.jaccard_links(empty).count() == 0

@@ -31,6 +31,8 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 #: Sets joined in one piece, sets in a leaf of a tree, children of a node, blocks for one bucket of shingles.
 PIECE, LEAF, FANOUT, BLOCKS_PER_BUCKET = 256, 8, 4, 4
+#: Tokens whose membership is held as a matrix at a time.
+COLUMNS = 4096
 #: Words of the texts in one file of blocks (some 16 MB).
 FILE_SHINGLES = 2_500_000
 
@@ -229,9 +231,27 @@ def enough(shared: int, a: int, b: int) -> bool:
     return DENOMINATOR * shared >= NUMERATOR * (a + b - shared)
 
 
-def link_all(sets: list[np.ndarray], same: list[int], sides: list[int] | None = None) -> list[tuple[int, int]]:
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two sets share: products of membership columns, of tokens in two sets and more."""
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, token, n = np.unique(flat, return_inverse=True, return_counts=True)
+    number = np.cumsum(n > 1) - 1
+    row, column = row[n[token] > 1], number[token[n[token] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for a in range(0, int(number[-1]) + 1, COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        part[row[lo:hi], column[lo:hi] - a] = 1
+        out += (part @ part.T).astype(np.int64)
+    return out
+
+
+def link_all(sets: list[np.ndarray], same: list[int], sides: list[int] | None = None, every: bool = False) -> list[tuple[int, int]]:
     """Links that join all sets which links connect: a dual traversal of the signature tree with itself. Sets with equal
-    `same` are taken as joined already, pairs within side 1 as tested already. Pairs already joined are passed over."""
+    `same` are taken as joined already, pairs within side 1 as tested already. Pairs already joined are passed over.
+    `every`: all links instead, whatever `same`, but for pairs on one of two `sides`."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
     sizes = np.array([len(sets[i]) for i in order])
     width = max(64, 1 << int(4 * sizes[-1] - 1).bit_length())
@@ -245,6 +265,7 @@ def link_all(sets: list[np.ndarray], same: list[int], sides: list[int] | None =
     top, forest, first, out = tree(sizes, maps, excess), Forest(len(order)), {}, []
     for k, i in enumerate(order):
         forest.join(k, first.setdefault(same[i], k))
+    shared_of, side = None, np.array([sides[i] for i in order]) if sides else None
     work = [(top, top)]
     while work:
         a, b = work.pop()
@@ -259,6 +280,18 @@ def link_all(sets: list[np.ndarray], same: list[int], sides: list[int] | None =
             left, right = a.children or [a], b.children or [b]
             work += [(x, y) for i, x in enumerate(left) for y in (right[i:] if a is b else right)]
             continue
+        if every:
+            if shared_of is None:
+                shared_of = overlaps([sets[i] for i in order])
+            x, y = np.meshgrid(np.arange(a.low, a.high), np.arange(b.low, b.high), indexing="ij")
+            both = shared_of[a.low:a.high, b.low:b.high]
+            hit = DENOMINATOR * both >= NUMERATOR * (sizes[x] + sizes[y] - both)
+            if a is b:
+                hit &= x < y
+            if sides:
+                hit &= side[x] != side[y]
+            out += [(order[i], order[j]) for i, j in zip(x[hit].tolist(), y[hit].tolist())]
+            continue
         for x in range(a.low, a.high):
             for y in range(max(b.low, x + 1) if a is b else b.low, b.high):
                 if forest.root(x) == forest.root(y) or sides and sides[order[x]] and sides[order[y]]:
@@ -295,12 +328,17 @@ def _pieces(count: Column) -> Column:
     return F.ceil(count / PIECE).cast("int")
 
 
-def linked(near: DataFrame) -> DataFrame:
-    """doc_id, comp: the component of every near set."""
+def candidate_groups(near: DataFrame) -> DataFrame:
+    """doc_id, team: sets that share a first shingle, closed transitively."""
     posts = near.select("doc_id", F.explode("tokens").alias("token"))
     hubs = posts.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last")
     edges = posts.join(hubs, "token").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
-    teams = components(edges).withColumnsRenamed({"node": "doc_id", "root": "team"})
+    return components(edges).withColumnsRenamed({"node": "doc_id", "root": "team"})
+
+
+def linked(near: DataFrame) -> DataFrame:
+    """doc_id, comp: the component of every near set."""
+    teams = candidate_groups(near)
     count = teams.count()
     state = keep_table(teams.select("doc_id", "team", F.col("doc_id").alias("comp")).coalesce(files_for(count)), "teams")
 
@@ -341,6 +379,65 @@ def linked(near: DataFrame) -> DataFrame:
     return state.select("doc_id", "comp")
 
 
+def _paired(near: DataFrame, weights: DataFrame) -> DataFrame:
+    """team, s, t, side, doc_id, weight, members: each near set once for each piece of its group, with which it meets in (s, t)."""
+    teams = candidate_groups(near)
+    teams = keep_table(teams.coalesce(files_for(teams.count())), "teams")
+    many = teams.groupBy("team").agg(_pieces(F.count("*")).alias("n"))
+    rows = teams.join(many, "team").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))) \
+        .select("team", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "own", "doc_id")
+    rows = rows.withColumn("side", (F.col("own") == F.col("t")).cast("int")).drop("own")
+    return rows.join(weights, "doc_id").join(near.select("doc_id", "members"), "doc_id")
+
+
+def _each_link(table: pa.Table) -> list[tuple[int, int]]:
+    sets = [np.frombuffer(unsqueeze(m), dtype=np.uint64) for m in table["members"].to_pylist()]
+    across = table["s"][0].as_py() != table["t"][0].as_py()
+    return link_all(sets, list(range(len(sets))), table["side"].to_pylist() if across else None, every=True)
+
+
+def _classes_and_near(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows; digest, doc_id and weight (number of rows) of each class; the near sets."""
+    members, texts = classes(docs, id_col, text_col)
+    members = hold(members)
+    firsts = members.where("n_shingles > 0 and doc_id is not null").groupBy("digest") \
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("weight"))
+    return members, firsts, near_sets(pack_blocks(texts.coalesce(block_files(members)), "blocks"))
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b: every pair (a < b) of different shingle sets that link, each set named by the smallest doc_id that has it. Ids are
+    taken to be unique; rows without id or shingles take no part."""
+    _, firsts, near = _classes_and_near(docs, id_col, text_col)
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["doc_id"].to_pylist()
+        found = [sorted((ids[i], ids[j])) for i, j in _each_link(table)]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return _paired(near, firsts.select("doc_id", "weight")).groupBy("team", "s", "t").applyInArrow(run, "a long, b long")
+
+
+def jaccard_link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_links of every row: the number of other rows it links with, copies and rows of linked sets. 0 without
+    shingles, null without id. Ids are taken to be unique. Pairs are tested once for all copies and never written out."""
+    members, firsts, near = _classes_and_near(docs, id_col, text_col)
+
+    def run(table: pa.Table) -> pa.Table:
+        weight, total = table["weight"].to_pylist(), [0] * table.num_rows
+        for i, j in _each_link(table):
+            total[i] += weight[j]
+            total[j] += weight[i]
+        return pa.table({"doc_id": table["doc_id"], "n": pa.array(total, pa.int64())})
+
+    found = _paired(near, firsts.select("doc_id", "weight")).groupBy("team", "s", "t").applyInArrow(run, "doc_id long, n long") \
+        .groupBy("doc_id").agg(F.sum("n").alias("n"))
+    counts = firsts.join(found, "doc_id", "left").select("digest", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).cast("long")
+    return members.join(counts, "digest", "left").select("doc_id", own.alias("n_links"))
+
+
 def block_files(members: DataFrame) -> int:
     """Tasks that write the blocks: as many as their texts fill, about FILE_SHINGLES words each, and enough for all cores."""
     total = members.agg(F.sum("n_shingles")).first()[0] or 0

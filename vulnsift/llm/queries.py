@@ -28,6 +28,12 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of links of every document: other documents of shingle Jaccard similarity 0.8 and more."""
+    ship_package(spark)
+    return ngram_join.jaccard_link_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content-defined fingerprint of every document and of its edited text, and their likeness."""
     ship_package(spark)
@@ -72,5 +78,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_quality, op3_ngram_join, op4_fingerprints, op5_licenses, op6_packing, op7_secrets,
+QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_quality, op3_ngram_join, op3_ngram_links, op4_fingerprints, op5_licenses, op6_packing, op7_secrets,
                                      op8_decontaminate, op9_language, op10_warc)}
