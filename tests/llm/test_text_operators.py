@@ -329,6 +329,16 @@ def test_items_in_long_texts_and_spans(monkeypatch):
     assert decontaminate.matches(index, texts) == want
 
 
+def test_short_items_on_word_borders(monkeypatch):
+    index = decontaminate.build([(1, "What is 2+2?"), (2, "what  is 2+2?"), (3, "cat"), (4, "x" * 31), (5, "long " * 8), (6, " ")])
+    texts = ["Q: WHAT is\n2+2? A", "concat cats cat", "cat", "cat_ 'cat'", "y" + "x" * 31, "x" * 31, "what is 2+", "2?"]
+    want = [(0, 1, 3, 15, 0), (0, 2, 3, 15, 0), (1, 3, 12, 15, 0), (2, 3, 0, 3, 0), (3, 3, 6, 9, 0), (5, 4, 0, 31, 0)]
+    assert decontaminate.matches(index, texts) == want
+    for piece in (1, 5, 50):
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        assert decontaminate.matches(index, texts) == want
+
+
 def test_decontaminate_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "a very long text of words a very long text of words"), (None, "x" * 40)], "item_id long, text string")
     rows = decontaminate.find_items(odd, items).collect()

@@ -22,7 +22,7 @@ from vulnsift.llm.common import code_points, rows_of, text_slices
 
 #: Edits allowed as a share of an item's characters, and q for items long enough for it, longest first.
 EDIT_SHARE, Q_LONG, Q_SHORT = 0.1, 8, 4
-#: Items of fewer characters are reported as not searched: they would match ordinary prose.
+#: Items of fewer characters are found verbatim only: with edits they would match ordinary prose.
 MIN_ITEM = 32
 #: Characters of items sent with one pass over the documents, and characters of a document walked at a time.
 BLOCK_CHARS, PIECE = 4_000_000, 1_000_000
@@ -74,15 +74,56 @@ class Index:
     overlap: int           # of pieces: twice the longest item and its edits
 
 
-def build(items: list[tuple[int, str]]) -> list[Index]:
+@dataclass
+class Short:
+    """Items of under MIN_ITEM characters and one length, found verbatim on word borders."""
+
+    length: int
+    items: dict            # characters -> item_ids
+    hashes: np.ndarray     # sorted
+
+
+def _windows(codes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n characters from each place on, for any n."""
+    h = np.zeros(len(codes) - n + 1, dtype=np.uint32)
+    for i in range(n):
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + codes[i:len(codes) - n + 1 + i]
+    return h
+
+
+def _word(c: int) -> bool:
+    return c == 95 or chr(c).isalnum()
+
+
+def short_matches(short: Short, codes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(item_id, place) of the items in `codes`, with no word going on at either end."""
+    n = short.length
+    if len(codes) < n:
+        return
+    h = _windows(codes, n)
+    near = short.hashes[np.minimum(np.searchsorted(short.hashes, h), len(short.hashes) - 1)]
+    for p in np.flatnonzero(near == h).tolist():
+        part = codes[p:p + n]
+        ids = short.items.get(part.tobytes())
+        if ids and not (p > 0 and _word(int(part[0])) and _word(int(codes[p - 1]))) \
+                and not (p + n < len(codes) and _word(int(part[-1])) and _word(int(codes[p + n]))):
+            for i in ids:
+                yield i, p
+
+
+def build(items: list[tuple[int, str]]) -> list[Index | Short]:
     groups: dict[int, list] = {}
+    small: dict[int, dict] = {}
     for item_id, text in items:
         codes = normalised((text or "").strip())[0]
         if len(codes) >= MIN_ITEM:
             e = int(EDIT_SHARE * len(codes))
             q = next(q for q in (Q_LONG, Q_SHORT, 1) if q == 1 or len(codes) - q + 1 - q * e > q)
             groups.setdefault(q, []).append((item_id, codes, e))
-    out = []
+        elif len(codes):
+            small.setdefault(len(codes), {}).setdefault(codes.tobytes(), []).append(item_id)
+    out = [Short(n, found, np.sort(np.concatenate([_windows(np.frombuffer(k, dtype=np.uint32), n) for k in found])))
+           for n, found in small.items()]
     for q, found in groups.items():
         hashes = [grams(c, q) for _, c, _ in found]
         h = np.concatenate(hashes)
@@ -176,7 +217,7 @@ def verbatim(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int] | None:
     return (0, at // 4, at // 4 + len(item)) if at >= 0 else None
 
 
-def matches(indexes: list[Index], texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+def matches(indexes: list[Index | Short], texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     """(number of the text, item_id, start, end, distance) of the items found in texts, in code points of the text.
 
     The texts are searched as one run with a separator after each, in pieces that overlap by the longest item and its
@@ -186,6 +227,14 @@ def matches(indexes: list[Index], texts: list[str]) -> list[tuple[int, int, int,
     begin = np.searchsorted(at, starts)                                       # and in `codes`
     found: dict[tuple, int] = {}
     for index in indexes:
+        if isinstance(index, Short):
+            for a in range(0, len(codes), PIECE):
+                lo = max(0, a - 1)  # the character before shows the border
+                for item_id, p in short_matches(index, codes[lo:a + PIECE + index.length]):
+                    if a <= lo + p < a + PIECE:
+                        k = int(np.searchsorted(begin, lo + p, side="right")) - 1
+                        found[k, item_id, int(at[lo + p] - starts[k]), int(at[lo + p + index.length - 1] + 1 - starts[k])] = 0
+            continue
         for a in range(0, max(len(codes), 1), PIECE):
             for i, first, last in regions(index, codes[a:a + PIECE + index.overlap]):
                 item_id, item, edits = index.items[i]
@@ -223,8 +272,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row per benchmark item found in a document: doc_id, item_id, start, end (code points of the text, end exclusive),
     distance (edits, at most EDIT_SHARE of the item's characters).
 
-    Of a region with several alignments the best one is given. Null or empty texts and items find nothing, nor do items
-    of under MIN_ITEM characters. Repeated rows give repeated results; null ids stay null; an empty table on either side
+    Of a region with several alignments the best one is given. Null or empty texts and items find nothing; items of
+    under MIN_ITEM characters are found verbatim on word borders. Repeated rows give repeated results; null ids stay null; an empty table on either side
     gives no rows; other columns are not read.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where(F.length(docs[text_col]) > 0)
