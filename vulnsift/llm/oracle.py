@@ -51,4 +51,18 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'r
   CASE WHEN page_id > first THEN first END AS refers_to
 FROM p LEFT JOIN g USING (payload_digest)"""
 
-ORACLE_SQL = {"op3_ngram_join": NGRAM_JOIN, "op5_licenses": LICENSES, "op10_warc": WARC}
+#: Every anchor against every row, by integer inner product.
+HARD_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER o AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER o <= 10 WINDOW o AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)"""
+
+ORACLE_SQL = {"op3_ngram_join": NGRAM_JOIN, "op5_licenses": LICENSES, "op10_warc": WARC, "op12_hard_negatives": HARD_NEGATIVES}

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnsift.llm import decontaminate, fingerprints, langid, licenses, ngram_join, packing, quality, secrets, suffix_dedup, warc
+from vulnsift.llm import (config_packing, decontaminate, fingerprints, hard_negatives, langid, licenses, ngram_join, packing, quality, secrets,
+                          suffix_dedup, warc, whitening)
 from vulnsift.llm.common import read_table, ship_package
 from vulnsift.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -78,5 +79,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents tokenised and packed into as few sequences of 4096 ids as the configuration program allows."""
+    ship_package(spark)
+    return config_packing.pack_tightly(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")) \
+        .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive among all embeddings."""
+    ship_package(spark)
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every embedding on the first eight components."""
+    ship_package(spark)
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings")) \
+        .select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 QUERIES = {q.__name__: q for q in (op1_suffix_dedup, op2_quality, op3_ngram_join, op3_ngram_links, op4_fingerprints, op5_licenses, op6_packing, op7_secrets,
-                                     op8_decontaminate, op9_language, op10_warc)}
+                                     op8_decontaminate, op9_language, op10_warc, op11_best_fit, op12_hard_negatives, op13_whitening)}
