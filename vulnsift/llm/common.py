@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,10 +41,22 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+_HELD: list[DataFrame] = []
+
+
 def hold(df: DataFrame) -> DataFrame:
-    """Keep a small intermediate result in the executors' memory and disks. What a lost executor held is
+    """Keep a small intermediate result on the executors' disks, until `release_held`. What a lost executor held is
     computed again from its lineage, which is that of deterministic operators on tables."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD.append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
+def release_held(spark: SparkSession) -> None:
+    """Free what earlier calls held. Results that still refer to it stay right: it is computed again."""
+    for df in _HELD:
+        if df.sparkSession.sparkContext is spark.sparkContext:
+            df.unpersist()
+    _HELD.clear()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,6 +64,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def bounded(batch: pa.RecordBatch, column: int, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch whose texts in `column` take about `limit` bytes (a longer text comes alone). Arrow's
+    free memory goes back to the system after each batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+    pa.default_memory_pool().release_unused()
+
+
 def rows_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
     """One Arrow batch from column lists in schema order."""
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -59,17 +85,8 @@ def rows_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
 def text_slices(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[tuple[list, list]]:
     """(ids, texts) of a batch of (id, text) in runs of about `limit` characters, to bound numpy temporaries.
     A single longer text comes alone; callers that allocate per character walk it in pieces."""
-    ids, texts, chars = [], [], 0
-    for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-        t = t or ""
-        if texts and chars + len(t) > limit:
-            yield ids, texts
-            ids, texts, chars = [], [], 0
-        ids.append(i)
-        texts.append(t)
-        chars += len(t)
-    if texts:
-        yield ids, texts
+    for part in bounded(batch, 1, limit):
+        yield part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
 
 
 def code_points(text: str) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnsift.llm.common import code_points, rows_of, text_slices
+from vulnsift.llm.common import bounded, code_points, rows_of, text_slices
 
 #: Edits allowed as a share of an item's characters, and q for items long enough for it, longest first.
 EDIT_SHARE, Q_LONG, Q_SHORT = 0.1, 8, 4
@@ -310,14 +310,12 @@ def without_items(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_i
         sent = rows.sparkSession.sparkContext.broadcast(build(block))  # of bounded size: BLOCK_CHARS
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep, at = np.ones(batch.num_rows, dtype=bool), 0
-                for ids, texts in text_slices(batch, PIECE):
-                    for k, *_ in matches(sent.value, texts):
-                        keep[at + k] = False
-                    at += len(ids)
+            for part in (p for batch in batches for p in bounded(batch, 1, PIECE)):
+                keep = np.ones(part.num_rows, dtype=bool)
+                for k, *_ in matches(sent.value, [t or "" for t in part.column(1).to_pylist()]):
+                    keep[k] = False
                 mask = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns], schema=_KEPT)
+                yield pa.RecordBatch.from_arrays([c.filter(mask) for c in part.columns], schema=_KEPT)
 
         return rows.mapInArrow(run, KEPT)
 

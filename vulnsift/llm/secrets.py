@@ -4,8 +4,8 @@ A layer is a text together with, for each of its characters, the span of the ori
 URL and Unicode escapes are decoded over the whole layer; base64 runs are decoded at all four alignments, by line and
 over line ends, and the readable stretches of what they hold (also in compressed data) become layers of their own, whose
 characters all map to the stretch's place in the run. Every new layer is scanned and put back on
-the worklist until nothing decodes any further; a layer equal to one of its ancestors is not followed again
-(cycle). All work on one document happens where the row lies; no shuffle.
+the worklist until nothing decodes any further. A layer is its text and its map: one that any path has reached before is not
+followed again, so cycles end and orders of decoding that lead to the same layer cost it once. All work on one document happens where the row lies; no shuffle.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from vulnsift.llm.common import rows_of
+from vulnsift.llm.common import bounded, rows_of, text_slices
 
 KINDS = ("assign", "access", "hex")
 
@@ -71,10 +71,21 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class Layer:
     """A text whose character i came from the original span starts[i]..ends[i]; `fixed` maps all of it to one span."""
 
-    __slots__ = ("text", "starts", "ends", "fixed", "path")
+    __slots__ = ("text", "starts", "ends", "fixed")
 
-    def __init__(self, text, starts=None, ends=None, fixed=None, path=()):
-        self.text, self.starts, self.ends, self.fixed, self.path = text, starts, ends, fixed, path
+    def __init__(self, text, starts=None, ends=None, fixed=None):
+        self.text, self.starts, self.ends, self.fixed = text, starts, ends, fixed
+
+    def key(self) -> bytes:
+        """Digest of the text and of where its characters come from."""
+        h = hashlib.sha256(self.text.encode("utf-8", "surrogatepass"))
+        if self.fixed is not None:
+            h.update(b"\xff%d %d" % self.fixed)
+        elif self.starts is not None:
+            h.update(b"\xff")
+            h.update(self.starts.astype(np.int64))
+            h.update(self.ends.astype(np.int64))
+        return h.digest()
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         if self.fixed is not None:
@@ -255,11 +266,8 @@ def _base64(layer: Layer, most: int, large: list[int]) -> Iterator[Layer]:
         large[0] += max(by_line[0], whole[0])
 
 
-def _children(layer: Layer, path: tuple, most: int, large: list[int]) -> Iterator[Layer]:
-    for child in chain((_url(layer), _unicode(layer)), _base64(layer, most, large)):
-        if child is not None:
-            child.path = path
-            yield child
+def _children(layer: Layer, most: int, large: list[int]) -> Iterator[Layer]:
+    return (child for child in chain((_url(layer), _unicode(layer)), _base64(layer, most, large)) if child is not None)
 
 
 def scan(text: str, most: int = 1 << 26) -> tuple[list, list, int, int]:
@@ -267,21 +275,22 @@ def scan(text: str, most: int = 1 << 26) -> tuple[list, list, int, int]:
     data unpack to more than `most` bytes and so were scanned in overlapping pieces."""
     base = base_spans(text)
     spans, layers, large = set(base), 0, [0]
-    work = [iter([Layer(text)])]
+    whole = Layer(text)
+    seen, work = {whole.key()}, [_children(whole, most, large)]
     while work:
         layer = next(work[-1], None)
         if layer is None:
             work.pop()
             continue
-        here = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest()
-        if here in layer.path:
+        here = layer.key()
+        if here in seen:
             continue
-        if layer.path:
-            layers += 1
-            for a, kind, b in base_spans(layer.text):
-                s, e = layer.span(a, b)
-                spans.add((s, kind, e))
-        work.append(_children(layer, (*layer.path, here), most, large))
+        seen.add(here)
+        layers += 1
+        for a, kind, b in base_spans(layer.text):
+            s, e = layer.span(a, b)
+            spans.add((s, kind, e))
+        work.append(_children(layer, most, large))
     return base, sorted(spans), layers, large[0]
 
 
@@ -304,13 +313,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_oversize and scanned in pieces that share 1 MB.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for ids, texts in (part for batch in batches for part in text_slices(batch)):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                base, spans, layers, large = scan(text or "")
+            for doc, text in zip(ids, texts):
+                base, spans, layers, large = scan(text)
                 n = [sum(k == i for _, k, _ in base) for i in range(3)]
                 rows.append((doc, *n, hashlib.sha256(written(base).encode()).hexdigest(), written(spans), layers, large))
-            yield rows_of(_ARROW, list(zip(*rows)) if rows else [[]] * len(_ARROW))
+            yield rows_of(_ARROW, list(zip(*rows)))
 
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, SCHEMA)
 
@@ -335,11 +344,11 @@ def redact(docs: DataFrame, mask: str = "<SECRET>") -> DataFrame:
         return "".join([*out, text[at:]]) if spans else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            new = [masked(t) for t in columns[1]]
-            size = [len(t) if t is not None and t is not o else c for t, o, c in zip(new, columns[1], columns[4])]
-            yield rows_of(arrow, [columns[0], new, columns[2], columns[3], size])
+        for part in (p for batch in batches for p in bounded(batch, 1)):
+            old = part.column(1).to_pylist()
+            new = [masked(t) for t in old]
+            size = [len(t) if t is not None and t is not o else c for t, o, c in zip(new, old, part.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string()), *part.columns[2:4], pa.array(size, pa.int64())], schema=arrow)
 
     return docs.select([docs[c].cast(t) for c, t in zip(names, ("long", "string", "string", "string", "long"))]) \
         .mapInArrow(run, schema)
