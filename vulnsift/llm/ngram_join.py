@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnsift.llm.blocks import (bucket_bits, class_of, document_classes, hash_keys, open_block, pack_blocks, squeeze, unsqueeze)
-from vulnsift.llm.common import distinct, hold, keep_table, rows_of
+from vulnsift.llm.common import bounded, distinct, hold, keep_table, release_held, rows_of
 from vulnsift.llm.graph import components, files_for
 
 SHINGLE = 5
@@ -124,21 +124,21 @@ def sets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, digest) of every row, and (doc_id, text) of one document for each nonempty set."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"))
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("body", pa.binary())])
+    """(doc_id, n_shingles, digest, text_key) of every row, and (doc_id, text) of one document for each nonempty set."""
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).cast("binary").alias("text"),
+                       F.xxhash64(docs[text_col]).alias("text_key"))
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("body", pa.binary()), ("text_key", pa.int64())])
 
     def digests(with_body: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    part = batch.slice(a, 1024)
+                for part in bounded(batch, 1):
                     texts = part.column(1).to_pylist()
                     sets = shingle_sets(texts)
                     marks = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                     yield rows_of(arrow, [part.column(0), [len(s) for s in sets], marks,
-                                          [squeeze(t, 3) if with_body and len(s) else None for t, s in zip(texts, sets)]])
-        return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, body binary")
+                                          [squeeze(t, 3) if with_body and len(s) else None for t, s in zip(texts, sets)], part.column(2)])
+        return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, body binary, text_key long")
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
@@ -147,7 +147,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
                 part = batch.slice(a, 256)
                 yield rows_of(out, [part.column(0), [unsqueeze(b) for b in part.column(1).to_pylist()]])
 
-    members = digests(False).select("doc_id", "n_shingles", "digest")
+    members = digests(False).select("doc_id", "n_shingles", "digest", "text_key")
     # one row per set, chosen within each task before the shuffle; texts travel compressed
     one = digests(True).where("n_shingles > 0 and doc_id is not null").groupBy("digest") \
         .agg(F.min("doc_id").alias("doc_id"), F.min_by("body", "doc_id").alias("body"))
@@ -445,11 +445,13 @@ def block_files(members: DataFrame) -> int:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links, itself included.
+    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links, itself included; and text_key, a
+    64-bit hash of its text, which tells rows of one id apart.
 
     Null, empty and blank texts have no shingles and link with nothing. Rows with equal ids are nodes of their own; a row
     without id takes no part in links and its component is null. An empty table gives no rows. Other columns are not read.
     """
+    release_held(docs.sparkSession)
     members, texts = classes(docs, id_col, text_col)
     members = hold(members)
     near = near_sets(pack_blocks(texts.coalesce(block_files(members)), "blocks"))
@@ -459,4 +461,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     firsts = firsts.join(comps, "first", "left").select("digest", F.coalesce("root", "first").alias("component_id"))
     out = members.join(firsts, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "text_key")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from vulnsift.llm.common import rows_of
+from vulnsift.llm.common import rows_of, text_slices
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
@@ -98,10 +98,24 @@ def encoder(vocabulary: str, pattern: str):
     return _ENCODERS[vocabulary]
 
 
-def pack(docs: DataFrame, vocabulary: str, pattern: str, window: int = 1024, end_id: int = 0,
+def ids_of(text: str, enc, whole: str) -> np.ndarray:
+    """Ids of a text. The pattern's engine gives up on very long runs of white space: such a text goes to the library and
+    tokenizer file `whole` that the ranks stand for."""
+    try:
+        return enc.encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        from tokenizers import Tokenizer
+
+        if whole not in _ENCODERS:
+            _ENCODERS[whole] = Tokenizer.from_file(whole)
+        return np.array(_ENCODERS[whole].encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def pack(docs: DataFrame, vocabulary: str, pattern: str, whole: str, window: int = 1024, end_id: int = 0,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of each document: where it starts in the document's ids, where it lies in which sequence.
 
+    `vocabulary` is the rank file, `whole` the tokenizer file with the same ids.
     A document's ids are its text's token ids and then `end_id`; a null or empty text is the end id alone. An added
     token written out in a text is that token's id.
     Full windows are cut from the front; the remainder is packed by best-fit decreasing with those of the
@@ -124,8 +138,8 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, window: int = 1024, end
             return rows_of(_ARROW, list(zip(*rows)) if rows else [[]] * len(_ARROW))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(enc.encode_to_numpy(text or "", allowed_special="all"), np.uint32(end_id)).astype("<u4", copy=False)
+            for doc, text in (pair for part in text_slices(batch) for pair in zip(*part)):
+                ids = np.append(ids_of(text, enc, whole), np.uint32(end_id)).astype("<u4", copy=False)
                 total = len(ids)
                 for start in range(0, total, window):
                     part = ids[start:start + window]

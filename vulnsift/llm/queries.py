@@ -26,7 +26,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of shingle Jaccard similarity 0.8 and more."""
     ship_package(spark)
-    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(read_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op3_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     the same vocabulary and ids as byte_bpe_50k.json (tests/llm compares the two)."""
     ship_package(spark)
     return packing.pack(read_table(spark, sf_dir, "documents"),
-                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
