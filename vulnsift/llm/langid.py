@@ -17,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vulnsift.llm.common import code_points, held_out, rows_of
+from vulnsift.llm.common import bounded, code_points, held_out, rows_of
 
 #: Hash space of the 1-, 2- and 3-grams.
 SPECTRUM = (256, 2048, 6144)
@@ -103,19 +103,19 @@ class Model:
 
 
 def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """At most `per_language` labelled rows of each language outside the held-out fold, those whose id hashes
-    lowest. Ranks are taken over ids alone; texts of the chosen ids, which the parameter bounds, are read in a
-    second pass."""
+    """(doc_id, text, lang): at most `per_language` labelled ids of each language outside the held-out fold, those that hash
+    lowest, each with one of its texts. Ranks are taken over ids alone; texts of the chosen ids, which the parameter bounds, are
+    read in a second pass."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # a hash threshold by language first leaves about twice as many rows as are wanted, so no language gathers in a task
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    few = rows.select("lang", "doc_id").join(counts, "lang").where(
-        F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).cast("double") < F.lit(2.0 * per_language * (1 << 40)) / F.col("n"))
-    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id")
-    ids = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id").distinct()
-    chosen = [r[0] for r in ids.collect()]
-    return rows.where(F.col("doc_id").isin(chosen)) if chosen else rows.limit(0)
+    # a threshold by language, one number for each, leaves about twice as many ids as are wanted before anything is shuffled
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    few = rows.select("lang", "doc_id").join(F.broadcast(counts), "lang") \
+        .where(place.cast("double") < F.lit(2.0 * per_language * (1 << 40)) / F.col("n")).select("lang", "doc_id").distinct()
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    ids = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "doc_id")
+    return rows.join(F.broadcast(ids), ["lang", "doc_id"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def fit(rows: list[tuple[str, str]], n_landmarks: int = 128, ridge: float = 1e-2, sharpness: float = 6.0) -> Model:
@@ -141,7 +141,7 @@ def fit(rows: list[tuple[str, str]], n_landmarks: int = 128, ridge: float = 1e-2
 def _fitted(docs: DataFrame, per_language: int, n_landmarks: int, id_col: str, text_col: str, lang_col: str):
     """Broadcast of the model fitted on the sample."""
     taught = [(r["text"], r["lang"]) for r in sample(docs, per_language, id_col, text_col, lang_col)
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_language * 200).collect()]
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "lang").collect()]
     return docs.sparkSession.sparkContext.broadcast(fit(taught, n_landmarks))
 
 
@@ -150,8 +150,8 @@ def identify(docs: DataFrame, per_language: int = 500, n_landmarks: int = 128, i
     """Language of every document: doc_id, held_out, lang_pred, score (probability of lang_pred).
 
     `und` with score 0 for a text that is null or has no letter, and for all texts if no row can teach.
-    The model learns from at most `per_language` rows of each language outside the held-out fold; it is
-    broadcast with the tasks and has n_landmarks rows whatever the input's size. Repeated rows and null ids are
+    The model learns from at most `per_language` rows of each language outside the held-out fold, however many languages
+    there are; it is broadcast with the tasks and has n_landmarks rows, or one a language, whatever the input's size. Repeated rows and null ids are
     scored like any row; an empty table gives no rows; other columns are not read.
     """
     model = _fitted(docs, per_language, n_landmarks, id_col, text_col, lang_col)
@@ -159,8 +159,7 @@ def identify(docs: DataFrame, per_language: int = 500, n_landmarks: int = 128, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 4 * ROWS):
-                part = batch.slice(a, 4 * ROWS)
+            for part in bounded(batch, 1):
                 pred, score = m.predict(part.column(1).to_pylist())
                 yield rows_of(_ARROW, [part.column(0), part.column(2), pred, score])
 
@@ -183,8 +182,7 @@ def keep_identified(docs: DataFrame, per_language: int = 500, n_landmarks: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 4 * ROWS):
-                part = batch.slice(a, 4 * ROWS)
+            for part in bounded(batch, 1):
                 pred = pa.array(m.predict(part.column(1).to_pylist())[0], pa.string())
                 columns = [part.column(0), part.column(1), pred, part.column(3), part.column(4)]
                 keep = pa.compute.not_equal(pred, "und")
