@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from vulnsift.llm.common import held_out, rows_of, text_slices
 
 #: Hash space of words, length of the vectors, nonzero entries of an index vector, context words on each side.
-WORDS, DIM, NONZERO, REACH = 4096, 48, 4, 2
+WORDS, DIM, NONZERO, REACH = 65536, 48, 4, 2
 
 WORD = re.compile(r"\w+|[^\w\s]+")
 
@@ -96,8 +96,9 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     parts = docs.select(F.lit(0).alias("none"), docs[text_col]) \
         .mapInArrow(run, "word int, " + ", ".join(f"{n} long" for n in names))
     out = np.zeros((WORDS, DIM), dtype=np.float64)
-    for row in parts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).collect():
-        out[row[0]] = row[1:]
+    added = parts.groupBy("word").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    for i, n in enumerate(names):
+        out[added["word"].to_numpy(), i] = added[n].to_numpy()
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
@@ -109,9 +110,8 @@ def pooled(texts: list[str], vectors: np.ndarray, numbers: Numbers) -> np.ndarra
     begin = np.concatenate([[0], np.cumsum(sizes)])
     for i in range(len(texts)):
         if sizes[i]:
-            counts = np.bincount(flat[begin[i]:begin[i + 1]], minlength=WORDS)
-            used = np.flatnonzero(counts)
-            share = counts[used] / sizes[i]
+            used, counts = np.unique(flat[begin[i]:begin[i + 1]], return_counts=True)
+            share = counts / sizes[i]
             v = vectors[used]
             mean = share @ v
             out[i, :DIM] = mean
@@ -177,13 +177,14 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 300, dec
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int, id_col: str, text_col: str, label_col: str) -> list:
-    """At most `most` (text, label) rows outside the held-out fold, those whose id hashes lowest."""
+    """At most `most` (text, label) rows outside the held-out fold: the labelled ids that hash lowest, each with one of its texts."""
     ids = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
     ids = ids.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = ids.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     label = {r[0]: r[1] for r in chosen.collect()}
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    found = rows.where(F.col("doc_id").isin(list(label))).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most).collect() if label else []
+    found = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")) \
+        .orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return [(r["text"] or "", label[r["doc_id"]]) for r in found]
 
 
