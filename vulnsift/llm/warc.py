@@ -154,15 +154,15 @@ def _one(data: bytes, at: int) -> tuple[list, int, str, list]:
         return ([], at, found, []) if isinstance(found, str) else ([found[:2]], found[2], "", [])
     inner, after, why = _unzipped(data, at)
     records, gaps = _unpacked_records(inner)
-    if gaps and not records or why and len(records) == 1 and not gaps:
-        return [], after, why or gaps[0][2], []  # a member of one record vouches for it as a whole
+    if gaps and not records:
+        return [], after, why or gaps[0][2], []
     return records, after, why, [f"{reason} (unpacked bytes {a} to {b})" for a, b, reason in gaps]
 
 
 def salvage(data: bytes) -> Salvaged:
     """All records of an archive that check out, and the byte gaps between them. Records of one member share its offset; a gap
     among them is logged with the member's place and the unpacked bytes it takes. A damaged member gives its records up to
-    the damage and is logged from its start on; one that shows a single record and nothing else is quarantined whole."""
+    the damage, even a single one, and is logged from its start on."""
     out, at, lost, why = Salvaged(), 0, None, ""
     starts = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
     seen, seen_to = [], 0  # records of a damaged member, which its stored bytes may show once more
