@@ -19,11 +19,10 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+JSON = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 ENCODER = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -35,10 +34,13 @@ def test_ids_equal_the_tokenizer_file(tokenizer, documents):
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=200))
 def test_ids_equal_on_any_text(text):
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not hasattr(test_ids_equal_on_any_text, "t") else test_ids_equal_on_any_text.t
-    t.encode_special_tokens = True
-    test_ids_equal_on_any_text.t = t
-    assert ENCODER.encode_to_numpy(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    assert ENCODER.encode_to_numpy(text, allowed_special="all").tolist() == JSON.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", [" " * 10**7, "\n" * 10**7, "a" * 10**6, "ab1 \n" * 10**6, " \t" * 10**6 + "x", "word " * 10**6 + " " * 10**6 + "end"])
+def test_ids_of_long_runs(text):
+    got = packing.ids_of(text, ENCODER, public_tokenizers.path("byte_bpe_50k.json"))
+    assert got.tolist() == JSON.encode(text, add_special_tokens=False).ids
 
 
 def check_pieces(rows, texts, tokenizer, window=1024):
@@ -69,7 +71,7 @@ def test_packing_small_tables(spark, documents, tokenizer):
 
 
 def test_packing_odd_rows(odd, empty, tokenizer):
-    pack = lambda d: packing.pack(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    pack = lambda d: packing.pack(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")).collect()
     check_pieces(pack(odd), [(r.doc_id, r.text) for r in odd.collect()], tokenizer)
     assert pack(empty) == []
 
@@ -91,7 +93,7 @@ def test_added_tokens_are_those_of_the_tokenizer_file(plain_tokenizer):
 def test_packing_of_added_tokens(spark, documents, plain_tokenizer):
     texts = list(enumerate([*ADDED_TEXTS, *(t for _, t, _ in documents)]))
     rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"),
-                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert {r.doc_tokens for r in rows if r.doc_id == 0} == {5}
     check_pieces(rows, texts, plain_tokenizer)
 
@@ -163,6 +165,15 @@ def test_salvage_after_damage(zipped):
     assert all(why for *_, why in found.gaps)
 
 
+def test_damaged_member_of_one_whole_record():
+    """The record before the damage is given, and the damage is logged."""
+    whole, more = (warc.record(i, f"http://x/{i}", (BODY * 40).encode(), None, False) for i in (1, 2))
+    z = zlib.compressobj(9, zlib.DEFLATED, 31)
+    torn = z.compress(whole) + z.flush(zlib.Z_SYNC_FLUSH) + b"\xff" * 30
+    found = warc.salvage(torn + warc.member(more))
+    assert page_ids(found) == [1, 2] and [g[:2] for g in found.gaps] == [(0, len(torn))]
+
+
 def test_salvage_of_junk():
     data, at = archive(4)
     found = warc.salvage(b"junk\x1f\x8b\x08" + data + b"WARC/1.1\r\nbroken")
@@ -255,6 +266,36 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Ids that repeat with equal and with different texts, null ids and texts, a very long text, extra columns."""
+    words = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(4)]
+    prose = "the people who came to the town in the evening were tired of the road "
+    rows = [(1, prose + words[0]), (1, prose + words[0]), (1, prose + words[1]), (2, prose + words[1]), (3, prose + words[1]), (4, prose + words[2]),
+            (None, prose + words[2]), (None, prose + words[3]), (5, None), (6, ""), (7, prose + words[3]), (8, (prose + words[0] + " ") * 3000), (9, "a"), (9, "b")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1.0, "x") for i, t in rows],
+                          "doc_id long, text string, lang string, source string, n_chars long, score double, spans string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    texts = {prose + words[k]: k for k in range(4)}
+    assert [(i, texts.get(t, len(t or ""))) for i, t in got if i in (1, 2, 3, 4, 7, None)] == [(1, 0), (1, 1), (4, 2), (7, 3), (None, 2), (None, 3)]
+    assert {i for i, _ in got} == {1, 4, 5, 6, 7, 8, 9, None} and sorted(t for i, t in got if i == 9) == ["a", "b"]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in pieces} == {1, 4, 7, 8, 9, None}
+
+
+def test_no_table_stays_in_the_executors(spark):
+    """What the near-duplicate stage holds is freed when the next stage begins."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    corpus_pipeline.near_duplicates(spark, docs, SF).write.format("noop").mode("overwrite").save()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() > before
+    corpus_pipeline.decontaminate(spark, docs, SF)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before
+
+
 def test_run_equals_stages(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 100

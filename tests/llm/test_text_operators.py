@@ -7,7 +7,9 @@ import hashlib
 import lzma
 import random
 import re
+import time
 import zlib
+from collections import Counter
 from urllib.parse import quote
 
 import numpy as np
@@ -170,6 +172,65 @@ def test_license_plan_has_no_python(spark):
 
 # --- secrets -----------------------------------------------------------------------------
 
+def brute_chunks(data):
+    """Byte by byte: a gear hash rolled over all bytes, of which the last 32 count; a chunk ends where it passes the mask."""
+    from vulnsift.llm import fingerprints as fp
+
+    out, start, h = [], 0, 0
+    for i, byte in enumerate(data):
+        h = ((h << 1) + int(fp.GEAR[byte])) & 0xFFFFFFFF
+        size = i + 1 - start
+        bits = fp.HARD_BITS if size < fp.AVG_CHUNK else fp.EASY_BITS
+        if size >= fp.MAX_CHUNK or size >= fp.MIN_CHUNK and h >> (32 - bits) == 0:
+            out.append(i + 1)
+            start = i + 1
+    return out + [len(data)] * (start < len(data))
+
+
+def test_chunks_equal_a_rolling_hash(documents):
+    from vulnsift.llm import fingerprints as fp
+
+    rng = random.Random(3)
+    texts = [t.encode() for _, t, _ in documents if t] + [bytes(rng.choices(range(256), k=n)) for n in (1, 15, 16, 17, 255, 257, 5000)] + [b"a" * 1000, b""]
+    for data in texts:
+        assert fp.chunk_ends(data) == brute_chunks(data)
+
+
+def test_kernel_equals_sets_of_ngrams(documents):
+    """Rows of `presence` have the inner products that cosines of hashed n-gram sets give."""
+    texts = [t for _, t, _ in documents[:12] if t]
+    rows = langid.presence(texts)
+    grams = []
+    for t in texts:
+        low, at, sets = t.lower(), 0, []
+        for n, width in zip((1, 2, 3), langid.SPECTRUM):
+            seen = {int(np.flatnonzero(langid.presence([low[i:i + n]])[0][at:at + width])[0]) for i in {low[j:j + n]: j for j in range(len(low) - n + 1)}.values()}
+            sets.append(seen)
+            at += width
+        grams.append(sets)
+    for i, a in enumerate(grams):
+        for j, b in enumerate(grams):
+            want = sum(len(x & y) / (len(x) * len(y)) ** 0.5 for x, y in zip(a, b))
+            assert abs(float(rows[i] @ rows[j]) - want) < 1e-3
+
+
+def test_many_languages_and_repeated_ids(spark):
+    """250 languages all teach; of an id that comes often each language takes one text."""
+    rows = [(k * 50 + i, f"{chr(0x4E00 + k)}{chr(0x5200 + k)} " * 5, f"l{k:03}") for k in range(250) for i in range(4)]
+    rows += [(3, "zz yy " * 4, "l000")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = langid.sample(docs, 2, "doc_id", "text", "lang").collect()
+    assert {r.lang for r in taught} == {y for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert max(Counter(r.lang for r in taught).values()) <= 2 and len({(r.lang, r.doc_id) for r in taught}) == len(taught)
+
+
+def test_labels_of_repeated_ids_push_none_out(spark):
+    docs = spark.createDataFrame([(2, f"text {i}") for i in range(300)] + [(i, f"other {i}") for i in range(3, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    taught = quality.labelled(docs, labels, 20, "doc_id", "text", "quality")
+    assert len(taught) == len(set(taught)) >= 15
+
+
 def brute_base(text):
     kinds = [("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
              ("access", r"(AKIA)[A-Z0-9]+"), ("hex", r"([0-9a-f])[0-9a-f]*")]
@@ -256,6 +317,46 @@ def test_large_layers_are_scanned_in_pieces(pack, monkeypatch):
         assert spans and large == 1
 
 
+def every_layer(text):
+    """Spans by following every order of decoding to its end, without remembering what was seen."""
+    out = set()
+
+    def follow(layer, path):
+        if (layer.text, layer.fixed) in path:
+            return
+        if path:
+            out.update((layer.span(a, b)[0], k, layer.span(a, b)[1]) for a, k, b in secrets.base_spans(layer.text))
+        for child in secrets._children(layer, 1 << 20, [0]):
+            follow(child, (*path, (layer.text, layer.fixed)))
+
+    follow(secrets.Layer(text), ())
+    return sorted(out | set(secrets.base_spans(text)))
+
+
+def nested(depth, payload=SECRET, escapes=True):
+    for _ in range(depth):
+        payload = (r"%41\u0042 " if escapes else "") + b64(payload)
+    return payload
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4])
+def test_visited_layers_lose_no_span(depth):
+    text = f"start {nested(depth)} end %70assword=abcdefgh"
+    assert secrets.scan(text)[1] == every_layer(text) and len(secrets.scan(text)[1]) >= 2
+
+
+def test_deep_nesting_ends():
+    """Every level has a URL and a Unicode escape, so five forms of it; each is followed once."""
+    for depth in (9, 16):
+        began = time.process_time()
+        text = nested(depth)
+        _, spans, layers, _ = secrets.scan(text)
+        assert layers <= 30 * depth and any(k == 0 for _, k, _ in spans) and time.process_time() - began < 3
+    began = time.process_time()
+    text = nested(40, "token = abcdefgh", escapes=False)
+    assert secrets.scan(text)[1] and time.process_time() - began < 8 * len(text) / 1e6
+
+
 def test_redact_masks_decoded_secrets_in_runs(spark):
     df = spark.createDataFrame([(1, f"see https://example.org/cfg/{b64(SECRET)} now", "en", "s", 5)],
                                "doc_id long, text string, lang string, source string, n_chars long")
