@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vulnsift.llm import decontaminate as _decontaminate
 from vulnsift.llm import langid, ngram_join, packing, secrets
-from vulnsift.llm.common import read_table, ship_package
+from vulnsift.llm.common import read_table, release_held, ship_package
 from vulnsift.session import checkpoint_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,17 +28,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, that with the smallest id. Documents without an id or without
-    words link with nothing and stay; of rows that repeat an id one stays."""
+    words link with nothing and stay. Rows that repeat an id are told apart by their texts; of rows equal in both one stays."""
     ship_package(spark)
     found = ngram_join.jaccard_components(docs).where("doc_id is not null")
-    first = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id")).where("component_id = doc_id").select("doc_id")
-    kept = docs.select(COLUMNS).where("doc_id is not null").join(first, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(COLUMNS).unionByName(docs.select(COLUMNS).where("doc_id is null"))
+    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.*")
+    first = first.unionByName(found.where("n_shingles = 0").select("doc_id", "text_key"))
+    named, keys = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key")), ["doc_id", "text_key"]
+    kept = named.where("doc_id is not null").join(first, keys, "left_semi").dropDuplicates(keys)
+    return kept.unionByName(named.where("doc_id is null")).select(COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     ship_package(spark)
+    release_held(spark)  # the near-duplicate stage's result is written by now
     return _decontaminate.without_items(docs, read_table(spark, sf_dir, "benchmark"))
 
 
@@ -51,7 +54,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents cut and packed into windows of 1024 token ids."""
     ship_package(spark)
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate),
