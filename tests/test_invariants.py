@@ -28,7 +28,7 @@ def test_split_disjoint_and_exhaustive(spark):
 def test_exact_rank_matches_single_window(spark):
     d = read_table(spark, SF_SMALL, "documents").select("doc_id", "source")
     d = d.withColumn("src", F.regexp_extract("source", r"(\d+)$", 1).cast("int"))
-    r = od.source_order_rank(d, "src", "doc_id", buckets=7)
+    r = od.source_order_rank(d, "src", "doc_id", most=20)
     from pyspark.sql import Window
     ref = d.withColumn("ref", F.row_number().over(Window.orderBy("src", "doc_id")))
     bad = r.join(ref, "doc_id").where(F.col("rank") != F.col("ref")).count()

@@ -40,12 +40,30 @@ def test_files_added_between_calls_are_seen(spark, tmp_path):
 def test_order_buckets_are_even_whatever_the_keys(spark, kind):
     rows = spark.range(20_000).select(F.col("id")).unionByName(spark.range(1).select(F.lit(1 << 60).alias("id")))
     d = rows.select(F.lit(0).alias("src"), F.col("id").cast(kind).alias("key"))
-    sizes = d.groupBy(od.order_bucket(d, ["src", "key"], 32).alias("b")).count().collect()
-    assert len(sizes) == 32 and max(r["count"] for r in sizes) < 3 * 20_000 / 32
-    ranked = od.source_order_rank(d, "src", "key", buckets=32).orderBy("key").select("rank").collect()
+    sizes = od.order_buckets(d, ["src", "key"], 1250).groupBy("_bucket").count().collect()
+    assert len(sizes) >= 30 and max(r["count"] for r in sizes) <= 1250
+    ranked = od.source_order_rank(d, "src", "key", most=1250).orderBy("key").select("rank").collect()
     assert [r.rank for r in ranked] == list(range(1, 20_002))
 
 
+def test_no_bucket_above_the_target_on_a_skewed_key(spark):
+    """10^7 rows, nine tenths of them with one key; ranks and running sums stay exact."""
+    n = 10_000_000
+    d = spark.range(n, numPartitions=8).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(777)).alias("key"), F.lit(2).alias("tokens"))
+    b = od.order_buckets(d, ["key"], 500_000)
+    assert b.groupBy("_bucket").count().agg(F.max("count")).first()[0] <= 500_000
+    r = od.exact_rank(b, F.col("_bucket"), [F.col("key"), F.col("_tie")], measure="tokens")
+    got = r.agg(F.count("*"), F.countDistinct("rank"), F.max("rank"), F.count_if(F.col("before") != 2 * (F.col("rank") - 1)),
+                F.max(F.when(F.col("key") == 777, F.col("rank"))), F.min("group_size")).first()
+    assert tuple(got) == (n, n, n, 0, 78 + 9_000_000, n)
+
+
+def test_budget_leaves_later_buckets_out(spark):
+    d = spark.range(20_000).select(F.lit(0).alias("src"), F.col("id").alias("key"), F.lit(3).alias("tokens"))
+    r = od.source_order_rank(d, "src", "key", measure="tokens", below=300, most=1000)
+    assert od.token_budget(r, 300).count() == 100 and r.count() <= 1000
+
+
 def test_exact_percentiles(spark):
     d = spark.range(1000).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % 1000).cast("double").alias("v"), "id")
     r = rn.exact_percentiles(d, "g", "v", "id", {"p50": 0.5, "p90": 0.9, "p100": 1.0}).first()

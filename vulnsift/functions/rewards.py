@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vulnsift.functions import text as tx
 from vulnsift.schemas import FORMAT_FIELD_PATTERNS, REWARD_WEIGHTS, TOOL_WEIGHT
 
+# Fixed value: the line pattern.
 _PRED_LINES = r"(?U)Lines?[:\s]*(\d+)(?:\s*-\s*(\d+))?"  # case-sensitive, as in the line reward
 
 
@@ -78,8 +79,8 @@ def union_size(intervals: Column) -> Column:
 def predicted_intervals(text) -> Column:
     """Every 'Line(s): a[-b]' match (case-sensitive) as an interval; b defaults to a."""
     t = F.coalesce(tx.col_(text), F.lit(""))
-    starts = F.regexp_extract_all(t, F.lit(_PRED_LINES), 1)
-    ends = F.regexp_extract_all(t, F.lit(_PRED_LINES), 2)
+    starts = tx.extract_all(t, _PRED_LINES, 1)
+    ends = tx.extract_all(t, _PRED_LINES, 2)
     return F.transform(
         F.arrays_zip(starts.alias("a"), ends.alias("b")),
         lambda z: _interval(z["a"].try_cast("long"),
@@ -129,7 +130,7 @@ def line_reward(text, vulns, pred: Column | None = None, truth: Column | None =
 def format_reward(text) -> Column:
     """share of the five field labels present (case-insensitive)."""
     t = F.coalesce(tx.col_(text), F.lit(""))
-    hits = [F.when(t.rlike("(?iU)" + p), 1).otherwise(0) for p in FORMAT_FIELD_PATTERNS]
+    hits = [F.when(tx.matches(t, "(?iU)" + p), 1).otherwise(0) for p in FORMAT_FIELD_PATTERNS]
     return sum(hits[1:], hits[0]) / F.lit(float(len(FORMAT_FIELD_PATTERNS)))
 
 
@@ -190,7 +191,7 @@ def spec_detection_reward(text, truth_swc: Column, truth_lines: Column, truth_se
     tru = F.filter(F.array(truth_interval(truth_lines)), lambda iv: iv["s"].isNotNull() & iv["e"].isNotNull())
     known = (F.size(pred) > 0) & (F.size(tru) > 0)
     line = F.when(known, interval_iou(pred, tru) * 2 - 1)
-    sev_got = tx.nullif_empty(F.regexp_extract(t, r"(?iU)Severity[:\s]*(\w+)", 1))
+    sev_got = tx.nullif_empty(tx.extract(t, r"(?iU)Severity[:\s]*(\w+)"))
     sev = F.when(sev_got.eqNullSafe(truth_severity), F.lit(0.5)).otherwise(F.lit(-0.25))
     clean = F.when(truth_swc.isNull(), F.when(got.isNull() | (got == "None"), F.lit(0.5)).otherwise(F.lit(-1.0)))
     parts = F.array(cls, line, sev, clean)

@@ -25,8 +25,42 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# --- patterns ------------------------------------------------------------------------
+# Classes are Unicode classes, as in Python: flag U. On text of ASCII alone the flag changes nothing but the cost, so
+# such text, told by its length in bytes, gets the pattern without it.
+
+def _ascii(t: Column) -> Column:
+    return F.octet_length(t) == F.length(t)
+
+
+def _pattern(t: Column, pattern: str) -> Column:
+    return F.when(_ascii(t), F.lit(pattern.replace("(?iU)", "(?i)").replace("(?U)", ""))).otherwise(F.lit(pattern))
+
+
+def extract(t, pattern: str, group: int = 1) -> Column:
+    """First match of the group, '' without a match."""
+    t = col_(t)
+    return F.call_function("regexp_extract", t, _pattern(t, pattern), F.lit(group))
+
+
+def extract_all(t, pattern: str, group: int = 1) -> Column:
+    t = col_(t)
+    return F.regexp_extract_all(t, _pattern(t, pattern), group)
+
+
+def matches(t, pattern: str) -> Column:
+    t = col_(t)
+    plain = pattern.replace("(?iU)", "(?i)").replace("(?U)", "")
+    return F.when(_ascii(t), t.rlike(plain)).otherwise(t.rlike(pattern))
+
+
+def replace_all(t, pattern: str, by: str) -> Column:
+    t = col_(t)
+    return F.regexp_replace(t, _pattern(t, pattern), F.lit(by))
+
+
 def strip(c) -> Column:
-    return F.regexp_replace(col_(c), r"(?U)^\s+|\s+$", "")
+    return replace_all(c, r"(?U)^\s+|\s+$", "")
 
 
 def nullif_empty(c) -> Column:
@@ -36,20 +70,23 @@ def nullif_empty(c) -> Column:
 
 # --- F01 / F02: type name -> class -------------------------------------------------
 
+def swc_exact_sql(t: str) -> str:
+    """F01 as SQL over a string expression: exact lower-case key lookup, default SWC-000."""
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in TYPE_TO_SWC_EXACT)
+    return f"coalesce(element_at(map({pairs}), lower({t})), '{UNKNOWN_SWC}')"
+
+
 def swc_from_type_exact(t) -> Column:
     """exact lower-case key lookup, default SWC-000."""
-    lookup = F.create_map(*[F.lit(x) for kv in TYPE_TO_SWC_EXACT for x in kv])
+    lookup = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in TYPE_TO_SWC_EXACT) + ")")
     return F.coalesce(lookup[F.lower(col_(t))], F.lit(UNKNOWN_SWC))
 
 
 def swc_from_type_substring(t) -> Column:
     """first key, in list order, contained in the lower-cased text; default SWC-000."""
+    keys = F.expr("array(" + ", ".join(f"struct('{k}' as key, '{v}' as swc)" for k, v in TYPE_TO_SWC_SUBSTRING) + ")")
     low = F.lower(F.coalesce(col_(t), F.lit("")))
-    expr = None
-    for key, swc in TYPE_TO_SWC_SUBSTRING:
-        cond = low.contains(key)
-        expr = F.when(cond, F.lit(swc)) if expr is None else expr.when(cond, F.lit(swc))
-    return expr.otherwise(F.lit(UNKNOWN_SWC))
+    return F.coalesce(F.get(F.filter(keys, lambda x: low.contains(x["key"])), 0)["swc"], F.lit(UNKNOWN_SWC))
 
 
 # --- F03 field extractors (per block, case-insensitive, first match) -----------------
@@ -75,54 +112,60 @@ def _prefixed_id(raw: Column, prefix: str) -> Column:
 
 
 def block_swc(block) -> Column:
-    return _prefixed_id(F.regexp_extract(col_(block), SWC_PATTERN, 1), "SWC")
+    return _prefixed_id(extract(block, SWC_PATTERN), "SWC")
 
 
 def block_cwe(block) -> Column:
-    return nullif_empty(_prefixed_id(F.regexp_extract(col_(block), CWE_PATTERN, 1), "CWE"))
+    return nullif_empty(_prefixed_id(extract(block, CWE_PATTERN), "CWE"))
 
 
 def block_type(block) -> Column:
-    return strip(F.regexp_extract(col_(block), TYPE_PATTERN, 1))
+    return strip(extract(block, TYPE_PATTERN))
 
 
 def block_lines(block) -> Column:
-    return nullif_empty(strip(F.regexp_extract(col_(block), LINES_PATTERN, 1)))
+    return nullif_empty(strip(extract(block, LINES_PATTERN)))
 
 
 def block_severity(block) -> Column:
-    return F.coalesce(nullif_empty(F.regexp_extract(col_(block), SEVERITY_PATTERN, 1)), F.lit("Medium"))
+    return F.coalesce(nullif_empty(extract(block, SEVERITY_PATTERN)), F.lit("Medium"))
 
 
 def block_explanation(block) -> Column:
-    return strip(F.regexp_extract(col_(block), EXPLANATION_PATTERN, 1))
+    return strip(extract(block, EXPLANATION_PATTERN))
+
+
+def split_blocks(text) -> Column:
+    t = col_(text)
+    return F.split(t, _pattern(t, BLOCK_SPLIT))
 
 
 def says_none(text) -> Column:
     """Early-return test of the findings parser."""
-    return F.lower(col_(text)).rlike(NONE_PATTERN)
+    return matches(F.lower(col_(text)), NONE_PATTERN)
 
 
 # --- F04 / F05 / F06: class dialects ----------------------------------------------
 
 def classes_reward_dialect(text) -> Column:
     """every match of SWC[:\\s]*(\\d+|SWC-\\d+), case-insensitive, 'SWC-'/'swc-' removed."""
-    found = F.regexp_extract_all(col_(text), F.lit(r"(?iU)SWC[:\s]*(\d+|SWC-\d+)"), 1)
+    found = extract_all(text, r"(?iU)SWC[:\s]*(\d+|SWC-\d+)")
     return F.transform(found, lambda s: F.replace(F.replace(s, F.lit("SWC-"), F.lit("")), F.lit("swc-"), F.lit("")))
 
 
 def class_filter_dialect(text) -> Column:
     """first SWC[:\\s]*([0-9]{3}), case-insensitive -> 'SWC-nnn' or null."""
-    d = F.regexp_extract(col_(text), r"(?iU)SWC[:\s]*([0-9]{3})", 1)
+    d = extract(text, r"(?iU)SWC[:\s]*([0-9]{3})")
     return F.when(d == "", F.lit(None)).otherwise(F.concat(F.lit("SWC-"), d))
 
 
+# The patterns in the order they are tried.
 SPEC_PATTERNS = [r"(?U)SWC[:\s]*([0-9]{3})", r"(?U)SWC-([0-9]{3})", r"(?U)swc[:\s]*([0-9]{3})"]
 
 
 def class_spec_dialect(text) -> Column:
     """three case-sensitive patterns tried in order -> 'SWC-nnn' or null."""
-    parts = [nullif_empty(F.regexp_extract(col_(text), p, 1)) for p in SPEC_PATTERNS]
+    parts = [nullif_empty(extract(text, p)) for p in SPEC_PATTERNS]
     d = F.coalesce(*parts)
     return F.when(d.isNull(), F.lit(None)).otherwise(F.concat(F.lit("SWC-"), d))
 
@@ -136,11 +179,11 @@ def token_estimate(text) -> Column:
 
 def word_count(text) -> Column:
     """len(text.split()) — whitespace runs, Unicode-aware, 0 for ''."""
-    return F.coalesce(F.regexp_count(col_(text), F.lit(r"(?U)\S+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(col_(text), _pattern(col_(text), r"(?U)\S+")), F.lit(0)).cast("long")
 
 
 def words(text) -> Column:
-    return F.regexp_extract_all(col_(text), F.lit(r"(?U)\S+"), 0)
+    return extract_all(text, r"(?U)\S+", 0)
 
 
 # --- n-grams at scale: per-word hashes computed once, n-gram keys from hashes ----------
@@ -164,10 +207,12 @@ def _powers(p: int, n: int):
     return np.array([pow(p, j, 1 << 64) for j in range(n)], dtype=np.uint64)
 
 
-def ngram_keys_vectorized(wh, n: int) -> Column:
-    """Two 64-bit keys per word n-gram, sum_j h[i+j] * P^j mod 2^64 for two odd P, computed
+def ngram_keys_vectorized(wh, n: int, known=None) -> Column:
+    """Two 64-bit keys per word n-gram (with `known`, the broadcast bits of a Bloom filter: only those it may hold), sum_j h[i+j] * P^j mod 2^64 for two odd P, computed
     with numpy over Arrow batches of the word-hash arrays (a vectorised sliding window; the
     interpreted per-element path costs ~3.5 us per n-gram). Returns array<struct<k1, k2>>."""
+    from vulnsift.operators import bloom
+
     p1, p2 = _powers(_P1, n), _powers(_P2, n)
 
     @F.pandas_udf("struct<k1:array<bigint>,k2:array<bigint>>")
@@ -181,8 +226,11 @@ def ngram_keys_vectorized(wh, n: int) -> Column:
                 continue
             win = np.lib.stride_tricks.sliding_window_view(a, n)
             with np.errstate(over="ignore"):
-                k1s.append((win * p1).sum(axis=1, dtype=np.uint64).view(np.int64))
-                k2s.append((win * p2).sum(axis=1, dtype=np.uint64).view(np.int64))
+                k1 = (win * p1).sum(axis=1, dtype=np.uint64).view(np.int64)
+                k2 = (win * p2).sum(axis=1, dtype=np.uint64).view(np.int64)
+                keep = slice(None) if known is None else bloom.holds(known.value, k1, k2)
+            k1s.append(k1[keep])
+            k2s.append(k2[keep])
         return pd.DataFrame({"k1": k1s, "k2": k2s})
 
     k = keys(col_(wh))

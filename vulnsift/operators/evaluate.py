@@ -28,7 +28,7 @@ def findings_array(text) -> Column:
        the type by the substring map.
     """
     t = tx.col_(text)
-    blocks = F.split(F.coalesce(t, F.lit("")), tx.BLOCK_SPLIT)
+    blocks = tx.split_blocks(F.coalesce(t, F.lit("")))
     parsed = F.transform(
         blocks,
         lambda b, i: F.struct(
@@ -124,9 +124,11 @@ def with_unanswered(answered: DataFrame, contracts: DataFrame, pred: str = "pred
 
 def score_runs(completions: DataFrame, contracts: DataFrame, strict: bool = True) -> DataFrame:
     """`score_answers` with a row for every contract of every run, answered or not."""
-    found = score_answers(completions, contracts, strict).select("contract_id", "k", "pred")
-    c = contracts.select("contract_id", "is_vulnerable", F.array_distinct(truth_classes() if strict
-                         else F.transform(truth_classes(), category)).alias("truth"))
+    pred, truth = predicted_classes("text"), truth_classes()
+    if not strict:
+        pred, truth = F.transform(pred, category), F.transform(truth, category)
+    found = completions.select("contract_id", "k", F.array_distinct(pred).alias("pred"))
+    c = contracts.select("contract_id", "is_vulnerable", F.array_distinct(truth).alias("truth"))
     return with_unanswered(found, c).select(
         "contract_id", "k", "is_vulnerable", F.size(F.array_intersect("pred", "truth")).alias("tp"),
         F.size(F.array_except("pred", "truth")).alias("fp"), F.size(F.array_except("truth", "pred")).alias("fn"),

@@ -2,15 +2,16 @@
 (W03, W04, W07, W10, W11, O01-O05, O08, U05, F14).
 
 A plain ``row_number() over (order by …)`` puts every row into a single task. Here rows
-are first given a *bucket* that is monotone in the order (a hash prefix for seeded
-shuffles, sampled quantiles of the order key itself otherwise, so that buckets hold about
-as many rows each, whatever the type and the spread of the key). Then:
+are first given a *bucket* that is monotone in the order: a hash prefix for seeded shuffles; otherwise the
+number of the range partition that Spark's own sort would put the row into, of which there are as many as keep a
+bucket below a number of rows, at any size. Rows with equal keys are told apart by a random number, so a key that
+half of all rows have is cut as well. The bucketed rows are written once, so every pass sees the same buckets. Then:
 
 1. ``groupBy(group, bucket)`` counts (and sums) — pre-aggregated map-side, tiny output;
 2. a window over that tiny table gives each bucket its offset (rows / measure before it);
 3. the offsets are joined back on (group, bucket), the keys of the window that follows;
 4. ``row_number`` / running sums run *within* each bucket, so the largest task holds one
-   bucket (about n / BUCKETS rows, or n / 16^hex_digits for hash buckets), never a whole group.
+   bucket (at most TASK_ROWS rows, or n / 16^hex_digits for hash buckets), never a whole group.
 
 The result equals the single-window answer exactly.
 """
@@ -23,10 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnsift.schemas import TRAIN_SPLIT
+from vulnsift.session import kept
 
 DEFAULT_HEX_DIGITS = 4  # 65,536 hash buckets: ~1.5e7 rows per window task at 1e12 rows
-BUCKETS = 256  # order-key buckets
-SAMPLED = 64 * BUCKETS  # keys looked at to place their boundaries
+TASK_ROWS = 1 << 20  # most rows of an order-key bucket
 
 
 def shuffle_key(seed: int, key: Column) -> Column:
@@ -38,36 +39,31 @@ def hash_bucket(h: Column, hex_digits: int = DEFAULT_HEX_DIGITS) -> Column:
     return F.substring(h, 1, hex_digits)
 
 
-def order_bucket(df: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> Column:
-    """Bucket number (0..buckets-1) that never falls along the order `keys`, from quantiles of a bounded
-    sample of the keys (those that hash lowest, so the same on every run). Any orderable types; the sample only
-    places the boundaries, ranks stay exact. The number is found by binary search in nested CASEs."""
-    sample = df.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(64 * buckets).orderBy(*keys).collect()
-    cuts = []
-    for i in range(1, buckets):
-        cut = sample[i * len(sample) // buckets] if sample else None
-        if cut is not None and (not cuts or cut != cuts[-1]):
-            cuts.append(cut)
-    types = [df.schema[k].dataType for k in keys]
-    here = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+def order_buckets(df: DataFrame, keys: Sequence[str], most: int = TASK_ROWS) -> DataFrame:
+    """`df`, written, with a bucket number `_bucket` that never falls along the order (*keys, `_tie`) and a random `_tie`. Any orderable
+    types. Spark samples the range boundaries; buckets are planned at half of `most` rows, so that uneven ones stay below it."""
+    rows = kept(df.withColumn("_tie", F.rand(29)), "order")
+    tasks = -(-2 * rows.count() // most)
+    if tasks <= 2:
+        return rows.withColumn("_bucket", F.lit(0))
+    return kept(rows.repartitionByRange(tasks, *keys, "_tie").withColumn("_bucket", F.spark_partition_id()), "order-buckets")
 
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        cut = F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(cuts[mid], types))])
-        return F.when(here < cut, search(lo, mid)).otherwise(search(mid + 1, hi))
 
-    return search(0, len(cuts))
+def ordered_rank(df: DataFrame, keys: Sequence[str], group: Sequence[str] = (), measure: str | None = None,
+                 below: float | None = None, most: int = TASK_ROWS) -> DataFrame:
+    """`exact_rank` in the order of `keys`, ties in no given order."""
+    rows = order_buckets(df, keys, most)
+    return exact_rank(rows, F.col("_bucket"), [*map(F.col, keys), F.col("_tie")], group, measure, below=below).drop("_tie")
 
 
 def exact_rank(df: DataFrame, bucket: Column, order: Sequence[Column], group: Sequence[str] = (),
                measure: str | None = None, rank_col: str = "rank", size_col: str = "group_size",
-               before_col: str = "before") -> DataFrame:
+               before_col: str = "before", below: float | None = None) -> DataFrame:
     """Adds `rank_col` (1-based row number within `group` in order (bucket, *order)), `size_col`
     (rows in the group) and, with `measure`, `before_col` = sum of `measure` over earlier rows.
 
-    `bucket` must be non-decreasing along `order` (it is the leading sort key).
+    `bucket` must be non-decreasing along `order` (it is the leading sort key). With `below`, buckets that start with so much
+    of `measure` before them are left out, before any of their rows is sorted.
     """
     g = list(group)
     b = df.withColumn("_bucket", bucket)
@@ -84,6 +80,8 @@ def exact_rank(df: DataFrame, bucket: Column, order: Sequence[Column], group: Se
     if measure:
         cols.append(F.coalesce(F.sum("_msum").over(prior), F.lit(0)).alias("_moff"))
     offsets = counts.select(*cols)
+    if below is not None:
+        offsets = offsets.where(F.col("_moff") < below)
     within = Window.partitionBy(*g, "_bucket").orderBy(*order)
     out = b.join(offsets, [*g, "_bucket"]).withColumn(rank_col, F.col("_off") + F.row_number().over(within))
     if measure:
@@ -111,9 +109,9 @@ def train_validation_split(df: DataFrame, key: str, seed: int = 42, train_split:
 
 
 def source_order_rank(df: DataFrame, source_rank: str, key: str, group: Sequence[str] = (),
-                      measure: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+                      measure: str | None = None, below: float | None = None, most: int = TASK_ROWS) -> DataFrame:
     """Rank in (source_rank, key) order — the engine's stand-in for file order; the key may be of any type."""
-    return exact_rank(df, order_bucket(df, [source_rank, key], buckets), [F.col(source_rank), F.col(key)], group, measure)
+    return ordered_rank(df, [source_rank, key], group, measure, below, most)
 
 
 def quota(n: int, ratio: float) -> int:

@@ -164,7 +164,7 @@ def outcome_pairs(traj: DataFrame, key: str = "prompt_id", id_col: str = "traj_i
 def exact_percentiles(df: DataFrame, group: str, value: str, key: str, shares: dict[str, float]) -> DataFrame:
     """For each group and share the value at rank ceil(share * n) in (value, key) order; exact at any size, through the
     bucketed ranks of `ordering`."""
-    r = od.exact_rank(df.select(group, value, key), od.order_bucket(df, [value, key]), [F.col(value), F.col(key)], [group])
+    r = od.ordered_rank(df.select(group, value, key), [value, key], [group])
     at = {name: F.max(F.when(F.col("rank") == F.ceil(F.lit(share) * F.col("group_size")), F.col(value))) for name, share in shares.items()}
     return r.groupBy(group).agg(*(c.alias(name) for name, c in at.items()))
 
@@ -173,7 +173,7 @@ def tercile(df: DataFrame, value: str, key_id: Column, name: str = "bucket") ->
     """ntile(3) over (value, id) without a one-task window: exact rank by (value, id)
     buckets, then the ntile formula (the first n % 3 tiles hold one extra row)."""
     d = df.withColumn("_id", key_id)
-    r = od.exact_rank(d, od.order_bucket(d, [value, "_id"]), [F.col(value), F.col("_id")])
+    r = od.ordered_rank(d, [value, "_id"])
     n, k = F.col("group_size"), F.col("rank")
     q, rem = F.floor(n / 3), n % 3
     big = rem * (q + 1)

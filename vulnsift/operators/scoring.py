@@ -2,27 +2,28 @@
 
 Per-prompt statistics are computed with ``groupBy`` (partial aggregation before the
 shuffle) and joined back on the prompt key, never with a window over the whole prompt
-group: a prompt holding a third of all completions is then one pre-aggregated row, and
-AQE's skew-join handling splits the large side of the join-back.
+group: a prompt holding a third of all completions is then one pre-aggregated row. The truth
+join and the join back go through ``skew.salted_join``, which deals the rows of hot prompts out.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnsift.functions import rewards as rw
 from vulnsift.functions import text as tx
 from vulnsift.operators.evaluate import truth_classes
+from vulnsift.operators.skew import salted_join
 from vulnsift.schemas import PASS_RATE_THRESHOLD
+from vulnsift.session import kept
 
 
 def with_truth(completions: DataFrame, contracts: DataFrame, key: str = "contract_id") -> DataFrame:
     """Each completion with its prompt's ground truth (left join; missing -> empty)."""
     c = contracts.select(key, "vulnerabilities")
     empty = F.array().cast(c.schema["vulnerabilities"].dataType)
-    return completions.join(c, key, "left").withColumn("vulnerabilities", F.coalesce("vulnerabilities", empty))
+    return salted_join(completions, c, key, "left").withColumn("vulnerabilities", F.coalesce("vulnerabilities", empty))
 
 
 def score_rollouts(completions: DataFrame, contracts: DataFrame, tool_col: str | None = None,
@@ -57,11 +58,10 @@ def group_stats(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def advantages(scored: DataFrame, key: str = "contract_id", value: str = "reward") -> DataFrame:
-    """R - mean(r) of the prompt's group (no division by the std). The scored rows, a few numbers each, are held:
-    the group means and the join back read them instead of scoring twice."""
-    scored = scored.select(*[c for c in scored.columns if c != "vulnerabilities"]).persist(StorageLevel.MEMORY_AND_DISK)
-    g = group_stats(scored, key, value)
-    return scored.join(g, key).withColumn("advantage", F.col(value) - F.col("mean_reward"))
+    """R - mean(r) of the prompt's group (no division by the std). The scored rows, a few numbers each, are written
+    once: the group means and the join back read them instead of scoring twice."""
+    scored = kept(scored.select(*[c for c in scored.columns if c != "vulnerabilities"]), "scored")
+    return salted_join(scored, group_stats(scored, key, value), key).withColumn("advantage", F.col(value) - F.col("mean_reward"))
 
 
 def drop_zero_gradient(with_adv: DataFrame) -> DataFrame:

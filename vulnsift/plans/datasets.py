@@ -174,7 +174,7 @@ def build_cpt(contracts: DataFrame, reports: DataFrame, target_tokens: float = 2
     """D03 + W03: in source order, emit while tokens before the row < target. Ranks are taken over ids and token counts;
     the texts of the kept rows are joined back."""
     c = cpt_candidates(contracts, reports, pools, key)
-    r = od.source_order_rank(c.drop("text"), "source_rank", "item_id", measure="tokens")
+    r = od.source_order_rank(c.drop("text"), "source_rank", "item_id", measure="tokens", below=target_tokens)
     kept = od.token_budget(r, target_tokens).select("source_rank", "item_id", "source", "tokens", "before", "rank")
     return kept.join(c.select("source_rank", "item_id", "text"), ["source_rank", "item_id"])
 
@@ -252,5 +252,5 @@ def mixture_sample(contracts: DataFrame, mix: DataFrame, component_pools: DataFr
     q = mix.select("component", F.floor(F.lit(float(num_samples)) * F.col("ratio")).cast("long").alias("quota"))
     pools = F.broadcast(component_pools.join(q, "component"))
     c = contracts.select("contract_id", "source", TABLE_POOLS.rank().alias("source_rank")).join(pools, "source")
-    r = od.exact_rank(c, od.order_bucket(c, ["source_rank", "contract_id"]), [F.col("source_rank"), F.col("contract_id")], group=["component"])
+    r = od.ordered_rank(c, ["source_rank", "contract_id"], ["component"])
     return r.where(F.col("rank") <= F.col("quota")).select("component", "contract_id", "source", "rank", "quota")

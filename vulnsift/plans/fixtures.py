@@ -7,10 +7,10 @@ schemas the jobs expect and do none of the jobs' work.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnsift.functions.text import swc_from_type_exact
+from vulnsift.functions.text import swc_exact_sql
 from vulnsift.session import read_table
 
 # Directory-style category names picked by doc_id mod 8.
@@ -21,148 +21,92 @@ CATEGORIES = [
 N_SAMPLES = 8
 EXPERIMENT_STAGES = ["sft", "dpo", "rlvr"]
 
-def _cat(expr: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (expr % 8).cast("int") + 1)
+def _cat(key: str) -> str:
+    """SQL of the category of an integer expression."""
+    return f"element_at(array({', '.join(map(repr, CATEGORIES))}), cast(({key}) % 8 as int) + 1)"
 
 
-def _s(c) -> Column:
-    return c.cast("string")
+def _lines_text(doc: str, i: int) -> str:
+    first, width = f"({doc} + {7 * i}) % 40 + 1", f"({doc} + {i}) % 6"
+    return (f"case when {doc} % 11 = 0 then concat('about ', {first}) when {doc} % 9 = 0 then string({first}) "
+            f"else concat({first}, '-', {first} + {width}) end")
 
 
-def _lines_text(doc: Column, i: int) -> Column:
-    s = (doc + 7 * i) % 40 + 1
-    w = (doc + i) % 6
-    return (
-        F.when(doc % 11 == 0, F.concat(F.lit("about "), _s(s)))
-        .when(doc % 9 == 0, _s(s))
-        .otherwise(F.concat(_s(s), F.lit("-"), _s(s + w)))
-    )
+def _vuln(doc: str, i: int) -> str:
+    """SQL of the i-th labelled vulnerability of a contract."""
+    kind = _cat(f"{doc} + {3 * i}")
+    return f"""named_struct(
+      'type', {kind}, 'name', string(null), 'swc_id', {swc_exact_sql(kind)},
+      'cwe_id', case when {doc} % 4 = 0 then concat('CWE-', {doc} % 50 + 100) end,
+      'lines', case when {doc} % 7 <> 3 then {_lines_text(doc, i)} end,
+      'line_range', case when {doc} % 7 = 3 then {_lines_text(doc, i)} end,
+      'severity', case {doc} % 4 when 0 then 'High' when 1 then 'Medium' when 2 then 'Low' end,
+      'explanation', case when {doc} % 2 = 0 then concat('Finding {i} in contract ', {doc}) end,
+      'description', case when {doc} % 2 = 1 and {doc} % 3 = 0 then concat('Described issue ', {doc}) end,
+      'remediation', case when {doc} % 5 <> 1 then 'Apply checks-effects-interactions.' end)"""
 
 
-def _vuln(doc: Column, i: int) -> Column:
-    t = _cat(doc + 3 * i)
-    lines = _lines_text(doc, i)
-    use_range = doc % 7 == 3
-    return F.struct(
-        t.alias("type"),
-        F.lit(None).cast("string").alias("name"),
-        swc_from_type_exact(t).alias("swc_id"),
-        F.when(doc % 4 == 0, F.concat(F.lit("CWE-"), _s(doc % 50 + 100))).alias("cwe_id"),
-        F.when(~use_range, lines).alias("lines"),
-        F.when(use_range, lines).alias("line_range"),
-        F.when(doc % 4 == 0, F.lit("High")).when(doc % 4 == 1, F.lit("Medium"))
-        .when(doc % 4 == 2, F.lit("Low")).alias("severity"),
-        F.when(doc % 2 == 0, F.concat(F.lit(f"Finding {i} in contract "), _s(doc))).alias("explanation"),
-        F.when((doc % 2 == 1) & (doc % 3 == 0), F.concat(F.lit("Described issue "), _s(doc))).alias("description"),
-        F.when(doc % 5 != 1, F.lit("Apply checks-effects-interactions.")).alias("remediation"),
-    )
+_VULNS = ("array<struct<type:string,name:string,swc_id:string,cwe_id:string,lines:string,line_range:string,severity:string,"
+          "explanation:string,description:string,remediation:string>>")
+_POOL = """case when toxic = 1 then 'curated' when quality = 0 and toxic = 0 then 'tabular'
+  when quality = 1 and toxic = 0 then 'clean' when toxic is null then 'unlabelled' end as source"""
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four pools: curated (toxic), tabular (q0 t0), clean (q1 t0), unlabelled (no label)."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    d = F.col("doc_id")
-    pool = (
-        F.when(F.col("toxic") == 1, F.lit("curated"))
-        .when((F.col("quality") == 0) & (F.col("toxic") == 0), F.lit("tabular"))
-        .when((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit("clean"))
-        .when(F.col("toxic").isNull(), F.lit("unlabelled"))
-    )
-    empty = F.array().cast("array<struct<type:string,name:string,swc_id:string,cwe_id:string,lines:string,"
-                           "line_range:string,severity:string,explanation:string,description:string,"
-                           "remediation:string>>")
-    vulns = F.when(d % 5 == 0, F.array(_vuln(d, 0), _vuln(d, 1))).otherwise(F.array(_vuln(d, 0)))
-    return (
-        docs.join(labels, "doc_id", "left")
-        .withColumn("source", pool)
-        .where(F.col("source").isNotNull())
-        .select(
-            d.alias("contract_id"),
-            F.col("text").alias("source_code"),
-            F.concat(F.lit("dataset/"), _cat(d), F.lit("/"), _s(d), F.lit(".sol")).alias("file_path"),
-            F.col("source"),
-            _cat(d).alias("category"),
-            F.col("source").isin("curated", "tabular").alias("is_vulnerable"),
-            F.when(F.col("source") == "curated", vulns).otherwise(empty).alias("vulnerabilities"),
-        )
-    )
+    first, second = _vuln("doc_id", 0), _vuln("doc_id", 1)
+    return docs.join(labels, "doc_id", "left").selectExpr("doc_id", "text", _POOL).where("source is not null").selectExpr(
+        "doc_id as contract_id", "text as source_code",
+        f"concat('dataset/', {_cat('doc_id')}, '/', doc_id, '.sol') as file_path", "source",
+        f"{_cat('doc_id')} as category", "source in ('curated', 'tabular') as is_vulnerable",
+        f"""case when source <> 'curated' then cast(array() as {_VULNS})
+          when doc_id % 5 = 0 then array({first}, {second}) else array({first}) end as vulnerabilities""")
 
 
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per labelled vulnerability of the curated pool."""
-    c = contracts(spark, sf_dir).where(F.col("source") == "curated")
-    return c.select("contract_id", F.explode("vulnerabilities").alias("v")).select(
-        "contract_id",
-        F.col("v.swc_id").alias("swc_id"),
-        F.col("v.type").alias("vuln_type"),
-        F.coalesce("v.lines", "v.line_range").alias("lines"),
-        F.col("v.severity").alias("severity"),
-    )
-
-
-def _block(typ: Column, cls: Column, s: Column, e: Column) -> Column:
-    return F.concat(
-        F.lit("Vulnerability: "), typ, F.lit("\nCWE: CWE-841\nSWC: SWC-"), cls,
-        F.lit("\nLines: "), _s(s), F.lit("-"), _s(e),
-        F.lit("\nSeverity: High\nExplanation: External call before state update."
-              "\nRemediation: Update state before the call."),
-    )
-
-
-def _answer_parts(doc: Column, k: Column) -> list[Column]:
-    """Per-answer template number and the pieces the templates are made of."""
-    cat = _cat(doc)
-    return [
-        ((doc * 31 + k * 17) % 12).alias("_t"),
-        F.substring(swc_from_type_exact(cat), 5, 3).alias("_cls"),
-        F.replace(cat, F.lit("_"), F.lit(" ")).alias("_typ"),
-        (doc % 40 + 1).alias("_s"),
-    ]
-
-
-def completion_text() -> Column:
-    """Twelve answer shapes chosen by (31*doc_id + 17*k) mod 12 (over the _answer_parts columns)."""
-    t, cls, typ, s = F.col("_t"), F.col("_cls"), F.col("_typ"), F.col("_s")
-    e = s + 3
-    alt = F.when(cls == "107", F.lit("104")).otherwise(F.lit("107"))
-    blk = _block(typ, cls, s, e)
-    return (
-        F.when(t == 0, blk)
-        .when(t == 1, F.concat(F.lit("Vulnerability: "), typ, F.lit("\nSWC: "), cls, F.lit("\nLines: "), _s(s),
-                               F.lit("\nSeverity: Medium\nExplanation: Bare class number.")))
-        .when(t == 2, F.concat(F.lit("Possible issue SWC-"), cls, F.lit(" around line "), _s(s), F.lit(".")))
-        .when(t == 3, F.concat(F.lit("vulnerability: "), typ, F.lit("\nswc: swc-"), cls, F.lit("\nlines: "), _s(s),
-                               F.lit("-"), _s(e), F.lit("\nseverity: low\nexplanation: lower case answer.")))
-        .when(t == 4, F.concat(F.lit("Vulnerability: "), typ,
-                               F.lit("\nSeverity: Medium\nExplanation: Type only, no class given.")))
-        .when(t == 5, F.concat(blk, F.lit("\n\n"), _block(typ, alt, s + 10, e + 10)))
-        .when(t == 6, F.concat(blk, F.lit("\n\n"), _block(typ, cls, s + 20, e + 20)))
-        .when(t == 7, F.lit("Vulnerability: None\nExplanation: No vulnerabilities detected in this contract."))
-        .when(t == 8, F.concat(blk, F.lit("\n\nThere are no vulnerabilities elsewhere in the code.")))
-        .when(t == 9, F.concat(F.lit("Vulnerability: "), typ, F.lit("\nSWC: SWC-"), cls, F.lit("\nLines: "), _s(e),
-                               F.lit("-"), _s(s), F.lit("\nSeverity: High\nExplanation: Reversed range.")))
-        .when(t == 10, F.concat(F.lit("<think>\nThe withdraw function sends value before it updates the balance.\n"
-                                      "</think>\n"), blk))
-        .otherwise(F.lit(""))
-    )
+    c = contracts(spark, sf_dir).where("source = 'curated'")
+    return c.selectExpr("contract_id", "explode(vulnerabilities) as v").selectExpr(
+        "contract_id", "v.swc_id", "v.type as vuln_type", "coalesce(v.lines, v.line_range) as lines", "v.severity")
+
+
+def _block(cls: str, first: str, last: str) -> str:
+    return (f"concat('Vulnerability: ', typ, '\\nCWE: CWE-841\\nSWC: SWC-', {cls}, '\\nLines: ', {first}, '-', {last}, "
+            "'\\nSeverity: High\\nExplanation: External call before state update."
+            "\\nRemediation: Update state before the call.')")
+
+
+def completion_text() -> str:
+    """SQL of twelve answer shapes chosen by (31*doc_id + 17*k) mod 12, over the columns t, cls, typ and s."""
+    blk = _block("cls", "s", "s + 3")
+    alt = "if(cls = '107', '104', '107')"
+    return f"""case t when 0 then {blk}
+      when 1 then concat('Vulnerability: ', typ, '\\nSWC: ', cls, '\\nLines: ', s, '\\nSeverity: Medium\\nExplanation: Bare class number.')
+      when 2 then concat('Possible issue SWC-', cls, ' around line ', s, '.')
+      when 3 then concat('vulnerability: ', typ, '\\nswc: swc-', cls, '\\nlines: ', s, '-', s + 3, '\\nseverity: low\\nexplanation: lower case answer.')
+      when 4 then concat('Vulnerability: ', typ, '\\nSeverity: Medium\\nExplanation: Type only, no class given.')
+      when 5 then concat({blk}, '\\n\\n', {_block(alt, "s + 10", "s + 13")})
+      when 6 then concat({blk}, '\\n\\n', {_block("cls", "s + 20", "s + 23")})
+      when 7 then 'Vulnerability: None\\nExplanation: No vulnerabilities detected in this contract.'
+      when 8 then concat({blk}, '\\n\\nThere are no vulnerabilities elsewhere in the code.')
+      when 9 then concat('Vulnerability: ', typ, '\\nSWC: SWC-', cls, '\\nLines: ', s + 3, '-', s, '\\nSeverity: High\\nExplanation: Reversed range.')
+      when 10 then concat('<think>\\nThe withdraw function sends value before it updates the balance.\\n</think>\\n', {blk})
+      else '' end"""
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight sampled answers per curated or clean contract (k = 0 strong, k = 1 weak)."""
-    c = contracts(spark, sf_dir).where(F.col("source").isin("curated", "clean")).select("contract_id")
-    k = F.col("k")
-    base = c.select("contract_id", F.explode(F.sequence(F.lit(0), F.lit(N_SAMPLES - 1))).alias("k"))
-    parts = base.select("contract_id", "k", *_answer_parts(F.col("contract_id"), k))
-    # A completions table is stored bucketed by contract_id (every consumer joins or groups on
-    # it); the stand-in is handed over hash-partitioned the same way.
-    parts = parts.repartition("contract_id")
-    return parts.select(
-        "contract_id",
-        k,
-        F.when(k == 0, F.lit("strong")).when(k == 1, F.lit("weak")).otherwise(F.lit("policy")).alias("model"),
-        completion_text().alias("text"),
-    )
+    ids = contracts(spark, sf_dir).where("source in ('curated', 'clean')").select("contract_id")
+    # A completions table is stored in files of even size. The ids of one small exchange grow many times over here, so they are
+    # dealt to as many tasks as the session has shuffle partitions instead of being merged into a few by their size.
+    ids = ids.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "contract_id")
+    cat = _cat("contract_id")
+    return ids.selectExpr("contract_id", f"explode(sequence(0, {N_SAMPLES - 1})) as k").selectExpr(
+        "contract_id", "k", "(contract_id * 31 + k * 17) % 12 as t", f"substring({swc_exact_sql(cat)}, 5, 3) as cls",
+        f"replace({cat}, '_', ' ') as typ", "contract_id % 40 + 1 as s").selectExpr(
+        "contract_id", "k", "case k when 0 then 'strong' when 1 then 'weak' else 'policy' end as model", f"{completion_text()} as text")
 
 
 def eval_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -409,7 +409,7 @@ def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running token total over documents in (source, doc_id) order, budget 300k."""
     d = read_docs(spark, sf_dir).select("doc_id", F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("src"),
                                         tx.token_estimate("text").alias("tokens"))
-    r = od.source_order_rank(d, "src", "doc_id", measure="tokens")
+    r = od.source_order_rank(d, "src", "doc_id", measure="tokens", below=300_000)
     kept = od.token_budget(r, 300_000)
     return kept.select("doc_id", "tokens", F.col("before").cast("long").alias("tokens_before"))
 
