@@ -19,6 +19,8 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +37,18 @@ PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 _PLACED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                      ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("doc_tokens", pa.int64())])
 
-#: Words of a worker's cache and the longest one that goes into it; characters of a text that are split at a time.
-CACHED, LONGEST, STRIDE = 600_000, 48, 1 << 20
+#: Entries of a worker's caches and the longest word that goes into them; characters of a text that are split at a time.
+CACHED, LONGEST, STRIDE = 400_000, 48, 1 << 20
 _BREAK = re.compile("[ \n]")
+# How the tokenizer file splits lower-cased words of ASCII and Latin letters that have no other form.
+PLAIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \t\n\r\f\va-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
 class WordIds:
-    """Token ids of texts, as little-endian bytes, by a tokenizer file whose words never cross a blank or a line feed."""
+    """Token ids of texts, as little-endian bytes, by a tokenizer file whose words never cross a blank or a line feed.
+
+    Words are looked up; a new one is split as the file does, and only parts never seen before are encoded by the library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,32 +57,51 @@ class WordIds:
         self.encode = Tokenizer.from_file(path).encode_batch_fast
         self.mark, = self._ids("~")  # a word of its own, with one id that no word without it has
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.encode([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _fresh(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word: all in one text with a mark between them, but for words that hold the mark themselves."""
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word by the library: all in one text with a mark between them, but for words that hold the mark themselves."""
         plain = [w for w in words if "~" not in w]
         ids = self._ids(" ~ ".join(plain))
         cuts, data = 4 * np.flatnonzero(ids == self.mark), ids.tobytes()
         out = {w: data[a:b] for w, a, b in zip(plain, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])}
         return out | {w: self._ids(w).tobytes() for w in words if "~" in w}
 
+    def _add(self, cache: dict[str, bytes], new: dict[str, bytes]) -> None:
+        if len(cache) + len(new) > CACHED:
+            cache.clear()
+        cache.update(new)
+
+    def _fresh(self, words: set[str]) -> dict[str, bytes]:
+        simple = [w for w in words if PLAIN.fullmatch(w) and "<|" not in w]  # <| may begin an added token
+        split = [PARTS.findall(w.lower()) for w in simple]
+        need = set(chain.from_iterable(split))
+        ids = {p: b for p in need if (b := self.parts.get(p)) is not None}
+        new = self._encoded([p for p in need if p not in ids])
+        ids.update(new)
+        self._add(self.parts, {p: b for p, b in new.items() if len(p) <= LONGEST})
+        get = ids.__getitem__
+        out = {w: b"".join(map(get, p)) for w, p in zip(simple, split)}
+        out.update(self._encoded([w for w in words if w not in out]))
+        return out
+
     def _looked_up(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        ids = [list(map(self.known.get, w)) for w in words]
-        if fresh := {w for ws, bs in zip(words, ids) if None in bs for w, b in zip(ws, bs) if b is None}:
-            new = self._fresh(list(fresh))
-            if len(self.known) + len(new) > CACHED:
-                self.known.clear()
-            self.known.update((w, b) for w, b in new.items() if len(w) <= LONGEST)
-            ids = [[new[w] if b is None else b for w, b in zip(ws, bs)] if None in bs else bs for ws, bs in zip(words, ids)]
-        return list(map(b"".join, ids))
+        flat = list(chain.from_iterable(words))
+        ids = list(map(self.known.get, flat))
+        unknown = list(compress(range(len(flat)), map(is_, ids, repeat(None))))
+        new = self._fresh({flat[i] for i in unknown})
+        for i in unknown:
+            ids[i] = new[flat[i]]
+        self._add(self.known, {w: b for w, b in new.items() if len(w) <= LONGEST})
+        ends = list(accumulate(map(len, words), initial=0))
+        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Words are looked up; what is new is encoded, and kept while there is room. Texts of more
-        than STRIDE characters are walked in pieces that end at a blank or line feed."""
+        """The ids of each text. Texts of more than STRIDE characters are walked in pieces that end at a blank or line feed."""
         if max(map(len, texts), default=0) <= STRIDE:
             return self._looked_up(texts)
         out = []
