@@ -1,5 +1,7 @@
 """Cases that earlier rounds got wrong: missing answers, new files, outlier ids, Unicode spaces, missing severities."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,19 @@ def test_shared_folder_is_asked_for_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(Session())
+
+
+def test_json_text_equals_json_dumps(spark):
+    from pyspark.sql import types as T
+    from vulnsift.functions import formats as fm
+    texts = ['plain', 'quo"te \\ back/slash', 'é ß 漢字 😀  ', '\x00\x01\b\f\n\r\t\x1f\x7f', '\\u00E9 \\\\u00AB', '', 'ABCDEF \\', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.j for r in df.select("i", fm.json_text(F.col("t"), T.StringType()).alias("j")).collect()}
+    assert got == {i: None if t is None else json.dumps(t) for i, t in enumerate(texts)}
+    kind = T._parse_datatype_string("array<struct<type:string,n:int,ok:boolean,tags:array<string>,more:map<string,string>,none:string>>")
+    rows = [{"type": 'ré"x', "n": 3, "ok": True, "tags": ["a", None, "ü"], "more": {"k\n": "v"}, "none": None}, {"type": None, "n": None, "ok": False, "tags": [], "more": {}, "none": None}, None]
+    df = spark.createDataFrame([(rows,)], T.StructType([T.StructField("v", kind)]))
+    r = df.select(fm.json_text(F.col("v"), kind, keep_nulls=True).alias("all"), fm.json_text(F.col("v"), kind).alias("set")).first()
+    assert r["all"] == json.dumps(rows)
+    assert r["set"] == json.dumps([{k: v for k, v in x.items() if v is not None} if x else x for x in rows])
+    assert df.select(fm.json_text(F.slice("v", 1, 0), kind)).first()[0] == json.dumps([])

@@ -6,8 +6,11 @@ after every filter, rank and split, carrying only ids and sort keys through shuf
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vulnsift.functions import text as tx
 from vulnsift.schemas import (
@@ -18,6 +21,7 @@ from vulnsift.schemas import (
     SFT_DEFAULTS,
     SYSTEM_PROMPT,
     TRACE_PROMPT,
+    VULN_FIELDS,
 )
 
 
@@ -91,9 +95,38 @@ def chat_messages(instruction: Column, code, output: Column) -> Column:
     )
 
 
+def json_string(c: Column) -> Column:
+    """A string as JSON, with the escapes of Python's json.dumps: all but ASCII as lower-case \\uXXXX (null: null)."""
+    j = F.to_json(F.struct(c.alias("v")), {"writeNonAsciiCharacterAsCodePoint": "true"})
+    parts = F.regexp_extract_all(F.substring(j, 6, F.length(j) - 6), F.lit(r"\\u[0-9A-Fa-f]{4}|\\.|[^\\]+"), 0)
+    low = F.array_join(F.transform(parts, lambda p: F.when(p.startswith("\\u"), F.lower(p)).otherwise(p)), "")
+    return F.replace(low, F.lit("\x7f"), F.lit("\\u007f"))
+
+
+def json_text(c: Column, kind: T.DataType, keep_nulls: bool = False) -> Column:
+    """JSON text of a column of the given type as json.dumps writes it: ", " and ": ", escapes, keys in the order of the
+    schema. A null field of a struct is left out, as a key that was never set, or with `keep_nulls` written as null; nulls in lists
+    and maps are null."""
+    def value(x: Column, t: T.DataType) -> Column:
+        return F.coalesce(json_text(x, t, keep_nulls), F.lit("null"))
+
+    if isinstance(kind, T.StringType):
+        return F.when(c.isNotNull(), json_string(c))
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: value(x, kind.elementType)), ", "), F.lit("]"))
+    if isinstance(kind, T.MapType):
+        pairs = F.transform(F.map_entries(c), lambda e: F.concat(json_string(e["key"].cast("string")), F.lit(": "), value(e["value"], kind.valueType)))
+        return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+    if isinstance(kind, T.StructType):
+        fields = [F.concat(F.lit(json.dumps(f.name) + ": "), value(c[f.name], f.dataType) if keep_nulls else json_text(c[f.name], f.dataType))
+                  for f in kind.fields]
+        return F.when(c.isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")))
+    return c.cast("string")  # numbers and booleans
+
+
 def vulns_json(vulns) -> Column:
-    """JSON text of the vulnerability list (compact, absent fields omitted)."""
-    return F.to_json(tx.col_(vulns))
+    """JSON text of a vulnerability list; fields that are not set are left out."""
+    return json_text(tx.col_(vulns), T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in VULN_FIELDS])))
 
 
 def _fill(template: str, **cols: Column) -> Column:

@@ -74,7 +74,7 @@ def pass_rates(completions: DataFrame, contracts: DataFrame, key: str = "contrac
     none are dropped), and the share of completions whose combined reward is > 0. Text
     features are computed before the truth join."""
     nonempty = completions.where(F.coalesce(F.col("text"), F.lit("")) != "")
-    feats = nonempty.select(key, *rw.text_features("text"))
+    feats = nonempty.select(*[c for c in completions.columns if c != "text"], *rw.text_features("text"))
     j = with_truth(feats, contracts, key)
     swcs = truth_classes("vulnerabilities", default="")
     j = j.select("*", rw.filter_verifier(None, swcs, F.col("_got"), F.col("_no_vuln")).alias("verified"),

@@ -48,8 +48,8 @@ def block(typ: str, cls: str, st: str, en: str) -> str:
             f"'Explanation: External call before state update.' || {NL} || 'Remediation: Update state before the call.')")
 
 
-def completion_text(d: str, k: str) -> str:
-    t = f"(({d} * 31 + {k} * 17) % 12)"
+def completion_text(d: str, k: str, t: str | None = None) -> str:
+    t = t or f"(({d} * 31 + {k} * 17) % 12)"
     c = cat(d)
     cls = f"substr({f01(c)}, 5, 3)"
     alt = f"(CASE WHEN {cls} = '107' THEN '104' ELSE '107' END)"
@@ -68,6 +68,7 @@ def completion_text(d: str, k: str) -> str:
       WHEN {t} = 8 THEN {block(typ, cls, st, en)} || {NL} || {NL} || 'There are no vulnerabilities elsewhere in the code.'
       WHEN {t} = 9 THEN 'Vulnerability: ' || {typ} || {NL} || 'SWC: SWC-' || {cls} || {NL} || 'Lines: ' || {s(en)} || '-' || {s(st)} || {NL} || 'Severity: High' || {NL} || 'Explanation: Reversed range.'
       WHEN {t} = 10 THEN '<think>' || {NL} || 'The withdraw function sends value before it updates the balance.' || {NL} || '</think>' || {NL} || {block(typ, cls, st, en)}
+      WHEN {t} = 12 THEN {block(typ, f"{cls} || '0'", st, en)}
       ELSE '' END)"""
 
 
@@ -145,6 +146,28 @@ n_found AS (SELECT contract_id, k, count(*) AS n_pred FROM (SELECT DISTINCT cont
 """
 
 
+_PLAIN_ANSWERS = FIXTURE_CTES[FIXTURE_CTES.index("completions AS ("):FIXTURE_CTES.index("eval_contracts AS (")]
+_T = "(c.contract_id * 31 + r.k * 17) % 12"
+_MIXED_ANSWERS = f"""completions AS (
+  SELECT contract_id, k, model,
+    CASE WHEN k % 5 = 0 AND body <> '' THEN '<think>' || {NL} || source_code || {NL} || '</think>' || {NL} || body ELSE body END AS text
+  FROM (SELECT *, {completion_text('contract_id', 'k', 't')} AS body FROM (
+    SELECT c.contract_id, c.source_code, CAST(r.k AS INTEGER) AS k,
+      CASE WHEN r.k = 0 THEN 'strong' WHEN r.k = 1 THEN 'weak' ELSE 'policy' END AS model,
+      CASE c.contract_id % 6 WHEN 0 THEN 1 WHEN 1 THEN (CASE WHEN r.k % 4 = 0 THEN 5 ELSE 1 END)
+        WHEN 2 THEN (CASE WHEN r.k % 3 = 0 THEN 12 ELSE {_T} END) ELSE {_T} END AS t
+    FROM contracts c, range(40) r(k) WHERE c.source IN ('curated', 'clean') AND r.k <= c.contract_id % 40))
+),
+"""
+_LABELLED = "WHERE c.source = 'curated' AND (r.i = 0 OR c.contract_id % 5 = 0)"
+
+
+def mixed(sql: str) -> str:
+    """A query's SQL over the mixed answers and labels of the fixtures."""
+    assert _PLAIN_ANSWERS in sql and _LABELLED in sql
+    return sql.replace(_PLAIN_ANSWERS, _MIXED_ANSWERS).replace(_LABELLED, _LABELLED + " AND c.contract_id % 13 <> 0")
+
+
 def with_fixtures(body: str) -> str:
     return "WITH " + FIXTURE_CTES.strip() + ",\n" + body.strip().removeprefix("WITH").strip() if body.strip().startswith("WITH") \
         else "WITH " + FIXTURE_CTES.strip() + "\n" + body
@@ -572,10 +595,10 @@ register("pool_union", """SELECT c.contract_id, c.source, c.source IN ('curated'
 register("zero_shot_prompts", f"SELECT contract_id, {FENCE(q(INSTRUCTION), 'source_code')} AS prompt FROM contracts")
 register("rl_zero_prompts", f"SELECT contract_id, {fill(RL_ZERO_PROMPT, contract_code='source_code')} AS prompt FROM contracts")
 
-VJSON = """('[' || string_agg('{' || concat_ws(',', '"type":"' || type || '"', '"swc_id":"' || swc_id || '"',
-  '"cwe_id":"' || cwe_id || '"', '"lines":"' || lines || '"', '"line_range":"' || line_range || '"',
-  '"severity":"' || severity || '"', '"explanation":"' || explanation || '"', '"description":"' || description || '"',
-  '"remediation":"' || remediation || '"') || '}', ',' ORDER BY vidx) || ']')"""
+VJSON = """('[' || string_agg('{' || concat_ws(', ', '"type": "' || type || '"', '"swc_id": "' || swc_id || '"',
+  '"cwe_id": "' || cwe_id || '"', '"lines": "' || lines || '"', '"line_range": "' || line_range || '"',
+  '"severity": "' || severity || '"', '"explanation": "' || explanation || '"', '"description": "' || description || '"',
+  '"remediation": "' || remediation || '"') || '}', ', ' ORDER BY vidx) || ']')"""
 register("trace_prompts", f"""
 WITH j AS (SELECT contract_id, {VJSON} AS gt FROM vulns GROUP BY contract_id)
 SELECT c.contract_id, CAST(t.i AS INTEGER) AS trace_id, {fill(TRACE_PROMPT, contract_code='c.source_code', ground_truth='j.gt')} AS prompt
@@ -978,3 +1001,46 @@ SELECT * FROM (VALUES ('documents', (SELECT count(*) FROM documents), true), ('l
 register("eval_sink_roundtrip", f"""WITH {matched().strip()},{rates_sql('scored').strip()}
 SELECT k, tp, fp, fn, tn, round(f1, 9) AS f1, (SELECT count(*) FROM scored) AS n_results,
   (SELECT count(*) FROM completions) AS n_records, CAST(6 AS BIGINT) AS n_summary_rows FROM metrics""")
+
+
+# ---------------------------------------------------------------------------
+# Mixed answers and labels
+# ---------------------------------------------------------------------------
+
+for _name in ("match_category", "zero_gradient", "difficulty_filter", "rl_filter_set", "pass_at_k", "concise_pairs",
+              "quality_gate", "delta_pairs", "dpo_build", "trace_quality", "findings_parse", "eval_metrics"):
+    ORACLE[f"{_name}_mixed"] = mixed(ORACLE[_name])
+
+
+def _replaced(name: str, old: str, new: str) -> None:
+    assert old in ORACLE[name]
+    ORACLE[name] = ORACLE[name].replace(old, new)
+
+
+# prompts of 32 and more answers have a pass@32
+_replaced("pass_at_k_mixed", "CAST(NULL AS DOUBLE) AS pass_at_32", """CASE WHEN n >= 32 THEN round(1 - list_aggregate(
+    list_transform(range(32), lambda i: CAST(greatest(n - c - i, 0) AS DOUBLE) / (n - i)), 'product'), 9) END AS pass_at_32""")
+# contracts without an answer in a run are missed in it
+_replaced("eval_metrics_mixed", "SELECT c.contract_id, c.k, e.is_vulnerable FROM completions c JOIN eval_contracts e USING (contract_id)",
+          "SELECT e.contract_id, r.k, e.is_vulnerable FROM eval_contracts e, (SELECT DISTINCT k FROM completions) r")
+# of labelled contracts only those with findings are ranked
+_replaced("dpo_build_mixed", "dpo_sel AS (", """found_ranked AS (SELECT contract_id, source, row_number() OVER (PARTITION BY source ORDER BY contract_id) AS prank
+  FROM contracts WHERE NOT (source = 'curated' AND contract_id % 13 = 0)),
+dpo_sel AS (""")
+_replaced("dpo_build_mixed", "FROM ranked", "FROM found_ranked")
+
+_NORM = "regexp_replace(regexp_replace(lower({t}), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
+ORACLE["trace_set"] = mixed(with_fixtures(f"""
+WITH good AS (SELECT contract_id, k, text, CAST(length(text) // 4 AS BIGINT) AS tokens, regexp_extract_all(lower(text), '\\S+') AS lw
+  FROM (SELECT *, {ratio('w')} AS r FROM (SELECT *, {WORDS} AS w FROM completions))
+  WHERE {COMPLETE.format(t='text')} AND r <= 0.30 AND length(text) // 4 BETWEEN 500 AND 32000),
+bw AS (SELECT regexp_extract_all(lower(text), '\\S+') AS w FROM benchmark),
+bg AS (SELECT DISTINCT array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT w, unnest(range(1, len(w) - 11)) AS i FROM bw WHERE len(w) >= 13)),
+gg AS (SELECT DISTINCT contract_id, k, array_to_string(lw[i:i + 12], ' ') AS g FROM (
+  SELECT contract_id, k, lw, unnest(range(1, len(lw) - 11)) AS i FROM good WHERE len(lw) >= 13)),
+hit AS (SELECT DISTINCT contract_id, k FROM gg JOIN bg USING (g)
+  UNION SELECT contract_id, k FROM good WHERE {_NORM.format(t='text')} IN (SELECT {_NORM.format(t='text')} FROM benchmark))
+SELECT contract_id, k, tokens FROM good WHERE (contract_id, k) NOT IN (SELECT (contract_id, k) FROM hit)"""))
+register("confident_labels", """
+SELECT contract_id, swc_id, round((contract_id * 7 % 10) / 10, 9) AS confidence, CAST(t.i AS INTEGER) AS trace_id
+FROM ground_truth, range(4) t(i) WHERE (contract_id * 7 % 10) / 10 >= 0.5""")

@@ -7,6 +7,8 @@ schemas the jobs expect and do none of the jobs' work.
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ CATEGORIES = [
     "denial_of_service", "bad_randomness", "front_running", "time_manipulation",
 ]
 N_SAMPLES = 8
+
+#: Which answers and labels the fixtures give: "plain" (eight template answers to every prompt), or "mixed" (1 to 40 answers, some
+#: after the document's whole text, prompts that are always answered alike, class ids of four digits, empty label lists).
+KIND: ContextVar[str] = ContextVar("KIND", default="plain")
 EXPERIMENT_STAGES = ["sft", "dpo", "rlvr"]
 
 def _cat(key: str) -> str:
@@ -57,11 +63,12 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     first, second = _vuln("doc_id", 0), _vuln("doc_id", 1)
+    unlabelled = "source <> 'curated'" + (" or doc_id % 13 = 0" if KIND.get() == "mixed" else "")
     return docs.join(labels, "doc_id", "left").selectExpr("doc_id", "text", _POOL).where("source is not null").selectExpr(
         "doc_id as contract_id", "text as source_code",
         f"concat('dataset/', {_cat('doc_id')}, '/', doc_id, '.sol') as file_path", "source",
         f"{_cat('doc_id')} as category", "source in ('curated', 'tabular') as is_vulnerable",
-        f"""case when source <> 'curated' then cast(array() as {_VULNS})
+        f"""case when {unlabelled} then cast(array() as {_VULNS})
           when doc_id % 5 = 0 then array({first}, {second}) else array({first}) end as vulnerabilities""")
 
 
@@ -79,7 +86,7 @@ def _block(cls: str, first: str, last: str) -> str:
 
 
 def completion_text() -> str:
-    """SQL of twelve answer shapes chosen by (31*doc_id + 17*k) mod 12, over the columns t, cls, typ and s."""
+    """SQL of the answer shapes over the columns t (which), cls, typ and s."""
     blk = _block("cls", "s", "s + 3")
     alt = "if(cls = '107', '104', '107')"
     return f"""case t when 0 then {blk}
@@ -93,20 +100,31 @@ def completion_text() -> str:
       when 8 then concat({blk}, '\\n\\nThere are no vulnerabilities elsewhere in the code.')
       when 9 then concat('Vulnerability: ', typ, '\\nSWC: SWC-', cls, '\\nLines: ', s + 3, '-', s, '\\nSeverity: High\\nExplanation: Reversed range.')
       when 10 then concat('<think>\\nThe withdraw function sends value before it updates the balance.\\n</think>\\n', {blk})
+      when 12 then {_block("concat(cls, '0')", "s", "s + 3")}
       else '' end"""
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight sampled answers per curated or clean contract (k = 0 strong, k = 1 weak)."""
-    ids = contracts(spark, sf_dir).where("source in ('curated', 'clean')").select("contract_id")
-    # A completions table is stored in files of even size. The ids of one small exchange grow many times over here, so they are
-    # dealt to as many tasks as the session has shuffle partitions instead of being merged into a few by their size.
-    ids = ids.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "contract_id")
+    """Sampled answers per curated or clean contract (k = 0 strong, k = 1 weak), of the kind that KIND names."""
+    mixed = KIND.get() == "mixed"
+    ids = contracts(spark, sf_dir).where("source in ('curated', 'clean')").select("contract_id", *["source_code"] * mixed)
     cat = _cat("contract_id")
+    # A completions table is stored in files of even size: the stand-in is dealt to as many tasks as the session has shuffle
+    # partitions, by answer, not merged into a few tasks by the size of its ids.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if mixed:
+        return ids.selectExpr("*", "explode(sequence(0, cast(contract_id % 40 as int))) as k").selectExpr(
+            "*", "case contract_id % 6 when 0 then 1 when 1 then if(k % 4 = 0, 5, 1) when 2 then if(k % 3 = 0, 12, (contract_id * 31 + k * 17) % 12) "
+            "else (contract_id * 31 + k * 17) % 12 end as t", f"substring({swc_exact_sql(cat)}, 5, 3) as cls",
+            f"replace({cat}, '_', ' ') as typ", "contract_id % 40 + 1 as s").selectExpr(
+            "contract_id", "k", "source_code", "case k when 0 then 'strong' when 1 then 'weak' else 'policy' end as model",
+            f"{completion_text()} as body").selectExpr(
+            "contract_id", "k", "model",
+            "if(k % 5 = 0 and body <> '', concat('<think>\\n', source_code, '\\n</think>\\n', body), body) as text").repartition(tasks, "contract_id", "k")
     return ids.selectExpr("contract_id", f"explode(sequence(0, {N_SAMPLES - 1})) as k").selectExpr(
         "contract_id", "k", "(contract_id * 31 + k * 17) % 12 as t", f"substring({swc_exact_sql(cat)}, 5, 3) as cls",
         f"replace({cat}, '_', ' ') as typ", "contract_id % 40 + 1 as s").selectExpr(
-        "contract_id", "k", "case k when 0 then 'strong' when 1 then 'weak' else 'policy' end as model", f"{completion_text()} as text")
+        "contract_id", "k", "case k when 0 then 'strong' when 1 then 'weak' else 'policy' end as model", f"{completion_text()} as text").repartition(tasks, "contract_id", "k")
 
 
 def eval_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,7 +213,7 @@ def group_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joined_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completions left-joined to their ground truth."""
     comp, con = _eval_inputs(spark, sf_dir)
-    j = sc.with_truth(comp, con)
+    j = sc.with_truth(comp.select("contract_id", "k"), con)
     return j.select("contract_id", "k", F.size("vulnerabilities").cast("long").alias("n_truth"),
                     F.array_join(ev.truth_classes(), ",").alias("truth_classes"))
 
@@ -824,9 +824,9 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def concise_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Among verified answers of a prompt, shortest chosen and longest rejected (>= 2)."""
     comp, con = _eval_inputs(spark, sf_dir)
-    j = sc.with_truth(comp, con)
-    ok = j.where(rw.filter_verifier("text", ev.truth_classes("vulnerabilities", default="")) == 1.0) \
-        .withColumn("tokens", tx.token_estimate("text"))
+    j = sc.with_truth(comp.select("contract_id", "k", tx.token_estimate("text").alias("tokens"), *rw.text_features("text")), con)
+    truth = ev.truth_classes("vulnerabilities", default="")
+    ok = j.where(rw.filter_verifier(None, truth, F.col("_got"), F.col("_no_vuln")) == 1.0)
     g = ok.groupBy("contract_id").agg(
         F.min_by("k", F.struct("tokens", "k")).alias("chosen_k"),
         F.max_by("k", F.struct(F.col("tokens"), -F.col("k"))).alias("rejected_k"),
@@ -1216,3 +1216,48 @@ def eval_sink_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                                F.lit(n_results).cast("long").alias("n_results"),
                                F.lit(n_records).cast("long").alias("n_records"),
                                F.lit(n_runs).cast("long").alias("n_summary_rows")))
+
+
+# ---------------------------------------------------------------------------
+# The same queries over answers and labels that every filter both keeps and drops (fixtures.KIND)
+# ---------------------------------------------------------------------------
+
+MIXED = ["match_category", "zero_gradient", "difficulty_filter", "rl_filter_set", "pass_at_k", "concise_pairs",
+         "quality_gate", "delta_pairs", "dpo_build", "trace_quality", "findings_parse", "eval_metrics"]
+
+
+def _over_mixed(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    plain = QUERIES[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = fx.KIND.set("mixed")
+        try:
+            return plain(spark, sf_dir)
+        finally:
+            fx.KIND.reset(before)
+
+    run.__name__, run.__doc__ = f"{name}_mixed", f"{plain.__doc__} Mixed answers and labels."
+    return run
+
+
+for _name in MIXED:
+    QUERIES[f"{_name}_mixed"] = _over_mixed(_name)
+
+
+@query
+def trace_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D10 whole: traces that are complete, not repetitive, long enough and free of benchmark text."""
+    before = fx.KIND.set("mixed")
+    try:
+        traces = fx.completions(spark, sf_dir).withColumn("trace_id", F.col("contract_id") * 40 + F.col("k"))
+        kept = fl.trace_set(traces, read_table(spark, sf_dir, "benchmark").select("text"))
+    finally:
+        fx.KIND.reset(before)
+    return kept.select("contract_id", "k", "tokens")
+
+
+@query
+def confident_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled vulnerabilities of a confidence of at least 0.5, fanned out to four trace prompts each."""
+    g = fx.ground_truth(spark, sf_dir).withColumn("confidence", (F.col("contract_id") * 7 % 10) / 10)
+    return rounded(fl.confident(g).select("contract_id", "swc_id", "confidence", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("trace_id")))
