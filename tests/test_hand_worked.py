@@ -109,14 +109,16 @@ def test_token_budget(spark):
 
 
 @pytest.mark.parametrize("n_vuln,expected", [(10, 20), (40, 1), (100, 0)])
-def test_dpo_cap(n_vuln, expected):
+def test_dpo_cap(spark, n_vuln, expected):
     # The stop test compares the running total with (N or 1000) * 0.3 after each append.
-    assert ds.dpo_clean_count(n_vuln, 100, supply=10_000) == expected
+    assert one(spark, ds.dpo_clean_count(F.lit(n_vuln), 100)[0]) == expected
 
 
-def test_dpo_cap_bounded_by_supply():
-    assert ds.dpo_clean_count(10, 100, supply=5) == 5
-    assert ds.dpo_clean_count(0, None, supply=10_000) == 300
+def test_dpo_cap_bounded_by_supply(spark):
+    rows = [(i, "curated" if i < 10 else "unlabelled", [dict.fromkeys(VULN_FIELDS, "x")] if i < 10 else []) for i in range(15)]
+    c = spark.createDataFrame(rows, f"contract_id long, source string, vulnerabilities {ds.VULN_TYPE}")
+    assert dict(ds.dpo_selection(c, 100).groupBy("pair_kind").count().collect()) == {"missed": 10, "false_positive": 5}
+    assert one(spark, ds.dpo_clean_count(F.lit(0), None)[0]) == 300
 
 
 def test_word_gap(spark):

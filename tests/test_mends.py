@@ -13,6 +13,7 @@ from vulnsift.operators import ordering as od
 from vulnsift.operators import runs as rn
 from vulnsift.plans import datasets as ds
 from vulnsift.plans import fixtures as fx
+from vulnsift.schemas import VULN_FIELDS
 from vulnsift.session import checkpoint_dir
 
 VULN = "array<struct<swc_id:string>>"
@@ -139,3 +140,17 @@ def test_json_text_equals_json_dumps(spark):
     assert r["all"] == json.dumps(rows)
     assert r["set"] == json.dumps([{k: v for k, v in x.items() if v is not None} if x else x for x in rows])
     assert df.select(fm.json_text(F.slice("v", 1, 0), kind)).first()[0] == json.dumps([])
+
+
+def test_building_the_sets_starts_no_job(spark):
+    rows = [(i, f"code {i}", "curated" if i < 40 else "unlabelled", [dict.fromkeys(VULN_FIELDS, "x")] if i < 40 and i % 4 else []) for i in range(300)]
+    c = spark.createDataFrame(rows, f"contract_id long, source_code string, source string, vulnerabilities {ds.VULN_TYPE}")
+    spark.sparkContext.setJobGroup("build", "sets")
+    built = [ds.build_dpo(c, n) for n in (None, 20, 30, 100, 200)] + [ds.build_rl_prompts(c, n) for n in (10, 100)] + [ds.build_sft(c, num_samples=50)]
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("build") == []
+    spark.sparkContext.setJobGroup("run", "sets")
+    # 30 labelled: none or 1 clean beyond N, else up to 0.3 N in all
+    kinds = [dict(b.groupBy("pair_kind").count().collect()) for b in built[:5]]
+    assert kinds == [{"missed": 30, "false_positive": 260}, {"missed": 20}, {"missed": 30}, {"missed": 30, "false_positive": 1}, {"missed": 30, "false_positive": 30}]
+    assert [b.agg(F.count("*"), F.count_if("has_vulnerability")).first()[:] for b in built[5:7]] == [(10, 10), (100, 40)]
+    assert built[7].count() == 30

@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnsift.functions import formats as fm
@@ -51,9 +51,9 @@ TABLE_POOLS = Pools()
 FILE_POOLS = Pools(("smartbugs",), ("kaggle_tdm", "kaggle_bccc_vuln"), ("zellic",), ())
 
 
-def pool_size(contracts: DataFrame, sources: Sequence[str]) -> int:
-    """Rows of the sources: one number on the driver."""
-    return contracts.where(F.col("source").isin(*sources)).count()
+def pool_size(contracts: DataFrame, sources: Sequence[str]) -> Column:
+    """Rows of the sources, as a scalar subquery: counted when the set is, not when it is planned."""
+    return contracts.where(F.col("source").isin(*sources)).agg(F.count("*")).scalar()
 
 
 def _first(contracts: DataFrame, pools: Pools, sources: Sequence[str], limit: int | None, name: str, key: str) -> DataFrame:
@@ -108,18 +108,12 @@ def build_sft(contracts: DataFrame, variant: str = "THINK", num_samples: int | N
 
 # --- D02: DPO set -----------------------------------------------------------------------
 
-def dpo_clean_count(n_vuln: int, num_samples: int | None, supply: int, share: float = DPO_CLEAN_SHARE) -> int:
-    """O03 closed form: 0 if N given and n_vuln >= N, else the smallest c >= 1 with
-    n_vuln + c >= (N or 1000) * share (a float compare, as the reference does), bounded by supply."""
-    if num_samples and n_vuln >= num_samples:
-        return 0
-    threshold = (num_samples or 1000) * share
-    need = max(1, math.ceil(threshold - n_vuln))
-    while n_vuln + need - 1 >= threshold and need > 1:
-        need -= 1
-    while n_vuln + need < threshold:
-        need += 1
-    return min(need, supply)
+def dpo_clean_count(n_vuln: Column, num_samples: int | None, share: float = DPO_CLEAN_SHARE) -> tuple[Column, int]:
+    """O03 closed form: 0 if N given and n_vuln >= N, else the smallest c >= 1 with n_vuln + c >= (N or 1000) * share (a
+    float compare, as the reference does; the left side is whole, so against the next whole number); and its upper bound."""
+    most = max(1, math.ceil((num_samples or 1000) * share))
+    need = F.greatest(F.lit(1), F.lit(most) - n_vuln)
+    return (F.when(n_vuln >= num_samples, 0).otherwise(need) if num_samples else need), most
 
 
 def dpo_selection(contracts: DataFrame, num_samples: int | None = None, pools: Pools = TABLE_POOLS,
@@ -127,10 +121,11 @@ def dpo_selection(contracts: DataFrame, num_samples: int | None = None, pools: P
     """P21 + O03: labelled contracts with a non-empty list (up to N), then clean fill."""
     found = contracts.where(~F.col("source").isin(*pools.labelled) | (F.size("vulnerabilities") > 0))
     n_lab = pool_size(found, pools.labelled)
-    n_vuln = min(n_lab, num_samples) if num_samples else n_lab
-    n_clean = dpo_clean_count(n_vuln, num_samples, pool_size(found, pools.unlabelled))
+    need, most = dpo_clean_count(F.least(n_lab, F.lit(num_samples)) if num_samples else n_lab, num_samples)
     missed = _first(found, pools, pools.labelled, num_samples, "missed", key)
-    clean = _first(found, pools, pools.unlabelled, n_clean, "false_positive", key)
+    clean = _first(found, pools, pools.unlabelled, most, "false_positive", key)  # at most this many rows are ranked
+    place = F.row_number().over(Window.orderBy("source_rank", key))
+    clean = clean.withColumn("place", place).where(F.col("place") <= need).drop("place")
     return missed.unionByName(clean).select(key, "source", F.col("pool").alias("pair_kind"))
 
 
@@ -184,9 +179,9 @@ def build_cpt(contracts: DataFrame, reports: DataFrame, target_tokens: float = 2
 def build_rl_prompts(contracts: DataFrame, num_prompts: int = 1000, seed: int = 42, pools: Pools = TABLE_POOLS,
                      key: str = "contract_id") -> DataFrame:
     """Labelled up to N, unlabelled fills the rest, seeded shuffle, first N."""
-    n_lab = min(pool_size(contracts, pools.labelled), num_prompts)
-    sel = _first(contracts, pools, pools.labelled, num_prompts, "labelled", key) \
-        .unionByName(_first(contracts, pools, pools.unlabelled, num_prompts - n_lab, "fill", key)).select(key, "source")
+    both = _first(contracts, pools, pools.labelled, num_prompts, "labelled", key) \
+        .unionByName(_first(contracts, pools, pools.unlabelled, num_prompts, "fill", key))
+    sel = both.orderBy(F.desc("pool"), "source_rank", key).limit(num_prompts).select(key, "source")  # labelled before fill
     shuffled = od.seeded_shuffle(sel, key, seed).where(F.col("rank") <= num_prompts)
     full = _with_code(shuffled, contracts, ("source_code", "vulnerabilities"), key)
     has = F.col("source").isin(*pools.labelled)
