@@ -1044,3 +1044,27 @@ SELECT contract_id, k, tokens FROM good WHERE (contract_id, k) NOT IN (SELECT (c
 register("confident_labels", """
 SELECT contract_id, swc_id, round((contract_id * 7 % 10) / 10, 9) AS confidence, CAST(t.i AS INTEGER) AS trace_id
 FROM ground_truth, range(4) t(i) WHERE (contract_id * 7 % 10) / 10 >= 0.5""")
+
+
+# ---------------------------------------------------------------------------
+# Sets of all variants as records
+# ---------------------------------------------------------------------------
+
+def _body_of(name: str) -> str:
+    """What follows the builders' CTEs in a query's SQL."""
+    return ORACLE[name].split(BUILD_CTES.strip(), 1)[1]
+
+
+_DPO_CTES, _DPO_SELECT = _body_of("dpo_build").rsplit("\nSELECT s.contract_id, s.split", 1)
+register_b("variant_records", f"""{_DPO_CTES.strip()}, {RL_SEL},
+dpo_rows AS (SELECT s.contract_id, s.split{_DPO_SELECT}),
+rows_ AS (
+  SELECT 'sft' AS kind, split, contract_id, rank, user_content || '|' || assistant_content AS text, CAST(NULL AS BIGINT) AS n_truth FROM sft_out
+  UNION ALL SELECT 'dpo', split, contract_id, rank, prompt || '|' || chosen || '|' || rejected, NULL FROM dpo_rows
+  UNION ALL SELECT 'rl', 'all', s.contract_id, s.rank, {FENCE(q(INSTRUCTION), 'c.source_code')},
+    CASE WHEN s.source = 'curated' THEN (SELECT count(*) FROM vulns v WHERE v.contract_id = s.contract_id) ELSE 0 END
+  FROM rl_sh s JOIN contracts c USING (contract_id) WHERE s.rank <= 300)
+SELECT variant, kind, split, contract_id, CAST(rank AS BIGINT) AS rank, md5(text) AS digest, CAST(n_truth AS BIGINT) AS n_truth
+FROM rows_, (VALUES ('THINK'), ('INSTRUCT'), ('RL-ZERO')) t(variant) WHERE NOT (variant = 'RL-ZERO' AND kind = 'sft')""")
+ORACLE["variant_manifest"] = ORACLE["variant_sets"]
+ORACLE["jsonl_roundtrip"] = ORACLE["sft_build"]

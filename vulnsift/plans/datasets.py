@@ -176,13 +176,18 @@ def build_cpt(contracts: DataFrame, reports: DataFrame, target_tokens: float = 2
 
 # --- D04: RL prompts --------------------------------------------------------------------
 
-def build_rl_prompts(contracts: DataFrame, num_prompts: int = 1000, seed: int = 42, pools: Pools = TABLE_POOLS,
-                     key: str = "contract_id") -> DataFrame:
-    """Labelled up to N, unlabelled fills the rest, seeded shuffle, first N."""
+def rl_selection(contracts: DataFrame, num_prompts: int = 1000, seed: int = 42, pools: Pools = TABLE_POOLS, key: str = "contract_id") -> DataFrame:
+    """Labelled up to N, unlabelled fills the rest, seeded shuffle, first N: (key, source, rank)."""
     both = _first(contracts, pools, pools.labelled, num_prompts, "labelled", key) \
         .unionByName(_first(contracts, pools, pools.unlabelled, num_prompts, "fill", key))
     sel = both.orderBy(F.desc("pool"), "source_rank", key).limit(num_prompts).select(key, "source")  # labelled before fill
-    shuffled = od.seeded_shuffle(sel, key, seed).where(F.col("rank") <= num_prompts)
+    return od.seeded_shuffle(sel, key, seed).where(F.col("rank") <= num_prompts)
+
+
+def build_rl_prompts(contracts: DataFrame, num_prompts: int = 1000, seed: int = 42, pools: Pools = TABLE_POOLS,
+                     key: str = "contract_id") -> DataFrame:
+    """The selected prompts with their text and ground truth."""
+    shuffled = rl_selection(contracts, num_prompts, seed, pools, key)
     full = _with_code(shuffled, contracts, ("source_code", "vulnerabilities"), key)
     has = F.col("source").isin(*pools.labelled)
     return full.select(

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from vulnsift.functions import text as tx
 from vulnsift.operators import evaluate as ev
 from vulnsift.plans import fixtures as fx
+from vulnsift.plans import variants as vr
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -1261,3 +1262,31 @@ def confident_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled vulnerabilities of a confidence of at least 0.5, fanned out to four trace prompts each."""
     g = fx.ground_truth(spark, sf_dir).withColumn("confidence", (F.col("contract_id") * 7 % 10) / 10)
     return rounded(fl.confident(g).select("contract_id", "swc_id", "confidence", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("trace_id")))
+
+
+@query
+def variant_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all variants, written as one partitioned table and read back: digest of each record's text."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/variants-{uuid.uuid4().hex}"
+    sets = vr.variant_sets(fx.contracts(spark, sf_dir), sft_samples=SFT_N, dpo_samples=DPO_N, rl_prompts=RL_N)
+    vr.write_variant_sets(sets, path)
+    back = spark.read.schema(sets.schema).parquet(path)
+    text = F.concat_ws("|", F.array_join(F.transform("messages", lambda m: m["content"]), "|"), "prompt", "chosen", "rejected")
+    return back.select("variant", "kind", "split", "contract_id", "rank", F.md5(text).alias("digest"), F.size("ground_truth").cast("long").alias("n_truth"))
+
+
+@query
+def variant_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of every set, observed while the sets are written."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/variants-{uuid.uuid4().hex}"
+    sets = vr.variant_sets(fx.contracts(spark, sf_dir), sft_samples=SFT_N, dpo_samples=DPO_N, rl_prompts=RL_N)
+    return vr.write_variant_sets(sets, path)
+
+
+@query
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SFT set written as JSON lines, one folder a split, and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/jsonl-{uuid.uuid4().hex}"
+    s = ds.build_sft(fx.contracts(spark, sf_dir), num_samples=SFT_N)
+    sk.write_jsonl(s, path)
+    return _messages_flat(spark.read.schema(s.schema).json(path))
