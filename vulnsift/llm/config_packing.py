@@ -19,16 +19,15 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, chain, compress, repeat
-from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vulnsift.llm.common import keep_table, rows_of, text_slices
+from vulnsift.llm.common import bounded, keep_table, rows_of
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
@@ -37,18 +36,20 @@ PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 _PLACED = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                      ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("doc_tokens", pa.int64())])
 
-#: Entries of a worker's caches and the longest word that goes into them; characters of a text that are split at a time.
-CACHED, LONGEST, STRIDE = 400_000, 48, 1 << 20
+#: Entries of a worker's cache and the longest word that goes into it; characters of a text that are split at a time.
+CACHED, LONGEST, STRIDE = 600_000, 48, 1 << 20
 _BREAK = re.compile("[ \n]")
-# How the tokenizer file splits lower-cased words of ASCII and Latin letters that have no other form.
-PLAIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
-PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \t\n\r\f\va-z0-9\xdf-\xf6\xf8-\xff]+")
+# How the tokenizer file splits lower-cased text of ASCII and Latin letters that have no other form, and what is not such
+# text (control 1 marks the ends of words here, <| may begin an added token).
+_SPACE, _LETTER = r" \t\n\r\f\x0b", r"a-z\x{df}-\x{f6}\x{f8}-\x{ff}"
+PART = rf"('s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^{_SPACE}0-9{_LETTER}]+)[{_SPACE}]*"
+OTHER = r"[^\x00-\x7f\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]|\x01|<\|"
 
 
 class WordIds:
-    """Token ids of texts, as little-endian bytes, by a tokenizer file whose words never cross a blank or a line feed.
-
-    Words are looked up; a new one is split as the file does, and only parts never seen before are encoded by the library."""
+    """Token ids of texts by a tokenizer file whose words never cross a blank or a line feed. Texts are split by Arrow, plain ones as
+    the file does it, others at blanks and line feeds; each different word of a batch is looked up once, and only words
+    never seen before are encoded by the library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,62 +58,68 @@ class WordIds:
         self.encode = Tokenizer.from_file(path).encode_batch_fast
         self.mark, = self._ids("~")  # a word of its own, with one id that no word without it has
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.encode([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word by the library: all in one text with a mark between them, but for words that hold the mark themselves."""
+        """Ids of each word, as little-endian bytes: all in one text with a mark between them, but for words that hold it themselves."""
         plain = [w for w in words if "~" not in w]
         ids = self._ids(" ~ ".join(plain))
         cuts, data = 4 * np.flatnonzero(ids == self.mark), ids.tobytes()
         out = {w: data[a:b] for w, a, b in zip(plain, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)])}
         return out | {w: self._ids(w).tobytes() for w in words if "~" in w}
 
-    def _add(self, cache: dict[str, bytes], new: dict[str, bytes]) -> None:
-        if len(cache) + len(new) > CACHED:
-            cache.clear()
-        cache.update(new)
-
-    def _fresh(self, words: set[str]) -> dict[str, bytes]:
-        simple = [w for w in words if PLAIN.fullmatch(w) and "<|" not in w]  # <| may begin an added token
-        split = [PARTS.findall(w.lower()) for w in simple]
-        need = set(chain.from_iterable(split))
-        ids = {p: b for p in need if (b := self.parts.get(p)) is not None}
-        new = self._encoded([p for p in need if p not in ids])
-        ids.update(new)
-        self._add(self.parts, {p: b for p, b in new.items() if len(p) <= LONGEST})
-        get = ids.__getitem__
-        out = {w: b"".join(map(get, p)) for w, p in zip(simple, split)}
-        out.update(self._encoded([w for w in words if w not in out]))
-        return out
-
-    def _looked_up(self, texts: list[str]) -> list[bytes]:
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        flat = list(chain.from_iterable(words))
-        ids = list(map(self.known.get, flat))
-        unknown = list(compress(range(len(flat)), map(is_, ids, repeat(None))))
-        new = self._fresh({flat[i] for i in unknown})
+    def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all lists of words in one array, and where each list's begin (and the last one's end)."""
+        places = words.offsets.to_numpy().astype(np.int64)
+        coded = words.values.slice(places[0], places[-1] - places[0]).dictionary_encode()
+        every = coded.dictionary.to_pylist()
+        ids = list(map(self.known.get, every))
+        unknown = [i for i, b in enumerate(ids) if b is None]
+        new = self._encoded([every[i] for i in unknown])
         for i in unknown:
-            ids[i] = new[flat[i]]
-        self._add(self.known, {w: b for w, b in new.items() if len(w) <= LONGEST})
-        ends = list(accumulate(map(len, words), initial=0))
-        return [b"".join(ids[a:b]) for a, b in zip(ends, ends[1:])]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. Texts of more than STRIDE characters are walked in pieces that end at a blank or line feed."""
-        if max(map(len, texts), default=0) <= STRIDE:
-            return self._looked_up(texts)
-        out = []
-        for text in texts:
-            parts, at = [], 0
+            ids[i] = new[every[i]]
+        if len(self.known) + len(new) > CACHED:
+            self.known.clear()
+        self.known.update((w, b) for w, b in new.items() if len(w) <= LONGEST)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin, which = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        count = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        at = np.repeat(begin[which] - ends[:-1], count) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(ids), "<u4")[at], ends[places - places[0]]
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        other = pc.match_substring_regex(texts, OTHER)
+        if pc.any(other).as_py():
+            plain = other.to_numpy(zero_copy_only=False) == 0
+            found = [np.split(flat, ends[1:-1]) for flat, ends in (
+                self._plain(texts.filter(pa.array(plain))), self._looked_up(pc.split_pattern(pc.replace_substring(
+                    texts.filter(other), "\n", " "), " ")))]
+            takes = [iter(f) for f in found]
+            each = [next(takes[0 if p else 1]) for p in plain]
+            return np.concatenate(each), np.cumsum([0, *map(len, each)])
+        return self._plain(texts)
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        marked = pc.replace_substring_regex(pc.ascii_ltrim(pc.utf8_lower(texts), " \t\n\r\f\v"), PART, "\\1\x01")
+        return self._looked_up(pc.split_pattern(marked, "\x01"))
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (no nulls) in one array, and where each text's begin. Texts of more than STRIDE characters are walked in
+        pieces that end at a blank or line feed."""
+        if not len(texts) or pc.max(pc.binary_length(texts)).as_py() <= 4 * STRIDE:
+            return self._split(texts)
+        found, ends = [], [0]
+        for text in texts.to_pylist():
+            at, size = 0, 0
             while at < len(text):
                 cut = _BREAK.search(text, at + STRIDE)
-                parts.append(text[at:cut.start() if cut else len(text)])
-                at = cut.end() if cut else len(text)
-            out.append(b"".join(self._looked_up([p])[0] for p in parts))
-        return out
+                found.append(self._split(pa.array([text[at:cut.start() if cut else len(text)]], pa.string()))[0])
+                at, size = cut.end() if cut else len(text), size + len(found[-1])
+            ends.append(ends[-1] + size)
+        return np.concatenate([np.zeros(0, "<u4"), *found]), np.array(ends)
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -125,19 +132,20 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
         if vocabulary not in _ENCODERS:
             _ENCODERS[vocabulary] = WordIds(vocabulary)
         encoder = _ENCODERS[vocabulary]
-        part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         last = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for ids, texts in text_slices(batch, STRIDE):
-                rows = []
-                for doc, data in zip(ids, encoder.of(texts)):
-                    data += last
-                    total = len(data) // 4
-                    for number, start in enumerate(range(0, total, capacity)):
-                        length = min(capacity, total - start)
-                        rows.append((doc, number, start, length, zlib.crc32(data[4 * start:4 * (start + length)]), total, part, seen[length]))
-                        seen[length] += 1
-                yield rows_of(_ARROW, list(zip(*rows)))
+        for part in (p for batch in batches for p in bounded(batch, 1, 4 * STRIDE)):
+            rows = []
+            flat, ends = encoder.of(pc.fill_null(part.column(1), ""))
+            for doc, a, b in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                total = b - a + 1
+                for number, start in enumerate(range(0, total, capacity)):
+                    length = min(capacity, total - start)
+                    crc = zlib.crc32(flat[a + start:min(b, a + start + length)])
+                    crc = zlib.crc32(last, crc) if start + length == total else crc
+                    rows.append((doc, number, start, length, crc, total, task, seen[length]))
+                    seen[length] += 1
+            yield rows_of(_ARROW, list(zip(*rows)))
 
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, SCHEMA)
 
