@@ -178,20 +178,23 @@ def text_features(text) -> list[Column]:
 
 # --- F15 / F16 / F17 / F19 (specification rewards) ---------------------------------
 
-def spec_detection_reward(text, truth_swc: Column, truth_lines: Column, truth_severity: Column,
+def spec_features(text) -> list[Column]:
+    """What F15 needs from an answer's text: `_spec_got`, `_spec_iv`, `_spec_sev`."""
+    t = F.coalesce(tx.col_(text), F.lit(""))
+    return [tx.class_spec_dialect(t).alias("_spec_got"), predicted_intervals(t).alias("_spec_iv"),
+            tx.nullif_empty(tx.extract(t, r"(?iU)Severity[:\s]*(\w+)")).alias("_spec_sev")]
+
+
+def spec_detection_reward(got: Column, pred: Column, sev_got: Column, truth_swc: Column, truth_lines: Column, truth_severity: Column,
                           related: Column | None = None) -> Column:
-    """mean of class (1 / 0.5 related / -1), line 2*IoU-1 when both known, severity
+    """F15 over `spec_features`: mean of class (1 / 0.5 related / -1), line 2*IoU-1 when both known, severity
     (0.5 when equal, two missing ones included, else -0.25), and on clean contracts (truth class null) 0.5 / -1."""
-    t = F.coalesce(tx.col_(text), F.lit(""))
-    got = tx.class_spec_dialect(t)
     rel = related if related is not None else F.array().cast("array<string>")
     cls = (F.when(got.eqNullSafe(truth_swc), F.lit(1.0))
            .when(got.isNotNull() & F.array_contains(rel, got), F.lit(0.5)).otherwise(F.lit(-1.0)))
-    pred = predicted_intervals(t)
     tru = F.filter(F.array(truth_interval(truth_lines)), lambda iv: iv["s"].isNotNull() & iv["e"].isNotNull())
     known = (F.size(pred) > 0) & (F.size(tru) > 0)
     line = F.when(known, interval_iou(pred, tru) * 2 - 1)
-    sev_got = tx.nullif_empty(tx.extract(t, r"(?iU)Severity[:\s]*(\w+)"))
     sev = F.when(sev_got.eqNullSafe(truth_severity), F.lit(0.5)).otherwise(F.lit(-0.25))
     clean = F.when(truth_swc.isNull(), F.when(got.isNull() | (got == "None"), F.lit(0.5)).otherwise(F.lit(-1.0)))
     parts = F.array(cls, line, sev, clean)

@@ -8,14 +8,14 @@ join and the join back go through ``skew.salted_join``, which deals the rows of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnsift.functions import rewards as rw
 from vulnsift.functions import text as tx
 from vulnsift.operators.evaluate import truth_classes
 from vulnsift.operators.skew import salted_join
-from vulnsift.schemas import PASS_RATE_THRESHOLD
+from vulnsift.schemas import CLASS_PARENTS, PASS_RATE_THRESHOLD
 from vulnsift.session import kept
 
 
@@ -123,3 +123,36 @@ def self_consistency(completions: DataFrame, key: str = "contract_id") -> DataFr
         (F.max("cnt") / F.sum("cnt")).alias("consistency"),
         F.count(F.lit(1)).alias("n_answers"),
     )
+
+
+# --- F15 over all truth rows -----------------------------------------------------------------
+
+def related_classes(spark: SparkSession, parents=CLASS_PARENTS) -> DataFrame:
+    """(swc_id, related): the classes that share a weakness at any height with a class, from a fixed table of direct parents by
+    recursion; a handful of rows."""
+    spark.createDataFrame(parents, "child string, parent string").createOrReplaceTempView("_class_parents")
+    pairs = spark.sql("""
+        WITH RECURSIVE above AS (
+          SELECT child AS swc_id, parent AS w FROM _class_parents WHERE child LIKE 'SWC%'
+          UNION ALL SELECT a.swc_id, p.parent FROM above a JOIN _class_parents p ON p.child = a.w)
+        SELECT x.swc_id, array_sort(collect_set(y.swc_id)) AS related FROM above x JOIN above y ON x.w = y.w AND x.swc_id <> y.swc_id
+        GROUP BY x.swc_id""")
+    spark.catalog.dropTempView("_class_parents")
+    return pairs
+
+
+def spec_rewards(completions: DataFrame, contracts: DataFrame, parents=CLASS_PARENTS) -> DataFrame:
+    """F15 against every truth row of the prompt, the best one kept; a prompt without truth rows is clean. Answers are reduced to class,
+    lines and severity before the join; the related classes travel as one map of a few entries."""
+    keep = [c for c in completions.columns if c != "text"]
+    j = with_truth(completions.select(*keep, *rw.spec_features("text")), contracts)
+    lookup = related_classes(completions.sparkSession, parents).agg(F.map_from_entries(F.collect_list(F.struct("swc_id", "related"))).alias("_related"))
+    j = j.join(F.broadcast(lookup))
+    got, pred, sev, none = F.col("_spec_got"), F.col("_spec_iv"), F.col("_spec_sev"), F.lit(None).cast("string")
+
+    def score(swc: Column, lines: Column, severity: Column) -> Column:
+        return rw.spec_detection_reward(got, pred, sev, swc, lines, severity, F.coalesce(F.col("_related")[swc], F.array().cast("array<string>")))
+
+    each = F.transform("vulnerabilities", lambda v: score(v["swc_id"], F.coalesce(v["lines"], v["line_range"]), v["severity"]))
+    clean = rw.spec_detection_reward(got, pred, sev, none, none, none)
+    return j.select(*keep, F.when(F.size("vulnerabilities") > 0, F.array_max(each)).otherwise(clean).alias("reward"))

@@ -68,6 +68,7 @@ def completion_text(d: str, k: str, t: str | None = None) -> str:
       WHEN {t} = 8 THEN {block(typ, cls, st, en)} || {NL} || {NL} || 'There are no vulnerabilities elsewhere in the code.'
       WHEN {t} = 9 THEN 'Vulnerability: ' || {typ} || {NL} || 'SWC: SWC-' || {cls} || {NL} || 'Lines: ' || {s(en)} || '-' || {s(st)} || {NL} || 'Severity: High' || {NL} || 'Explanation: Reversed range.'
       WHEN {t} = 10 THEN '<think>' || {NL} || 'The withdraw function sends value before it updates the balance.' || {NL} || '</think>' || {NL} || {block(typ, cls, st, en)}
+      WHEN {t} = 13 THEN {block(typ, f"(CASE {cls} WHEN '107' THEN '114' WHEN '114' THEN '107' WHEN '116' THEN '128' WHEN '128' THEN '116' ELSE '999' END)", st, en)}
       WHEN {t} = 12 THEN {block(typ, f"{cls} || '0'", st, en)}
       ELSE '' END)"""
 
@@ -155,7 +156,8 @@ _MIXED_ANSWERS = f"""completions AS (
     SELECT c.contract_id, c.source_code, CAST(r.k AS INTEGER) AS k,
       CASE WHEN r.k = 0 THEN 'strong' WHEN r.k = 1 THEN 'weak' ELSE 'policy' END AS model,
       CASE c.contract_id % 6 WHEN 0 THEN 1 WHEN 1 THEN (CASE WHEN r.k % 4 = 0 THEN 5 ELSE 1 END)
-        WHEN 2 THEN (CASE WHEN r.k % 3 = 0 THEN 12 ELSE {_T} END) ELSE {_T} END AS t
+        WHEN 2 THEN (CASE WHEN r.k % 3 = 0 THEN 12 ELSE {_T} END) WHEN 3 THEN (CASE WHEN r.k % 4 = 1 THEN 13 ELSE {_T} END)
+        ELSE {_T} END AS t
     FROM contracts c, range(40) r(k) WHERE c.source IN ('curated', 'clean') AND r.k <= c.contract_id % 40))
 ),
 """
@@ -417,7 +419,8 @@ SELECT contract_id, round(max(cnt) / sum(cnt), 9) AS consistency, count(*) AS n_
 # Training-set construction family
 # ---------------------------------------------------------------------------
 
-from vulnsift.schemas import (  # noqa: E402
+from vulnsift.schemas import (
+    CLASS_PARENTS,  # noqa: E402
     DPO_FALSE_FINDING, INSTRUCTION, NO_VULNERABILITY_OUTPUT, RL_ZERO_PROMPT, SFT_DEFAULTS, SYSTEM_PROMPT, TRACE_PROMPT,
 )
 
@@ -1068,3 +1071,41 @@ SELECT variant, kind, split, contract_id, CAST(rank AS BIGINT) AS rank, md5(text
 FROM rows_, (VALUES ('THINK'), ('INSTRUCT'), ('RL-ZERO')) t(variant) WHERE NOT (variant = 'RL-ZERO' AND kind = 'sft')""")
 ORACLE["variant_manifest"] = ORACLE["variant_sets"]
 ORACLE["jsonl_roundtrip"] = ORACLE["sft_build"]
+
+
+# ---------------------------------------------------------------------------
+# Specification reward against all truth rows
+# ---------------------------------------------------------------------------
+
+_EDGES = ", ".join(f"('{c}', '{w}')" for c, w in CLASS_PARENTS)
+_SPEC_GOT = "CASE " + " ".join(f"WHEN regexp_extract(c.text, '{p}', 1) <> '' THEN 'SWC-' || regexp_extract(c.text, '{p}', 1)"
+                               for p in ("SWC[:\\s]*([0-9]{3})", "SWC-([0-9]{3})", "swc[:\\s]*([0-9]{3})")) + " END"
+register_rw("spec_reward_best", f""", edge AS (SELECT * FROM (VALUES {_EDGES}) t(c, w)),
+up1 AS (SELECT c AS swc, w FROM edge WHERE c LIKE 'SWC%'), up2 AS (SELECT swc, e.w FROM up1 JOIN edge e ON e.c = up1.w),
+up3 AS (SELECT swc, e.w FROM up2 JOIN edge e ON e.c = up2.w), up4 AS (SELECT swc, e.w FROM up3 JOIN edge e ON e.c = up3.w),
+above AS (SELECT * FROM up1 UNION SELECT * FROM up2 UNION SELECT * FROM up3 UNION SELECT * FROM up4),
+related AS (SELECT DISTINCT x.swc AS a, y.swc AS b FROM above x JOIN above y ON x.w = y.w AND x.swc <> y.swc),
+tv AS (SELECT contract_id, vidx, swc_id AS t_swc, coalesce(lines, line_range) AS t_lines, severity AS t_sev FROM vulns),
+sp AS (SELECT c.contract_id, c.k, tv.vidx, tv.t_swc, tv.t_sev, {_SPEC_GOT} AS got,
+   nullif(regexp_extract(c.text, '(?i)Severity[:\\s]*(\\w+)', 1), '') AS sev_got, len(regexp_extract_all(c.text, '{PRED_LINES}', 1)) AS nm
+  FROM completions c LEFT JOIN tv USING (contract_id)),
+tb0 AS (SELECT contract_id, vidx,
+    CASE WHEN contains(t_lines, '-') THEN (CASE WHEN len(string_split(t_lines, '-')) = 2 THEN TRY_CAST(trim(string_split(t_lines, '-')[1]) AS BIGINT) END)
+         ELSE TRY_CAST(trim(t_lines) AS BIGINT) END AS s,
+    CASE WHEN contains(t_lines, '-') THEN (CASE WHEN len(string_split(t_lines, '-')) = 2 THEN TRY_CAST(trim(string_split(t_lines, '-')[2]) AS BIGINT) END)
+         ELSE TRY_CAST(trim(t_lines) AS BIGINT) END AS e FROM tv),
+tl0 AS (SELECT DISTINCT contract_id, vidx, unnest(generate_series(s, e)) AS line FROM tb0 WHERE s IS NOT NULL AND e IS NOT NULL),
+np0 AS (SELECT contract_id, k, count(*) AS np FROM pl GROUP BY ALL), nt0 AS (SELECT contract_id, vidx, count(*) AS nt FROM tl0 GROUP BY ALL),
+ni0 AS (SELECT pl.contract_id, pl.k, tl0.vidx, count(*) AS ni FROM pl JOIN tl0 ON pl.contract_id = tl0.contract_id AND pl.line = tl0.line GROUP BY ALL),
+parts AS (SELECT sp.contract_id, sp.k,
+    CASE WHEN got IS NOT DISTINCT FROM t_swc THEN 1.0 WHEN EXISTS (SELECT 1 FROM related r WHERE r.a = t_swc AND r.b = got) THEN 0.5 ELSE -1.0 END AS p_cls,
+    CASE WHEN nm > 0 AND tb0.s IS NOT NULL AND tb0.e IS NOT NULL THEN (CASE WHEN coalesce(np, 0) = 0 OR coalesce(nt, 0) = 0 THEN 0.0
+      ELSE coalesce(ni, 0) / (np + nt - coalesce(ni, 0)) END) * 2 - 1 END AS p_line,
+    CASE WHEN sev_got IS NOT DISTINCT FROM t_sev THEN 0.5 ELSE -0.25 END AS p_sev,
+    CASE WHEN t_swc IS NULL THEN (CASE WHEN got IS NULL OR got = 'None' THEN 0.5 ELSE -1.0 END) END AS p_clean
+  FROM sp LEFT JOIN tb0 ON tb0.contract_id = sp.contract_id AND tb0.vidx = sp.vidx
+    LEFT JOIN np0 ON np0.contract_id = sp.contract_id AND np0.k = sp.k LEFT JOIN nt0 ON nt0.contract_id = sp.contract_id AND nt0.vidx = sp.vidx
+    LEFT JOIN ni0 ON ni0.contract_id = sp.contract_id AND ni0.k = sp.k AND ni0.vidx = sp.vidx)
+SELECT contract_id, k, max(round((p_cls + coalesce(p_line, 0) + p_sev + coalesce(p_clean, 0))
+   / (2 + CASE WHEN p_line IS NULL THEN 0 ELSE 1 END + CASE WHEN p_clean IS NULL THEN 0 ELSE 1 END), 9)) AS reward FROM parts GROUP BY ALL""")
+ORACLE["spec_reward_best_mixed"] = mixed(ORACLE["spec_reward_best"])

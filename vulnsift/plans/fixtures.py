@@ -85,6 +85,9 @@ def _block(cls: str, first: str, last: str) -> str:
             "\\nRemediation: Update state before the call.')")
 
 
+_RELATED = "map('107', '114', '114', '107', '116', '128', '128', '116')"
+
+
 def completion_text() -> str:
     """SQL of the answer shapes over the columns t (which), cls, typ and s."""
     blk = _block("cls", "s", "s + 3")
@@ -101,6 +104,7 @@ def completion_text() -> str:
       when 9 then concat('Vulnerability: ', typ, '\\nSWC: SWC-', cls, '\\nLines: ', s + 3, '-', s, '\\nSeverity: High\\nExplanation: Reversed range.')
       when 10 then concat('<think>\\nThe withdraw function sends value before it updates the balance.\\n</think>\\n', {blk})
       when 12 then {_block("concat(cls, '0')", "s", "s + 3")}
+      when 13 then {_block(f"coalesce(element_at({_RELATED}, cls), '999')", "s", "s + 3")}
       else '' end"""
 
 
@@ -115,6 +119,7 @@ def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     if mixed:
         return ids.selectExpr("*", "explode(sequence(0, cast(contract_id % 40 as int))) as k").selectExpr(
             "*", "case contract_id % 6 when 0 then 1 when 1 then if(k % 4 = 0, 5, 1) when 2 then if(k % 3 = 0, 12, (contract_id * 31 + k * 17) % 12) "
+            "when 3 then if(k % 4 = 1, 13, (contract_id * 31 + k * 17) % 12) "
             "else (contract_id * 31 + k * 17) % 12 end as t", f"substring({swc_exact_sql(cat)}, 5, 3) as cls",
             f"replace({cat}, '_', ' ') as typ", "contract_id % 40 + 1 as s").selectExpr(
             "contract_id", "k", "source_code", "case k when 0 then 'strong' when 1 then 'weak' else 'policy' end as model",

@@ -781,9 +781,9 @@ def tool_success(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spec_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """specification detection reward per completion against the first truth row."""
     comp, con = _eval_inputs(spark, sf_dir)
-    j = sc.with_truth(comp, con)
+    j = sc.with_truth(comp.select("contract_id", "k", *rw.spec_features("text")), con)
     v = F.get(F.col("vulnerabilities"), 0)
-    r = rw.spec_detection_reward("text", v["swc_id"], F.coalesce(v["lines"], v["line_range"]), v["severity"])
+    r = rw.spec_detection_reward(F.col("_spec_got"), F.col("_spec_iv"), F.col("_spec_sev"), v["swc_id"], F.coalesce(v["lines"], v["line_range"]), v["severity"])
     return rounded(j.select("contract_id", "k", r.alias("reward")))
 
 
@@ -1257,6 +1257,16 @@ def trace_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("contract_id", "k", "tokens")
 
 
+def _best_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """specification reward against all truth rows, related classes included, the best kept."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    return rounded(sc.spec_rewards(comp, con).select("contract_id", "k", "reward"))
+
+
+QUERIES["spec_reward_best"] = _best_spec
+QUERIES["spec_reward_best_mixed"] = _over_mixed("spec_reward_best")
+
+
 @query
 def confident_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled vulnerabilities of a confidence of at least 0.5, fanned out to four trace prompts each."""

@@ -150,6 +150,15 @@ TYPE_TO_SWC_SUBSTRING = [
 
 UNKNOWN_SWC = "SWC-000"
 
+# Weakness of each class, and the weaknesses above it (public class registry and weakness hierarchy).
+CLASS_PARENTS = [
+    ("SWC-101", "CWE-190"), ("SWC-104", "CWE-252"), ("SWC-107", "CWE-841"), ("SWC-114", "CWE-362"), ("SWC-115", "CWE-284"),
+    ("SWC-116", "CWE-829"), ("SWC-120", "CWE-330"), ("SWC-128", "CWE-400"), ("SWC-129", "CWE-480"),
+    ("CWE-190", "CWE-682"), ("CWE-252", "CWE-754"), ("CWE-754", "CWE-703"), ("CWE-841", "CWE-691"), ("CWE-362", "CWE-691"),
+    ("CWE-829", "CWE-669"), ("CWE-669", "CWE-664"), ("CWE-400", "CWE-664"), ("CWE-330", "CWE-693"), ("CWE-480", "CWE-670"),
+    ("CWE-670", "CWE-691"),
+]
+
 # Primary classes: (class, name, cwe, target_f1).
 PRIMARY_CLASSES = [
     ("SWC-107", "Reentrancy", "CWE-841", 0.80),
