@@ -1109,3 +1109,11 @@ parts AS (SELECT sp.contract_id, sp.k,
 SELECT contract_id, k, max(round((p_cls + coalesce(p_line, 0) + p_sev + coalesce(p_clean, 0))
    / (2 + CASE WHEN p_line IS NULL THEN 0 ELSE 1 END + CASE WHEN p_clean IS NULL THEN 0 ELSE 1 END), 9)) AS reward FROM parts GROUP BY ALL""")
 ORACLE["spec_reward_best_mixed"] = mixed(ORACLE["spec_reward_best"])
+
+register_r("stream_alarms", """, wd AS (
+  SELECT experiment, stage, time_bucket(INTERVAL 1 DAY, ts) AS window_start, avg(mean_length) AS mean_length, avg(f1) AS mean_reward
+  FROM runs GROUP BY ALL HAVING time_bucket(INTERVAL 1 DAY, any_value(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM runs) - INTERVAL 2 DAY),
+st AS (SELECT experiment, stage, arg_min(mean_length, window_start) AS start_length FROM wd GROUP BY ALL)
+SELECT experiment, stage, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, round(mean_length, 9) AS mean_length,
+  round(mean_reward, 9) AS mean_reward, round(start_length, 9) AS start_length
+FROM wd JOIN st USING (experiment, stage) WHERE mean_length > 1.02 * start_length""")

@@ -1005,6 +1005,7 @@ def dataset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Streaming (X01, X02): staged files -> availableNow stream -> parquet sink -> batch read-back
 # ---------------------------------------------------------------------------
 
+from vulnsift.streaming import alarm as al  # noqa: E402
 from vulnsift.streaming import append as st  # noqa: E402
 
 
@@ -1300,3 +1301,21 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ds.build_sft(fx.contracts(spark, sf_dir), num_samples=SFT_N)
     sk.write_jsonl(s, path)
     return _messages_flat(spark.read.schema(s.schema).json(path))
+
+
+@query
+def stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X02 + W06 live: run events in four files, one a batch, the last with copies of the first days' rows that come too late; windows
+    whose mean length is above 1.02 times that of the run's first window."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-alarms-{uuid.uuid4().hex}"
+    r = fx.runs(spark, sf_dir).select("experiment", "stage", F.col("ts").cast("timestamp").alias("ts"), "mean_length", F.col("f1").alias("reward"))
+    lo, hi = r.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    cuts = [lo + (hi - lo) * i // 4 for i in range(4)] + [hi + 1]
+    at = F.unix_micros("ts")
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        part = r.where((at >= a) & (at < b))
+        late = r.where(at < lo + 5 * 86_400_000_000).withColumn("mean_length", F.lit(1e9))
+        (part.unionByName(late) if i == 3 else part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    al.run_alarms(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", factor=1.02)
+    out = spark.read.schema(al.ALARMS).parquet(f"{base}/out")
+    return rounded(out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
