@@ -313,6 +313,9 @@ FROM ground_truth g LEFT JOIN p USING (swc_id)""")
 
 
 def oracle_sql() -> dict[str, str]:
+    if "ablation_records" not in ORACLE:
+        register("ablation_records", _ablations())
+        ORACLE["ablation_records_mixed"] = mixed(ORACLE["ablation_records"])
     return dict(ORACLE)
 
 
@@ -1117,3 +1120,46 @@ st AS (SELECT experiment, stage, arg_min(mean_length, window_start) AS start_len
 SELECT experiment, stage, strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start, round(mean_length, 9) AS mean_length,
   round(mean_reward, 9) AS mean_reward, round(start_length, 9) AS start_length
 FROM wd JOIN st USING (experiment, stage) WHERE mean_length > 1.02 * start_length""")
+
+# ---------------------------------------------------------------------------
+# Mixtures and ablations as records
+# ---------------------------------------------------------------------------
+
+def _arms_sql() -> str:
+    from vulnsift.queries import ABLATION_ARMS, ARM_SIZE
+
+    return ", ".join(f"('{a}', '{c}', CAST({r!r} AS DOUBLE), CAST({ARM_SIZE} AS DOUBLE))" for a, c, r in ABLATION_ARMS)
+
+
+def _ablations() -> str:
+    return f"""{DELTA.strip().rstrip(',')},
+tr AS (SELECT 'x' || contract_id || '-' || k AS item_id, 'trace_' || ntile(3) OVER (ORDER BY length(text) // 4, contract_id * 40 + k) AS bucket
+  FROM completions WHERE contains(text, '<think>')),
+items AS (
+  SELECT CASE source WHEN 'curated' THEN 'labeled_vulns' WHEN 'tabular' THEN 'general_code' WHEN 'unlabelled' THEN 'solidity_code'
+    ELSE 'clean_contracts' END AS component, 'c' || contract_id AS item_id FROM contracts
+  UNION ALL SELECT x.c, 'r' || page_id FROM pages, (VALUES ('security_docs'), ('audit_reports')) x(c)
+  UNION ALL SELECT 'math_reasoning', 't' || conv_id || '-' || turn FROM conversations
+  UNION ALL SELECT 'synthetic_vulns', item_id FROM tr UNION ALL SELECT bucket, item_id FROM tr
+  UNION ALL SELECT 'gap_' || ntile(3) OVER (ORDER BY abs(words_chosen - words_rejected), contract_id), 'p' || contract_id FROM p),
+ranked_items AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY md5('42:' || item_id), item_id) AS rank FROM items),
+arms AS (SELECT * FROM (VALUES {_arms_sql()}) t(arm, component, ratio, size) WHERE ratio > 0),
+sup AS (SELECT a.*, CAST(coalesce(n, 0) AS DOUBLE) AS n FROM arms a LEFT JOIN (SELECT component, count(*) AS n FROM items GROUP BY 1) USING (component)),
+lv AS (SELECT *, (size - coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(ratio) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM sup WINDOW w AS (PARTITION BY arm ORDER BY n / ratio, component)),
+lev AS (SELECT arm, arg_min(level, (n / ratio, component)) AS level FROM lv WHERE level <= n / ratio GROUP BY arm),
+takes AS (SELECT lv.arm, component, CAST(floor(least(n, coalesce(lev.level * ratio, n)) + 1e-9) AS BIGINT) AS take FROM lv LEFT JOIN lev ON lv.arm = lev.arm)
+SELECT arm, component, item_id, rank FROM ranked_items JOIN takes USING (component) WHERE rank <= take"""
+
+
+TOKEN_ARMS = """
+WITH d AS (SELECT doc_id, length(text) // 4 AS tokens, md5('42:' || doc_id) AS h FROM documents),
+r AS (SELECT doc_id, tokens, coalesce(sum(tokens) OVER (ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+arm_rows AS (SELECT doc_id, tokens, before, arm FROM r, (VALUES ('500M', 50000), ('2B', 200000), ('10B', 1000000)) t(arm, budget) WHERE before < budget)"""
+register("token_arms", TOKEN_ARMS + """
+SELECT doc_id, CAST(tokens AS BIGINT) AS tokens, CAST(before AS BIGINT) AS before, arm FROM arm_rows""")
+register("token_grid", TOKEN_ARMS + """
+SELECT arm AS token_count, count(*) AS n_rows, CAST(sum(tokens) AS BIGINT) AS n_tokens, m AS model_size, CAST(lr AS DOUBLE) AS learning_rate, CAST(lora AS INTEGER) AS lora_rank
+FROM arm_rows, (VALUES ('135M'), ('360M'), ('500M'), ('1.5B')) a(m), (VALUES (1e-5), (5e-5), (1e-4), (5e-4)) b(lr), (VALUES (8), (16), (32), (64)) c(lora)
+GROUP BY arm, m, lr, lora""")
+

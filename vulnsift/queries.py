@@ -1319,3 +1319,69 @@ def stream_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
     al.run_alarms(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", factor=1.02)
     out = spark.read.schema(al.ALARMS).parquet(f"{base}/out")
     return rounded(out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
+
+
+# ---------------------------------------------------------------------------
+# Mixtures and ablations as records
+# ---------------------------------------------------------------------------
+
+from vulnsift.plans import ablations as ab  # noqa: E402
+from vulnsift.schemas import DATA_MIXES, GRID_LORA_RANKS, GRID_MODEL_SIZES, GRID_TOKEN_COUNTS  # noqa: E402
+
+ARM_SIZE = 400
+# component shares of each arm: the named mixes, the CPT mix, the shares of synthetic rows, security only against mixed, and
+# one arm for each tercile of trace length and of the strong-weak gap
+ABLATION_ARMS = [*((f"mix:{m}", c, r) for m, c, r in DATA_MIXES), *((f"mix:{m}", c, r) for m, c, r in MIXTURE if m == "cpt"),
+                 *((f"synthetic:{s}", c, r) for s in (0.0, 0.25, 0.5, 0.75) for c, r in (("synthetic_vulns", s), ("labeled_vulns", 1 - s))),
+                 ("domain:security", "labeled_vulns", 0.8), ("domain:security", "security_docs", 0.2), ("domain:mixed", "labeled_vulns", 0.4),
+                 ("domain:mixed", "security_docs", 0.1), ("domain:mixed", "general_code", 0.3), ("domain:mixed", "math_reasoning", 0.2),
+                 *((f"trace_length:{n}", f"trace_{i}", 1.0) for i, n in ((1, "short"), (2, "medium"), (3, "long"))),
+                 *((f"delta_gap:{n}", f"gap_{i}", 1.0) for i, n in ((1, "small"), (2, "medium"), (3, "large")))]
+
+
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(component, item_id): every pool of the mixtures; traces and pairs also by the tercile of their length and gap."""
+    con, comp = fx.contracts(spark, sf_dir), fx.completions(spark, sf_dir)
+    of_source = F.create_map(*[F.lit(x) for kv in (("curated", "labeled_vulns"), ("tabular", "general_code"), ("unlabelled", "solidity_code"),
+                                                   ("clean", "clean_contracts")) for x in kv])
+    pools = con.select(of_source[F.col("source")].alias("component"), F.concat(F.lit("c"), "contract_id").alias("item_id"))
+    pages = read_table(spark, sf_dir, "pages").select(F.explode(F.array(F.lit("security_docs"), F.lit("audit_reports"))).alias("component"),
+                                                      F.concat(F.lit("r"), "page_id").alias("item_id"))
+    talk = read_table(spark, sf_dir, "conversations").select(F.lit("math_reasoning").alias("component"),
+                                                             F.concat(F.lit("t"), "conv_id", F.lit("-"), "turn").alias("item_id"))
+    traces = comp.where(fl.has_think("text")).select("contract_id", "k", tx.token_estimate("text").alias("tokens"))
+    length = rn.tercile(traces, "tokens", F.col("contract_id") * 40 + F.col("k"))
+    trace_id = F.concat(F.lit("x"), "contract_id", F.lit("-"), "k")
+    traces = length.select(F.explode(F.array(F.lit("synthetic_vulns"), F.concat(F.lit("trace_"), "bucket"))).alias("component"), trace_id.alias("item_id"))
+    pairs = ds.delta_pairs(comp, con, max_gap=None).select("contract_id", F.abs(F.col("words_chosen") - F.col("words_rejected")).alias("gap"))
+    gaps = rn.tercile(pairs, "gap", F.col("contract_id")).select(F.concat(F.lit("gap_"), "bucket").alias("component"), F.concat(F.lit("p"), "contract_id").alias("item_id"))
+    return pools.unionByName(pages).unionByName(talk).unionByName(traces).unionByName(gaps)
+
+
+@query
+def ablation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D09 + D17: the records of every mix and of every arm of the four data ablations, short pools filled up from the others."""
+    arms = spark.createDataFrame([(a, c, float(r), float(ARM_SIZE)) for a, c, r in ABLATION_ARMS], "arm string, component string, ratio double, size double")
+    return ab.arm_records(_components(spark, sf_dir), arms)
+
+
+QUERIES["ablation_records_mixed"] = _over_mixed("ablation_records")
+
+
+@query
+def token_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested token budgets (counts divided by 10,000) over one shuffle of the documents."""
+    d = read_docs(spark, sf_dir).select("doc_id", tx.token_estimate("text").alias("tokens"))
+    return ab.token_arms(d, "doc_id", "tokens", [(n, t / 1e4) for n, t in GRID_TOKEN_COUNTS])
+
+
+@query
+def token_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second grid (model size x token count x learning rate x rank) with the rows and tokens of its token arm."""
+    sets = token_arms(spark, sf_dir).groupBy("arm").agg(F.count("*").alias("n_rows"), F.sum("tokens").cast("long").alias("n_tokens"))
+    grid = [F.explode(F.array(*map(F.lit, v))).alias(c) for c, v in (("model_size", GRID_MODEL_SIZES), ("learning_rate", [float(x) for x in LEARNING_RATES]),
+                                                                    ("lora_rank", GRID_LORA_RANKS))]
+    for g in grid:
+        sets = sets.select("*", g)
+    return sets.withColumnRenamed("arm", "token_count")
+

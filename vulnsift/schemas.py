@@ -219,3 +219,16 @@ FORMAT_FIELD_PATTERNS = [
 ]
 STAGE_PRIORITY = ["rlvr", "dpo", "sft"]
 CHAT_MARKERS = {"system": "<|system|>", "user": "<|user|>", "assistant": "<|assistant|>"}
+
+# Named data mixes of the sweep, and the second ablation grid (token counts in tokens).
+DATA_MIXES = [
+    ("balanced", "labeled_vulns", 0.40), ("balanced", "synthetic_vulns", 0.25), ("balanced", "clean_contracts", 0.20),
+    ("balanced", "general_code", 0.10), ("balanced", "security_docs", 0.05),
+    ("vuln_heavy", "labeled_vulns", 0.50), ("vuln_heavy", "synthetic_vulns", 0.30), ("vuln_heavy", "clean_contracts", 0.10),
+    ("vuln_heavy", "general_code", 0.05), ("vuln_heavy", "security_docs", 0.05),
+    ("clean_heavy", "labeled_vulns", 0.30), ("clean_heavy", "synthetic_vulns", 0.20), ("clean_heavy", "clean_contracts", 0.35),
+    ("clean_heavy", "general_code", 0.10), ("clean_heavy", "security_docs", 0.05),
+]
+GRID_MODEL_SIZES = ["135M", "360M", "500M", "1.5B"]
+GRID_TOKEN_COUNTS = [("500M", 5e8), ("2B", 2e9), ("10B", 1e10)]
+GRID_LORA_RANKS = [8, 16, 32, 64]
