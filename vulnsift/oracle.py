@@ -1163,3 +1163,44 @@ SELECT arm AS token_count, count(*) AS n_rows, CAST(sum(tokens) AS BIGINT) AS n_
 FROM arm_rows, (VALUES ('135M'), ('360M'), ('500M'), ('1.5B')) a(m), (VALUES (1e-5), (5e-5), (1e-4), (5e-4)) b(lr), (VALUES (8), (16), (32), (64)) c(lora)
 GROUP BY arm, m, lr, lora""")
 
+
+# ---------------------------------------------------------------------------
+# Direct-answer records, preferences, grouped responses, first-token latency
+# ---------------------------------------------------------------------------
+
+_USER = f"'user|' || {FENCE(q(INSTRUCTION), 'c.source_code')} || '|assistant|'"
+register("instruct_records", f"""WITH {REWARD_CTES.strip()},
+{BUILD_CTES.strip()},
+th AS (SELECT 'think' AS kind, contract_id, k, regexp_replace(regexp_replace(text, '(?s)<think>.*?</think>', '', 'g'), '^\\s+|\\s+$', '', 'g') AS answer
+  FROM completions WHERE contains(text, '<think>')),
+co AS (SELECT 'concise' AS kind, p.contract_id, p.k, p.text AS answer FROM completions p JOIN ver USING (contract_id, k)
+  WHERE NOT contains(p.text, '<think>') AND length(p.text) // 4 <= 512 AND verified = 1.0),
+js AS (SELECT contract_id, string_agg('{{"type": "' || type || '"' || coalesce(', "lines": "' || coalesce(lines, line_range) || '"', '') || '}}', ', ' ORDER BY vidx) AS j
+  FROM vulns GROUP BY contract_id)
+SELECT a.kind, a.contract_id, a.k, CAST(2 AS BIGINT) AS turns, md5({_USER} || a.answer) AS digest
+FROM (SELECT * FROM th WHERE answer <> '' UNION ALL SELECT * FROM co) a JOIN contracts c USING (contract_id)
+UNION ALL
+SELECT 'tool', c.contract_id, NULL, 4, md5({_USER} || '<tool_call>{{"name": "run_slither", "arguments": {{"contract_path": "contract.sol"}}}}</tool_call>'
+  || '|tool|{{"vulnerabilities": [' || j || ']}}|assistant|' || b.body)
+FROM contracts c JOIN js USING (contract_id) JOIN sft_blocks b USING (contract_id)""")
+
+register("instruct_preferences", f"""WITH {REWARD_CTES.strip()},
+{RUN_CTES.strip()},
+{DELTA.strip().removeprefix('WITH')},
+{PAIRED},
+cc AS (SELECT p.contract_id, p.k, p.text, length(p.text) // 4 AS tokens FROM completions p JOIN ver USING (contract_id, k) WHERE verified = 1.0),
+jc AS (SELECT contract_id, k, text, (contract_id * 13 + k * 7) % 11 AS js FROM completions WHERE length(text) > 0)
+SELECT 'think' AS kind, contract_id AS prompt_id, md5(chosen) AS chosen, md5(rejected) AS rejected FROM p WHERE length(chosen) // 4 - length(rejected) // 4 <= 100
+UNION ALL SELECT 'tool_use', prompt_id, md5(CAST(chosen_id AS VARCHAR)), md5(CAST(rejected_id AS VARCHAR)) FROM paired
+UNION ALL SELECT 'concise', contract_id, md5(arg_min(text, (tokens, k))), md5(arg_max(text, (tokens, -k))) FROM cc GROUP BY contract_id HAVING max(tokens) > min(tokens)
+UNION ALL SELECT 'judged', contract_id, md5(arg_max(text, (js, -k))), md5(arg_min(text, (js, k))) FROM jc GROUP BY contract_id HAVING max(js) > min(js)""")
+for _name in ("instruct_records", "instruct_preferences"):
+    ORACLE[f"{_name}_mixed"] = mixed(ORACLE[_name])
+
+register_rw("grouped_responses", """SELECT r.contract_id, md5(string_agg(c.text, '|' ORDER BY r.k)) AS responses, round(arg_min(reward, r.k), 9) AS first_reward,
+  round(arg_max(reward, r.k), 9) AS last_reward, CAST(count(*) AS INTEGER) AS num_responses
+FROM rwt r JOIN completions c USING (contract_id, k) GROUP BY r.contract_id""")
+ORACLE["first_token_latency"] = """
+SELECT event_type AS experiment, round(quantile_disc(value % 20 + 5, 0.5), 9) AS p50_ms, round(quantile_disc(value % 20 + 5, 0.9), 9) AS p90_ms,
+  round(quantile_disc(value % 20 + 5, 0.99), 9) AS p99_ms FROM events GROUP BY event_type"""
+

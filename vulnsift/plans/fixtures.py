@@ -164,6 +164,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((v % 60) / 100).alias("f1"),
         (v * 10).alias("mean_length"),
         (v * 3 + 20).alias("latency_ms"),
+        (v % 20 + 5).alias("first_token_ms"),
         F.col("ts"),
     )
 

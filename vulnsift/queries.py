@@ -1385,3 +1385,46 @@ def token_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         sets = sets.select("*", g)
     return sets.withColumnRenamed("arm", "token_count")
 
+
+# ---------------------------------------------------------------------------
+# Direct-answer records, preferences and grouped responses (D11, D12, P07), first-token latency
+# ---------------------------------------------------------------------------
+
+from vulnsift.plans import instruct as ins  # noqa: E402
+
+
+@query
+def instruct_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the think, tool-call and concise legs."""
+    r = ins.instruct_records(fx.completions(spark, sf_dir), fx.contracts(spark, sf_dir))
+    return r.select("kind", "contract_id", "k", F.size("messages").cast("long").alias("turns"),
+                    F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("|"), m["content"])), "|")).alias("digest"))
+
+
+@query
+def instruct_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference records of the think, tool-use, concise and judged legs (judge score (13 * contract + 7 * k) mod 11)."""
+    c = fx.completions(spark, sf_dir).withColumn("judge_score", (F.col("contract_id") * 13 + F.col("k") * 7) % 11)
+    p = ins.instruct_preferences(c, fx.contracts(spark, sf_dir), fx.trajectories(spark, sf_dir))
+    return p.select("kind", "prompt_id", F.md5("chosen").alias("chosen"), F.md5("rejected").alias("rejected"))
+
+
+for _name in ("instruct_records", "instruct_preferences"):
+    QUERIES[f"{_name}_mixed"] = _over_mixed(_name)
+
+
+@query
+def grouped_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P07 (array form): responses and rewards of every prompt as arrays."""
+    comp, con = _eval_inputs(spark, sf_dir)
+    s = sc.score_rollouts(comp, con, keep_text=True).select("contract_id", "k", F.col("text").alias("response"), "reward")
+    g = ins.grouped_responses(s)
+    return rounded(g.select("contract_id", F.md5(F.array_join("responses", "|")).alias("responses"),
+                            F.element_at("rewards", 1).alias("first_reward"), F.element_at("rewards", -1).alias("last_reward"), "num_responses"))
+
+
+@query
+def first_token_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time to the first token per experiment, exact percentiles."""
+    return rounded(rn.exact_percentiles(fx.runs(spark, sf_dir), "experiment", "first_token_ms", "run_row", {"p50_ms": 0.5, "p90_ms": 0.9, "p99_ms": 0.99}))
+
