@@ -160,7 +160,8 @@ def test_salvage_after_damage(zipped):
     cut = bytes(spoiled[:at[29] - 7])                                  # record 28 cut short, 29 gone
     found = warc.salvage(cut)
     ids = [warc.page_of(h["warc-record-id"]) for _, h, _ in found.records]
-    assert ids == [i for i in range(28) if i not in (5, 9)]
+    # of a zipped record only the checksum at its end is cut off: the record is whole and given, its member logged
+    assert ids == [i for i in range(29 if zipped else 28) if i not in (5, 9)]
     assert [(a, b) for a, b, _ in found.gaps] == [(at[5], at[6]), (at[9], at[10]), (at[28], len(cut))]
     assert all(why for *_, why in found.gaps)
 
@@ -271,7 +272,7 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     words = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(4)]
     prose = "the people who came to the town in the evening were tired of the road "
     rows = [(1, prose + words[0]), (1, prose + words[0]), (1, prose + words[1]), (2, prose + words[1]), (3, prose + words[1]), (4, prose + words[2]),
-            (None, prose + words[2]), (None, prose + words[3]), (5, None), (6, ""), (7, prose + words[3]), (8, (prose + words[0] + " ") * 3000), (9, "a"), (9, "b")]
+            (None, prose + words[2]), (None, prose + words[3]), (5, None), (6, ""), (7, prose + words[3]), (8, " ".join(f"long{i}" for i in range(60_000))), (9, "a"), (9, "b")]
     spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1.0, "x") for i, t in rows],
                           "doc_id long, text string, lang string, source string, n_chars long, score double, spans string") \
         .write.parquet(str(tmp_path / "documents.parquet"))
@@ -288,7 +289,10 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
 
 def test_no_table_stays_in_the_executors(spark):
     """What the near-duplicate stage holds is freed when the next stage begins."""
+    from vulnsift.llm.common import release_held
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    release_held(spark)
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     corpus_pipeline.near_duplicates(spark, docs, SF).write.format("noop").mode("overwrite").save()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() > before
