@@ -30,10 +30,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each component of near duplicates, that with the smallest id. Documents without an id or without
     words link with nothing and stay. Rows that repeat an id are told apart by their texts; of rows equal in both one stays."""
     ship_package(spark)
-    found = ngram_join.jaccard_components(docs).where("doc_id is not null")
+    named = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
+    # ids that several texts share get a node of their own for each text; all others are their node
+    shared = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi")
+    shared = shared.select("doc_id", F.lit(True).alias("shared"))
+    node = F.when(F.col("shared"), F.xxhash64("doc_id", "text_key")).otherwise(F.col("doc_id"))
+    found = ngram_join.jaccard_components(named.join(shared, "doc_id", "left").select(node.alias("node"), "text"), "node").where("doc_id is not null")
+    texts = named.join(shared, "doc_id", "left_semi").select("doc_id", "text_key").distinct().withColumn("node", F.xxhash64("doc_id", "text_key"))
+    found = found.withColumnRenamed("doc_id", "node").join(texts.select("node", F.col("doc_id").alias("of")), "node", "left") \
+        .select(F.coalesce("of", "node").alias("doc_id"), "text_key", "n_shingles", "component_id")
     first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("f")).select("f.*")
     first = first.unionByName(found.where("n_shingles = 0").select("doc_id", "text_key"))
-    named, keys = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key")), ["doc_id", "text_key"]
+    keys = ["doc_id", "text_key"]
     kept = named.where("doc_id is not null").join(first, keys, "left_semi").dropDuplicates(keys)
     return kept.unionByName(named.where("doc_id is null")).select(COLUMNS)
 
