@@ -89,8 +89,7 @@ def category(c: Column) -> Column:
 def score_answers(completions: DataFrame, contracts: DataFrame, strict: bool = True, keep=()) -> DataFrame:
     """Per answer (contract_id, k): tp, fp, fn over distinct classes, plus context.
 
-    One equi-join on contract_id (AQE turns it into a broadcast when the contract side
-    is small at run time, and splits skewed partitions otherwise); everything else is
+    One equi-join on contract_id, whose strategy the planner chooses by size at run time; everything else is
     per-row array algebra.
     """
     c = contracts.select("contract_id", "is_vulnerable", "vulnerabilities")
