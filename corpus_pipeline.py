@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from vulnsift.llm import decontaminate as _decontaminate
 from vulnsift.llm import langid, ngram_join, packing, secrets
-from vulnsift.llm.common import read_table, release_held, ship_package
+from vulnsift.llm.common import keep_table, read_table, release_held, ship_package
 from vulnsift.session import checkpoint_dir
 
+#: Ids that several texts share are sent to all tasks up to this number, 16 bytes each.
+SENT_IDS = 100_000
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -33,7 +36,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     named = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
     # ids that several texts share get a node of their own for each text; all others are their node
     shared = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi")
-    shared = shared.select("doc_id", F.lit(True).alias("shared"))
+    shared = keep_table(shared.select("doc_id", F.lit(True).alias("shared")), "shared-ids")
+    if shared.count() <= SENT_IDS:
+        shared = F.broadcast(shared)  # beyond that the joins shuffle the texts by id
     node = F.when(F.col("shared"), F.xxhash64("doc_id", "text_key")).otherwise(F.col("doc_id"))
     found = ngram_join.jaccard_components(named.join(shared, "doc_id", "left").select(node.alias("node"), "text"), "node").where("doc_id is not null")
     texts = named.join(shared, "doc_id", "left_semi").select("doc_id", "text_key").distinct().withColumn("node", F.xxhash64("doc_id", "text_key"))
