@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
         encoder = _ENCODERS[vocabulary]
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         last = np.array([end_id], "<u4").tobytes()
-        for part in (p for batch in batches for p in bounded(batch, 1, 4 * STRIDE)):
+        for part in (p for batch in batches for p in bounded(batch, 1, 8 * STRIDE)):
             rows = []
             flat, ends = encoder.of(pc.fill_null(part.column(1), ""))
             for doc, a, b in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
