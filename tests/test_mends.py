@@ -154,3 +154,22 @@ def test_building_the_sets_starts_no_job(spark):
     assert kinds == [{"missed": 30, "false_positive": 260}, {"missed": 20}, {"missed": 30}, {"missed": 30, "false_positive": 1}, {"missed": 30, "false_positive": 30}]
     assert [b.agg(F.count("*"), F.count_if("has_vulnerability")).first()[:] for b in built[5:7]] == [(10, 10), (100, 40)]
     assert built[7].count() == 30
+
+
+def test_each_pattern_of_the_parse_searches_a_block_once(spark):
+    """Inside a lambda every mention of an extraction is a search of its own: six fields took 26 of them."""
+    for parse in (ev.findings_array("text"), ev.predicted_classes("text")):
+        said = spark.range(1).select(F.lit("").alias("text")).select(parse.alias("f"))._jdf.queryExecution().analyzed().toString()
+        assert [said.count(p) for p in (tx.SWC_PATTERN, tx.CWE_PATTERN, tx.TYPE_PATTERN, tx.SEVERITY_PATTERN, tx.LINES_PATTERN, tx.EXPLANATION_PATTERN)] == [1] * 6
+
+
+def test_findings_of_long_and_odd_answers(spark):
+    code = "<think>\n" + "x = y;  // line a\n" * 5000 + "</think>\n"
+    block = "Vulnerability:  tx origin \nSWC: 115\nCWE: 284\nLines: 3 - 5\nSeverity: High\nExplanation: why "
+    texts = [code + block, "a\n\n \n\n" + block + "\n\nvulnerability: overflow", "é\n\nſwc: swc-107", "Severity: Low\n\nCWE: 1", " \n\n \n\n ", "", None,
+             block + "\n\nNo vulnerability elsewhere", "Vulnerability:  NONE", "vulnerability: noné", block + "\nnone"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", ev.findings_array("text").alias("f")).collect()
+    full = ("SWC-115", "CWE-284", "tx origin", "High", "3 - 5", "why", 1.0)
+    got = {r.i: [tuple(f) for f in r.f] for r in rows}
+    assert got == {0: [(0, *full)], 1: [(1, *full), (2, "SWC-101", None, "overflow", "Medium", None, "", 1.0)], 2: [(1, "SWC-SWC-107", None, "", "Medium", None, "", 1.0)],
+                   3: [], 4: [], 5: [], 6: [], 7: [], 8: [], 9: [(0, "SWC-000", None, "noné", "Medium", None, "", 1.0)], 10: [(0, *full)]}

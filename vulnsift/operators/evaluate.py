@@ -26,37 +26,37 @@ def findings_array(text) -> Column:
     3. fields are first matches per block; severity defaults to Medium;
     4. a block is kept if it has a class or a type; a missing class is inferred from
        the type by the substring map.
+
+    Each pattern runs once over a block: what it finds is bound to a field before clean-up names it more than once, and
+    blocks without class and type are dropped before the other fields are looked for.
     """
-    t = tx.col_(text)
-    blocks = tx.split_blocks(F.coalesce(t, F.lit("")))
-    parsed = F.transform(
-        blocks,
-        lambda b, i: F.struct(
-            i.alias("block"),
-            tx.strip(b).alias("_body"),
-            tx.block_swc(b).alias("swc_id"),
-            tx.block_cwe(b).alias("cwe_id"),
-            tx.block_type(b).alias("vuln_type"),
-            tx.block_severity(b).alias("severity"),
-            tx.block_lines(b).alias("lines"),
-            tx.block_explanation(b).alias("explanation"),
-        ),
-    )
-    kept = F.filter(parsed, lambda f: (f["_body"] != "") & ((f["swc_id"] != "") | (f["vuln_type"] != "")))
+    t = F.coalesce(tx.col_(text), F.lit(""))
+    found = F.transform(tx.split_blocks(t), lambda b, i: F.struct(i.alias("block"), b.alias("_body"), *tx.block_raw(b, "swc_id", "vuln_type")))
+    named = F.transform(found, lambda f: F.struct(
+        f["block"].alias("block"), f["_body"].alias("_body"), tx.prefixed_id(f["swc_id"], "SWC").alias("swc_id"),
+        tx.strip(f["vuln_type"]).alias("vuln_type")))
+    kept = F.filter(named, lambda f: ((f["swc_id"] != "") | (f["vuln_type"] != "")) & tx.not_blank(f["_body"]))
+    parsed = F.transform(kept, lambda f: F.struct(
+        f["block"].alias("block"), f["swc_id"].alias("swc_id"), f["vuln_type"].alias("vuln_type"),
+        *tx.block_raw(f["_body"], "cwe_id", "severity", "lines", "explanation")))
+    cleaned = F.transform(parsed, lambda f: F.struct(
+        f["block"].alias("block"), f["swc_id"].alias("swc_id"), tx.prefixed_id(f["cwe_id"], "CWE").alias("cwe_id"),
+        f["vuln_type"].alias("vuln_type"), f["severity"].alias("severity"), tx.strip(f["lines"]).alias("lines"),
+        tx.strip(f["explanation"]).alias("explanation")))
     shaped = F.transform(
-        kept,
+        cleaned,
         lambda f: F.struct(
             f["block"].alias("block"),
             F.when(f["swc_id"] == "", tx.swc_from_type_substring(f["vuln_type"])).otherwise(f["swc_id"]).alias("swc_id"),
-            f["cwe_id"].alias("cwe_id"),
+            tx.nullif_empty(f["cwe_id"]).alias("cwe_id"),
             f["vuln_type"].alias("vuln_type"),
-            f["severity"].alias("severity"),
-            f["lines"].alias("lines"),
+            F.when(f["severity"] == "", F.lit("Medium")).otherwise(f["severity"]).alias("severity"),
+            tx.nullif_empty(f["lines"]).alias("lines"),
             f["explanation"].alias("explanation"),
             F.lit(1.0).alias("confidence"),
         ),
     )
-    return F.when(tx.says_none(F.coalesce(t, F.lit(""))), F.array().cast(shaped_type())).otherwise(shaped)
+    return F.when(tx.says_none(t), F.array().cast(shaped_type())).otherwise(shaped)
 
 
 def shaped_type() -> str:
