@@ -148,11 +148,11 @@ def spec_rewards(completions: DataFrame, contracts: DataFrame, parents=CLASS_PAR
     j = with_truth(completions.select(*keep, *rw.spec_features("text")), contracts)
     lookup = related_classes(completions.sparkSession, parents).agg(F.map_from_entries(F.collect_list(F.struct("swc_id", "related"))).alias("_related"))
     j = j.join(F.broadcast(lookup))
-    got, pred, sev, none = F.col("_spec_got"), F.col("_spec_iv"), F.col("_spec_sev"), F.lit(None).cast("string")
+    found, none = [F.col("_spec_got"), F.col("_spec_iv"), F.col("_spec_sev")], F.lit(None).cast("string")
 
     def score(swc: Column, lines: Column, severity: Column) -> Column:
-        return rw.spec_detection_reward(got, pred, sev, swc, lines, severity, F.coalesce(F.col("_related")[swc], F.array().cast("array<string>")))
+        return rw.spec_detection_reward(None, swc, lines, severity, F.coalesce(F.col("_related")[swc], F.array().cast("array<string>")), found)
 
     each = F.transform("vulnerabilities", lambda v: score(v["swc_id"], F.coalesce(v["lines"], v["line_range"]), v["severity"]))
-    clean = rw.spec_detection_reward(got, pred, sev, none, none, none)
+    clean = rw.spec_detection_reward(None, none, none, none, features=found)
     return j.select(*keep, F.when(F.size("vulnerabilities") > 0, F.array_max(each)).otherwise(clean).alias("reward"))

@@ -783,7 +783,8 @@ def spec_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
     comp, con = _eval_inputs(spark, sf_dir)
     j = sc.with_truth(comp.select("contract_id", "k", *rw.spec_features("text")), con)
     v = F.get(F.col("vulnerabilities"), 0)
-    r = rw.spec_detection_reward(F.col("_spec_got"), F.col("_spec_iv"), F.col("_spec_sev"), v["swc_id"], F.coalesce(v["lines"], v["line_range"]), v["severity"])
+    r = rw.spec_detection_reward(None, v["swc_id"], F.coalesce(v["lines"], v["line_range"]), v["severity"],
+                                 features=[F.col("_spec_got"), F.col("_spec_iv"), F.col("_spec_sev")])
     return rounded(j.select("contract_id", "k", r.alias("reward")))
 
 
