@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from vulnsift.llm import ngram_join, suffix_dedup
+from vulnsift.llm import graph, ngram_join, suffix_dedup
 from vulnsift.llm.graph import components
 
 
@@ -149,6 +149,38 @@ def test_join_chains_in_small_pieces(spark, monkeypatch):
     assert found_components(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
 
 
+@pytest.mark.parametrize("cost, last, least, most", [(0, 0, 2, 12), (64, 500_000, 1, 3)])
+def test_join_settles_groups_in_few_rounds(spark, monkeypatch, cost, last, least, most):
+    """Groups of several pieces whose members come together slowly: every way through `linked`, and no round that brings
+    only a few more together (20 of them before)."""
+    monkeypatch.setattr(ngram_join, "PIECE", 8)
+    monkeypatch.setattr(ngram_join, "ROUND", cost)
+    monkeypatch.setattr(graph, "LAST_EDGES", last)
+    rounds, merged = [], ngram_join._merged
+    monkeypatch.setattr(ngram_join, "_merged", lambda rows: rounds.append(1) or merged(rows))
+    rng = random.Random(11)
+    rows, words = [], [f"w{k}" for k in range(100)]
+    for k in range(90):
+        now = list(words)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 7, 9])):
+            now[rng.randrange(100)] = f"n{rng.randrange(10 ** 6)}"
+        rows.append((k, " ".join(now)))
+    rows += [(200 + k, " ".join(f"g{k // 3}x{i}" for i in range(30)) + f" end{k}") for k in range(60)]
+    want = brute_components(rows)
+    assert found_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == want
+    assert len({c for d, _, c in want if d < 200}) > 5 and least <= len(rounds) <= most
+
+
+def test_join_hashes_each_text_once_for_its_digest(spark, monkeypatch):
+    """Blocks hold each row once with the digest of its set; copies are left out by their place in the block, not by a
+    second pass over the texts."""
+    docs = spark.createDataFrame([(3, "a b c d e f"), (1, "A b c d e f"), (None, "a b c d e f"), (1, "x y"), (5, None)], "doc_id long, text string").coalesce(1)
+    blocks = ngram_join.digested(docs, "doc_id", "text")
+    members, firsts = ngram_join.classes(blocks)
+    assert [(r.doc_ids, r.shingles) for r in blocks.collect()] == [([3, 1, None, 1, 5], [2, 2, 2, 1, 0])]
+    assert members.count() == 5 and {(r.doc_id, r.weight, r.pos) for r in firsts.collect()} == {(1, 2, 1), (1, 1, 3)}
+
+
 def test_join_empty_table(empty):
     assert found_components(empty) == []
 
@@ -174,6 +206,20 @@ def test_link_all_random_sets():
         assert [want.root(i) for i in range(len(sets))] == [got.root(i) for i in range(len(sets))]
 
 
+@pytest.mark.parametrize("last", [0, 120, 10 ** 6])
+def test_components_random_edges(spark, monkeypatch, last):
+    """In steps, in one task, and in one task after some steps."""
+    monkeypatch.setattr(graph, "LAST_EDGES", last)
+    rng = random.Random(9)
+    edges = [(rng.randrange(-150, 150), rng.randrange(-150, 150)) for _ in range(160)]
+    up = {n: n for e in edges for n in e if e[0] != e[1]}
+    for _ in range(300):
+        for a, b in edges:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    assert {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == up
+
+
 def test_components_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7)], "a long, b long")
     assert {r.node: r.root for r in components(edges).collect()} == {**{i: 0 for i in range(201)}, 400: 400, 500: 400}
