@@ -17,7 +17,7 @@ from vulnsift.llm import langid, ngram_join, packing, secrets
 from vulnsift.llm.common import keep_table, read_table, release_held, ship_package
 from vulnsift.session import checkpoint_dir
 
-#: Ids that several texts share are sent to all tasks up to this number, 16 bytes each.
+#: Ids that several rows or texts share are sent to all tasks up to this number, 16 bytes each.
 SENT_IDS = 100_000
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,16 +29,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs)
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Few ids go to all tasks; with more, joins shuffle the texts by id."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, that with the smallest id. Documents without an id or without
     words link with nothing and stay. Rows that repeat an id are told apart by their texts; of rows equal in both one stays."""
     ship_package(spark)
     named = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
-    # ids that several texts share get a node of their own for each text; all others are their node
-    shared = named.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi")
-    shared = keep_table(shared.select("doc_id", F.lit(True).alias("shared")), "shared-ids")
-    if shared.count() <= SENT_IDS:
-        shared = F.broadcast(shared)  # beyond that the joins shuffle the texts by id
+    # ids that several texts share get a node of their own for each text; all others are their node. Texts are read for
+    # ids of several rows only
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = _sent(keep_table(again, "repeated-ids"))
+    shared = named.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text_key").alias("lo"), F.max("text_key").alias("hi")).where("lo <> hi")
+    shared = _sent(keep_table(shared.select("doc_id", F.lit(True).alias("shared")), "shared-ids"))
     node = F.when(F.col("shared"), F.xxhash64("doc_id", "text_key")).otherwise(F.col("doc_id"))
     found = ngram_join.jaccard_components(named.join(shared, "doc_id", "left").select(node.alias("node"), "text"), "node").where("doc_id is not null")
     texts = named.join(shared, "doc_id", "left_semi").select("doc_id", "text_key").distinct().withColumn("node", F.xxhash64("doc_id", "text_key"))

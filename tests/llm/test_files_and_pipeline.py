@@ -303,3 +303,17 @@ def test_no_table_stays_in_the_executors(spark):
 def test_run_equals_stages(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and rows.count() > 100
+
+
+def test_near_duplicates_holds_only_its_members(spark):
+    """Near sets are a table: while the stage's last join shuffles the texts, no earlier shuffle of theirs is held. Rows of one
+    id and one text are no shared id."""
+    from vulnsift.llm.common import release_held
+
+    rows = [(k % 5, f"the road to the town was long and the {k % 5} people were tired of it") for k in range(10)] + [(7, "a b c"), (7, "d e f"), (None, "x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    release_held(spark)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert sorted((r.doc_id or -1, r.text) for r in out.collect()) == sorted({(i or -1, t) for i, t in rows})
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= before + 1

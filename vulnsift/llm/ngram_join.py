@@ -173,6 +173,7 @@ def classes(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     row = F.posexplode(F.arrays_zip("doc_ids", "shingles", "digests", "text_keys")).alias("pos", "r")
     members = blocks.select("block", row).select(F.col("r.doc_ids").alias("doc_id"), F.col("r.shingles").alias("n_shingles"), F.col("r.digests").alias("digest"),
                                                  F.col("r.text_keys").alias("text_key"), "block", "pos")
+    members = hold(members)
     firsts = members.where("n_shingles > 0 and doc_id is not null").groupBy("digest") \
         .agg(F.min(F.struct("doc_id", "block", "pos")).alias("f"), F.count("*").alias("weight"))
     return members, firsts.select("digest", "f.doc_id", "weight", "f.block", "f.pos")
@@ -213,8 +214,8 @@ def near_sets(blocks: DataFrame, firsts: DataFrame) -> DataFrame:
                 if out:
                     yield rows_of(_NEAR, list(zip(*out)))
 
-    # dealt by document once: every later join with the sets finds them where they are
-    return hold(answered.select("ids", "sizes", "body", "chosen", "classes").mapInArrow(run, NEAR).repartition("doc_id"))
+    # a table, so that the texts and hashes shuffled for it are freed before the sets are joined
+    return keep_table(answered.select("ids", "sizes", "body", "chosen", "classes").mapInArrow(run, NEAR), "near")
 
 
 class Node:
@@ -455,7 +456,7 @@ def _each_link(table: pa.Table) -> list[tuple[int, int]]:
 def _classes_and_near(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows; digest, doc_id and weight (number of rows) of each class; the near sets."""
     blocks = digested(docs, id_col, text_col)
-    members, firsts = classes(blocks)
+    members, firsts = classes(blocks)  # the members are held: some 50 bytes a row
     return members, firsts, near_sets(blocks, firsts)
 
 
